@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import toxicity
+from . import langid, quality, toxicity
 
 QUERIES = {
+    "op2_langid": langid.op2_langid,
+    "op9_quality": quality.op9_quality,
     "op10_toxicity": toxicity.op10_toxicity,
 }
 

@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
 #: where tests and single-node runs keep what a cluster keeps in spark.checkpoint.dir
 FALLBACK_DIR = "/tmp/checkpoints"
@@ -54,3 +55,9 @@ def sample_ids(labelled: DataFrame, label: str, per_class: int, seed: int) -> Da
     for p in parts[1:]:
         out = out.unionAll(p)
     return out.dropDuplicates(["doc_id"])
+
+
+def extended(schema: StructType, *more: tuple[str, str]) -> StructType:
+    """A copy of schema with columns added; columns of the same name are replaced."""
+    names = {n for n, _ in more}
+    return StructType([f for f in schema.fields if f.name not in names] + [StructField(n, _parse_datatype_string(t)) for n, t in more])

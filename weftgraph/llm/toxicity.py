@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import arrowtext as at
-from .tables import held_out, read, sample_ids
+from .tables import extended, held_out, read, sample_ids
 
 BITS = 20
 #: documented bound on what is learned from: rows of each class
@@ -141,6 +141,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int
 def score(docs: DataFrame, model: ToxicityModel, out: str = "score") -> DataFrame:
     """docs with a score in 0..1 added; all other columns pass through."""
     sent = docs.sparkSession.sparkContext.broadcast((model.index, model.weight, model.bias))
+    docs = docs.drop(out)
     names = docs.columns
 
     def run(batches):
@@ -156,7 +157,7 @@ def score(docs: DataFrame, model: ToxicityModel, out: str = "score") -> DataFram
                 p = 1 / (1 + np.exp(-np.clip(total, -35, 35)))
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(names)], pa.array(p, pa.float64())], names=[*names, out])
 
-    schema = docs.schema.add(out, "double")
+    schema = extended(docs.schema, (out, "double"))
     return docs.withColumn("__lower", F.lower(F.col("text"))).mapInArrow(run, schema)
 
 
