@@ -149,7 +149,7 @@ def fit(docs: DataFrame, per_lang: int = SAMPLE_PER_LANG) -> LangModel:
         langs = sorted({r[1] for r in held})
         yield pa.RecordBatch.from_arrays([pa.array([",".join(langs)] + [f"{a},{b}" for a, b in m.names]), pa.array([0.0, *m.bias]), pa.array([b"", *(np.ascontiguousarray(m.weights[:, k]).tobytes() for k in range(len(m.names)))], pa.binary()), pa.array(range(len(m.names) + 1), pa.int32())], names=["name", "bias", "w", "k"])
 
-    found = sample.mapInArrow(extract, "doc_id long, lang string, i array<int>, x array<float>").coalesce(1).mapInArrow(train, "name string, bias double, w binary, k int").collect()
+    found = sample.mapInArrow(extract, "doc_id long, lang string, i array<int>, x array<float>").repartition(1).mapInArrow(train, "name string, bias double, w binary, k int").collect()
     found = sorted(found, key=lambda r: r["k"])
     if not found or not found[0]["name"]:
         return LangModel()

@@ -131,7 +131,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int
         m = fit_rows([r[1] for r in held], np.array([r[2] for r in held]), params)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(m.index, -1), pa.int32()), pa.array(np.append(m.weight.astype(np.float64), m.bias), pa.float64())], names=["i", "w"])
 
-    found = sample.mapInArrow(extract, "doc_id long, f array<int>, y double").coalesce(1).mapInArrow(train, "i int, w double").toPandas()
+    found = sample.mapInArrow(extract, "doc_id long, f array<int>, y double").repartition(1).mapInArrow(train, "i int, w double").toPandas()
     found = found.sort_values("i")
     bias = float(found["w"][found["i"] == -1].iloc[0]) if (found["i"] == -1).any() else -1.0
     found = found[found["i"] >= 0]
