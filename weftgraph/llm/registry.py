@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import langid, quality, toxicity
+from . import jaccard_join, langid, quality, toxicity
 
 QUERIES = {
     "op2_langid": langid.op2_langid,
+    "op7_jaccard_join": jaccard_join.op7_jaccard_join,
     "op9_quality": quality.op9_quality,
     "op10_toxicity": toxicity.op10_toxicity,
 }
