@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
-from . import jaccard_join, langid, quality, toxicity
+from . import decontaminate, jaccard_join, langid, mixture, quality, substring_dedup, toxicity, warc_revisit
 
 QUERIES = {
+    "op1_decontaminate": decontaminate.op1_decontaminate,
     "op2_langid": langid.op2_langid,
+    "op3_substring_dedup": substring_dedup.op3_substring_dedup,
+    "op4_warc_revisit": warc_revisit.op4_warc_revisit,
+    "op6_mixture": mixture.op6_mixture,
     "op7_jaccard_join": jaccard_join.op7_jaccard_join,
     "op9_quality": quality.op9_quality,
     "op10_toxicity": toxicity.op10_toxicity,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op4_warc_revisit": warc_revisit.ORACLE,
+    "op6_mixture": mixture.ORACLE,
+}
