@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontaminate, jaccard_join, langid, mixture, quality, substring_dedup, toxicity, warc_revisit
+from . import decontaminate, jaccard_join, langid, license_scan, mixture, quality, substring_dedup, toxicity, warc_revisit
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
     "op2_langid": langid.op2_langid,
     "op3_substring_dedup": substring_dedup.op3_substring_dedup,
     "op4_warc_revisit": warc_revisit.op4_warc_revisit,
+    "op5_license_scan": license_scan.op5_license_scan,
     "op6_mixture": mixture.op6_mixture,
     "op7_jaccard_join": jaccard_join.op7_jaccard_join,
     "op9_quality": quality.op9_quality,
@@ -17,5 +18,6 @@ QUERIES = {
 
 ORACLES: dict[str, str] = {
     "op4_warc_revisit": warc_revisit.ORACLE,
+    "op5_license_scan": license_scan.ORACLE,
     "op6_mixture": mixture.ORACLE,
 }
