@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, jaccard_join, langid, license_scan, mixture, quality, substring_dedup, toxicity, warc_revisit
+from . import decontaminate, fingerprint, jaccard_join, langid, license_scan, mixture, quality, substring_dedup, toxicity, warc_revisit
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_license_scan": license_scan.op5_license_scan,
     "op6_mixture": mixture.op6_mixture,
     "op7_jaccard_join": jaccard_join.op7_jaccard_join,
+    "op8_fingerprint": fingerprint.op8_fingerprint,
     "op9_quality": quality.op9_quality,
     "op10_toxicity": toxicity.op10_toxicity,
 }
