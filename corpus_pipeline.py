@@ -1,10 +1,70 @@
-"""Corpus pipeline: toxicity, near copies, repeated passages, benchmark leaks, mixture."""
+"""Corpus pipeline: toxicity, near copies, repeated passages, benchmark leaks, mixture.
+
+Each stage takes (spark, docs, sf_dir) and returns the columns of documents; ``run`` writes
+each stage's rows to the shared folder and reads them back as the next one's docs.
+
+Cases: a stage keeps rows that its operator can't judge (null or empty text, null doc_id);
+repeated rows are copies of each other and the copy stage keeps one; extra columns are
+carried along; empty tables give no rows.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from weftgraph.llm import decontaminate, jaccard_join, mixture, substring_dedup, toxicity
+from weftgraph.llm.tables import materialize, read
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity model (learned from the documents and labels at hand) doesn't reject."""
+    model = toxicity.fit(docs, read(spark, sf_dir, "labels"))
+    scored = toxicity.score(docs, model, out="__toxic")
+    return scored.where("__toxic < 0.5").select(*docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near copies: the one of the least doc_id."""
+    gone = jaccard_join.join(docs).where("class_id <> doc_id").select("doc_id").distinct()
+    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    # rows repeated under one doc_id are copies too; rows without doc_id stay
+    return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionAll(kept.where("doc_id is null"))
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the passages that a document of smaller doc_id has as well."""
+    found = substring_dedup.dedup(docs)
+    if "n_chars" in docs.columns:
+        found = found.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.char_length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+    return found.select(*docs.columns)
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no benchmark item lies."""
+    leaks = decontaminate.find_leaks(docs, read(spark, sf_dir, "benchmark")).select("doc_id").distinct()
+    return docs.join(leaks, "doc_id", "left_anti").select(*docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mixture: documents as often as their leaf's budget reads them."""
+    return mixture.mix(docs).select(*docs.columns)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("jaccard_join", drop_near_copies),
+    ("substring_dedup", cut_repeats),
+    ("decontaminate", drop_leaks),
+    ("mixture", mix_sources),
+]
+
+#: the toxicity model can't be expressed in SQL
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
