@@ -1,7 +1,9 @@
-"""Named queries over the driver's tables, each with its SQL oracle."""
+"""Named queries over the driver's tables, each with its SQL oracle where SQL can say it."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from . import graph_queries, table_queries
+
+QUERIES: dict = {**graph_queries.QUERIES, **table_queries.QUERIES}
+ORACLES: dict[str, str] = {**graph_queries.ORACLES, **table_queries.ORACLES}
 FLAGSHIP = "q_find_callers"
