@@ -19,6 +19,11 @@ no rows.
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,7 +63,30 @@ def with_bigrams(df: DataFrame, out: str) -> DataFrame:
     pair = F.zip_with(F.slice("__w", F.lit(1), F.size("__w") - 1), F.slice("__w", F.lit(2), F.size("__w") - 1), lambda x, y: F.concat(x, F.lit(" "), y))
     df = df.withColumn("__p", F.array_sort(pair)).drop("__w")
     # in a sorted list equal pairs stand together, so a pair's number is its distance from the first
-    return df.withColumn(out, F.transform("__p", lambda p, i: F.concat(p, F.lit("#"), (i + 1 - F.array_position(F.col("__p"), p)).cast("string")))).drop("__p")
+    number = F.transform("__p", lambda p, i: F.concat(p, F.lit("#"), (i + 1 - F.array_position(F.col("__p"), p)).cast("string")))
+    alone = F.transform("__p", lambda p: F.concat(p, F.lit("#0")))
+    return df.withColumn(out, F.when(F.size(F.array_distinct("__p")) == F.size("__p"), alone).otherwise(number)).drop("__p")
+
+
+def anchors(templates: dict[str, str], threshold: float) -> list[str]:
+    """Words of which every unit that can match has one.
+
+    Dice >= t needs |A & B| >= t / (2 - t) |B|: at most (2 - 2 t) / (2 - t) |B| bigrams of a
+    template may be missing, so words that lie in more of its bigrams than that can't all be
+    missing. Words are chosen greedily for all templates; very common ones last.
+    """
+    common = set("a an any and as at be by for from in is it no not of on or such that the this to you with mit der die und".split())
+    pairs = {}
+    for k, v in templates.items():
+        words = re.sub("[^a-z0-9]+", " ", v.lower()).split()
+        pairs[k] = list(zip(words, words[1:]))
+    open_ = {k: v for k, v in pairs.items() if v}
+    chosen: list[str] = []
+    while open_:
+        gain = Counter(w for v in open_.values() for p in v if not set(p) & set(chosen) for w in set(p))
+        chosen.append(min(gain, key=lambda w: (w in common or w.isdigit(), len(w) < 4 and w != "cc", -gain[w], w)))
+        open_ = {k: v for k, v in open_.items() if sum(bool(set(p) & set(chosen)) for p in v) <= (2 - 2 * threshold) / (2 - threshold) * len(v) + 1e-9}
+    return chosen
 
 
 def template_table(spark: SparkSession, templates: dict[str, str], threshold: float) -> DataFrame:
@@ -70,24 +98,44 @@ def template_table(spark: SparkSession, templates: dict[str, str], threshold: fl
     return t.withColumn("n", F.explode(F.sequence(low, high))).withColumn("n", F.col("n").cast("int"))
 
 
-def units(docs: DataFrame) -> DataFrame:
-    """(doc_id, kind, pos, norm): whole texts, blocks and lines, 0-based; equal units once."""
-    blocks, lines = F.split("text", r"\n[ \t]*\n", -1), F.split("text", "\n", -1)
-    one = F.array(F.struct(F.lit("text").alias("kind"), F.lit(0).alias("pos"), F.col("text").alias("unit")))
-    none = F.slice(one, 1, 0)
-    part = lambda a, kind: F.when(F.size(a) > 1, F.transform(a, lambda x, i: F.struct(F.lit(kind).alias("kind"), i.alias("pos"), x.alias("unit")))).otherwise(none)
-    several = F.when(F.size(lines) == F.size(blocks) * 2 - 1, none).otherwise(part(blocks, "block"))
-    rows = docs.where("text is not null").select("doc_id", F.explode(F.concat(one, several, part(lines, "line"))).alias("u"))
-    return rows.select("doc_id", "u.kind", "u.pos", normalise(F.col("u.unit")).alias("norm"))
+def _words(unit: Column) -> Column:
+    """Number of words of a string in which every run of separators is one blank."""
+    x = F.trim(unit)
+    return F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))) + F.when(x == "", 0).otherwise(1)
+
+
+def units(docs: DataFrame, sizes: list[int], needed: list[str]) -> DataFrame:
+    """(doc_id, kind, pos, norm, n): whole texts, blocks and lines (0-based; equal units
+    once) whose number of bigrams n is one of sizes, and that hold one of the needed words.
+
+    Letters are folded and separators collapsed once for a text, line breaks kept; a text's
+    words are those of its lines, so sizes are sums and only admitted units are built.
+    """
+    mask = F.array(*(F.lit(n in set(sizes)) for n in range(max(sizes, default=0) + 1)))
+    fits = lambda n: F.when((n >= 0) & (n < F.size(mask)), F.element_at(mask, F.greatest(n, F.lit(0)) + 1)).otherwise(False)
+    d = docs.where("text is not null").select("doc_id", "text", F.lower("text").alias("low"))
+    d = d.where(reduce(or_, (F.col("low").contains(w) for w in needed), F.lit(False)))
+    d = d.withColumn("flat", F.regexp_replace("low", "[^a-z0-9\\n]+", " ")).withColumn("lines", F.split("flat", "\n", -1))
+    d = d.withColumn("counts", F.transform("lines", _words))
+    total = F.aggregate("counts", F.lit(0), lambda s, n: s + n)
+    unit = lambda kind, pos, n, text: F.struct(F.lit(kind).alias("kind"), pos.alias("pos"), n.alias("n"), text.alias("unit"))
+    none = F.expr("cast(array() as array<struct<kind:string,pos:int,n:int,unit:string>>)")
+    whole = F.when(fits(total - 1), F.array(unit("text", F.lit(0), total - 1, F.col("flat")))).otherwise(none)
+    fitting = F.filter(F.zip_with("counts", F.sequence(F.lit(0), F.size("counts") - 1), lambda n, i: F.struct(n.alias("n"), i.alias("i"))), lambda c: fits(c["n"] - 1) & F.exists(F.array(*map(F.lit, needed)), lambda w: F.contains(F.get("lines", c["i"]), w)))
+    lines = F.when(F.size("lines") > 1, F.transform(fitting, lambda c: unit("line", c["i"], c["n"] - 1, F.get("lines", c["i"])))).otherwise(none)
+    d = d.withColumn("blocks", F.when(F.col("text").rlike(r"\n[ \t]*\n"), F.split("low", r"\n[ \t]*\n", -1)))
+    several = F.transform(F.col("blocks"), lambda x, i: F.struct(i.alias("i"), F.regexp_replace(x, "[^a-z0-9]+", " ").alias("u")))
+    several = F.filter(several, lambda x: fits(_words(x["u"]) - 1))
+    blocks = F.when((F.size("blocks") > 1) & (F.size("lines") != F.size("blocks") * 2 - 1), F.transform(several, lambda x: unit("block", x["i"], _words(x["u"]) - 1, x["u"]))).otherwise(none)
+    rows = d.select("doc_id", F.explode(F.concat(whole, blocks, lines)).alias("u"))
+    return rows.select("doc_id", "u.kind", "u.pos", "u.n", F.trim(F.regexp_replace("u.unit", "[ \n]+", " ")).alias("norm"))
 
 
 def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, kind, pos, license, template, dice for every unit that reaches the threshold."""
-    spark = docs.sparkSession
-    table = template_table(spark, templates, threshold)  # its size is the templates', whatever docs has
-    found = units(docs).withColumn("n", F.length("norm") - F.length(F.replace("norm", F.lit(" "), F.lit("")))).where("n > 0")
-    sizes = table.select("n").distinct()
-    near = with_bigrams(found.join(F.broadcast(sizes), "n"), "a")
+    table = template_table(docs.sparkSession, templates, threshold)  # its size is the templates', whatever docs has
+    sizes = [r[0] for r in table.select("n").distinct().collect()]
+    near = with_bigrams(units(docs, sizes, anchors(templates, threshold)), "a")
     pairs = near.join(F.broadcast(table), "n")
     dice = F.lit(2.0) * F.size(F.array_intersect("a", "b")) / (F.col("n") + F.col("size"))
     scored = pairs.select("doc_id", "kind", "pos", "license", "template", dice.alias("dice")).where(F.col("dice") >= threshold - 1e-12)
