@@ -11,7 +11,7 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401  (pa.compute)
 
 #: bytes of text handled at once; bounds a Python worker's memory whatever the batch size
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _ROLL = np.uint64(0xD6E8FEB86659FD93)

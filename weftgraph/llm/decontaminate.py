@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import arrowtext as at
-from .tables import read
+from .tables import bounded_batches, read
 
 EDIT_SHARE, SAMPLES, DESIGN_SHARE, TARGET_RECALL = 0.2, 3, 0.6, 0.999
 WALKS = 8
@@ -181,7 +181,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     bench = benchmark.where("item_id is not null and text is not null").groupBy("item_id").agg(F.min("text").alias("text"))
     total = bench.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = -(-total // BLOCK_BYTES) or 1
-    texts = docs.select(F.col("doc_id"), F.lower(F.col("text")).alias("text"))
+    texts = bounded_batches(docs).select(F.col("doc_id"), F.lower(F.col("text")).alias("text"))
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, item_id long, distance int, similarity double, start_word int"
     out = None
     for b in range(blocks):

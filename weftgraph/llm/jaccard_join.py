@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from . import arrowtext as at
 from .components import components
-from .tables import materialize, read
+from .tables import bounded_batches, materialize, read
 
 WORDS, THRESHOLD = 5, 0.8
 HASHES, BANDS = 128, 32
@@ -222,7 +222,7 @@ def join(docs: DataFrame) -> DataFrame:
     class_id: least doc_id of the documents connected by links. representative: least
     doc_id of those with the same words. n_links: rows linked to this one, copies included.
     """
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower(F.col("text")).alias("text"))
+    texts = bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.lower(F.col("text")).alias("text"))
     rows = materialize(texts.mapInArrow(_signatures, "doc_id long, k1 long, k2 long, n_words long, sig binary"), "signatures")
     known = rows.where("doc_id is not null and n_words > 0")
     classes = materialize(known.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "classes")

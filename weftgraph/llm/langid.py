@@ -18,11 +18,12 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import arrowtext as at
-from .tables import extended, held_out, read, sample_ids
+from .tables import bounded_batches, extended, held_out, read, sample_ids
 
 BITS = 18
 #: documented bound on what is learned from: documents of each language
@@ -125,12 +126,12 @@ def fit(docs: DataFrame, per_lang: int = SAMPLE_PER_LANG) -> LangModel:
     """Learn from a bounded sample of the rows that carry a language."""
     ids = sample_ids(docs, "lang", per_lang, SEED)
     # at most per_lang rows for each language value: bounded, so it may be broadcast
-    sample = docs.select("doc_id", F.lower("text").alias("text")).where("text is not null").join(F.broadcast(ids), "doc_id")
+    sample = bounded_batches(docs).select("doc_id", "text").where("text is not null").join(F.broadcast(ids), "doc_id")
 
     def extract(batches):
         for batch in batches:
             for part in at.slices(batch):
-                index, bounds = trigrams(*at.text_bytes(part.column(1)))
+                index, bounds = trigrams(*at.text_bytes(pc.utf8_lower(part.column(1))))
                 idx, val = [], []
                 for k in range(part.num_rows):
                     i, c = np.unique(index[bounds[k] : bounds[k + 1]], return_counts=True)
@@ -202,20 +203,20 @@ def classify(model: LangModel, data: np.ndarray, offsets: np.ndarray) -> tuple[l
 def predict(docs: DataFrame, model: LangModel) -> DataFrame:
     """docs with lang_pred and score added; texts without a letter are ``und``."""
     sent = docs.sparkSession.sparkContext.broadcast(model)  # weights: 2**BITS floats a pair
-    docs = docs.drop("lang_pred", "score")
+    docs = bounded_batches(docs).drop("lang_pred", "score")
     names = docs.columns
 
     def run(batches):
         for batch in batches:
-            for part in at.slices(batch, "__lower"):
-                text, letter = part.column(len(names)), part.column(len(names) + 1)
+            for part in at.slices(batch):
+                text, letter = pc.utf8_lower(part.column(names.index("text"))), part.column(len(names))
                 langs, score = classify(sent.value, *at.text_bytes(text))
                 ok = np.asarray(letter.fill_null(False).to_numpy(zero_copy_only=False), bool)
                 langs = [v if k else "und" for v, k in zip(langs, ok)]
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(names)], pa.array(langs, pa.string()), pa.array(np.where(ok, score, 0.0))], names=[*names, "lang_pred", "score"])
 
     schema = extended(docs.schema, ("lang_pred", "string"), ("score", "double"))
-    return docs.withColumn("__lower", F.lower(F.col("text"))).withColumn("__letter", F.col("text").rlike(r"\p{L}")).mapInArrow(run, schema)
+    return docs.withColumn("__letter", F.col("text").rlike(r"\p{L}")).mapInArrow(run, schema)
 
 
 def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

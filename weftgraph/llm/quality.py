@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import arrowtext as at
-from .tables import extended, held_out, read, sample_ids
+from .tables import bounded_batches, extended, held_out, read, sample_ids
 
 #: documented bound on what is learned from: rows of each class
 SAMPLE_PER_CLASS = 20_000
@@ -128,7 +128,7 @@ def fit_rows(x: np.ndarray, y: np.ndarray, to_pooled: float = 0.05, to_identity:
 
 def with_statistics(docs: DataFrame, out: str = "stats") -> DataFrame:
     """docs with the statistics of its text as an array column; text itself is dropped."""
-    docs = docs.drop(out)
+    docs = bounded_batches(docs).drop(out)
     names = [c for c in docs.columns if c != "text"]
 
     def run(batches):
@@ -154,7 +154,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: i
 def score(docs: DataFrame, model: Qda, out: str = "score") -> DataFrame:
     """docs with a score in 0..1 added (higher: label 1 is likelier)."""
     sent = docs.sparkSession.sparkContext.broadcast(model)  # two vectors and two small matrices
-    docs = docs.drop(out)
+    docs = bounded_batches(docs).drop(out)
     names = docs.columns
 
     def run(batches):

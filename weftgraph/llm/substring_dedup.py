@@ -11,7 +11,7 @@ removed. Any 13 words hold a whole aligned block of ANCHOR = 7 words, so:
    a smaller doc_id has the same 13 words. Runs of such windows are the maximal exact
    repeats, and the words they cover are removed.
 
-Work is done by chunk (about 4 MB of text as one compressed row, formed where the text
+Work is done by chunk (about 2 MB of text as one compressed row, formed where the text
 is read). A chunk sends each distinct fingerprint once, so a passage that a third of all
 documents share costs its buckets one entry a chunk; text moves only to meet its answers.
 The number of buckets follows the number of words. Step 1 may let too much through (short
@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import arrowtext as at
-from .tables import extended, materialize, read
+from .tables import bounded_batches, extended, materialize, read
 
 WINDOW, ANCHOR = 13, 7
 FINGERPRINT_BITS = 28
@@ -277,7 +277,7 @@ def dedup(docs: DataFrame, with_text: bool = True) -> DataFrame:
     joined by one blank each. kept_sha256 is of the kept words so joined in either case.
     Without with_text the text column is left out.
     """
-    docs = docs.drop("n_words", "n_removed", "kept_sha256")
+    docs = bounded_batches(docs).drop("n_words", "n_removed", "kept_sha256")
     names = [c for c in docs.columns if c != "text"]
     chunks = materialize(docs.withColumn("__id", F.col("doc_id").cast("long")).mapInArrow(_chunks(names), CHUNK), "chunks")
     words = chunks.agg(F.sum("words")).first()[0] or 0

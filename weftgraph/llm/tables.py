@@ -61,3 +61,19 @@ def extended(schema: StructType, *more: tuple[str, str]) -> StructType:
     """A copy of schema with columns added; columns of the same name are replaced."""
     names = {n for n, _ in more}
     return StructType([f for f in schema.fields if f.name not in names] + [StructField(n, _parse_datatype_string(t)) for n, t in more])
+
+
+#: rows of text that a Python worker gets at once; whole documents are a few kB each
+ARROW_ROWS = 1000
+
+
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """df, after seeing to it that its session sends Python workers small Arrow batches.
+
+    The default of 10,000 rows is some 100 MB of documents for each running task, in the
+    JVM and again in Python. A session that asks for less is left as it is.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(df.sparkSession.conf.get(name, "10000")) <= ARROW_ROWS:
+        df.sparkSession.conf.set(name, str(ARROW_ROWS))
+    return df

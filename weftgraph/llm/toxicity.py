@@ -18,11 +18,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import arrowtext as at
-from .tables import extended, held_out, read, sample_ids
+from .tables import bounded_batches, extended, held_out, read, sample_ids
 
 BITS = 20
 #: documented bound on what is learned from: rows of each class
@@ -94,8 +95,10 @@ def fit_rows(rows: list[np.ndarray], y: np.ndarray, p: Ftrl = Ftrl()) -> Toxicit
         w = -(zi - np.sign(zi) * l1) / ((p.beta + np.sqrt(n[i])) / p.alpha + p.l2)
         return np.where(np.abs(zi) <= l1, 0.0, w)
 
-    texts = np.bincount(np.concatenate(rows), minlength=size) if rows else np.zeros(size)
-    rows = [np.append(r[texts[r] >= p.min_texts], bias) for r in rows]
+    texts = np.zeros(size, np.int32)
+    for r in rows:
+        texts[r] += 1  # indexes of a row are distinct
+    rows = [np.append(r[texts[r] >= p.min_texts], np.int32(bias)) for r in rows]
     cost = np.where(y > 0.5, p.positive, 1.0)
     for _ in range(p.epochs):
         for k in order_of.permutation(len(rows)):
@@ -116,17 +119,20 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int
     """Learn from a bounded sample of labelled rows, in one task; only the weights reach the driver."""
     ids = sample_ids(labels, label, per_class, SEED)
     # ids holds at most per_class rows for each of two values, so it may be broadcast
-    sample = docs.select("doc_id", F.lower("text").alias("text")).join(F.broadcast(ids), "doc_id")
+    sample = bounded_batches(docs).select("doc_id", "text").join(F.broadcast(ids), "doc_id")
     sample = sample.select("doc_id", "text", F.col(label).cast("double").alias("y"))
 
     def extract(batches):
         for batch in batches:
             for part in at.slices(batch):
-                found = _by_text(*features(*at.text_bytes(part.column(1))), part.num_rows)
+                found = _by_text(*features(*at.text_bytes(pc.utf8_lower(part.column(1)))), part.num_rows)
                 yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(found, pa.list_(pa.int32())), part.column(2)], names=["doc_id", "f", "y"])
 
     def train(batches):
-        held = [(i, np.asarray(f, np.int32), y) for b in batches for i, f, y in zip(b.column(0).to_pylist(), (b.column(1)[k].values.to_numpy() for k in range(b.num_rows)), b.column(2).to_pylist())]
+        held = []
+        for b in batches:
+            cut, flat = b.column(1).offsets.to_numpy(), b.column(1).values.to_numpy()
+            held += [(i, flat[x:y].copy(), label_) for i, x, y, label_ in zip(b.column(0).to_pylist(), cut, cut[1:], b.column(2).to_pylist())]
         held.sort(key=lambda r: (r[0], len(r[1]), r[2]))
         m = fit_rows([r[1] for r in held], np.array([r[2] for r in held]), params)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(m.index, -1), pa.int32()), pa.array(np.append(m.weight.astype(np.float64), m.bias), pa.float64())], names=["i", "w"])
@@ -141,7 +147,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int
 def score(docs: DataFrame, model: ToxicityModel, out: str = "score") -> DataFrame:
     """docs with a score in 0..1 added; all other columns pass through."""
     sent = docs.sparkSession.sparkContext.broadcast((model.index, model.weight, model.bias))
-    docs = docs.drop(out)
+    docs = bounded_batches(docs).drop(out)
     names = docs.columns
 
     def run(batches):
@@ -149,16 +155,16 @@ def score(docs: DataFrame, model: ToxicityModel, out: str = "score") -> DataFram
         w = np.zeros(1 << BITS, np.float32)
         w[index] = weight
         for batch in batches:
-            for part in at.slices(batch, "__lower"):
-                i, owner = features(*at.text_bytes(part.column(len(names))))
+            for part in at.slices(batch):
+                i, owner = features(*at.text_bytes(pc.utf8_lower(part.column(names.index("text")))))
                 keep = np.flatnonzero(w[i])
                 key = np.unique((owner[keep].astype(np.int64) << BITS) | i[keep])
                 total = np.bincount(key >> BITS, w[key & ((1 << BITS) - 1)], part.num_rows) + bias
                 p = 1 / (1 + np.exp(-np.clip(total, -35, 35)))
-                yield pa.RecordBatch.from_arrays([*part.columns[: len(names)], pa.array(p, pa.float64())], names=[*names, out])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(p, pa.float64())], names=[*names, out])
 
     schema = extended(docs.schema, (out, "double"))
-    return docs.withColumn("__lower", F.lower(F.col("text"))).mapInArrow(run, schema)
+    return docs.mapInArrow(run, schema)
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
