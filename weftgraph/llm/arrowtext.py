@@ -6,6 +6,8 @@ byte-wise split never cuts a code point. Null texts count as empty.
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401  (pa.compute)
@@ -24,6 +26,17 @@ WHITESPACE[[0x20, *range(0x09, 0x0E)]] = True
 NON_ALNUM = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 
 
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+
+
+def release() -> None:
+    """Give freed memory back to the system: Python workers are kept and reused, and what
+    one has ever held would otherwise count against its executor to the end."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """64-bit finaliser (murmur style)."""
     h = h ^ (h >> _S33)
@@ -65,6 +78,7 @@ def slices(batch: pa.RecordBatch, text: str = "text"):
         held += n
     if start < len(column):
         yield batch.slice(start)
+    release()
 
 
 def split_words(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray = WHITESPACE):

@@ -39,8 +39,8 @@ HASHES, BANDS = 128, 32
 TOLERANCE = 1e-9
 STEPS = (16, 32, 64, 96, 128)
 BLOCK = 256
-#: representatives handled in one Python call, on average
-PACK = 1500
+#: rows (representatives, as often as they are dealt) handled in one Python call, on average
+PACK = 1000
 _A = np.random.default_rng(7).integers(1, 2**63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -213,6 +213,8 @@ def _pack(table: pa.Table) -> pa.Table:
             sig = np.frombuffer(b"".join(sigs[k] for k in own), np.uint32).reshape(b - a, HASHES)
             out.append(_unit(reps[a:b], copies[a:b], blocks[a:b], sig, [np.frombuffer(sets[k], np.uint64) for k in own]))
     cols = [np.concatenate([o[k] for o in out]) if out else np.zeros(0, np.int64) for k in range(3)]
+    del sigs, sets
+    at.release()
     return pa.table({"rep": pa.array(cols[0], pa.int64()), "links": pa.array(cols[1], pa.int64()), "parent": pa.array(cols[2], pa.int64())})
 
 
@@ -240,7 +242,7 @@ def join(docs: DataFrame) -> DataFrame:
     held = member.join(reps, "rep").join(sets, "rep")
     low, high = F.least("block", "other"), F.greatest("block", "other")
     dealt = held.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("unit", low * F.col("blocks") + high)
-    packs = max(1, families.count() // PACK)
+    packs = max(1, (member.agg(F.sum("blocks")).first()[0] or 0) // PACK)  # rows as dealt, with their repeats
     dealt = dealt.withColumn("pack", F.pmod(F.xxhash64("family", "unit"), F.lit(packs)))
     found = dealt.select("pack", "family", "unit", "rep", "copies", "block", "sig", "shingles").groupBy("pack").applyInArrow(_pack, "rep long, links long, parent long")
     found = materialize(found, "links")

@@ -40,7 +40,7 @@ from .tables import bounded_batches, extended, materialize, read
 WINDOW, ANCHOR = 13, 7
 FINGERPRINT_BITS = 28
 #: words whose fingerprints one bucket gets, about
-BUCKET_WORDS = 1 << 21
+BUCKET_WORDS = 1 << 20
 _NO_DOC = np.iinfo(np.int64).max
 
 
@@ -176,6 +176,8 @@ def _ask_1(buckets: int):
                 block, several = c.anchors()
                 out = [[k, row["chunk"], b - a, deltas((c.keys[a:b] & np.uint64((1 << FINGERPRINT_BITS) - 1)).astype(np.uint32)), np.packbits(block[a:b]).tobytes(), np.packbits(several[a:b]).tobytes()] for k, a, b in _cut(c.keys, bits, buckets)]
                 yield _batch(out, ["bucket", "chunk", "n", "keys", "block", "several"], [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()])
+                del c, block, several, out
+            at.release()
 
     return run
 
@@ -184,6 +186,7 @@ def _answer_rows(t: pa.Table, step: int, bits: np.ndarray) -> pa.Table:
     n = t["n"].to_numpy()
     cut = np.append(0, np.cumsum(n))
     packed = [np.packbits(bits[a:b]).tobytes() for a, b in zip(cut, cut[1:])]
+    at.release()
     return pa.table({"chunk": t["chunk"], "step": pa.array([step] * len(n), pa.int32()), "bucket": t["bucket"], "n": t["n"], "bits": pa.array(packed, pa.binary())})
 
 
@@ -209,6 +212,8 @@ def _ask_2(buckets: int):
                 _, _, _, a, b, least = c.candidates(_answers(row, 1))
                 out = [[k, row["chunk"], y - x, deltas(a[x:y]), b[x:y].tobytes(), planes(least[x:y])] for k, x, y in _cut(a, 64, buckets)]
                 yield _batch(out, ["bucket", "chunk", "n", "a", "b", "least"], [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()])
+                del c, a, b, least, out
+            at.release()
 
     return run
 
@@ -266,6 +271,8 @@ def _remove(buckets: int, schema: pa.Schema, with_text: bool):
                 cols += [pa.array(n, pa.int64()), pa.array(lost, pa.int64()), pa.array([hashlib.sha256(t).hexdigest() for t in texts])]
                 got = dict(zip([*names, "n_words", "n_removed", "kept_sha256"], cols))
                 yield pa.RecordBatch.from_arrays([got[k] for k in schema], names=schema)
+                del c, mask, body, texts, cols, got
+            at.release()
 
     return run
 

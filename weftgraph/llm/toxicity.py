@@ -135,6 +135,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int
             held += [(i, flat[x:y].copy(), label_) for i, x, y, label_ in zip(b.column(0).to_pylist(), cut, cut[1:], b.column(2).to_pylist())]
         held.sort(key=lambda r: (r[0], len(r[1]), r[2]))
         m = fit_rows([r[1] for r in held], np.array([r[2] for r in held]), params)
+        del held
+        at.release()
         yield pa.RecordBatch.from_arrays([pa.array(np.append(m.index, -1), pa.int32()), pa.array(np.append(m.weight.astype(np.float64), m.bias), pa.float64())], names=["i", "w"])
 
     found = sample.mapInArrow(extract, "doc_id long, f array<int>, y double").repartition(1).mapInArrow(train, "i int, w double").toPandas()
