@@ -71,3 +71,18 @@ def test_gitignore_last_match_wins(spark):
 
 def test_query_terms():
     assert search.query_terms("Foo_bar x a.b") == ["foo", "bar", "a", "b"]
+
+
+def test_fact_digests_see_every_fact(spark):
+    nodes = spark.createDataFrame([("a", "Method", "a", "q.a", "src/a.ts", 1), ("b", "Table", "b", "q.b", "src/b.ts", 2)], "id string, kind string, name string, qualified_name string, path string, line int")
+    rows = [(f"e{i}", "a", r, "b", "src/a.ts", i, "exact", 1.0, False, "base_exact", "production") for i, r in enumerate(["CONTAINS", "CALLS", "READS", "READS"])]
+    schema = "id string, head_id string, relation string, tail_id string, path string, line int, exactness string, confidence double, derived boolean, edge_class string, context string"
+    digests = lambda e, n: {(r["fact"], r["label"]): (r["facts"], r["digest"]) for r in hashing.fact_digests(n, spark.createDataFrame(e, schema)).collect()}
+    old = digests(rows, nodes)
+    assert {k: v[0] for k, v in old.items()} == {("entity", "Method"): 1, ("entity", "Table"): 1, ("edge", "CONTAINS"): 1, ("edge", "CALLS"): 1, ("edge", "READS"): 2, ("graph", "all"): 6}
+    assert digests(rows[::-1], nodes) == old
+    changed = lambda new: {k for k in old.keys() | new.keys() if old.get(k) != new.get(k)}
+    assert changed(digests(rows[:3] + [rows[3][:7] + (0.9,) + rows[3][8:]], nodes)) == {("edge", "READS"), ("graph", "all")}
+    assert changed(digests(rows + [rows[1]], nodes)) == {("edge", "CALLS"), ("graph", "all")}
+    assert changed(digests(rows + [rows[1]] * 2, nodes)) == {("edge", "CALLS"), ("graph", "all")}
+    assert changed(digests(rows, nodes.where("id = 'a'"))) == {("entity", "Table"), ("graph", "all")}

@@ -10,6 +10,8 @@ import re
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import ArrayType, LongType, StringType
 
@@ -57,3 +59,26 @@ def signature256(text: pd.Series) -> pd.Series:
             words.append(int(np.packbits(votes >= 0, bitorder="little").view(np.int64)[0]))
         out.append(words)
     return pd.Series(out)
+
+
+def fact_digests(entities: DataFrame, edges: DataFrame) -> DataFrame:
+    """(fact, label, facts, digest): a digest of all entities of each kind, of all edges of
+    each relation, and of the whole graph.
+
+    Order plays no part and no task gathers a relation: canonical lines are hashed, hashes
+    are summed with their number in 256 ranges, and only the ranges' sums are gathered. Sums,
+    unlike XOR, also see facts that are repeated.
+    """
+    line = lambda tag, *cols: F.concat_ws("|", F.lit(tag), *(F.coalesce(c.cast("string"), F.lit("")) for c in cols))
+    span = F.concat("path", F.lit(":"), "line")
+    c = F.col
+    nodes = entities.select(F.lit("entity").alias("fact"), c("kind").alias("label"), line("entity", c("id"), c("kind"), c("name"), c("qualified_name"), c("path"), span).alias("line"))
+    confidence = F.format_string("%.6f", "confidence")
+    links = edges.select(F.lit("edge").alias("fact"), c("relation").alias("label"), line("edge", c("id"), c("head_id"), c("relation"), c("tail_id"), span, c("exactness"), confidence, c("edge_class"), c("context"), c("derived")).alias("line"))
+    m = nodes.unionByName(links).select("fact", "label", F.md5(F.encode("line", "UTF-8")).alias("m"))
+    part = lambda at: F.sum(F.conv(F.substring("m", at, 15), 16, 10).cast("decimal(20,0)"))
+    ranges = m.groupBy("fact", "label", F.substring("m", 1, 2).alias("range")).agg(F.count("*").alias("n"), part(3).alias("s1"), part(18).alias("s2"))
+    digest = lambda *cols: F.md5(F.encode(F.array_join(F.array_sort(F.collect_list(F.concat_ws("|", *cols))), "\n"), "UTF-8"))
+    labels = ranges.groupBy("fact", "label").agg(F.sum("n").alias("facts"), digest("range", "n", "s1", "s2").alias("digest"))  # at most 256 ranges
+    # a row for each kind and relation
+    return labels.unionByName(labels.agg(F.lit("graph").alias("fact"), F.lit("all").alias("label"), F.sum("facts").alias("facts"), digest("fact", "label", "facts", "digest").alias("digest")))

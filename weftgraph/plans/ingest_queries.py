@@ -15,6 +15,7 @@ from ..sources import projection as P
 from ..sources.shared import materialized
 from ..streaming import incremental
 from .graph_queries import WITH
+from .table_queries import _LABELS as LABELS
 
 QUERIES, ORACLES = {}, {}
 t = P.table
@@ -120,6 +121,14 @@ add("q_file_digest_xor", "SELECT lang, bit_xor(('0x' || substr(md5(text), 1, 15)
 add("q_graph_fact_hash", f"{WITH} SELECT relation, md5(string_agg(head_id || '|' || tail_id, chr(10) ORDER BY head_id || '|' || tail_id)) AS digest FROM edges WHERE relation = 'CONTAINS' GROUP BY 1")(
     lambda s, d: P.edges(s, d).where("relation = 'CONTAINS'").groupBy("relation").agg(F.md5(F.encode(F.array_join(F.array_sort(F.collect_list(F.concat_ws("|", "head_id", "tail_id"))), "\n"), "UTF-8")).alias("digest"))
 )
+_ALL_FACTS = f"""{WITH}, {LABELS}, fact AS (
+  SELECT 'entity' AS fact, kind AS label, concat_ws('|', 'entity', id, kind, name, qualified_name, path, path || ':' || line) AS line_ FROM entities
+  UNION ALL SELECT 'edge', relation, concat_ws('|', 'edge', id, head_id, relation, tail_id, path || ':' || line, exactness, printf('%.6f', confidence), edge_class, context, derived) FROM full_),
+h AS (SELECT fact, label, md5(line_) AS m FROM fact),
+b AS (SELECT fact, label, substr(m, 1, 2) AS bucket, count(*) AS n, sum(('0x' || substr(m, 3, 15))::BIGINT) AS s1, sum(('0x' || substr(m, 18, 15))::BIGINT) AS s2 FROM h GROUP BY ALL),
+l AS (SELECT fact, label, sum(n)::BIGINT AS facts, md5(string_agg(concat_ws('|', bucket, n, s1, s2), chr(10) ORDER BY bucket)) AS digest FROM b GROUP BY ALL)
+SELECT * FROM l UNION ALL SELECT 'graph', 'all', sum(facts)::BIGINT, md5(string_agg(concat_ws('|', fact, label, facts, digest), chr(10) ORDER BY fact, label)) FROM l"""
+add("q_graph_fact_hash_all", _ALL_FACTS)(lambda s, d: hashing.fact_digests(P.entities(s, d), P.labelled(P.edges(s, d))))
 add("q_affected_paths", "SELECT o_custkey AS id FROM orders WHERE o_orderstatus = 'P' UNION SELECT c_custkey FROM customer WHERE c_acctbal < 0")(
     lambda s, d: t(s, d, "orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("id")).union(t(s, d, "customer").where("c_acctbal < 0").select("c_custkey")).distinct()
 )
