@@ -86,3 +86,17 @@ def test_fact_digests_see_every_fact(spark):
     assert changed(digests(rows + [rows[1]], nodes)) == {("edge", "CALLS"), ("graph", "all")}
     assert changed(digests(rows + [rows[1]] * 2, nodes)) == {("edge", "CALLS"), ("graph", "all")}
     assert changed(digests(rows, nodes.where("id = 'a'"))) == {("entity", "Table"), ("graph", "all")}
+
+
+def test_overlap_join_takes_all_items_and_loses_none(spark):
+    import random
+
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(12)]
+    text = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    items = [(i, text(1 + i % 7)) for i in range(40)] + [(40, ""), (41, None), (41, "w1 w2")]
+    docs = [(i, text(i % 9)) for i in range(60)] + [(60, None), (1, "w1 w2 w3")]
+    own = lambda t: set((t or "").split())
+    want = sorted((a, b, round(len(own(q) & own(k)) / len(own(q)), 6)) for a, q in items for b, k in docs if own(q) and len(own(q) & own(k)) / len(own(q)) >= 0.5)
+    got = search.overlap_join(spark.createDataFrame(items, "item_id long, text string"), spark.createDataFrame(docs, "doc_id long, text string"), 0.5)
+    assert sorted(map(tuple, got.collect())) == want and len({w[0] for w in want}) > 30

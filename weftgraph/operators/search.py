@@ -51,6 +51,29 @@ def overlap(docs: DataFrame, query_tokens: list[str], k: int) -> DataFrame:
     return docs.select("id", F.round(hit / len(query_tokens), 6).alias("score")).where("score > 0").orderBy(F.desc("score"), "id").limit(k)
 
 
+def overlap_join(items: DataFrame, docs: DataFrame, least: float) -> DataFrame:
+    """(item_id, doc_id, overlap): all items (item_id, text) against all docs (doc_id, text),
+    pairs in which the document has at least this share (over 0) of the item's distinct tokens.
+
+    Of an item's n tokens m = ceil(least n) must be shared, so a match has one of any n - m + 1
+    of them: its rarest are joined by equality with the documents' tokens. No match is lost.
+    Only the items' tokens of a document are kept, as no other counts. A pair is compared at the first of these tokens that the document has, in full, so pairs
+    aren't gathered and a row of documents is never shuffled. The items are the broadcast side.
+    """
+    q = items.select("item_id", F.array_distinct(expr.signature_tokens(F.col("text"))).alias("q"))
+    vocabulary = [r["token"] for r in q.select(F.explode("q").alias("token")).distinct().collect()]  # the items' tokens
+    k = docs.select("doc_id", F.array_distinct(F.filter(expr.signature_tokens(F.col("text")), lambda x: x.isin(vocabulary))).alias("k")).where(F.size("k") > 0)
+    used = k.select(F.explode("k").alias("token")).groupBy("token").agg(F.count("*").alias("df"))
+    ranked = q.withColumn("item", F.monotonically_increasing_id()).select("item", "item_id", "q", F.explode("q").alias("token")).join(used, "token", "left")
+    n = F.size("q")
+    rare = F.slice(F.col("rare.token"), F.lit(1), (n - F.ceil(n * F.lit(least) - 1e-9) + 1).cast("int"))
+    prefix = ranked.groupBy("item", "item_id", "q").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "token"))).alias("rare")).select("item_id", "q", rare.alias("rare"))
+    prefix = prefix.select("*", F.explode("rare").alias("token"))
+    pairs = k.select("doc_id", "k", F.explode("k").alias("token")).join(F.broadcast(prefix), "token").where(F.get(F.array_intersect("rare", "k"), 0) == F.col("token"))
+    share = F.size(F.array_intersect("q", "k")) / n
+    return pairs.where(share >= least).select("item_id", "doc_id", F.round(share, 6).alias("overlap"))
+
+
 def source_scan(docs: DataFrame, needle: str, limit: int) -> DataFrame:
     """Lines that hold needle, ASCII case folded: (id, line, text)."""
     rows = docs.select("id", F.posexplode(F.split("text", "\n")).alias("at", "value"))

@@ -161,6 +161,14 @@ def _overlaps(s, d):
     return k.join(F.broadcast(b), share >= 0.5).select("item_id", "doc_id", F.round(share, 6).alias("overlap"))
 
 
+_TOK = f"list_distinct(list_filter(regexp_split_to_array({_LOW.format('text')}, '[^a-z0-9_.]+'), lambda x: x <> ''))"
+add("q_token_overlap_all", f"""WITH b AS (SELECT row_number() OVER () AS bi, item_id, {_TOK} AS q FROM benchmark), d AS (SELECT row_number() OVER () AS di, doc_id, {_TOK} AS k FROM documents),
+bt AS (SELECT bi, item_id, len(q) AS n, unnest(q) AS w FROM b), dt AS (SELECT di, doc_id, unnest(k) AS w FROM d)
+SELECT item_id, doc_id, round(count(*) / n, 6)::DOUBLE AS overlap FROM bt JOIN dt USING (w) GROUP BY bi, di, item_id, doc_id, n HAVING count(*) / n >= 0.5""")(
+    lambda s, d: S.overlap_join(t(s, d, "benchmark").select("item_id", "text"), t(s, d, "documents").select("doc_id", "text"), 0.5)
+)
+
+
 # ---- vectors
 
 _V = "list_transform(range(0, 64), lambda i: CASE WHEN embedding[i + 1] >= 0 THEN 1 ELSE 0 END)"
