@@ -100,3 +100,17 @@ def test_overlap_join_takes_all_items_and_loses_none(spark):
     want = sorted((a, b, round(len(own(q) & own(k)) / len(own(q)), 6)) for a, q in items for b, k in docs if own(q) and len(own(q) & own(k)) / len(own(q)) >= 0.5)
     got = search.overlap_join(spark.createDataFrame(items, "item_id long, text string"), spark.createDataFrame(docs, "doc_id long, text string"), 0.5)
     assert sorted(map(tuple, got.collect())) == want and len({w[0] for w in want}) > 30
+
+
+def test_dependents_of_a_chain_longer_than_any_bound(spark):
+    imports = spark.createDataFrame([(f"n{i + 1}", f"n{i}") for i in range(55)] + [("n0", "n3")], "importer string, imported string")
+    got = [r["node"] for r in ingest.dependents(imports, spark.createDataFrame([("n0",)], "node string")).collect()]
+    assert sorted(got) == sorted(f"n{i}" for i in range(56))
+
+
+def test_scope_lookup_climbs_to_the_top_and_ends_on_cycles(spark):
+    parents = spark.createDataFrame([(f"s{i}", f"s{i + 1}") for i in range(12)] + [("a", "b"), ("b", "a"), ("s12", None)], "scope string, parent string")
+    symbols = spark.createDataFrame([("s12", "x", 1), ("s2", "y", 2), ("s3", "y", 3), ("s1", "z", 4), ("s1", "z", 5), ("s2", "z", 6)], "scope string, name string, id long")
+    uses = spark.createDataFrame([("s0", "x"), ("s0", "y"), ("s3", "y"), ("s0", "z"), ("s0", "none"), ("a", "x")], "scope string, name string")
+    got = sorted(map(tuple, ingest.scope_lookup(uses, parents, symbols).collect()), key=str)
+    assert got == sorted([("s0", "x", 1), ("s0", "y", 2), ("s3", "y", 3), ("s0", "z", None)], key=str)

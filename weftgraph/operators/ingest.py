@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import re
 
 from pyspark.sql import Column, DataFrame
@@ -72,19 +73,21 @@ def reexport_depth(links: DataFrame, roots: DataFrame, limit: int = 8) -> DataFr
     return seen.groupBy("node").agg(F.min("depth").alias("depth"))
 
 
-def dependents(imports: DataFrame, changed: DataFrame, rounds: int = 50) -> DataFrame:
+def dependents(imports: DataFrame, changed: DataFrame) -> DataFrame:
     """imports (importer, imported): changed (node) and everything that imports it, transitively.
 
-    Each round joins only the newest nodes; it ends when a round finds none.
+    Each round joins only the newest nodes; it ends when a round finds none, which cycles
+    can't put off. Now and then what was seen is written as one table, so that plans stay short.
     """
     imports = materialized(imports.select("importer", "imported").distinct(), "imports")
     seen = front = changed.select("node").distinct()
-    for _ in range(rounds):
+    for done in itertools.count(1):
         front = materialized(front.join(imports, F.col("node") == F.col("imported")).select(F.col("importer").alias("node")).distinct().join(seen, "node", "left_anti"), "front")
         if not front.take(1):
-            break
+            return seen
         seen = seen.unionByName(front)
-    return seen
+        if done % 16 == 0:
+            seen = materialized(seen, "seen")
 
 
 def enclosing(inner: DataFrame, outer: DataFrame) -> DataFrame:
@@ -127,15 +130,24 @@ def routed_calls(calls: DataFrame) -> DataFrame:
     return calls.withColumn("relation", relation).withColumn("confidence", confidence).where("relation is not null")
 
 
-def scope_lookup(uses: DataFrame, parents: DataFrame, symbols: DataFrame, limit: int = 8) -> DataFrame:
+def scope_lookup(uses: DataFrame, parents: DataFrame, symbols: DataFrame) -> DataFrame:
     """Lexical lookup: uses (scope, name) climb parents (scope, parent) to the nearest scope
-    that declares the name; symbols (scope, name, id); several ids there mean ambiguous (null)."""
+    that declares the name; symbols (scope, name, id); several ids there mean ambiguous (null).
+
+    The climb ends where the name is found or no parent is left that wasn't tried before.
+    """
     declared = symbols.groupBy("scope", "name").agg(F.count_distinct("id").alias("n"), F.min("id").alias("id"))
-    front = uses.select(F.col("scope").alias("origin"), "scope", "name").distinct()
+    front = tried = materialized(uses.select(F.col("scope").alias("origin"), "scope", "name").distinct(), "climb")
     found = None
-    for depth in range(limit + 1):
-        hit = front.join(declared, ["scope", "name"]).select("origin", "name", F.lit(depth).alias("depth"), F.when(F.col("n") == 1, F.col("id")).alias("id"))
+    for depth in itertools.count():
+        hit = materialized(front.join(declared, ["scope", "name"]).select("origin", "name", F.lit(depth).alias("depth"), F.when(F.col("n") == 1, F.col("id")).alias("id")), "hit")
         found = hit if found is None else found.unionByName(hit)
-        front = front.join(parents, "scope").select("origin", F.col("parent").alias("scope"), "name")
+        up = front.join(hit, ["origin", "name"], "left_anti").join(parents, "scope").where("parent is not null").select("origin", F.col("parent").alias("scope"), "name").distinct()
+        front = materialized(up.join(tried, ["origin", "scope", "name"], "left_anti"), "climb")
+        if not front.take(1):
+            break
+        tried = tried.unionByName(front)
+        if depth % 16 == 15:
+            tried, found = materialized(tried, "tried"), materialized(found, "found")
     w = W.partitionBy("origin", "name").orderBy("depth")
     return found.withColumn("r", F.row_number().over(w)).where("r = 1").select(F.col("origin").alias("scope"), "name", "id")

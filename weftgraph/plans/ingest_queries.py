@@ -108,7 +108,7 @@ def scope_lookup(s, d):
     own = lambda tag, k: F.concat(F.lit(tag), F.col(k))
     symbols = c.select(own("n:", "c_nationkey").alias("scope"), F.col("c_mktsegment").alias("name"), F.col("c_custkey").alias("id")).unionAll(n.groupBy(own("r:", "n_regionkey").alias("scope")).agg(F.lit("BUILDING").alias("name"), F.min("n_nationkey").cast("long").alias("id")))
     segments = F.explode(F.array(*map(F.lit, [r[0] for r in c.select("c_mktsegment").distinct().orderBy("c_mktsegment").limit(50).collect()])))  # a handful of segments
-    return I.scope_lookup(n.select(own("n:", "n_nationkey").alias("scope"), segments.alias("name")), n.select(own("n:", "n_nationkey").alias("scope"), own("r:", "n_regionkey").alias("parent")), symbols, 1)
+    return I.scope_lookup(n.select(own("n:", "n_nationkey").alias("scope"), segments.alias("name")), n.select(own("n:", "n_nationkey").alias("scope"), own("r:", "n_regionkey").alias("parent")), symbols)
 
 
 _FNV = "format('{{:016x}}', list_reduce(list_prepend({seed}::UHUGEINT, list_transform(range(1, length({x}) + 1), lambda i: ascii(substr({x}, i, 1))::UHUGEINT)), lambda h, b: (xor(h, b) * 1099511628211::UHUGEINT) % 18446744073709551616::UHUGEINT)::UBIGINT)"
