@@ -4,28 +4,34 @@ A document leaks an item of n words if some window of n of its words is within
 floor(0.2 n) word edits of the item (words: lowercased runs of letters and digits; a
 text shorter than the item is its only window).
 
-* Only windows that can match are embedded: n words within k edits of an item keep an
-  unbroken run of q = ceil((n - k) / (k + 1)) item words, so a window is kept if an item
-  q-gram (q at most 4) lies in it at most k words away from its place in the item.
-* The CGK random walk turns edit distance into Hamming distance: 3n steps, each emits the
-  word under the pointer and moves on by a random bit of (step, word).
-* Bit-sampling LSH: a window stays a candidate if, in some repetition, all of SAMPLES
-  embedding positions agree with the item's. Repetitions are set from the target recall
-  at a Hamming share of DESIGN_SHARE.
+* The CGK random walk turns edit distance into Hamming distance: each step emits the word
+  under the pointer and moves on by a random bit of (step, word). The first 1.7 n steps are
+  used, in which a text of n words isn't used up as a rule.
+* Bit-sampling LSH finds the candidates: every item's embedding is entered in one table
+  for each of WALKS x REPETITIONS repetitions, under a code of the words at SAMPLES random
+  places; every window of an item's size looks up its own codes, and what it meets in any
+  table is a candidate. Codes with a place beyond the end of the words are not used. The
+  number of repetitions is set for a recall of TARGET_RECALL.
 * Levenshtein distance decides every candidate.
-
-Items are taken in blocks of at most BLOCK_BYTES of text, one pass over the documents
-each, so what is broadcast stays bounded however large the benchmark is.
-
-Cases: null or empty texts and items without words match nothing; items repeated under
-one id count as one; rows with null item_id are left out; rows repeated in documents give
-repeated rows; other columns are not read. Empty tables give no rows.
+* Windows that can't match are not embedded (a declared pre-filter that loses none): n words
+  within k edits of an item keep an unbroken run of q = ceil((n - k) / (k + 1)) item words,
+  so a window is embedded only if some item q-gram (q at most 4) of its size lies in it at
+  most k words away from its place in the item.
+
+An item of more than MAX_WORDS words is checked piece by piece (MAX_WORDS words each, the
+last one ending with the item): a text that has one of the pieces leaks the item. Items are
+kept by size, without padding, and taken in blocks of at most BLOCK_BYTES of text, one pass
+over the documents each, so what is broadcast stays bounded however large the benchmark is.
+
+Cases: null or empty texts and items without words match nothing; different texts under
+one item_id are all searched and the best match is reported, equal ones count once; rows
+with null item_id are left out; equal distances are resolved to the first window; rows
+repeated in documents give repeated rows; other columns are not read. Empty tables give
+no rows.
 """
 
 from __future__ import annotations
 
-from math import ceil, log
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -34,12 +40,14 @@ from pyspark.sql import functions as F
 from . import arrowtext as at
 from .tables import bounded_batches, read
 
-EDIT_SHARE, SAMPLES, DESIGN_SHARE, TARGET_RECALL = 0.2, 3, 0.6, 0.999
-WALKS = 8
+EDIT_SHARE, SAMPLES, TARGET_RECALL = 0.2, 2, 0.999
+#: measured (tests): over 0.999 of pairs within 20 % of edits meet, for items of 6 to MAX_WORDS words
+WALKS, REPETITIONS = 16, 8
+REACH = 1.7
+MAX_WORDS = 128
 BLOCK_BYTES = 8 << 20
 #: window words handled at once
 PIECE = 1 << 20
-REPETITIONS = ceil(log(1 - TARGET_RECALL) / log(1 - (1 - DESIGN_SHARE) ** SAMPLES) / WALKS)
 _RNG = np.random.default_rng(1)
 _STEP_SEED = _RNG.integers(0, 2**63, WALKS, dtype=np.uint64)
 _PLACES = _RNG.random((WALKS, REPETITIONS, SAMPLES))
@@ -56,55 +64,81 @@ def run_length(n: int) -> int:
     return min(4, -(-(n - k) // (k + 1)))
 
 
+class Size:
+    """All pieces of items that have n words: their words and LSH tables."""
+
+    def __init__(self, n: int, words: np.ndarray, item: np.ndarray):
+        self.n, self.k, self.words, self.item = n, int(edits(n)), words, item
+        code, ok = codes(words)
+        row = np.repeat(np.arange(len(words)), ok.shape[1])[ok.ravel()]
+        code = code.ravel()[ok.ravel()]
+        order = np.argsort(code, kind="stable")
+        self.code, self.row = code[order], row[order].astype(np.int32)
+
+    def candidates(self, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(window, piece) pairs that meet in some table."""
+        code, ok = codes(windows)
+        who = np.repeat(np.arange(len(windows)), ok.shape[1])[ok.ravel()]
+        code = code.ravel()[ok.ravel()]
+        lo, hi = np.searchsorted(self.code, code, "left"), np.searchsorted(self.code, code, "right")
+        hit = np.flatnonzero(hi > lo)
+        count = hi[hit] - lo[hit]
+        at_ = np.repeat(lo[hit], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        pair = np.unique(np.repeat(who[hit], count) * len(self.words) + self.row[at_])
+        return pair // len(self.words), pair % len(self.words)
+
+
 class Items:
-    """Word hashes of one block of items, and their q-grams."""
+    """Pieces of one block of items by size, and the q-grams of each size."""
 
     def __init__(self, ids: list[int], texts: list[str]):
         data, offsets = at.text_bytes(pa.array([t.lower() for t in texts], pa.string()))
         starts, ends, bounds = at.split_words(data, offsets, at.NON_ALNUM)
         h = at.hash_spans(data, starts, ends)
-        n = np.diff(bounds)
-        keep = np.flatnonzero(n > 0)
-        self.ids, self.n = np.asarray(ids, np.int64)[keep], n[keep]
-        self.k = edits(self.n)
-        self.words = np.full((len(keep), int(self.n.max()) if len(keep) else 0), _PAD)
-        grams: dict[int, list[tuple[int, int, int]]] = {}
-        for r, i in enumerate(keep):
-            own = h[bounds[i] : bounds[i + 1]]
-            self.words[r, : len(own)] = own
-            q = run_length(len(own))
-            for o, g in enumerate(at.rolling(own, q).tolist()):
-                grams.setdefault(q, []).append((g, r, o))
+        pieces: dict[int, list[tuple[int, int]]] = {}
+        for i, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist())):
+            n = min(b - a, MAX_WORDS)
+            if n:
+                pieces.setdefault(n, []).extend((i, p) for p in [*range(a, b - n, MAX_WORDS), b - n])
+        self.ids = np.asarray(ids, np.int64)
+        self.sizes = {n: Size(n, h[np.array([p for _, p in of])[:, None] + np.arange(n)], np.array([i for i, _ in of])) for n, of in sorted(pieces.items())}
+        grams: dict[int, list[np.ndarray]] = {}
+        for n, s in self.sizes.items():
+            q = run_length(n)
+            key = np.stack([at.rolling(w, q) for w in s.words])
+            place = np.broadcast_to(np.arange(key.shape[1]), key.shape)
+            grams.setdefault(q, []).append(np.stack([key.ravel(), np.full(key.size, n, np.uint64), place.ravel().astype(np.uint64)]))
         self.grams = {}
-        for q, found in grams.items():
-            key = np.array([f[0] for f in found], np.uint64)
-            order = np.argsort(key, kind="stable")
+        for q, found in grams.items():  # (gram, size, place in the item), each once, by gram
+            key, n, place = np.unique(np.concatenate(found, axis=1), axis=1)
             filt = np.zeros(1 << 20, bool)
             filt[key >> np.uint64(44)] = True
-            self.grams[q] = (filt, key[order], np.array([f[1] for f in found])[order], np.array([f[2] for f in found])[order])
-        self.codes = samples(self.words, self.n) if len(keep) else np.zeros((0, WALKS, REPETITIONS), np.uint64)
+            self.grams[q] = (filt, key, n.astype(np.int64), place.astype(np.int64))
 
 
-def samples(words: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """(rows, WALKS, REPETITIONS) hashes of sampled CGK positions; row r has n[r] words."""
-    rows = np.arange(len(words))
+def codes(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, WALKS * REPETITIONS) LSH codes of rows of n words, and which of them may be used."""
+    n = words.shape[1]
+    rows, steps = np.arange(len(words)), max(SAMPLES, int(np.ceil(REACH * n)))
     padded = np.concatenate([words, np.full((len(words), 1), _PAD)], axis=1)
-    out = np.empty((len(words), WALKS, REPETITIONS), np.uint64)
-    steps = 3 * int(n.max())
+    out, ok = np.empty((len(words), WALKS, REPETITIONS), np.uint64), np.empty((len(words), WALKS, REPETITIONS), bool)
     for w in range(WALKS):
         walk = np.empty((len(words), steps), np.uint64)
         p = np.zeros(len(words), np.int64)
         salt = np.arange(1, 2 * steps, 2, dtype=np.uint64) * _STEP_SEED[w : w + 1]
         for j in range(steps):
-            symbol = np.where(p < n, padded[rows, np.minimum(p, padded.shape[1] - 1)], _PAD)
+            symbol = padded[rows, p]
             walk[:, j] = symbol
             p += (at.mix(symbol + salt[j]) >> np.uint64(63)).astype(np.int64)
+            np.minimum(p, n, out=p)
         for r in range(REPETITIONS):
-            code = np.zeros(len(words), np.uint64)
+            code, used = np.full(len(words), w * REPETITIONS + r, np.uint64), np.ones(len(words), bool)
             for s in range(SAMPLES):
-                code = at.mix(code + walk[rows, (_PLACES[w, r, s] * 3 * n).astype(np.int64)])
-            out[:, w, r] = code
-    return out
+                symbol = walk[:, int(_PLACES[w, r, s] * steps)]
+                used &= symbol != _PAD
+                code = at.mix(code + symbol)
+            out[:, w, r], ok[:, w, r] = code, used
+    return out.reshape(len(words), -1), ok.reshape(len(words), -1)
 
 
 def levenshtein(a: np.ndarray, n: np.ndarray, b: np.ndarray, m: np.ndarray) -> np.ndarray:
@@ -123,12 +157,10 @@ def levenshtein(a: np.ndarray, n: np.ndarray, b: np.ndarray, m: np.ndarray) -> n
     return out
 
 
-def matches(items: Items, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(text, item row, distance, first word) of the best window of every leaking pair."""
-    starts, ends, bounds = at.split_words(data, offsets, at.NON_ALNUM)
-    h = at.hash_spans(data, starts, ends)
+def windows(items: Items, h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """(text, size, start) of the windows that pass the q-gram filter, each once."""
     found = []
-    for q, (filt, keys, who, where) in items.grams.items():
+    for q, (filt, keys, n, place) in items.grams.items():
         first, owner = at.window_starts(bounds, q)
         g = at.rolling(h, q)[first] if len(first) else np.zeros(0, np.uint64)
         hit = np.flatnonzero(filt[g >> np.uint64(44)])
@@ -137,64 +169,67 @@ def matches(items: Items, data: np.ndarray, offsets: np.ndarray) -> tuple[np.nda
         if len(hit):
             at_ = np.repeat(lo, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
             text = np.repeat(owner[hit], count)
-            found.append(np.stack([text, who[at_], np.repeat(first[hit], count) - bounds[text] - where[at_]]))
-    none = tuple(np.zeros(0, np.int64) for _ in range(4))
+            found.append(np.unique(np.stack([text, n[at_], np.repeat(first[hit], count) - bounds[text] - place[at_]]), axis=1))
     if not found:
-        return none
-    # all starts within k words of where an anchor puts the item, each window once
-    text, item, start = np.unique(np.concatenate(found, axis=1), axis=1)
-    k = items.k[item]
-    spread = 2 * k + 1
+        return np.zeros((3, 0), np.int64)
+    # all starts within k words of where a q-gram puts an item
+    text, n, start = np.unique(np.concatenate(found, axis=1), axis=1)
+    spread = 2 * edits(n) + 1
     at_ = np.repeat(np.arange(len(text)), spread)
-    start = start[at_] + np.arange(len(at_)) - np.repeat(np.cumsum(spread) - spread, spread) - k[at_]
-    text, item = text[at_], item[at_]
+    start = start[at_] + np.arange(len(at_)) - np.repeat(np.cumsum(spread) - spread, spread) - edits(n)[at_]
+    text, n = text[at_], n[at_]
     size = np.diff(bounds)[text]
-    start = np.clip(start, 0, np.maximum(size - items.n[item], 0))
-    ok = size >= items.n[item] - items.k[item]
-    text, item, start = np.unique(np.stack([text[ok], item[ok], start[ok]]), axis=1)
-    best = []
-    width = items.words.shape[1]
-    for s in range(0, len(text), max(1, PIECE // max(width, 1))):
-        t, i, p = (v[s : s + max(1, PIECE // max(width, 1))] for v in (text, item, start))
-        n = items.n[i]
-        m = np.minimum(n, np.diff(bounds)[t])
-        col = np.arange(int(n.max()))
-        place = np.minimum(bounds[t][:, None] + p[:, None] + col, len(h) - 1)
-        window = np.where(col < m[:, None], h[place], _PAD)
-        near = (samples(window, n) == items.codes[i]).any(axis=(1, 2))
-        t, i, p, n, m, window = t[near], i[near], p[near], n[near], m[near], window[near]
-        if len(t):
-            d = levenshtein(items.words[i][:, : len(col)], n, window, m)
-            good = d <= items.k[i]
-            best.append(np.stack([t[good], i[good], d[good], p[good]]))
-    if not best:
-        return none
-    t, i, d, p = np.concatenate(best, axis=1)
-    order = np.lexsort((p, d, i, t))
-    t, i, d, p = t[order], i[order], d[order], p[order]
+    start = np.clip(start, 0, np.maximum(size - n, 0))
+    ok = size >= n - edits(n)
+    return np.unique(np.stack([text[ok], n[ok], start[ok]]), axis=1)
+
+
+def matches(items: Items, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(text, item_id, distance, item words, first word) of the best window of every leaking pair."""
+    starts, ends, bounds = at.split_words(data, offsets, at.NON_ALNUM)
+    h = at.hash_spans(data, starts, ends)
+    text, size, start = windows(items, h, bounds)
+    best = [np.zeros((5, 0), np.int64)]
+    for n in np.unique(size).tolist():
+        s, own = items.sizes[n], np.flatnonzero(size == n)
+        step = max(1, PIECE // n)
+        for a in range(0, len(own), step):
+            t, p = text[own[a : a + step]], start[own[a : a + step]]
+            m = np.minimum(n, np.diff(bounds)[t])
+            col = np.arange(n)
+            window = np.where(col < m[:, None], h[np.minimum(bounds[t][:, None] + p[:, None] + col, len(h) - 1)], _PAD)
+            w, piece = s.candidates(window)
+            for c in range(0, len(w), step):
+                v, i = w[c : c + step], piece[c : c + step]
+                d = levenshtein(s.words[i], np.full(len(v), n), window[v], m[v])
+                good = d <= s.k
+                best.append(np.stack([t[v[good]], items.ids[s.item[i[good]]], d[good], np.full(int(good.sum()), n), p[v[good]]]))
+    t, i, d, n, p = np.concatenate(best, axis=1)
+    order = np.lexsort((p, d, d / np.maximum(n, 1), i, t))
+    t, i, d, n, p = (x[order] for x in (t, i, d, n, p))
     lead = np.append(True, (t[1:] != t[:-1]) | (i[1:] != i[:-1])) if len(t) else np.zeros(0, bool)
-    return t[lead], i[lead], d[lead], p[lead]
+    return t[lead], i[lead], d[lead], n[lead], p[lead]
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, distance, similarity, start_word): leaked items, best window each."""
-    bench = benchmark.where("item_id is not null and text is not null").groupBy("item_id").agg(F.min("text").alias("text"))
+    bench = benchmark.where("item_id is not null and text is not null").select("item_id", "text").distinct()
     total = bench.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = -(-total // BLOCK_BYTES) or 1
     texts = bounded_batches(docs).select(F.col("doc_id"), F.lower(F.col("text")).alias("text"))
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, item_id long, distance int, similarity double, start_word int"
     out = None
     for b in range(blocks):
-        own = bench.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).orderBy("item_id").collect()  # about BLOCK_BYTES
+        own = bench.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).orderBy("item_id", "text").collect()  # about BLOCK_BYTES
         sent = docs.sparkSession.sparkContext.broadcast(Items([r["item_id"] for r in own], [r["text"] for r in own]))
 
         def run(batches, sent=sent):
             items = sent.value
             for batch in batches:
                 for part in at.slices(batch):
-                    t, i, d, p = matches(items, *at.text_bytes(part.column(1)))
+                    t, i, d, n, p = matches(items, *at.text_bytes(part.column(1)))
                     if len(t):
-                        yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(t)), pa.array(items.ids[i]), pa.array(d, pa.int32()), pa.array(1 - d / items.n[i]), pa.array(p, pa.int32())], names=["doc_id", "item_id", "distance", "similarity", "start_word"])
+                        yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(t)), pa.array(i, pa.int64()), pa.array(d, pa.int32()), pa.array(1 - d / n), pa.array(p, pa.int32())], names=["doc_id", "item_id", "distance", "similarity", "start_word"])
 
         found = texts.mapInArrow(run, schema)
         out = found if out is None else out.unionAll(found)

@@ -1,140 +1,180 @@
 """Document fingerprints: invertible Bloom lookup sketches of paragraph digests.
 
-Native: only DataFrame functions. A document's paragraphs (its lines that aren't blank)
-become a set of 64-bit digests. A sketch has three tables of CELLS / 3 cells; each digest
-enters one cell of each table, and a cell holds a count, the xor of its digests and the
-xor of their 16-bit checks. Subtracting two sketches cell by cell leaves the digests in
-which the sets differ, and peeling cells that hold a single one recovers them. If peeling
-gets stuck, the sets are dealt by hash into groups of about 32 digests and each group is
-sketched again, larger and under another hash, until it peels; after RETRIES failures
-of one group (never seen) its difference is counted by set operations.
-
-Likeness of two sketches: Jaccard similarity of the two sets, |A & B| / |A | B|, which
-follows from the two counts and the number of recovered digests; two empty sets: 1.
-
-The fingerprint is written as CELLS cells of 22 hex digits: count (2, modulo 256), xor of
-digests (16), xor of checks (4). Equal texts have equal fingerprints.
-
-``edited`` needs the next document in descending doc_id. Ids are cut into ranges that
-hold about RANGE_ROWS rows (counted over equal-width cells of the id range), each range
-is one window partition, and the first row of each range is also sent to the end of the
-range before it, so texts are shuffled once and no window spans the table.
+Native: only DataFrame functions. A document's paragraphs (lines that aren't blank; long
+ones cut after a sentence end past 80 characters, or at the first blank past 160) become
+a set of 64-bit digests. The set is dealt by hash into groups, 2**k of them so that a group
+has about GROUP digests at most, and every group is a sketch of CELLS cells in three tables:
+a digest enters one cell of each, and a cell holds a count, the xor of its digests and the
+xor of their 16-bit checks. If a group has over FULL digests, or two with the same three
+cells, it can't be peeled, and the set is dealt again into twice as many groups (RETRIES
+times at most). Adding group i and group i + 2**(k-1) gives the sketch
+with half as many groups, so one fingerprint is a ladder of sketches of all smaller sizes.
+
+Likeness needs the two fingerprints and nothing else. Both are brought to one size;
+subtracting them cell by cell leaves the digests in which the sets differ, and peeling cells
+that hold a single one recovers them, at a quarter of that size first and, on failure, at
+the whole of it. If that fails too, each is peeled alone at its own size, which gives the
+sets themselves. Digests that even this can't part (three or more that hold each other's
+cells; about 1 text in 100 has such) are taken as differing and counted by the cells they
+leave. The result is the Jaccard similarity |A & B| / |A | B|, which follows from
+the set sizes and the number of differing digests; two empty sets: 1.
+
+The fingerprint is written as the set's size (8 hex digits) and, for each cell, its count
+(2, modulo 256), xor of digests (16) and xor of checks (4). Equal texts have equal ones.
+
+``edited`` needs the next document in descending doc_id. Rows are cut at quantiles of
+doc_id into ranges of about RANGE_ROWS rows (RANGES at most), so outlying ids don't matter;
+an id that fills several ranges, and null ids, are dealt to theirs by text hash. Each range
+is one window partition, and the first row of each is also sent to the end of the one
+before it, so texts are shuffled once and no window spans the table.
 
 Cases: null text counts as empty; blank lines aren't paragraphs; repeated paragraphs
-count once; a null doc_id comes last; equal doc_ids are ordered by text; a single document
-is its own next. Other columns are dropped. Empty tables give no rows.
+count once; very long texts have as many groups as they need; a null doc_id comes last;
+equal doc_ids are ordered by text hash, then text; a single document is its own next; rows
+repeated with id and text stay in one range; ids of the whole 64-bit range are fine. Other
+columns are dropped. Empty tables give no rows.
 """
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .tables import read
+from .tables import materialize, read
+
+CELLS, GROUP, FULL, RETRIES = 24, 10, 16, 4
+RANGE_ROWS, RANGES = 4000, 1 << 16
+_THIRD = CELLS // 3
+_CHECK = "shiftrightunsigned(xxhash64({0}, 'check'), 48)"
+_EMPTY = "named_struct('n', 0L, 'x', 0L, 'h', 0L)"
+
 
-CELLS = 24
-RANGE_ROWS = 4000
-ID_CELLS = 4096
-GROUP = 32
-RETRIES = 8
+def _place(x: str, j: int) -> str:
+    return f"cast({j * _THIRD} + pmod(xxhash64({x}, {j}), {_THIRD}) as int)"
+
+
+def _let(value: str, name: str, body: str) -> str:
+    """SQL: body with name bound to value, which is computed once."""
+    return f"transform(array({value}), {name} -> {body})[0]"
 
 
 def digests(text: Column) -> Column:
-    lines = F.filter(F.split(text, "\n", -1), lambda x: F.trim(x) != "")
+    cut = F.regexp_replace(text, r"([^\n]{80,159}?[.!?]|[^\n]{160}\S*)[ \t]+", "$1\n")
+    lines = F.filter(F.split(cut, "\n", -1), lambda x: F.trim(x) != "")
     return F.array_sort(F.array_distinct(F.transform(lines, lambda x: F.xxhash64(x))))
 
 
-def _entries(name: str, cells: str, salt: str) -> str:
-    """SQL: digests of array `name` as (digest, check, cell in each of three tables)."""
-    third = f"(({cells}) div 3)"
-    place = lambda j: f"cast({j} * {third} + pmod(xxhash64(d, {salt}, {j}), {third}) as int)"
-    return f"transform({name}, d -> named_struct('d', d, 'k', shiftrightunsigned(xxhash64(d, 'check'), 48), 'a', {place(0)}, 'b', {place(1)}, 'c', {place(2)}))"
+def _sketch(digest_array: str) -> str:
+    """SQL: the groups of cells of an array of digests."""
+    groups = f"cast(shiftleft(1, r + cast(greatest(0, ceil(log2(greatest(size(s), 1) / {GROUP}.0D))) as int)) as int)"
+    of = "xxhash64(d, 'group')"
+    # dealt in two steps, by the low half of the group's bits first, so that long arrays aren't read once a group
+    step = "cast(shiftleft(1, cast(floor(log2(y.g) / 2) as int)) as int)"
+    first = f"transform(sequence(0, z.m - 1), i -> filter(z.s, d -> pmod({of}, z.m) = i))"
+    dealt = _let(f"named_struct('s', s, 'g', {groups})", "y", _let(f"named_struct('s', y.s, 'g', y.g, 'm', {step})", "z", _let(f"named_struct('p', {first}, 'g', z.g, 'm', z.m)", "w", f"transform(sequence(0, w.g - 1), i -> filter(w.p[i % w.m], d -> pmod({of}, w.g) = i))")))
+    entries = f"transform(e, d -> named_struct('d', d, 'k', {_CHECK.format('d')}, 'a', {_place('d', 0)}, 'b', {_place('d', 1)}, 'c', {_place('d', 2)}))"
+    cell = f"aggregate(filter(en, p -> p.a = i or p.b = i or p.c = i), {_EMPTY}, (t, p) -> named_struct('n', t.n + 1L, 'x', t.x ^ p.d, 'h', t.h ^ p.k))"
+    none = "cast(null as array<array<struct<d:bigint,k:bigint,a:int,b:int,c:int>>>)"
+    stuck = f"exists(made, en -> size(en) > {FULL} or size(array_distinct(transform(en, p -> p.a + {CELLS} * (p.b + {CELLS} * p.c)))) < size(en))"
+    kept = _let(f"transform({dealt}, e -> {entries})", "made", f"if(r < {RETRIES} and {stuck}, {none}, made)")
+    settled = f"aggregate(sequence(0, {RETRIES}), {none}, (f, r) -> if(f is not null, f, {kept}))"
+    return _let(digest_array, "s", f"transform({settled}, en -> transform(sequence(0, {CELLS - 1}), i -> {cell}))")
 
 
-def _sketch(entries: str, cells: str) -> str:
-    """SQL: the cells of a sketch of entries."""
-    return (
-        f"transform(array({entries}), en -> transform(sequence(0, cast({cells} as int) - 1), i -> aggregate(filter(en, p -> p.a = i or p.b = i or p.c = i), named_struct('n', 0L, 'x', 0L, 'h', 0L), "
-        "(s, p) -> named_struct('n', s.n + 1L, 'x', s.x ^ p.d, 'h', s.h ^ p.k))))[0]"
-    )
+def _combined(a: str, b: str, sign: str) -> str:
+    return f"zip_with({a}, {b}, (u, v) -> zip_with(u, v, (m, o) -> named_struct('n', m.n {sign} o.n, 'x', m.x ^ o.x, 'h', m.h ^ o.h)))"
 
 
-def _subtract(a: str, b: str) -> str:
-    return f"zip_with({a}, {b}, (u, v) -> named_struct('n', u.n - v.n, 'x', u.x ^ v.x, 'h', u.h ^ v.h))"
+def _folded(groups: str, size: str) -> str:
+    """SQL: a sketch brought to so many groups by adding halves."""
+    half = "cast(size(f) / 2 as int)"
+    by_two = _combined(f"slice(f, 1, {half})", f"slice(f, {half} + 1, {half})", "+")
+    return _let(f"named_struct('g', {groups}, 'k', cast(round(log2(size({groups}) / {size})) as int))", "fold", f"if(fold.k < 1, fold.g, aggregate(sequence(1, fold.k), fold.g, (f, turn) -> {by_two}))")
 
 
-def _peel(cells: str, size: str, salt: str) -> str:
-    """SQL: number of digests recovered from a difference, null if peeling gets stuck."""
-    third = f"(({size}) div 3)"
-    place = lambda j: f"cast({j} * {third} + pmod(xxhash64(q.x, {salt}, {j}), {third}) as int)"
-    pure = "get(filter(s.cells, c -> abs(c.n) = 1 and shiftrightunsigned(xxhash64(c.x, 'check'), 48) = c.h), 0)"
+def _peeled(cells: str) -> str:
+    """SQL: (ds: digests recovered from one group, rest: number of those that stay)."""
+    pure = f"get(filter(s.cells, c -> abs(c.n) = 1 and {_CHECK.format('c.x')} = c.h), 0)"
     out = "transform(s.cells, (c, i) -> if(i = w.a or i = w.b or i = w.c, named_struct('n', c.n - w.n, 'x', c.x ^ w.x, 'h', c.h ^ w.h), c))"
-    step = (
-        f"transform(array({pure}), q -> if(q is null, named_struct('cells', s.cells, 'd', s.d, 'go', false), "
-        f"transform(array(named_struct('n', q.n, 'x', q.x, 'h', q.h, 'a', {place(0)}, 'b', {place(1)}, 'c', {place(2)})), w -> named_struct('cells', {out}, 'd', s.d + 1L, 'go', true))[0]))[0]"
-    )
-    run = f"aggregate(sequence(0, cast({size} as int)), named_struct('cells', {cells}, 'd', 0L, 'go', true), (s, turn) -> if(s.go, {step}, s))"
-    return f"transform(array({run}), z -> if(exists(z.cells, c -> c.n <> 0L or c.x <> 0L or c.h <> 0L), cast(null as bigint), z.d))[0]"
+    taken = _let(f"named_struct('n', q.n, 'x', q.x, 'h', q.h, 'a', {_place('q.x', 0)}, 'b', {_place('q.x', 1)}, 'c', {_place('q.x', 2)})", "w", f"named_struct('cells', {out}, 'ds', array_append(s.ds, w.x), 'go', true)")
+    step = _let(pure, "q", f"if(q is null, named_struct('cells', s.cells, 'ds', s.ds, 'go', false), {taken})")
+    run = f"aggregate(sequence(0, {CELLS}), named_struct('cells', {cells}, 'ds', cast(array() as array<bigint>), 'go', true), (s, turn) -> if(s.go, {step}, s))"
+    left = [f"aggregate(slice(z.cells, {j * _THIRD + 1}, {_THIRD}), 0L, (t, c) -> t + if(c.n <> 0L, abs(c.n), if(c.x <> 0L or c.h <> 0L, 2L, 0L)))" for j in range(3)]
+    return _let(run, "z", f"named_struct('ds', z.ds, 'rest', greatest({', '.join(left)}))")
 
 
-def _again(a: str, b: str) -> str:
-    """SQL: digests in which arrays a and b differ, by larger sketches of small groups."""
-    # sizes follow the group: three tables of 4 + 0.6 s cells (s digests), doubled each time
-    size = "(3 * (4 + cast((size(g.a) + size(g.b)) * 0.6 as int)) * cast(shiftleft(1, r) as int))"
-    tried = _peel(_subtract(_sketch(_entries("g.a", "t.m", "t.r"), "t.m"), _sketch(_entries("g.b", "t.m", "t.r"), "t.m")), "t.m", "t.r")
-    tried = f"transform(array(named_struct('m', {size}, 'r', r + 1L)), t -> {tried})[0]"
-    exact = "cast(size(array_except(g.a, g.b)) + size(array_except(g.b, g.a)) as bigint)"
-    group = f"coalesce(aggregate(sequence(0, {RETRIES - 1}), cast(null as bigint), (f, r) -> if(f is not null, f, {tried})), {exact})"
-    # two levels of dealing keep the filters of a very long document short of n squared
-    total = f"(size({a}) + size({b}))"
-    outer = f"cast(ceil(sqrt({total} / {GROUP}.0D)) as int)"
-    inner = f"greatest(1, cast(ceil((size(o.a) + size(o.b)) / {GROUP}.0D) as int))"
-    part = lambda arr, of, t, salt: f"filter({arr}, d -> pmod(xxhash64(d, '{salt}'), {of}) = {t})"
-    inside = f"aggregate(transform(sequence(0, {inner} - 1), t -> named_struct('a', {part('o.a', inner, 't', 'in')}, 'b', {part('o.b', inner, 't', 'in')})), 0L, (z, g) -> z + {group})"
-    return f"aggregate(transform(sequence(0, greatest(1, {outer}) - 1), t -> named_struct('a', {part(a, f'greatest(1, {outer})', 't', 'out')}, 'b', {part(b, f'greatest(1, {outer})', 't', 'out')})), 0L, (y, o) -> y + {inside})"
+def _summed(groups: str) -> str:
+    """SQL: (d: digests recovered from all groups, rest)."""
+    return f"aggregate(transform({groups}, g -> {_peeled('g')}), named_struct('d', 0L, 'rest', 0L), (t, p) -> named_struct('d', t.d + size(p.ds), 'rest', t.rest + p.rest))"
 
 
-def sketch(name: str) -> Column:
-    """The fingerprint's cells for the digest column `name`."""
-    return F.expr(_sketch(_entries(name, str(CELLS), "0L"), str(CELLS)))
+def _differing(a: str, b: str) -> str:
+    """SQL: number of digests in which sketches a and b differ."""
+    alone = lambda x: f"aggregate(transform({x}, g -> {_peeled('g')}), named_struct('ds', cast(array() as array<bigint>), 'rest', 0L), (t, p) -> named_struct('ds', concat(t.ds, p.ds), 'rest', t.rest + p.rest))"
+    sets = _let(f"named_struct('a', {alone('two.a')}, 'b', {alone('two.b')})", "own", "own.a.rest + own.b.rest + cast(size(array_except(own.a.ds, own.b.ds)) + size(array_except(own.b.ds, own.a.ds)) as bigint)")
+    full = _let(_summed("gap"), "whole", f"if(whole.rest = 0L, whole.d, {sets})")
+    quarter = _let(_summed(_folded("gap", "cast(size(gap) / 4 as int)")), "part", f"if(part.rest = 0L, part.d, {full})")
+    tried = f"if(size(gap) < 4, {full}, {quarter})"
+    gap = _combined(_folded("two.a", "least(size(two.a), size(two.b))"), _folded("two.b", "least(size(two.a), size(two.b))"), "-")
+    return _let(f"named_struct('a', {a}, 'b', {b})", "two", _let(gap, "gap", tried))
 
 
-def written(cells: Column) -> Column:
+def written(size: Column, groups: Column) -> Column:
     cell = lambda c: F.concat(F.lpad(F.hex(F.pmod(c["n"], F.lit(256))), 2, "0"), F.lpad(F.hex(c["x"]), 16, "0"), F.lpad(F.hex(c["h"]), 4, "0"))
-    return F.lower(F.array_join(F.transform(cells, cell), ""))
+    return F.lower(F.concat(F.lpad(F.hex(size), 8, "0"), F.array_join(F.transform(F.flatten(groups), cell), "")))
+
+
+def parsed(fingerprint: str) -> tuple[str, str]:
+    """SQL: (set size, groups of cells) of a written fingerprint."""
+    cell = "named_struct('n', cast(conv(substr(c, 1, 2), 16, 10) as bigint), 'x', cast(conv(substr(c, 3, 16), 16, -10) as bigint), 'h', cast(conv(substr(c, 19, 4), 16, 10) as bigint))"
+    cells = f"split(regexp_replace(substr({fingerprint}, 9), '(.{{22}})', '$1,'), ',')"
+    return f"cast(conv(substr({fingerprint}, 1, 8), 16, 10) as bigint)", _let(cells, "text", f"transform(sequence(0, cast(size(text) / {CELLS} as int) - 1), g -> transform(slice(text, g * {CELLS} + 1, {CELLS}), c -> {cell}))")
 
 
-def likeness(a: str, b: str, cells_a: str, cells_b: str) -> Column:
-    """Jaccard similarity of digest columns a and b, by subtraction of their sketches."""
-    d = f"coalesce({_peel(_subtract(cells_a, cells_b), str(CELLS), '0L')}, {_again(a, b)})"
-    both = f"(size({a}) + size({b}))"
-    return F.expr(f"transform(array({d}), d -> if({both} + d = 0, 1.0D, ({both} - d) / cast({both} + d as double)))[0]")
+def likeness(a: str, b: str, size_a: str, size_b: str) -> Column:
+    """Jaccard similarity of the sets behind sketches a and b (SQL), by subtraction."""
+    both = f"({size_a} + {size_b})"
+    return F.expr(_let(_differing(a, b), "d", f"if({both} + d = 0, 1.0D, greatest(0.0D, ({both} - d) / cast({both} + d as double)))"))
+
+
+def likeness_of(a: str, b: str) -> Column:
+    """Likeness of two columns of written fingerprints."""
+    (size_a, cells_a), (size_b, cells_b) = parsed(a), parsed(b)
+    return likeness(cells_a, cells_b, size_a, size_b)
 
 
 def with_next(docs: DataFrame) -> DataFrame:
     """(doc_id, text, next_text): next in descending doc_id, the last one's next is the first."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    ends = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
-    low, high = ends[0] or 0, ends[1] or 0
-    width = (high - low) // ID_CELLS + 1
-    cell = F.coalesce(F.floor((F.lit(high) - F.col("doc_id")) / F.lit(width)), F.lit(ID_CELLS)).cast("int")
-    counts = {r[0]: (r[1], r[2]) for r in docs.groupBy(cell.alias("cell")).agg(F.count("*"), F.max("doc_id")).collect()}  # ID_CELLS + 1 rows at most
-    owner, firsts, held = [], [], 0
-    for c in range(ID_CELLS + 1):
-        n, top = counts.get(c, (0, None))
-        if n and (not firsts or held >= RANGE_ROWS):
-            firsts.append(top)
-            held = 0
-        owner.append(max(len(firsts) - 1, 0))
-        held += n
-    of, first = F.array(*map(F.lit, owner)), F.array(*(F.lit(v).cast("long") for v in firsts or [None]))
-    docs = docs.withColumn("range", F.element_at(of, cell + 1))
-    opens = F.col("doc_id").eqNullSafe(F.element_at(first, F.col("range") + 1))
-    before = F.pmod(F.col("range") - 1, F.lit(max(len(firsts), 1)))
-    places = F.when(opens, F.array(F.struct("range", F.lit(0).alias("ghost")), F.struct(before.alias("range"), F.lit(1).alias("ghost")))).otherwise(F.array(F.struct("range", F.lit(0).alias("ghost"))))
-    dealt = docs.withColumn("at", F.explode(places)).select("doc_id", "text", "at.range", "at.ghost")
-    order = W.partitionBy("range").orderBy("ghost", F.col("doc_id").desc_nulls_last(), "text")
+    n, nulls = docs.agg(F.count("*"), F.count_if(F.col("doc_id").isNull())).first()
+    ranges = max(1, min(RANGES, -(-n // RANGE_ROWS)))
+    cuts: list[int] = []
+    if ranges > 1 and n > nulls:
+        cuts = sorted(docs.agg(F.percentile_approx("doc_id", [k / ranges for k in range(1, ranges)], 20 * ranges)).first()[0])
+    last = max(1, min(RANGES, -(-nulls // RANGE_ROWS)))  # ranges of null ids
+    docs = docs.withColumn("hash", F.xxhash64("text"))
+    unit = "(hash / 18446744073709551616D + 0.5D)"
+    steps = max(1, len(cuts).bit_length())
+    array = f"from_json('{json.dumps(cuts)}', 'array<bigint>')"
+    below = lambda op: f"aggregate(sequence(1, {steps}), named_struct('lo', 0, 'hi', {len(cuts)}), (s, i) -> if(s.lo >= s.hi, s, if({array}[cast((s.lo + s.hi) div 2 as int)] {op} doc_id, named_struct('lo', cast((s.lo + s.hi) div 2 as int) + 1, 'hi', s.hi), named_struct('lo', s.lo, 'hi', cast((s.lo + s.hi) div 2 as int))))).lo"
+    if cuts:  # ranges by falling id; rows of an id that is a cut several times are dealt to all its ranges
+        docs = docs.withColumn("low", F.expr(below("<"))).withColumn("top", F.expr(below("<=")))
+        own = F.expr(f"{len(cuts)} - top + least(top - low, cast(floor({unit} * (top - low + 1)) as int))")
+    else:
+        own = F.lit(0)
+    docs = docs.withColumn("range", F.when(F.col("doc_id").isNull(), F.expr(f"{len(cuts) + 1} + least({last - 1}, cast(floor({unit} * {last}) as int))")).otherwise(own).cast("int")).drop("low", "top")
+    lead = F.max(F.struct("doc_id", F.bitwise_not("hash").alias("not_hash"))).alias("first")
+    firsts = docs.groupBy("range").agg(lead).orderBy("range").collect()  # a small row for each of RANGES at most, twice that with null ids
+    known = [(r["range"], r["first"]["doc_id"], ~r["first"]["not_hash"], firsts[k - 1]["range"]) for k, r in enumerate(firsts)]
+    opens = docs.sparkSession.createDataFrame(known, "range int, first_id long, first_hash long, before int")
+    docs = docs.join(F.broadcast(opens), "range", "left")
+    first = F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("hash") == F.col("first_hash"))
+    stay, ghost = F.struct("range", F.lit(0).alias("ghost")), F.struct(F.col("before").alias("range"), F.lit(1).alias("ghost"))
+    dealt = docs.withColumn("at", F.explode(F.when(first, F.array(stay, ghost)).otherwise(F.array(stay)))).select("doc_id", "text", "hash", "at.range", "at.ghost")
+    order = W.partitionBy("range").orderBy("ghost", F.col("doc_id").desc_nulls_last(), "hash", "text")
     return dealt.withColumn("next_text", F.lead("text").over(order)).where("ghost = 0").select("doc_id", "text", "next_text")
 
 
@@ -146,8 +186,11 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     edited = F.concat(F.substring(F.col("text"), F.lit(1), (F.col("n_chars") - half).cast("int")), F.substring(F.col("next_text"), F.lit(1), half))
     d = d.withColumn("edited", edited).select("doc_id", "n_chars", F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"), digests(F.col("text")).alias("a"), digests(F.col("edited")).alias("e"), digests(F.col("next_text")).alias("x"))
     for c in ("a", "e", "x"):
-        d = d.withColumn(f"s{c}", sketch(c))
-    return d.select("doc_id", "n_chars", "edited_sha256", written(F.col("sa")).alias("fingerprint"), written(F.col("se")).alias("edited_fingerprint"), likeness("a", "e", "sa", "se").alias("near_edited"), likeness("a", "x", "sa", "sx").alias("near_next"))
+        d = d.withColumn(f"n{c}", F.size(c).cast("long")).withColumn(f"s{c}", F.expr(_sketch(c)))
+    return d.select(
+        "doc_id", "n_chars", "edited_sha256", written(F.col("na"), F.col("sa")).alias("fingerprint"), written(F.col("ne"), F.col("se")).alias("edited_fingerprint"),
+        likeness("sa", "se", "na", "ne").alias("near_edited"), likeness("sa", "sx", "na", "nx").alias("near_next"),
+    )
 
 
 def op8_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,10 +5,16 @@ ASCII non-letters taken as blanks; a text's margin is the mean weight of its tri
 whole texts are scored in one linear pass. Both levels are one-versus-one linear SVMs: between
 families, then between the languages of the winning family.
 
-Cases: null texts and texts without a letter give ``und`` with score 0; a family with one
-learned language needs no second level; with nothing to learn from all texts give
-``und``. Rows with null lang are not learned from. Ties go to the smaller name. Repeated
-rows score alike; other columns pass through ``predict`` unread.
+Every duel is trained in a task of its own, on the sample's rows of its two sides. A duel's
+weights are 2**BITS floats (1 MB) in the model that is broadcast: their number is
+that of pairs of families, and of pairs of languages within a family.
+
+Cases: null texts and texts without a letter give ``und`` with score 0; very long texts are
+read whole, a slice at a time; a family with one learned language needs no second level;
+with nothing to learn from all texts give ``und``. Rows with null lang are not learned
+from; a document with two langs counts under each. Ties go to the smaller name. Repeated
+rows score alike; other columns pass through ``predict`` unread, those named like an
+output are replaced. Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -23,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import arrowtext as at
-from .tables import bounded_batches, extended, held_out, read, sample_ids
+from .tables import bounded_batches, extended, held_out, materialize, read, sample_ids, sample_texts
 
 BITS = 18
 #: documented bound on what is learned from: documents of each language
@@ -98,68 +104,56 @@ def _svm(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, epochs: int,
     return (total / kept, tb / kept) if kept else (scale * w, b)
 
 
-def fit_rows(rows: list[tuple[np.ndarray, np.ndarray]], langs: list[str], epochs: int = 4, lam: float = 1e-3) -> LangModel:
-    """rows: (indexes, relative frequencies). Frequencies are used linearly, scaled to a usual length of one."""
-    if not rows:
-        return LangModel()
+def duels(langs: list[str]) -> tuple[dict[str, list[str]], list[tuple[str, str, str]]]:
+    """(languages by family, (level, positive, negative) of every classifier), all in order of name."""
     families: dict[str, list[str]] = {}
     for lang in sorted(set(langs)):
         families.setdefault(family_of(lang), []).append(lang)
-    norm = float(np.median([np.sqrt((x * x).sum()) for _, x in rows])) or 1.0
-    rows = [(i, x / norm) for i, x in rows]
-    of = [family_of(x) for x in langs]
-    tasks = [("family", a, b, of) for a, b in combinations(sorted(families), 2)]
-    tasks += [("lang", a, b, langs) for f in sorted(families) for a, b in combinations(families[f], 2)]
-    names, weights, bias = [], [], []
-    for _, a, b, kind in tasks:
-        pick = [k for k, v in enumerate(kind) if v in (a, b)]
-        y = np.array([1.0 if kind[k] == a else -1.0 for k in pick])
-        w, c = _svm([rows[k] for k in pick], y, epochs, lam)
-        names.append((a, b))
-        weights.append((w / norm).astype(np.float32))
-        bias.append(c)
-    w = np.stack(weights, axis=1) if weights else np.zeros((1 << BITS, 0), np.float32)
-    return LangModel(families, names, w, np.array(bias))
+    found = [("family", a, b) for a, b in combinations(sorted(families), 2)]
+    return families, found + [("lang", a, b) for f in sorted(families) for a, b in combinations(families[f], 2)]
+
+
+def fit_duel(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, norm: float, epochs: int = 4, lam: float = 1e-3) -> tuple[np.ndarray, float]:
+    """rows: (indexes, relative frequencies), used linearly, scaled to a usual length (norm) of one."""
+    w, c = _svm([(i, x / norm) for i, x in rows], y, epochs, lam)
+    return (w / norm).astype(np.float32), c
 
 
 def fit(docs: DataFrame, per_lang: int = SAMPLE_PER_LANG) -> LangModel:
     """Learn from a bounded sample of the rows that carry a language."""
-    ids = sample_ids(docs, "lang", per_lang, SEED)
-    # at most per_lang rows for each language value: bounded, so it may be broadcast
-    sample = bounded_batches(docs).select("doc_id", "text").where("text is not null").join(F.broadcast(ids), "doc_id")
+    sample = sample_texts(docs.where("text is not null"), sample_ids(docs.where("text is not null"), "lang", per_lang, SEED), "lang")
 
     def extract(batches):
         for batch in batches:
             for part in at.slices(batch):
-                index, bounds = trigrams(*at.text_bytes(pc.utf8_lower(part.column(1))))
+                index, bounds = trigrams(*at.text_bytes(pc.utf8_lower(part.column(2))))
                 idx, val = [], []
                 for k in range(part.num_rows):
                     i, c = np.unique(index[bounds[k] : bounds[k + 1]], return_counts=True)
                     idx.append(i.astype(np.int32))
                     val.append((c / max(c.sum(), 1)).astype(np.float32))
-                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), part.column(2), pa.array(idx, pa.list_(pa.int32())), pa.array(val, pa.list_(pa.float32()))], names=["doc_id", "lang", "i", "x"])
-
-    def train(batches):
-        held = []
-        for b in batches:
-            ids_, langs = b.column(0).to_pylist(), b.column(1).to_pylist()
-            held += [(ids_[k], langs[k], b.column(2)[k].values.to_numpy(), b.column(3)[k].values.to_numpy().astype(np.float64)) for k in range(b.num_rows)]
-        held.sort(key=lambda r: (r[0], r[1]))
-        held = [r for r in held if len(r[2])]
-        m = fit_rows([(r[2], r[3]) for r in held], [r[1] for r in held])
-        langs = sorted({r[1] for r in held})
-        yield pa.RecordBatch.from_arrays([pa.array([",".join(langs)] + [f"{a},{b}" for a, b in m.names]), pa.array([0.0, *m.bias]), pa.array([b"", *(np.ascontiguousarray(m.weights[:, k]).tobytes() for k in range(len(m.names)))], pa.binary()), pa.array(range(len(m.names) + 1), pa.int32())], names=["name", "bias", "w", "k"])
-
-    found = sample.mapInArrow(extract, "doc_id long, lang string, i array<int>, x array<float>").repartition(1).mapInArrow(train, "name string, bias double, w binary, k int").collect()
-    found = sorted(found, key=lambda r: r["k"])
-    if not found or not found[0]["name"]:
-        return LangModel()
-    families: dict[str, list[str]] = {}
-    for lang in found[0]["name"].split(","):
-        families.setdefault(family_of(lang), []).append(lang)
-    pairs = [tuple(r["name"].split(",")) for r in found[1:]]
-    w = np.stack([np.frombuffer(r["w"], np.float32) for r in found[1:]], axis=1) if pairs else np.zeros((1 << BITS, 0), np.float32)
-    return LangModel(families, pairs, w, np.array([r["bias"] for r in found[1:]]))
+                norm = [float(np.sqrt((x.astype(np.float64) ** 2).sum())) for x in val]
+                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), part.column(1), pa.array(idx, pa.list_(pa.int32())), pa.array(val, pa.list_(pa.float32())), pa.array(norm, pa.float64())], names=["doc_id", "lang", "i", "x", "norm"])
+
+    rows = sample.select("doc_id", "lang", "text").mapInArrow(extract, "doc_id long, lang string, i array<int>, x array<float>, norm double").where(F.size("i") > 0)
+    rows = materialize(rows, "langid")
+    norm = rows.agg(F.percentile("norm", 0.5)).first()[0] or 1.0
+    families, pairs = duels([r[0] for r in rows.select("lang").distinct().collect()])  # the learned languages
+    if not pairs:
+        return LangModel(families)
+    of = {x: f for f, names in families.items() for x in names}
+    # which duels a language's rows are sent to, and on which side they stand there
+    sides = [(lang, k, 1.0 if (of[lang] if level == "family" else lang) == a else -1.0) for k, (level, a, b) in enumerate(pairs) for lang in of if (of[lang] if level == "family" else lang) in (a, b)]
+    sent = rows.join(F.broadcast(docs.sparkSession.createDataFrame(sides, "lang string, duel int, side double")), "lang")
+
+    def train(key, table):
+        table = table.sort_by([("doc_id", "ascending"), ("lang", "ascending")]).combine_chunks()
+        held = [(i.values.to_numpy(), x.values.to_numpy().astype(np.float64)) for i, x in zip(table["i"], table["x"])]
+        w, c = fit_duel(held, table["side"].to_numpy(), norm)
+        return pa.table({"duel": pa.array([key[0].as_py()], pa.int32()), "bias": pa.array([float(c)]), "w": pa.array([w.tobytes()], pa.binary())})
+
+    found = sorted(sent.groupBy("duel").applyInArrow(train, "duel int, bias double, w binary").collect(), key=lambda r: r["duel"])
+    return LangModel(families, [pairs[r["duel"]][1:] for r in found], np.stack([np.frombuffer(r["w"], np.float32) for r in found], axis=1), np.array([r["bias"] for r in found]))
 
 
 def _duel(names: list[str], pairs: dict[tuple[str, str], np.ndarray], n: int) -> tuple[np.ndarray, np.ndarray]:

@@ -11,13 +11,17 @@ longest prefix of the next epoch's order whose tokens stay within the rest.
 
 A leaf may hold a third of all rows: the order is cut into hash ranges, ranges are summed
 first (partial sums, then a window over a leaf's few ranges), and only the range in which
-the prefix ends is ordered row by row.
+the prefix ends is ordered row by row. Rows that are equal in all their columns are one
+entry with a count from the start (partially aggregated), so a row repeated very often is
+one entry too.
 
 Cases: null level values count as ''; null or empty text has 0 tokens (such documents
-come with whole epochs, and with a prefix as their place in the order says); a null doc_id
-orders as ''; equal order keys are taken in doc_id, then token order; siblings whose
-weights are all 0 get nothing; repeated rows count as so many documents; other columns
-are kept by ``mix``. Empty tables give no rows.
+come with whole epochs, and with a prefix as their place in the order says); very long
+texts that don't fit the rest end the prefix; a null doc_id orders as ''; equal order keys
+are taken in doc_id, then token, then row hash order; rows of one doc_id with different
+texts are chosen one by one; siblings whose weights are all 0 get nothing; repeated rows
+count as so many documents; other columns are kept by ``mix``, whatever their names.
+Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -85,14 +89,18 @@ def budgets(leaves: DataFrame, m: Mixture) -> DataFrame:
 
 
 def select(docs: DataFrame, m: Mixture) -> DataFrame:
-    """(row key columns, tokens, copies) of the chosen rows; docs: doc_id, levels, tokens."""
+    """(doc_id, levels, tokens, row, rows, copies, more) of the entries that are chosen.
+
+    docs: doc_id, levels, tokens and row, a hash that rows share if they are equal. An entry
+    stands for so many equal rows; each is read `copies` times, and `more` of them once more.
+    """
     levels = list(m.levels)
-    docs = docs.select("doc_id", *(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in levels), "tokens")
-    docs = materialize(docs, "mixture")
-    leaves = docs.groupBy(*levels).agg(F.sum("tokens").alias("tokens"), F.count("*").alias("rows"))
+    docs = docs.select("doc_id", *(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in levels), "tokens", "row")
+    docs = materialize(docs.groupBy("doc_id", *levels, "tokens", "row").agg(F.count("*").alias("rows")).withColumn("weight", F.col("tokens") * F.col("rows")), "mixture")
+    leaves = docs.groupBy(*levels).agg(F.sum("weight").alias("tokens"), F.count("*").alias("entries"))
     plan = budgets(leaves, m)
     plan = plan.withColumn("epochs", F.when(F.col("tokens") > 0, F.floor(F.col("granted") / F.col("tokens"))).otherwise(0).cast("int"))
-    plan = plan.withColumn("rest", F.col("granted") - F.col("epochs") * F.col("tokens")).withColumn("ranges", F.ceil(F.col("rows") / RANGE_ROWS))
+    plan = plan.withColumn("rest", F.col("granted") - F.col("epochs") * F.col("tokens")).withColumn("ranges", F.ceil(F.col("entries") / RANGE_ROWS))
     plan = materialize(plan.select(*levels, "epochs", "rest", "ranges"), "budgets")
 
     # the key of the epoch that ends in a prefix; whole epochs need no order
@@ -100,17 +108,19 @@ def select(docs: DataFrame, m: Mixture) -> DataFrame:
     key = F.md5(F.concat_ws("|", F.lit(m.seed), F.col("epochs").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
     keyed = keyed.withColumn("key", key).withColumn("range", F.floor(F.conv(F.substring("key", 1, 8), 16, 10).cast("long") / F.lit(float(1 << 32)) * F.col("ranges")))
     keyed = keyed.where("epochs > 0 or rest > 0")
-    sums = keyed.groupBy(*levels, "range").agg(F.sum("tokens").alias("t"))
+    sums = keyed.groupBy(*levels, "range").agg(F.sum("weight").alias("t"))
     upto = W.partitionBy(*levels).orderBy("range").rowsBetween(W.unboundedPreceding, -1)
     sums = sums.withColumn("before", F.coalesce(F.sum("t").over(upto), F.lit(0))).select(*levels, "range", "before", "t")
     placed = keyed.join(sums, [*levels, "range"])
-    inside = placed.where("before + t <= rest").withColumn("more", F.lit(1))
-    beyond = placed.where("before > rest").withColumn("more", F.lit(0))
-    along = W.partitionBy(*levels, "range").orderBy("key", "doc_id", "tokens").rowsBetween(W.unboundedPreceding, 0)
-    edge = placed.where("before <= rest and before + t > rest").withColumn("sum", F.sum("tokens").over(along))
-    edge = edge.withColumn("more", F.when(F.col("before") + F.col("sum") <= F.col("rest"), 1).otherwise(0)).drop("sum")
+    inside = placed.where("before + t <= rest").withColumn("more", F.col("rows"))
+    beyond = placed.where("before > rest").withColumn("more", F.lit(0).cast("long"))
+    along = W.partitionBy(*levels, "range").orderBy("key", "doc_id", "tokens", "row").rowsBetween(W.unboundedPreceding, 0)
+    edge = placed.where("before <= rest and before + t > rest").withColumn("left", F.col("rest") - F.col("before") - F.sum("weight").over(along) + F.col("weight"))
+    fit = F.when(F.col("left") < 0, 0).when(F.col("tokens") == 0, F.col("rows")).otherwise(F.least("rows", F.floor(F.col("left") / F.col("tokens"))))
+    edge = edge.withColumn("more", fit.cast("long")).drop("left")
     out = inside.unionByName(beyond).unionByName(edge)
-    return out.withColumn("copies", F.col("epochs") + F.when(F.col("rest") > 0, F.col("more")).otherwise(0)).where("copies > 0").select("doc_id", *levels, "tokens", "copies")
+    out = out.withColumn("more", F.when(F.col("rest") > 0, F.col("more")).otherwise(0)).where("epochs > 0 or more > 0")
+    return out.select("doc_id", *levels, "tokens", "row", "rows", F.col("epochs").alias("copies"), "more")
 
 
 def domain_of(source: Column) -> Column:
@@ -123,19 +133,54 @@ def domain_of(source: Column) -> Column:
 PRODUCTION = Mixture(weights={"domain": {"web": 0.2, "books": 0.4, "forum": 0.15, "news": 0.25}, "lang": {"en": 0.4, "de": 0.2, "fr": 0.2, "es": 0.2}})
 
 
+def rows_hash(docs: DataFrame) -> Column:
+    """A hash of all columns; those that can't be hashed count as their text."""
+    cols = ((F.col(f"`{f.name}`"), f.dataType.simpleString()) for f in docs.schema.fields)
+    return F.xxhash64(*(c.cast("string") if "map<" in kind or "variant" in kind else c for c, kind in cols))
+
+
+def _leaves(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", domain_of(F.col("source")).alias("domain"), "lang", "source", n_tokens(F.col("text")).alias("tokens"), rows_hash(docs).alias("row"))
+
+
+def _times(n: Column) -> Column:
+    """One row for each of 1..n, by two steps, so that no array is long."""
+    step = 1 << 12
+    outer = F.sequence(F.lit(0).cast("long"), F.floor((n - 1) / step))
+    return F.transform(outer, lambda k: F.least(n - k * step, F.lit(step)).cast("int"))
+
+
+def _repeat(df: DataFrame, times: str) -> DataFrame:
+    """Each row as often as its column times (over 0) says; the column goes."""
+    out = df.withColumn("__some", F.explode(_times(F.col(times))))
+    return out.withColumn("__one", F.explode(F.sequence(F.lit(1), F.col("__some")))).drop("__some", "__one", times)
+
+
 def mix(docs: DataFrame, m: Mixture = PRODUCTION) -> DataFrame:
-    """docs (doc_id, text, lang, source, ...) as mixed: each chosen row as often as it is read."""
-    rows = docs.select("doc_id", domain_of(F.col("source")).alias("domain"), "lang", "source", n_tokens(F.col("text")).alias("tokens"))
-    chosen = select(rows, m).groupBy("doc_id").agg(F.max("copies").alias("__copies"))
-    out = docs.join(chosen, docs["doc_id"].eqNullSafe(chosen["doc_id"])).drop(chosen["doc_id"])
-    return out.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).drop("__copy", "__copies")
+    """docs (doc_id, text, lang, source, ...) as mixed: each chosen row as often as it is read.
+
+    An entry's rows are read alike but for the one entry of a leaf in which the prefix ends
+    among equal rows: one of those rows is then written as often as all of them are read.
+    """
+    chosen = select(_leaves(docs), m)
+    once = (F.col("copies") + F.when(F.col("more") == F.col("rows"), 1).otherwise(0)).cast("long")
+    chosen = materialize(chosen.select(F.col("doc_id").alias("__id"), F.col("row").alias("__row"), once.alias("__times"), (F.col("copies") * F.col("rows") + F.col("more")).alias("__all"), F.expr("more > 0 and more < rows").alias("__split")), "chosen")
+    hashed = docs.withColumn("__own", rows_hash(docs))
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__row"))
+    out = _repeat(hashed.join(chosen.where("not __split and __times > 0").drop("__split", "__all"), same).drop("__id", "__row", "__own"), "__times")
+    split = chosen.where("__split").drop("__split", "__times")
+    if split.take(1):  # an entry of a leaf at most
+        one = hashed.join(split, same).drop("__id", "__row").dropDuplicates(["doc_id", "__own"]).drop("__own").withColumnRenamed("__all", "__times")
+        out = out.unionByName(_repeat(one, "__times"))
+    return out
 
 
 def op6_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, domain, lang, source, n_tokens and copies of every chosen document."""
-    docs = read(spark, sf_dir, "documents")
-    rows = docs.select("doc_id", domain_of(F.col("source")).alias("domain"), "lang", "source", n_tokens(F.col("text")).alias("tokens"))
-    return select(rows, PRODUCTION).withColumnRenamed("tokens", "n_tokens").withColumn("copies", F.col("copies").cast("long"))
+    found = select(_leaves(read(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")), PRODUCTION).withColumnRenamed("tokens", "n_tokens")
+    parts = F.array(F.struct(F.col("more").alias("n"), (F.col("copies") + 1).alias("c")), F.struct((F.col("rows") - F.col("more")).alias("n"), F.col("copies").alias("c")))
+    found = found.withColumn("part", F.explode(F.filter(parts, lambda p: (p["n"] > 0) & (p["c"] > 0)))).withColumn("n", F.col("part.n"))
+    return _repeat(found, "n").select("doc_id", *PRODUCTION.levels, "n_tokens", F.col("part.c").cast("long").alias("copies"))
 
 
 def _oracle() -> str:

@@ -1,14 +1,18 @@
 """Quality: regularised quadratic discriminant over transformed document statistics.
 
 Each class has a mean and a covariance shrunk towards the pooled covariance and then
-towards a scaled identity; its Cholesky factor is computed once and kept. A text's score
-is the logistic of the difference of the two log densities (half the squared Mahalanobis
-distances, from triangular solves, plus log determinants and log priors).
+towards a scaled identity. Its Cholesky factor is computed once and kept together with the
+factor's inverse, so a Mahalanobis distance is one product with a triangular matrix. A
+text's score is the logistic of the difference of the two log densities (half the squared
+distances, plus log determinants and log priors). The priors are the shares of the classes
+among all rows learned from, whatever the bound on the sample takes of each.
 
 Cases: null text counts as empty; the statistics of an empty text are all zero and it is
-scored like any other; rows whose label is null or whose document is absent are not
-learned from; if only one class was seen its prior decides (score 1 or 0); if none was,
-the score is 0.5. Repeated rows score alike; other columns pass through unread.
+scored like any other; very long texts are read whole, a slice at a time; rows whose label
+is null or whose document is absent are not learned from, and a document with both labels
+counts under each; if only one class was seen its prior decides (score 1 or 0); if none
+was, the score is 0.5. Repeated rows score alike and equal texts tie; other columns pass
+through unread, one named like the output is replaced.
 """
 
 from __future__ import annotations
@@ -21,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import arrowtext as at
-from .tables import bounded_batches, extended, held_out, read, sample_ids
+from .tables import bounded_batches, extended, held_out, read, sample_ids, sample_texts
 
 #: documented bound on what is learned from: rows of each class
 SAMPLE_PER_CLASS = 20_000
@@ -86,11 +90,17 @@ def statistics(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 class Gaussian:
     log_prior: float
     mean: np.ndarray
-    factor: np.ndarray  # lower Cholesky factor of the shrunk covariance
+    whiten: np.ndarray  # inverse of the lower Cholesky factor of the shrunk covariance
+    half_log_det: float
+
+    @classmethod
+    def of(cls, prior: float, mean: np.ndarray, covariance: np.ndarray) -> Gaussian:
+        factor = np.linalg.cholesky(covariance)
+        return cls(float(np.log(prior)), mean, np.linalg.inv(factor), float(np.log(np.diag(factor)).sum()))
 
     def log_density(self, x: np.ndarray) -> np.ndarray:
-        z = np.linalg.solve(self.factor, (x - self.mean).T)
-        return self.log_prior - 0.5 * (z * z).sum(axis=0) - np.log(np.diag(self.factor)).sum()
+        z = (x - self.mean) @ self.whiten.T
+        return self.log_prior - 0.5 * (z * z).sum(axis=1) - self.half_log_det
 
 
 @dataclass(frozen=True)
@@ -109,20 +119,22 @@ class Qda:
         return 1 / (1 + np.exp(-np.clip(gap, -35, 35)))
 
 
-def fit_rows(x: np.ndarray, y: np.ndarray, to_pooled: float = 0.05, to_identity: float = 0.01) -> Qda:
+def fit_rows(x: np.ndarray, y: np.ndarray, seen: dict[int, int] | None = None, to_pooled: float = 0.05, to_identity: float = 0.01) -> Qda:
+    """seen: rows of each class among all that there are to learn from; else those of y."""
     if not len(x):
         return Qda(np.zeros(0), np.ones(0), {})
     centre, scale = x.mean(axis=0), x.std(axis=0)
     scale = np.where(scale > 1e-9, scale, 1.0)
     z = (x - centre) / scale
     own = {c: z[y == c] for c in (0, 1) if (y == c).any()}
+    seen = {c: (seen or {}).get(c, len(v)) for c, v in own.items()}
     cov = {c: np.cov(v.T, bias=True).reshape(z.shape[1], z.shape[1]) for c, v in own.items()}
     pooled = sum(len(v) * cov[c] for c, v in own.items()) / len(z)
     classes = {}
     for c, v in own.items():
         s = (1 - to_pooled) * cov[c] + to_pooled * pooled
         s = (1 - to_identity) * s + to_identity * max(np.trace(s) / len(s), 1e-6) * np.eye(len(s))
-        classes[c] = Gaussian(float(np.log(len(v) / len(z))), v.mean(axis=0), np.linalg.cholesky(s))
+        classes[c] = Gaussian.of(seen[c] / sum(seen.values()), v.mean(axis=0), s)
     return Qda(centre, scale, classes)
 
 
@@ -142,13 +154,15 @@ def with_statistics(docs: DataFrame, out: str = "stats") -> DataFrame:
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = SAMPLE_PER_CLASS) -> Qda:
-    """Learn from a bounded sample of labelled rows; the driver gets their statistics only."""
-    ids = sample_ids(labels, label, per_class, SEED)
-    # at most per_class rows for each of two values: bounded, so it may be broadcast
-    sample = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select(F.col(label).cast("int").alias("y"), "doc_id", "text")
+    """Learn from a bounded sample of labelled rows; the driver gets their statistics only.
+
+    Labels other than 0 and 1 are left out.
+    """
+    known = labels.select("doc_id", F.col(label).cast("int").alias("y")).where("y in (0, 1)")
+    sample = sample_texts(docs, sample_ids(known, "y", per_class, SEED), "y")
     got = with_statistics(sample).orderBy("doc_id", "y").toPandas()
     x = np.array(got["stats"].tolist()).reshape(len(got), len(STATISTICS))
-    return fit_rows(x, got["y"].to_numpy(int))
+    return fit_rows(x, got["y"].to_numpy(int), dict(zip(got["y"], got["seen"])))
 
 
 def score(docs: DataFrame, model: Qda, out: str = "score") -> DataFrame:

@@ -2,34 +2,18 @@
 
 from __future__ import annotations
 
-import os
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType, _parse_datatype_string
+from pyspark.sql.window import Window as W
 
-#: where tests and single-node runs keep what a cluster keeps in spark.checkpoint.dir
-FALLBACK_DIR = "/tmp/checkpoints"
+from ..sources.shared import materialized as materialize  # noqa: F401  (for the operators)
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the session names it."""
-    return spark.conf.get("spark.checkpoint.dir", None) or FALLBACK_DIR
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = os.path.join(shared_dir(spark), "weftgraph", f"{name}-{uuid.uuid4().hex}")
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def fold(doc_id: Column, k: int) -> Column:
     """crc32 of the id's decimal text, modulo k."""
     return F.crc32(doc_id.cast("string").cast("binary")) % k
@@ -40,21 +24,43 @@ def held_out(doc_id: Column, k: int, r: int) -> Column:
 
 
 def sample_ids(labelled: DataFrame, label: str, per_class: int, seed: int) -> DataFrame:
-    """At most per_class rows of each label value, those with the smallest seeded hash.
+    """(doc_id, label, seen): at most per_class documents of each label value, those with the
+    smallest seeded hash; seen is the number of rows that carry the value.
+
+    labelled has doc_id and the label; rows with a null in either are left out. A document
+    counts once under each of its values, however many rows say so. Values are not limited
+    in number: documents are counted by value (partially aggregated), a value with many is
+    first thinned by a bound on the hash to about twice per_class, and only then ranked, so
+    no class is gathered whole.
+    """
+    rows = labelled.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy(label, "doc_id").agg(F.count("*").alias("times"))
+    counts = rows.groupBy(label).agg(F.sum("times").alias("seen"), F.count("*").alias("distinct"))
+    # place of the hash in 0..1; a share of 2 k / n keeps fewer than k with a chance of e**(-k/4)
+    place = F.xxhash64(F.col("doc_id"), F.lit(seed)) / F.lit(float(1 << 64)) + 0.5
+    near = rows.join(counts, label).where(place <= F.lit(2.0 * per_class + 200) / F.col("distinct"))
+    ranked = near.withColumn("__rank", F.row_number().over(W.partitionBy(label).orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id")))
+    return ranked.where(F.col("__rank") <= per_class).select("doc_id", label, "seen")
+
+
+#: ids that may be broadcast, about 30 bytes each; more are joined by a shuffle
+BROADCAST_IDS = 1_000_000
+
+
+#: documented bound on what is learned from: bytes of one text; longer ones aren't learned from
+SAMPLE_TEXT_BYTES = 1 << 18
+
+
+def sample_texts(docs: DataFrame, ids: DataFrame, label: str) -> DataFrame:
+    """(doc_id, label, seen, text) of the sampled documents, one row for each of ids.
 
-    labelled has doc_id and the label; rows with a null in either are left out. Each
-    class is a top-k (partial per task, then merged), so no class is gathered whole.
+    Of several texts under one doc_id the smallest is taken (null counts as empty); ids
+    without a document, or with texts over SAMPLE_TEXT_BYTES only, are left out.
     """
-    rows = labelled.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", label)
-    key = F.xxhash64(F.col("doc_id"), F.lit(seed))
-    values = [r[0] for r in rows.select(label).distinct().limit(4096).collect()]
-    parts = [rows.where(F.col(label) == v).orderBy(key, "doc_id").limit(per_class) for v in sorted(values)]
-    if not parts:
-        return rows.limit(0)
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionAll(p)
-    return out.dropDuplicates(["doc_id"])
+    ids = materialize(ids, "sample")
+    few = ids.count() <= BROADCAST_IDS
+    docs = bounded_batches(docs).select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where(F.octet_length("text") <= SAMPLE_TEXT_BYTES)
+    found = docs.join(F.broadcast(ids) if few else ids, "doc_id")
+    return found.groupBy("doc_id", label, "seen").agg(F.min("text").alias("text"))
 
 
 def extended(schema: StructType, *more: tuple[str, str]) -> StructType:
@@ -71,7 +77,8 @@ def bounded_batches(df: DataFrame) -> DataFrame:
     """df, after seeing to it that its session sends Python workers small Arrow batches.
 
     The default of 10,000 rows is some 100 MB of documents for each running task, in the
-    JVM and again in Python. A session that asks for less is left as it is.
+    JVM and again in Python. A session that asks for less is left as it is. The setting is
+    the session's, as Spark has none for a single plan: it holds for later plans as well.
     """
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(df.sparkSession.conf.get(name, "10000")) <= ARROW_ROWS:

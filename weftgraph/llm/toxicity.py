@@ -5,11 +5,16 @@ text. FTRL-proximal gives every coordinate its own rate and, with the L1 term, e
 zeros, so what is broadcast is a list of (index, weight) whose length is bounded by the
 hash space (2**BITS) and in practice is a few thousand.
 
-Cases: null or empty text has no feature and scores by the bias alone; repeated rows
-score alike; labels that are null, or whose document is absent, are not learned from;
-with no labelled row at all the model is empty and every score is 0.5 before the bias
-(predicted 1 only if score >= 0.5, so the empty model's bias is set below zero). Extra
-columns are kept by ``score`` and never read. Tables without rows give no rows.
+The sample holds so many rows of each class at most; the bias is then moved by the log of
+the ratio in which the two classes were thinned, so it is that of all labelled rows. How
+much a positive row counts for against a negative one is a parameter (``positive``).
+
+Cases: null or empty text has no feature and scores by the bias alone; very long texts are
+read whole, a slice at a time; repeated rows score alike and equal texts tie; labels that
+are null, or whose document is absent, are not learned from, and a document with both
+labels counts under each; with no labelled row at all the model is one bias of -1, so
+every score is 0.269 and nothing is predicted toxic. Extra columns are kept by ``score``
+and never read, one named like the output is replaced. Tables without rows give no rows.
 """
 
 from __future__ import annotations
@@ -23,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import arrowtext as at
-from .tables import bounded_batches, extended, held_out, read, sample_ids
+from .tables import bounded_batches, extended, held_out, read, sample_ids, sample_texts
 
 BITS = 20
 #: documented bound on what is learned from: rows of each class
@@ -82,8 +87,11 @@ def _by_text(index: np.ndarray, owner: np.ndarray, n: int) -> list[np.ndarray]:
     return [key[cut[i] : cut[i + 1]].astype(np.int32) for i in range(n)]
 
 
-def fit_rows(rows: list[np.ndarray], y: np.ndarray, p: Ftrl = Ftrl()) -> ToxicityModel:
-    """Per-coordinate FTRL-proximal over one pass per epoch; the order is fixed by the seed."""
+def fit_rows(rows: list[np.ndarray], y: np.ndarray, p: Ftrl = Ftrl(), seen: dict[float, float] | None = None) -> ToxicityModel:
+    """Per-coordinate FTRL-proximal over one pass per epoch; the order is fixed by the seed.
+
+    seen: rows of each class among all labelled ones, if these rows are a sample.
+    """
     size = (1 << BITS) + 1  # the last is the bias, free of L1
     z, n = np.zeros(size), np.zeros(size)
     bias = size - 1
@@ -112,34 +120,37 @@ def fit_rows(rows: list[np.ndarray], y: np.ndarray, p: Ftrl = Ftrl()) -> Toxicit
     w = weights(everywhere)
     keep = w != 0
     b = float(weights(np.array([bias]))[0]) if len(rows) else -1.0
+    own = {c: int((y == c).sum()) for c in (0.0, 1.0)}
+    if seen and min(own.values()):
+        b += float(np.log(seen[1.0] / own[1.0]) - np.log(seen[0.0] / own[0.0]))
     return ToxicityModel(everywhere[keep].astype(np.int32), w[keep].astype(np.float32), b)
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = SAMPLE_PER_CLASS, params: Ftrl = Ftrl()) -> ToxicityModel:
     """Learn from a bounded sample of labelled rows, in one task; only the weights reach the driver."""
-    ids = sample_ids(labels, label, per_class, SEED)
-    # ids holds at most per_class rows for each of two values, so it may be broadcast
-    sample = bounded_batches(docs).select("doc_id", "text").join(F.broadcast(ids), "doc_id")
-    sample = sample.select("doc_id", "text", F.col(label).cast("double").alias("y"))
+    known = labels.select("doc_id", F.col(label).cast("int").alias("y")).where("y in (0, 1)")
+    # one row for each of at most 2 per_class labels, features capped by the texts' bytes
+    sample = sample_texts(docs, sample_ids(known, "y", per_class, SEED), "y").select("doc_id", "text", F.col("y").cast("double"), F.col("seen").cast("double"))
 
     def extract(batches):
         for batch in batches:
             for part in at.slices(batch):
                 found = _by_text(*features(*at.text_bytes(pc.utf8_lower(part.column(1)))), part.num_rows)
-                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(found, pa.list_(pa.int32())), part.column(2)], names=["doc_id", "f", "y"])
+                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(found, pa.list_(pa.int32())), part.column(2), part.column(3)], names=["doc_id", "f", "y", "seen"])
 
     def train(batches):
-        held = []
+        held, seen = [], {}
         for b in batches:
+            seen |= dict(zip(b.column(2).to_pylist(), b.column(3).to_pylist()))
             cut, flat = b.column(1).offsets.to_numpy(), b.column(1).values.to_numpy()
             held += [(i, flat[x:y].copy(), label_) for i, x, y, label_ in zip(b.column(0).to_pylist(), cut, cut[1:], b.column(2).to_pylist())]
         held.sort(key=lambda r: (r[0], len(r[1]), r[2]))
-        m = fit_rows([r[1] for r in held], np.array([r[2] for r in held]), params)
+        m = fit_rows([r[1] for r in held], np.array([r[2] for r in held]), params, seen)
         del held
         at.release()
         yield pa.RecordBatch.from_arrays([pa.array(np.append(m.index, -1), pa.int32()), pa.array(np.append(m.weight.astype(np.float64), m.bias), pa.float64())], names=["i", "w"])
 
-    found = sample.mapInArrow(extract, "doc_id long, f array<int>, y double").repartition(1).mapInArrow(train, "i int, w double").toPandas()
+    found = sample.mapInArrow(extract, "doc_id long, f array<int>, y double, seen double").repartition(1).mapInArrow(train, "i int, w double").toPandas()
     found = found.sort_values("i")
     bias = float(found["w"][found["i"] == -1].iloc[0]) if (found["i"] == -1).any() else -1.0
     found = found[found["i"] >= 0]

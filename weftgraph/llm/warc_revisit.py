@@ -1,9 +1,9 @@
 """WARC: resolving not-modified revisits to the latest earlier full response.
 
-``resolve`` is an as-of join by canonical URL. It runs in two levels so that a URL with
-very many captures is no single task: within (URL, day) a range window finds the latest
-response before each revisit; across days only one row for each (URL, day) goes into a
-window by URL. A validator check and the header merge follow.
+``resolve`` is an as-of join by canonical URL. It runs in three levels so that a URL with
+very many captures is no single task: within (URL, minute) a range window finds the latest
+response before each revisit; minutes of a day, then days, are windows over one row for
+each (partially aggregated). A validator check and the header merge follow.
 
 * canonical URL: scheme, leading ``www.``, default port, fragment, ``utm_*`` parameters and
   trailing slashes are dropped; the host is lowercased.
@@ -11,11 +11,14 @@ window by URL. A validator check and the header merge follow.
 * validators: equal ETags if both have one, else equal Last-Modified if both have one,
   else there is nothing that contradicts. outcome: resolved, mismatch or unresolved.
 * merge: the response's headers, with those of PERMITTED that the revisit sends in their
-  place; names are lowercased.
+  place; names are lowercased. A name that one record has several times (in whatever case)
+  is one header whose values are joined by ", " (RFC 9110, 5.3), in order of the names as
+  sent, then of the values; null values are left out, a header with no other is null.
 
 Cases: null or empty URLs match nothing (unresolved); a null date has nothing earlier and
 is no candidate; null headers are empty; repeated records are resolved alike, one row for
-each revisit row; columns not named below are ignored. Empty tables give no rows.
+each revisit row; very long URLs and headers are kept whole; columns not named below are
+ignored. Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -28,7 +31,7 @@ from .tables import read
 
 #: fixed values: headers that a 304 response may update (RFC 9110, 15.4.5)
 PERMITTED = ["cache-control", "content-location", "date", "etag", "expires", "vary"]
-DAY = 86_400
+MINUTE, DAY = 60, 86_400
 
 
 def canonical_url(url: Column) -> Column:
@@ -43,8 +46,17 @@ def canonical_url(url: Column) -> Column:
 
 
 def _lower_keys(headers: Column) -> Column:
+    """Entries of headers by lowercased name, each name once."""
     entries = F.coalesce(F.map_entries(headers), F.expr("cast(array() as array<struct<key:string,value:string>>)"))
-    return F.transform(entries, lambda e: F.struct(F.lower(e["key"]).alias("key"), e["value"].alias("value")))
+    entries = F.transform(F.array_sort(entries), lambda e: F.struct(F.lower(e["key"]).alias("key"), e["value"].alias("value")))
+    names = F.array_distinct(F.transform(entries, lambda e: e["key"]))
+
+    def merged(name: Column) -> Column:
+        values = F.filter(F.transform(F.filter(entries, lambda e: e["key"] == name), lambda e: e["value"]), lambda v: v.isNotNull())
+        return F.struct(name.alias("key"), F.when(F.size(values) > 0, F.array_join(values, ", ")).alias("value"))
+
+    # names that differ already are the usual case
+    return F.when(F.size(names) == F.size(entries), entries).otherwise(F.transform(names, merged))
 
 
 def resolve(records: DataFrame) -> DataFrame:
@@ -56,18 +68,19 @@ def resolve(records: DataFrame) -> DataFrame:
     kept = records.where("record_type in ('response', 'revisit')").select(
         "record_id", "record_type", "url", "date", "etag", "last_modified", _lower_keys(F.col("headers")).alias("headers"), "payload_digest", "payload_length",
         F.nullif(canonical_url(F.col("url")), F.lit("")).alias("canonical_url"),
-    ).withColumn("day", F.floor(F.col("date") / DAY))
+    ).withColumn("day", F.floor(F.col("date") / DAY)).withColumn("minute", F.floor(F.col("date") / MINUTE))
     full = F.expr("record_type = 'response' and date is not null and canonical_url is not null")
     response = F.struct("date", "record_id", "etag", "last_modified", "payload_digest", "payload_length", "headers")
     kept = kept.withColumn("response", F.when(full, response))
     keyed = kept.where("canonical_url is not null and date is not null")
 
-    within = W.partitionBy("canonical_url", "day").orderBy("date").rangeBetween(W.unboundedPreceding, -1)
-    near = keyed.withColumn("same_day", F.max("response").over(within)).where("record_type = 'revisit'")
-    daily = keyed.groupBy("canonical_url", "day").agg(F.max("response").alias("last"))
-    before = W.partitionBy("canonical_url").orderBy("day").rowsBetween(W.unboundedPreceding, -1)
-    daily = daily.withColumn("earlier", F.max("last").over(before)).select("canonical_url", "day", "earlier")
-    found = near.join(daily, ["canonical_url", "day"], "left").withColumn("response", F.coalesce("same_day", "earlier")).drop("same_day", "earlier")
+    within = W.partitionBy("canonical_url", "minute").orderBy("date").rangeBetween(W.unboundedPreceding, -1)
+    near = keyed.withColumn("same_minute", F.max("response").over(within)).where("record_type = 'revisit'")
+    upto = lambda *by: W.partitionBy("canonical_url", *by[:-1]).orderBy(by[-1]).rowsBetween(W.unboundedPreceding, -1)
+    minutes = keyed.groupBy("canonical_url", "day", "minute").agg(F.max("response").alias("last"))
+    days = minutes.groupBy("canonical_url", "day").agg(F.max("last").alias("day_last")).withColumn("day_before", F.max("day_last").over(upto("day"))).drop("day_last")
+    minutes = minutes.withColumn("same_day", F.max("last").over(upto("day", "minute"))).drop("last").join(days, ["canonical_url", "day"])
+    found = near.join(minutes.drop("day"), ["canonical_url", "minute"], "left").withColumn("response", F.coalesce("same_minute", "same_day", "day_before")).drop("same_minute", "same_day", "day_before")
     loose = kept.where("record_type = 'revisit' and (canonical_url is null or date is null)").withColumn("response", F.lit(None).cast(kept.schema["response"].dataType))
     found = found.unionByName(loose)
 
