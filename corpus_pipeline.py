@@ -4,8 +4,9 @@ Each stage takes (spark, docs, sf_dir) and returns the columns of documents; ``r
 each stage's rows to the shared folder and reads them back as the next one's docs.
 
 Cases: a stage keeps rows that its operator can't judge (null or empty text, null doc_id);
-repeated rows are copies of each other and the copy stage keeps one; extra columns are
-carried along; empty tables give no rows.
+repeated rows are copies of each other and the copy stage keeps one; rows of one doc_id with
+different texts are different documents there; the leak stage drops a doc_id if any of its
+rows leaks; extra columns are carried along; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -26,10 +27,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near copies: the one of the least doc_id."""
-    gone = jaccard_join.join(docs).where("class_id <> doc_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    # rows repeated under one doc_id are copies too; rows without doc_id stay
-    return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionAll(kept.where("doc_id is null"))
+    return jaccard_join.keep_one(docs).select(*docs.columns)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
