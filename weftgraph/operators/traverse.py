@@ -1,10 +1,12 @@
 """Bounded traversal of an edge table by level-wise joins.
 
-A path is a row: its steps, the nodes it has seen, its cost and uncertainty. Each level is
-one equi-join of the frontier with the edges that the traversal allows, so Catalyst picks
-the join and prunes edges by relation in the scan. Levels are cut to max_edges_visited by
-a distributed top-k, which is exact: discovery order is (depth, step keys), and a row
-beyond the cap can only have descendants beyond it.
+A path is a row: its steps, the nodes it has seen, its cost and uncertainty. Edges are
+written once as a step table (see ``sources.store``); each level is one join of it with the
+frontier, which holds max_edges_visited rows at most and is therefore the broadcast side.
+A level reads only the relations that are followed and the buckets that the frontier falls
+into, is cut to what is left of the budget by a distributed top-k, and is written, so no
+level is planned or run twice; an empty frontier ends the traversal. The cut is exact:
+discovery order is (depth, step keys), and a row beyond it can only have descendants beyond.
 """
 
 from __future__ import annotations
@@ -15,6 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import expr
+from ..sources.shared import materialized
+from ..sources.store import bucket, write_steps
 
 
 @dataclass(frozen=True)
@@ -29,17 +33,21 @@ class Limits:
 
 
 def both_ways(edges: DataFrame, forward: list[str], reverse: list[str]) -> DataFrame:
-    """Edges as steps (from, to) in the allowed directions."""
-    cols = ["id", "relation", "exactness", "confidence", "context"]
-    if "context" not in edges.columns:
-        edges = edges.withColumn("context", expr.edge_context(F.col("relation"), F.col("path"), F.col("head_id"), F.col("tail_id")))
-    ahead = edges.where(F.col("relation").isin(forward)).select(*cols, F.lit("forward").alias("direction"), F.col("head_id").alias("from"), F.col("tail_id").alias("to"))
-    back = edges.where(F.col("relation").isin(reverse)).select(*cols, F.lit("reverse").alias("direction"), F.col("tail_id").alias("from"), F.col("head_id").alias("to"))
-    return ahead.unionByName(back)
+    """Edges as steps (from, to) in the allowed directions; edges may be a step table already."""
+    steps = edges if "direction" in edges.columns else write_steps(edges)
+    return steps.where((F.col("direction") == "forward") & F.col("relation").isin(forward) | (F.col("direction") == "reverse") & F.col("relation").isin(reverse))
+
+
+def _of_buckets(steps: DataFrame, nodes: DataFrame, name: str) -> DataFrame:
+    """The buckets of a step table that nodes fall into; their number bounds what is collected."""
+    buckets = steps.schema["bucket"].metadata.get("buckets", 1) if "bucket" in steps.columns else 1
+    if buckets == 1:
+        return steps
+    return steps.where(F.col("bucket").isin([r[0] for r in nodes.select(bucket(F.col(name), buckets)).distinct().collect()]))
 
 
 def neighbors(edges: DataFrame, node: str, forward: list[str], reverse: list[str]) -> DataFrame:
-    return both_ways(edges, forward, reverse).where(F.col("from") == node).orderBy("to", "id")
+    return both_ways(edges, forward, reverse).where(F.col("from") == node).drop("bucket").orderBy("to", "id")
 
 
 def explore(edges: DataFrame, source: str, forward: list[str], reverse: list[str], limits: Limits) -> DataFrame:
@@ -50,19 +58,24 @@ def explore(edges: DataFrame, source: str, forward: list[str], reverse: list[str
     frontier = spark.createDataFrame([(source,)], "source string").select(
         "source", F.col("source").alias("target"), F.array("source").alias("seen"), F.expr(f"cast(array() as {step_type})").alias("steps"), F.expr("cast(array() as array<string>)").alias("keys"), F.lit(0.0).alias("cost"), F.lit(0.0).alias("uncertainty")
     )
-    levels = None
+    levels, left = None, limits.max_edges_visited
     for depth in range(1, limits.max_depth + 1):
         step = F.struct("id", "relation", "direction", "from", "to", "exactness", "confidence", "context")
-        reached = frontier.join(steps, frontier["target"] == steps["from"]).select(
+        near = _of_buckets(steps, frontier, "target")
+        # the frontier has max_edges_visited rows at most, so it may be broadcast
+        reached = near.join(F.broadcast(frontier), F.col("target") == F.col("from")).select(
             "source", F.col("to").alias("target"), "seen", F.array_append("steps", step).alias("steps"), F.array_append("keys", F.concat("to", F.lit("\u0001"), "id")).alias("keys"),
             (F.col("cost") + expr.step_cost(F.col("relation"), F.col("confidence"), F.col("exactness"), F.lit(float(depth)))).alias("cost"),
             (F.col("uncertainty") + expr.uncertainty(F.col("confidence"), F.col("exactness"))).alias("uncertainty"),
         )
         reached = reached.withColumn("ok", ~F.array_contains("seen", F.col("target"))).withColumn("depth", F.lit(depth))
-        reached = reached.orderBy("keys").limit(limits.max_edges_visited)
+        reached = materialized(reached.orderBy("keys").limit(left), "level")
         levels = reached if levels is None else levels.unionByName(reached)
         frontier = reached.where("ok").withColumn("seen", F.array_append("seen", F.col("target"))).drop("ok", "depth")
-    return levels.orderBy("depth", "keys").limit(limits.max_edges_visited).where("ok").drop("ok", "seen")
+        left -= reached.count()
+        if left <= 0 or frontier.isEmpty():
+            break
+    return levels.where("ok").drop("ok", "seen")
 
 
 def presented(paths: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from ..functions import expr
 from ..operators import queries as Q
 from ..operators import traverse as T
 from ..sources import projection as P
+from ..sources import store
 
 QUERIES, ORACLES = {}, {}
 WITH = f"WITH RECURSIVE {P.ENTITIES_SQL}, {P.EDGES_SQL}"
@@ -36,7 +37,7 @@ def _register_paths():
         q, roles, limits = Q.QUERIES[name], ROLES.get(name, {}), T.Limits(depth, cap, 10_000)
 
         def run(spark, sf_dir, q=q, roles=roles, source=source, limits=limits):
-            e = P.edges(spark, sf_dir)
+            e = store.steps(spark, sf_dir)
             return T.presented(q.run(Q.relabel(e, roles) if roles else e, source, limits))
 
         QUERIES[f"q_find_{name}"] = run
@@ -61,36 +62,36 @@ _ALL = ["CONTAINS"]
 
 @add("q_neighbors", f"{WITH} SELECT id, relation, 'forward' AS direction, head_id AS \"from\", tail_id AS \"to\" FROM edges WHERE relation IN ('CALLS', 'READS') AND head_id = 'o:1' UNION ALL SELECT id, relation, 'reverse', tail_id, head_id FROM edges WHERE relation = 'CALLS' AND tail_id = 'o:1'")
 def neighbors(spark, sf_dir):
-    return T.neighbors(P.edges(spark, sf_dir), "o:1", ["CALLS", "READS"], ["CALLS"]).select("id", "relation", "direction", "from", "to")
+    return T.neighbors(store.steps(spark, sf_dir), "o:1", ["CALLS", "READS"], ["CALLS"]).select("id", "relation", "direction", "from", "to")
 
 
 @add("q_trace_path", f"{WITH}, {T.path_sql('c:2', _ALL, _ALL, _TARGET, "target = 'c:5'", True)} {T.PRESENTED_SQL}")
 def trace_path(spark, sf_dir):
-    return T.presented(T.trace_path(P.edges(spark, sf_dir), "c:2", "c:5", _ALL, _TARGET))
+    return T.presented(T.trace_path(store.steps(spark, sf_dir), "c:2", "c:5", _ALL, _TARGET))
 
 
-@add("q_dijkstra", f"{WITH}, {T.path_sql('c:1', ['CALLS', 'READS', 'WRITES'], ['READS', 'WRITES'], T.Limits(3, 1, 10_000), 'depth = 2', True)} {T.PRESENTED_SQL}")
+@add("q_dijkstra", f"{WITH}, {T.path_sql('c:2', _ALL, _ALL, T.Limits(4, 1, 50_000), "target = 'c:5'", True)} {T.PRESENTED_SQL}")
 def dijkstra(spark, sf_dir):
-    return T.presented(T.k_shortest(P.edges(spark, sf_dir), "c:1", ["CALLS", "READS", "WRITES"], ["READS", "WRITES"], T.Limits(3, 1, 10_000), F.col("depth") == 2))
+    return T.presented(T.dijkstra(store.steps(spark, sf_dir), "c:2", "c:5", _ALL, _ALL, T.Limits(4, 1, 50_000)))
 
 
 @add("q_k_shortest", f"{WITH}, {T.path_sql('c:2', ['CALLS', 'WRITES', 'READS', 'FLOWS_TO'], [], T.Limits(3, 50, 10_000), 'true', True)} {T.PRESENTED_SQL}")
 def k_shortest(spark, sf_dir):
-    return T.presented(T.k_shortest(P.edges(spark, sf_dir), "c:2", ["CALLS", "WRITES", "READS", "FLOWS_TO"], [], T.Limits(3, 50, 10_000)))
+    return T.presented(T.k_shortest(store.steps(spark, sf_dir), "c:2", ["CALLS", "WRITES", "READS", "FLOWS_TO"], [], T.Limits(3, 50, 10_000)))
 
 
 @add("q_bfs_budget", f"{WITH}, {T.path_sql('s:2', [], ['CALLS'], T.Limits(2, 1000, 100))} {T.PRESENTED_SQL}")
 def bfs_budget(spark, sf_dir):
-    return T.presented(T.bounded_bfs(P.edges(spark, sf_dir), "s:2", [], ["CALLS"], T.Limits(2, 1000, 100)))
+    return T.presented(T.bounded_bfs(store.steps(spark, sf_dir), "s:2", [], ["CALLS"], T.Limits(2, 1000, 100)))
 
 
 @add("q_cycle_safe", f"{WITH}, {T.path_sql('r:1', ['CONTAINS'], ['CONTAINS'], T.Limits(3, 500, 5000))} {T.PRESENTED_SQL}")
 def cycle_safe(spark, sf_dir):
-    return T.presented(T.bounded_bfs(P.edges(spark, sf_dir), "r:1", ["CONTAINS"], ["CONTAINS"], T.Limits(3, 500, 5000)))
+    return T.presented(T.bounded_bfs(store.steps(spark, sf_dir), "r:1", ["CONTAINS"], ["CONTAINS"], T.Limits(3, 500, 5000)))
 
 
 def _paths(spark, sf_dir):
-    return T.k_shortest(P.edges(spark, sf_dir), "c:1", ["CALLS", "WRITES", "READS"], [], _NEAR)
+    return T.k_shortest(store.steps(spark, sf_dir), "c:1", ["CALLS", "WRITES", "READS"], [], _NEAR)
 
 
 _PATHS_SQL = f"{WITH}, {T.path_sql('c:1', ['CALLS', 'WRITES', 'READS'], [], _NEAR, 'true', True)}"
@@ -98,7 +99,7 @@ _PATHS_SQL = f"{WITH}, {T.path_sql('c:1', ['CALLS', 'WRITES', 'READS'], [], _NEA
 
 @add("q_impact_sections", f"{WITH}" + "".join(f", {n}_ AS (WITH RECURSIVE {T.path_sql('o:1', list(q.forward), list(q.reverse), T.Limits(2, 24, 5000), q.accept_sql(), q.shortest)} SELECT '{n}' AS section, source, target, list_aggregate(ids, 'string_agg', '|') AS edge_ids, round(cost, 6) AS cost FROM paths)" for n, q in Q.QUERIES.items()) + " " + " UNION ALL ".join(f"SELECT * FROM {n}_" for n in Q.QUERIES))
 def impact_sections(spark, sf_dir):
-    found = Q.impact(P.edges(spark, sf_dir), "o:1", T.Limits(2, 24, 5000))
+    found = Q.impact(store.steps(spark, sf_dir), "o:1", T.Limits(2, 24, 5000))
     return found.select("section", "source", "target", F.array_join(F.col("steps.id"), "|").alias("edge_ids"), F.round("cost", 6).alias("cost"))
 
 

@@ -12,6 +12,7 @@ from ..operators import relational as R
 from ..operators import search as S
 from ..operators import traverse as T
 from ..sources import projection as P
+from ..sources import store
 from ..sources.shared import materialized
 from ..streaming import incremental
 from .graph_queries import WITH
@@ -168,7 +169,7 @@ def trace_replay(s, d):
 @add("q_context_pack")
 def context_pack(s, d):
     """Seeds named in a prompt, callees and writes around them, evidence within a budget."""
-    edges, nodes = P.edges(s, d), P.entities(s, d)
+    edges, nodes = store.steps(s, d), P.entities(s, d)
     seeds = [r["id"] for r in S.symbol_search(nodes.where("kind = 'Function'"), "customer", 2).collect()]  # two seeds
     paths = None
     for seed in seeds:
