@@ -4,14 +4,11 @@ import pytest
 
 from weftgraph.plans import catalogue
 
-SLOW = {"q_impact_sections", "q_context_pack"}  # ten searches each
-
-
-@pytest.mark.parametrize("name", sorted(set(catalogue.ORACLES) - SLOW))
+@pytest.mark.parametrize("name", sorted(catalogue.ORACLES))
 def test_query_equals_sql(name, same):
     same(catalogue.QUERIES[name], catalogue.ORACLES[name])
 
 
-@pytest.mark.parametrize("name", ["q_stable_id", "q_text_signature"])
+@pytest.mark.parametrize("name", sorted(set(catalogue.QUERIES) - set(catalogue.ORACLES)))
 def test_rows_only(name, spark, sf_dir):
     assert catalogue.QUERIES[name](spark, sf_dir).limit(1).count() == 1

@@ -1,5 +1,7 @@
 """Small literal graphs: order, caps, cycles, hashes."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -114,3 +116,58 @@ def test_scope_lookup_climbs_to_the_top_and_ends_on_cycles(spark):
     uses = spark.createDataFrame([("s0", "x"), ("s0", "y"), ("s3", "y"), ("s0", "z"), ("s0", "none"), ("a", "x")], "scope string, name string")
     got = sorted(map(tuple, ingest.scope_lookup(uses, parents, symbols).collect()), key=str)
     assert got == sorted([("s0", "x", 1), ("s0", "y", 2), ("s3", "y", 3), ("s0", "z", None)], key=str)
+
+
+def test_phrases_and_plain_terms(spark):
+    docs = spark.createDataFrame([(1, "foo bar x"), (2, "bar foo"), (3, "Foo-BAR foo.bar"), (4, None), (5, "foobar"), (6, "a a a")], "id int, text string")
+    assert search.query_phrases("foo_bar x a.b") == [("foo", "bar"), ("a", "b")]
+    assert [r["id"] for r in search.bm25(docs, "foo_bar", 10).collect()] == [3, 1]
+    assert {r["id"] for r in search.bm25(docs, "foo bar", 10).collect()} == {1, 2, 3}
+    assert [r["id"] for r in search.bm25(docs, "a_a", 10).collect()] == [6] and search.bm25(docs, "?", 10).count() == 0
+
+
+def test_signature_equals_votes(spark):
+    def plain(t):
+        tokens = [x for x in re.split(r"[^A-Za-z0-9_.]+", t) if x] or [t.strip()]
+        out = []
+        for w in range(4):
+            votes = [0] * 64
+            for x in tokens:
+                h = (hashing.OFFSET ^ (w * hashing.GOLDEN)) & (2**64 - 1)
+                for byte in x.lower().encode():
+                    h = ((h ^ byte) * 1099511628211) & (2**64 - 1)
+                h ^= h >> 32
+                votes = [v + (1 if h >> b & 1 else -1) for b, v in enumerate(votes)]
+            word = sum(1 << b for b, v in enumerate(votes) if v >= 0)
+            out.append(word - (1 << 64) if word >> 63 else word)
+        return out
+
+    texts = ["one two Two", "\u00e9\u00e9", "a.b_c d", "x " * 300]
+    got = [r[0] for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").repartition(1).select("i", hashing.signature256("t").alias("s")).orderBy("i").select("s").collect()]
+    assert got == [plain(t) for t in texts]
+
+
+def test_step_table_in_buckets(chain, monkeypatch):
+    from weftgraph.sources import store
+
+    monkeypatch.setattr(store, "BUCKET_STEPS", 2)
+    steps = store.write_steps(chain)
+    assert steps.schema["bucket"].metadata["buckets"] > 1
+    assert sorted(ids(queries.QUERIES["callees"].run(steps, "a", traverse.Limits(6, 32)))) == ["e0", "e0|e1", "e3", "e3|e4"]
+    assert [r["to"] for r in traverse.neighbors(steps, "a", ["CALLS"], ["CALLS"]).collect()] == ["b", "c", "d"]
+
+
+def test_stream_merges_batches_and_goes_on(spark, tmp_path):
+    from weftgraph.streaming.incremental import stream_latest
+
+    def put(name, rows):
+        spark.createDataFrame(rows, "k int, n int, v string").coalesce(1).write.parquet(str(tmp_path / "in" / name))
+
+    schema = spark.createDataFrame([], "k int, n int, v string").schema
+    put("a", [(1, 1, "a"), (2, 1, "b")])
+    put("b", [(1, 2, "c"), (3, 1, "d")])
+    run = lambda: sorted(tuple(r) for r in stream_latest(spark, str(tmp_path / "in" / "*"), schema, ["k"], ["n"], root=str(tmp_path / "state")).collect())
+    assert run() == [(1, 2, "c"), (2, 1, "b"), (3, 1, "d")]
+    put("c", [(2, 5, "e"), (3, 0, "late")])
+    assert run() == [(1, 2, "c"), (2, 5, "e"), (3, 1, "d")]
+    assert run() == [(1, 2, "c"), (2, 5, "e"), (3, 1, "d")]

@@ -30,6 +30,9 @@ def fnv_many(texts: list[bytes], seed: int) -> np.ndarray:
     return h
 
 
+_TOKEN = re.compile(r"[^A-Za-z0-9_.]+")
+
+
 @pandas_udf(StringType())
 def fnv64_hex(text: pd.Series) -> pd.Series:
     """FNV-1a 64 of the UTF-8 bytes, 16 hex digits; null stays null."""
@@ -45,20 +48,29 @@ def stable_id(prefix: pd.Series, parts: pd.Series) -> pd.Series:
 
 @pandas_udf(ArrayType(LongType()))
 def signature256(text: pd.Series) -> pd.Series:
-    """256 sign bits of seeded token hashes, a bit set where the vote is >= 0."""
-    out = []
-    for t in text:
-        t = t or ""
-        tokens = [x for x in re.split(r"[^A-Za-z0-9_.]+", t) if x] or ([t.strip()] if t.strip() else [])
-        raw = [x.lower().encode() for x in tokens]
-        words = []
+    """256 sign bits of seeded token hashes, a bit set where the vote is >= 0.
+
+    Tokens of all texts of a batch are hashed at once, some hundred thousand at a time.
+    """
+    words = [[x for x in _TOKEN.split(t or "") if x] or ([t.strip()] if t and t.strip() else []) for t in text]
+    bounds = np.append(0, np.cumsum([len(w) for w in words]))
+    out = np.empty((len(words), 4), np.int64)
+    start = 0
+    while start < len(words):
+        end = max(start + 1, int(np.searchsorted(bounds, bounds[start] + 200_000, "right")) - 1)
+        distinct, place = np.unique(np.array([x.lower() for w in words[start:end] for x in w], object), return_inverse=True)
+        raw = [x.encode() for x in distinct.tolist()]
+        own = bounds[start : end + 1] - bounds[start]
         for w in range(4):
             h = fnv_many(raw, (OFFSET ^ (w * GOLDEN)) & (2**64 - 1))
             h ^= h >> np.uint64(32)
-            votes = (((h[:, None] >> np.arange(64, dtype=np.uint64)) & np.uint64(1)).astype(np.int64) * 2 - 1).sum(axis=0) if len(h) else np.zeros(64, int)
-            words.append(int(np.packbits(votes >= 0, bitorder="little").view(np.int64)[0]))
-        out.append(words)
-    return pd.Series(out)
+            bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little") if len(h) else np.zeros((0, 64), np.uint8)
+            total = np.zeros((len(place) + 1, 64), np.int32)
+            np.cumsum(bits[place], axis=0, out=total[1:], dtype=np.int32)
+            ones = total[own[1:]] - total[own[:-1]]
+            out[start:end, w] = np.packbits(2 * ones >= np.diff(own)[:, None], axis=1, bitorder="little").view(np.int64).ravel()
+        start = end
+    return pd.Series(out.tolist())
 
 
 def fact_digests(entities: DataFrame, edges: DataFrame) -> DataFrame:

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import math
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import expr
+from ..sources.shared import materialized
 
 
 def fts_terms(text: Column) -> Column:
@@ -13,35 +17,40 @@ def fts_terms(text: Column) -> Column:
     return F.filter(F.split(expr.ascii_lower(text), "[^a-z0-9]+"), lambda t: t != "")
 
 
-def query_terms(query: str) -> list[str]:
-    """Query tokens: runs of [A-Za-z0-9_.] of two characters or more, as index terms."""
-    import re
+def query_phrases(query: str) -> list[tuple[str, ...]]:
+    """Query tokens (runs of [A-Za-z0-9_.] of two characters or more), each as the index terms
+    that must follow one another: foo_bar is the phrase (foo, bar)."""
+    found = (tuple(t for t in re.split(r"[^a-z0-9]+", token.lower()) if t) for token in re.split(r"[^A-Za-z0-9_.]+", query) if len(token) >= 2)
+    return list(dict.fromkeys(p for p in found if p))
 
-    out = []
-    for token in re.split(r"[^A-Za-z0-9_.]+", query):
-        if len(token) >= 2:
-            out += [t for t in re.split(r"[^a-z0-9]+", token.lower()) if t]
-    return list(dict.fromkeys(out))
+
+def query_terms(query: str) -> list[str]:
+    """The distinct index terms of a query's tokens."""
+    return list(dict.fromkeys(t for p in query_phrases(query) for t in p))
 
 
 def bm25(docs: DataFrame, query: str, k: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """(id, score): the k best documents; docs (id, text). Postings are made for the query's
-    terms only, so the shuffle carries a row for each matching (document, term)."""
-    terms = query_terms(query)
-    tokens = docs.select("id", fts_terms(F.col("text")).alias("t"))
-    stats = tokens.agg(F.count("*").alias("n"), F.avg(F.size("t")).alias("avgdl")).first()
-    if not terms or not stats["n"]:
-        return docs.select("id", F.lit(0.0).alias("score")).limit(0)
-    count = lambda term: F.size(F.filter("t", lambda x: x == term))
-    tf = tokens.select("id", F.size("t").alias("dl"), F.filter(F.array(*(F.struct(F.lit(t).alias("term"), count(t).alias("tf")) for t in terms)), lambda p: p["tf"] > 0).alias("p")).where(F.size("p") > 0)
-    posts = tf.select("id", "dl", F.explode("p").alias("p")).select("id", "dl", "p.term", "p.tf")
-    df = {r["term"]: r["df"] for r in posts.groupBy("term").agg(F.count("*").alias("df")).collect()}  # a row for each query term
-    n, avgdl = stats["n"], stats["avgdl"]
-    import math
+    """(id, score): the k best documents; docs (id, text).
 
-    idf = {t: max(math.log((n - d + 0.5) / (d + 0.5)), 1e-6) for t, d in df.items()} or {"": 0.0}
-    one = expr.lookup(idf, F.col("term"), 0.0) * (F.col("tf") * (k1 + 1)) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / avgdl))
-    return posts.groupBy("id").agg(F.round(F.sum(one), 6).alias("score")).orderBy(F.desc("score"), "id").limit(k)
+    One pass over the texts counts the terms of each and the occurrences of each query phrase
+    by regular expressions, without making token lists; all that follows reads those counts.
+    """
+    phrases = query_phrases(query)
+    if not phrases:
+        return docs.select("id", F.lit(0.0).alias("score")).limit(0)
+    low = expr.ascii_lower(F.coalesce("text", F.lit("")))
+    # a phrase's later terms are looked at, not consumed, so that occurrences may overlap
+    rule = lambda p: "(?<![a-z0-9])" + p[0] + ("(?=[^a-z0-9]+" + "[^a-z0-9]+".join(p[1:]) + "(?![a-z0-9]))" if p[1:] else "(?![a-z0-9])")
+    counted = docs.select("id", low.alias("low")).select("id", F.regexp_count("low", F.lit("[a-z0-9]+")).alias("dl"), F.array(*(F.regexp_count("low", F.lit(rule(p))) for p in phrases)).alias("tf"))
+    counted = materialized(counted, "counts")
+    stats = counted.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *(F.count_if(F.col("tf")[i] > 0).alias(f"df{i}") for i in range(len(phrases)))).first()
+    n, avgdl = stats["n"], stats["avgdl"] or 1.0
+    score = F.lit(0.0)
+    for i in range(len(phrases)):
+        tf, idf = F.col("tf")[i], max(math.log((n - stats[f"df{i}"] + 0.5) / (stats[f"df{i}"] + 0.5)), 1e-6)
+        score = score + F.lit(idf) * (tf * (k1 + 1)) / (tf + k1 * (1 - b + b * F.col("dl") / avgdl))
+    hit = F.exists("tf", lambda x: x > 0)
+    return counted.where(hit).select("id", F.round(score, 6).alias("score")).orderBy(F.desc("score"), "id").limit(k)
 
 
 def overlap(docs: DataFrame, query_tokens: list[str], k: int) -> DataFrame:
@@ -88,8 +97,6 @@ def symbol_search(entities: DataFrame, query: str, k: int) -> DataFrame:
     """
     q = query.lower()
     name, qname, path = (expr.ascii_lower(F.col(c)) for c in ("name", "qualified_name", "path"))
-    import re
-
     tokens = sorted({t for t in re.sub("[^A-Za-z0-9]+", " ", re.sub("([a-z0-9])([A-Z])", r"\1 \2", query)).lower().split() if len(t) >= 2})
     share = F.size(F.array_intersect(F.array(*map(F.lit, tokens or [""])), expr.symbol_tokens(F.col("qualified_name")))) / max(len(tokens), 1)
     sub = name.rlike(".*".join(re.escape(c) for c in q))

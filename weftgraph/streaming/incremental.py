@@ -9,25 +9,36 @@ from ..operators.relational import latest
 from ..sources.shared import shared_path
 
 
-def stream_latest(spark: SparkSession, pattern: str, schema, keys: list[str], order: list[str], files_per_batch: int = 1) -> DataFrame:
+def _versions(spark: SparkSession, root: str) -> list[int]:
+    """Numbers of the whole versions under root, in order."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    fs = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    names = [f.getPath() for f in fs.listStatus(path)] if fs.exists(path) else []
+    done = [p.getName() for p in names if p.getName().startswith("v") and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+    return sorted(int(n[1:]) for n in done)
+
+
+def stream_latest(spark: SparkSession, pattern: str, schema, keys: list[str], order: list[str], files_per_batch: int = 1, root: str | None = None) -> DataFrame:
     """Read what matches pattern as a stream, keep the latest row of each key in versioned
     tables (one for each micro-batch), and return the last version.
 
-    A batch is idempotent: version n is made from version n - 1 and batch n alone, so a
-    batch that is tried again overwrites its own version.
+    A batch is idempotent: version n is made from the last version before it and batch n
+    alone, so a batch that is tried again overwrites its own version. All state is in root:
+    the stream's progress and the versions, so a call with the root of an earlier one goes on
+    from there and reads new files only.
     """
-    root, seen = shared_path(spark, "stream"), {}
+    root = root or shared_path(spark, "stream")
 
     def step(batch: DataFrame, n: int) -> None:
-        old = batch.sparkSession.read.parquet(f"{root}/v{n - 1}") if n - 1 in seen else None
-        rows = batch if old is None else old.unionByName(batch)
+        past = [v for v in _versions(batch.sparkSession, root) if v < n]
+        rows = batch.sparkSession.read.schema(schema).parquet(f"{root}/v{past[-1]}").unionByName(batch) if past else batch
         latest(rows, keys, order).write.mode("overwrite").parquet(f"{root}/v{n}")
-        seen[n] = True
 
     source = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(pattern)
     query = source.writeStream.trigger(availableNow=True).option("checkpointLocation", f"{root}/progress").foreachBatch(step).start()
     query.awaitTermination()
-    return spark.read.parquet(f"{root}/v{max(seen)}") if seen else spark.createDataFrame([], schema)
+    made = _versions(spark, root)
+    return spark.read.schema(schema).parquet(f"{root}/v{made[-1]}") if made else spark.createDataFrame([], schema)
 
 
 def replay(lines: DataFrame) -> DataFrame:
