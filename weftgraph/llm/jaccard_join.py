@@ -261,8 +261,8 @@ def _linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = materialize(rows.withColumn("row", F.monotonically_increasing_id()), "signatures")  # numbers that stay, once written
     known = rows.where("doc_id is not null and n_words > 0")
     classes = materialize(known.groupBy("k1", "k2").agg(F.min("row").alias("rep"), F.min(F.struct("doc_id", "text_hash")).alias("first"), F.count("*").alias("copies")), "classes")
-    reps = known.select("row", "sig").join(classes.select(F.col("rep").alias("row")), "row", "left_semi").withColumnRenamed("row", "rep")
-    reps = materialize(reps.join(classes, "rep").select("rep", "copies", "k1", "k2", F.col("first.doc_id").alias("doc_id"), "sig"), "representatives")
+    reps = known.select(F.col("row").alias("rep"), "sig").join(classes.hint("shuffle_hash"), "rep")
+    reps = materialize(reps.select("rep", "copies", "k1", "k2", F.col("first.doc_id").alias("doc_id"), "sig"), "representatives")
 
     banded = materialize(reps.select("rep", "sig").mapInArrow(_bands, "rep long, band long"), "bands")
     buckets = banded.groupBy("band").agg(F.min("rep").alias("least"), F.max("rep").alias("most")).where("least < most")
@@ -323,7 +323,8 @@ def keep_one(docs: DataFrame) -> DataFrame:
     lost = materialize(lost.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct(), "lost")
     twice = materialize(known.groupBy(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).count().where("count > 1").drop("count"), "twice")
     same = (F.col("doc_id").cast("long") == F.col("__id")) & (F.col("__own") == F.col("__hash"))
-    kept = docs.withColumn("__own", F.xxhash64("text")).join(lost, same, "left_anti")
+    # both sides grow with the documents: always a merge of two shuffles, at every size
+    kept = docs.withColumn("__own", F.xxhash64("text")).join(lost.hint("merge"), same, "left_anti")
     if twice.take(1):
         once = kept.join(twice, same, "left_anti")
         kept = once.unionByName(kept.join(twice, same, "left_semi").dropDuplicates(["doc_id", "__own"]))

@@ -167,7 +167,8 @@ def mix(docs: DataFrame, m: Mixture = PRODUCTION) -> DataFrame:
     chosen = materialize(chosen.select(F.col("doc_id").alias("__id"), F.col("row").alias("__row"), once.alias("__times"), (F.col("copies") * F.col("rows") + F.col("more")).alias("__all"), F.expr("more > 0 and more < rows").alias("__split")), "chosen")
     hashed = docs.withColumn("__own", rows_hash(docs))
     same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__row"))
-    out = _repeat(hashed.join(chosen.where("not __split and __times > 0").drop("__split", "__all"), same).drop("__id", "__row", "__own"), "__times")
+    # what is chosen grows with the documents: always a merge of two shuffles, at every size
+    out = _repeat(hashed.join(chosen.where("not __split and __times > 0").drop("__split", "__all").hint("merge"), same).drop("__id", "__row", "__own"), "__times")
     split = chosen.where("__split").drop("__split", "__times")
     if split.take(1):  # an entry of a leaf at most
         one = hashed.join(split, same).drop("__id", "__row").dropDuplicates(["doc_id", "__own"]).drop("__own").withColumnRenamed("__all", "__times")
