@@ -104,7 +104,7 @@ def test_split_entry_keeps_whole_epochs(spark):
 
 
 def _paragraphs(t):
-    return {x for x in re.sub(r"([^\n]{80,159}?[.!?]|[^\n]{160}\S*)[ \t]+", "\\1\n", t, flags=re.A).split("\n") if x.strip(" ")}
+    return {x for x in re.findall(r"[ \t]*([^\n]{80,159}?[.!?](?=[ \t])|[^\n]{160}\S*|[^\n]+)", t, flags=re.A) if x.strip(" ")}
 
 
 def test_fingerprint_strings_are_enough(spark):

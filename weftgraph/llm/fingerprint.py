@@ -12,9 +12,9 @@ with half as many groups, so one fingerprint is a ladder of sketches of all smal
 
 Likeness needs the two fingerprints and nothing else. Both are brought to one size;
 subtracting them cell by cell leaves the digests in which the sets differ, and peeling cells
-that hold a single one recovers them, at a quarter of that size first and, on failure, at
-the whole of it. If that fails too, each is peeled alone at its own size, which gives the
-sets themselves. Digests that even this can't part (three or more that hold each other's
+that hold a single one recovers them. On failure (foreseen if one is over FAR times as large
+as the other, or if over CROWDED of the cells are taken), each is peeled alone at its own
+size, which gives the sets themselves. Digests that even this can't part (three or more that hold each other's
 cells; about 1 text in 100 has such) are taken as differing and counted by the cells they
 leave. The result is the Jaccard similarity |A & B| / |A | B|, which follows from
 the set sizes and the number of differing digests; two empty sets: 1.
@@ -46,6 +46,7 @@ from pyspark.sql.window import Window as W
 from .tables import materialize, read
 
 CELLS, GROUP, FULL, RETRIES = 24, 10, 16, 4
+FAR, CROWDED = 2, 0.8
 RANGE_ROWS, RANGES = 4000, 1 << 16
 _THIRD = CELLS // 3
 _CHECK = "shiftrightunsigned(xxhash64({0}, 'check'), 48)"
@@ -62,8 +63,8 @@ def _let(value: str, name: str, body: str) -> str:
 
 
 def digests(text: Column) -> Column:
-    cut = F.regexp_replace(text, r"([^\n]{80,159}?[.!?]|[^\n]{160}\S*)[ \t]+", "$1\n")
-    lines = F.filter(F.split(cut, "\n", -1), lambda x: F.trim(x) != "")
+    units = r"[ \t]*([^\n]{80,159}?[.!?](?=[ \t])|[^\n]{160}\S*|[^\n]+)"
+    lines = F.filter(F.regexp_extract_all(text, F.lit(units), 1), lambda x: F.trim(x) != "")
     return F.array_sort(F.array_distinct(F.transform(lines, lambda x: F.xxhash64(x))))
 
 
@@ -115,11 +116,11 @@ def _differing(a: str, b: str) -> str:
     """SQL: number of digests in which sketches a and b differ."""
     alone = lambda x: f"aggregate(transform({x}, g -> {_peeled('g')}), named_struct('ds', cast(array() as array<bigint>), 'rest', 0L), (t, p) -> named_struct('ds', concat(t.ds, p.ds), 'rest', t.rest + p.rest))"
     sets = _let(f"named_struct('a', {alone('two.a')}, 'b', {alone('two.b')})", "own", "own.a.rest + own.b.rest + cast(size(array_except(own.a.ds, own.b.ds)) + size(array_except(own.b.ds, own.a.ds)) as bigint)")
-    full = _let(_summed("gap"), "whole", f"if(whole.rest = 0L, whole.d, {sets})")
-    quarter = _let(_summed(_folded("gap", "cast(size(gap) / 4 as int)")), "part", f"if(part.rest = 0L, part.d, {full})")
-    tried = f"if(size(gap) < 4, {full}, {quarter})"
     gap = _combined(_folded("two.a", "least(size(two.a), size(two.b))"), _folded("two.b", "least(size(two.a), size(two.b))"), "-")
-    return _let(f"named_struct('a', {a}, 'b', {b})", "two", _let(gap, "gap", tried))
+    taken = f"aggregate(gap, 0, (t, g) -> t + size(filter(g, c -> c.n <> 0L or c.x <> 0L)))"
+    tried = f"if({taken} > {CROWDED} * {CELLS} * size(gap), named_struct('d', 0L, 'rest', 1L), {_summed('gap')})"
+    near = f"if(greatest(size(two.a), size(two.b)) > {FAR} * least(size(two.a), size(two.b)), named_struct('d', 0L, 'rest', 1L), {_let(gap, 'gap', tried)})"
+    return _let(f"named_struct('a', {a}, 'b', {b})", "two", _let(near, "whole", f"if(whole.rest = 0L, whole.d, {sets})"))
 
 
 def written(size: Column, groups: Column) -> Column:
