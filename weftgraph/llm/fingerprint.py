@@ -14,9 +14,9 @@ Likeness needs the two fingerprints and nothing else. Both are brought to one si
 subtracting them cell by cell leaves the digests in which the sets differ, and peeling cells
 that hold a single one recovers them. On failure (foreseen if one is over FAR times as large
 as the other, or if over CROWDED of the cells are taken), each is peeled alone at its own
-size, which gives the sets themselves. Digests that even this can't part (three or more that hold each other's
-cells; about 1 text in 100 has such) are taken as differing and counted by the cells they
-leave. The result is the Jaccard similarity |A & B| / |A | B|, which follows from
+size, which gives the sets themselves. Digests that even this can't part (three or more that
+hold each other's cells; about 1 text in 100 has such) are counted by the cells they leave:
+as differing if the sets share nothing else, or else as few as the subtraction allows. The result is the Jaccard similarity |A & B| / |A | B|, which follows from
 the set sizes and the number of differing digests; two empty sets: 1.
 
 The fingerprint is written as the set's size (8 hex digits) and, for each cell, its count
@@ -115,10 +115,18 @@ def _summed(groups: str) -> str:
 def _differing(a: str, b: str) -> str:
     """SQL: number of digests in which sketches a and b differ."""
     alone = lambda x: f"aggregate(transform({x}, g -> {_peeled('g')}), named_struct('ds', cast(array() as array<bigint>), 'rest', 0L), (t, p) -> named_struct('ds', concat(t.ds, p.ds), 'rest', t.rest + p.rest))"
-    sets = _let(f"named_struct('a', {alone('two.a')}, 'b', {alone('two.b')})", "own", "own.a.rest + own.b.rest + cast(size(array_except(own.a.ds, own.b.ds)) + size(array_except(own.b.ds, own.a.ds)) as bigint)")
     gap = _combined(_folded("two.a", "least(size(two.a), size(two.b))"), _folded("two.b", "least(size(two.a), size(two.b))"), "-")
+    found = "cast(size(array_except(own.a.ds, own.b.ds)) + size(array_except(own.b.ds, own.a.ds)) as bigint)"
+    # of sets that share nothing else, what stays differs too; else one that stays in one sketch
+    # may be one that the other gave up and add two, but the subtraction gives a lower bound
+    least = _let(gap, "gap", _let(_summed("gap"), "part", f"greatest(part.d + part.rest, {found} - own.a.rest - own.b.rest)"))
+    sets = _let(f"named_struct('a', {alone('two.a')}, 'b', {alone('two.b')})", "own", f"if(own.a.rest + own.b.rest = 0L or not arrays_overlap(own.a.ds, own.b.ds), {found} + own.a.rest + own.b.rest, {least})")
     taken = f"aggregate(gap, 0, (t, g) -> t + size(filter(g, c -> c.n <> 0L or c.x <> 0L)))"
     tried = f"if({taken} > {CROWDED} * {CELLS} * size(gap), named_struct('d', 0L, 'rest', 1L), {_summed('gap')})"
+    # a digest that stays in one sketch may be one that the other gave up: each can add two
+    found = "cast(size(array_except(own.a.ds, own.b.ds)) + size(array_except(own.b.ds, own.a.ds)) as bigint)"
+    least = _let(gap, "gap", _let(_summed("gap"), "part", f"greatest(part.d + part.rest, {found} - own.a.rest - own.b.rest)"))
+    sets = sets.replace("EITHER", f"if(own.a.rest + own.b.rest = 0L, {found}, {least})")
     near = f"if(greatest(size(two.a), size(two.b)) > {FAR} * least(size(two.a), size(two.b)), named_struct('d', 0L, 'rest', 1L), {_let(gap, 'gap', tried)})"
     return _let(f"named_struct('a', {a}, 'b', {b})", "two", _let(near, "whole", f"if(whole.rest = 0L, whole.d, {sets})"))
 
