@@ -203,6 +203,58 @@ def test_license_edge_cases(spark, odd, none):
     assert license_scan.scan(odd).count() == 0 and license_scan.scan(none).count() == 0
 
 
+def _runs_by_force(text):
+    """Every run of two or more lines that aren't blank, compared with every template."""
+    from collections import Counter
+
+    def pairs(words):
+        return Counter(zip(words, words[1:]))
+
+    lines = [(i, re.sub("[^a-z0-9]+", " ", x.lower()).split()) for i, x in enumerate(text.split("\n"))]
+    lines = [x for x in lines if x[1]]
+    best = {}
+    for name, body in sorted(license_scan.TEMPLATES.items()):
+        b = pairs(re.sub("[^a-z0-9]+", " ", body.lower()).split())
+        size = sum(b.values())
+        for k in range(len(lines)):
+            first = lines[k][1] + (lines[k + 1][1][:1] if k + 1 < len(lines) else [])
+            if not pairs(first).keys() & b.keys():
+                continue
+            words = list(lines[k][1])
+            for e in range(k + 1, len(lines)):
+                last = [words[-1]] + lines[e][1] + (lines[e + 1][1][:1] if e + 1 < len(lines) else [])
+                words = words + lines[e][1]
+                n = len(words) - 1
+                dice = 2 * sum((pairs(words) & b).values()) / (n + size)
+                if dice >= 0.8 - 1e-12 and pairs(last).keys() & b.keys() and (k, e) != (0, len(lines) - 1):
+                    new = (-dice, n, name, lines[e][0])
+                    best[lines[k][0]] = min(best.get(lines[k][0], new), new)
+    at, out = sorted(best), set()
+    for x, pos in enumerate(at):
+        mine, before, after = best[pos], best[at[x - 1]] if x else None, best[at[x + 1]] if x + 1 < len(at) else None
+        if not (before and before[3] >= pos and before[:2] <= mine[:2]) and not (after and at[x + 1] <= mine[3] and after[:2] < mine[:2]):
+            out.add((pos, mine[2], round(-mine[0], 6)))
+    return out
+
+
+def test_licenses_of_several_lines_inside_longer_texts(spark):
+    import random
+    import textwrap
+
+    mit, isc = license_scan.TEMPLATES["MIT:text"], license_scan.TEMPLATES["ISC:text"]
+    parts = mit.replace("conditions: ", "conditions:\n\n").replace("Software. THE", "Software.\n\nTHE")
+    code = "\n".join(f"def f{i}(x):\n    return x + {i}" for i in range(60))
+    texts = {1: f"import os\n\n{parts}\n\n{code}", 2: "an intro line\n" + "\n".join(textwrap.wrap(mit, 60)) + "\n" + code, 3: f"x\r\n{parts}\r\n{code}".replace("\n", "\r\n"), 4: "some\nLicensed under the\nMIT License.\nother words", 5: f"{parts}\n{code}\n{parts}\n{code}"}
+    draw = random.Random(5)
+    for i in range(6, 30):  # edited, wrapped anywhere, with other lines around and between
+        words = [draw.choice(["the", "license", "x"]) if draw.random() < 0.06 else w for w in draw.choice([mit, isc]).split()]
+        texts[i] = code[:300] + "\n" + "".join(w + (draw.choice(["\n", "\n\n", "\r\n"]) if draw.random() < 0.1 else " ") for w in words) + "\nof the software and the license\n" + code[:200]
+    df = spark.createDataFrame(sorted(texts.items()), "doc_id long, text string")
+    got = {(r["doc_id"], r["pos"], r["template"], r["dice"]) for r in license_scan.scan_runs(df).collect()}
+    assert {x[0] for x in got if x[2] == "MIT:text"} >= {1, 2, 3, 5} and (4, 1, "MIT:licensed", 1.0) in got and sum(x[0] == 5 for x in got) == 2
+    assert got == {(i, *x) for i, t in texts.items() for x in _runs_by_force(t)}
+
+
 def test_shortage_goes_to_siblings_first(spark):
     leaves = spark.createDataFrame([("a", "x", "s1", 10), ("a", "x", "s2", 1000), ("b", "y", "s3", 1000)], "domain string, lang string, source string, tokens long")
     m = mixture.Mixture(budget_share=0.5, max_epochs=1)

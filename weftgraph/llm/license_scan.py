@@ -1,7 +1,7 @@
 """License scans: Dice coefficient over word bigrams against licence templates.
 
 Native: only DataFrame functions. A text is scanned as a whole, by blocks (between blank
-lines) and by lines. A unit is lowercased, runs of other characters than a-z and 0-9
+lines), by lines and by runs of lines. A unit is lowercased, runs of other characters than a-z and 0-9
 become one blank, and its word bigrams are a multiset A; a template's are B. Dice is
 2 |A & B| / (|A| + |B|), and Dice >= t needs t / (2 - t) |B| <= |A| <= (2 - t) / t |B|. So
 the size of a unit, counted without splitting it, admits few templates or none: an
@@ -12,13 +12,25 @@ Reported is the best template of each unit that reaches the threshold (ties: the
 template id). A unit equal to a larger one of the same document (one block, one line) is
 scanned once.
 
+A run is two or more consecutive lines, blank ones aside, but not all of them: a licence of
+several paragraphs, or one that is wrapped, inside a longer text. A bigram lies in the line
+of its first word; a run's first line holds a bigram of the template, and its last one holds
+one or the second word of one (runs without are no better than shorter ones). Runs aren't
+built to be counted: a text must hold enough different bigrams of a template, and a run
+t / 2 (|A| + |B|) words at which one starts, before it is compared. The best run of each
+first line (dice, fewer words, template) is reported unless that of the run before or after
+it overlaps it and is better, so that the shifted forms of one licence count once. pos is
+the run's first line.
+
 Cases: null or empty texts, and units of fewer than two words, match nothing; rows
-repeated in documents give repeated rows; other columns aren't read. Empty tables give
-no rows.
+repeated in documents are reported once, and of rows of one doc_id with different texts the
+better of equal (kind, pos); "\\r" counts as blank space; other columns aren't read. Empty
+tables give no rows.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from functools import reduce
@@ -26,6 +38,7 @@ from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from .tables import read
 
@@ -123,7 +136,7 @@ def units(docs: DataFrame, sizes: list[int], needed: list[str]) -> DataFrame:
     whole = F.when(fits(total - 1), F.array(unit("text", F.lit(0), total - 1, F.col("flat")))).otherwise(none)
     fitting = F.filter(F.zip_with("counts", F.sequence(F.lit(0), F.size("counts") - 1), lambda n, i: F.struct(n.alias("n"), i.alias("i"))), lambda c: fits(c["n"] - 1) & F.exists(F.array(*map(F.lit, needed)), lambda w: F.contains(F.get("lines", c["i"]), w)))
     lines = F.when(F.size("lines") > 1, F.transform(fitting, lambda c: unit("line", c["i"], c["n"] - 1, F.get("lines", c["i"])))).otherwise(none)
-    d = d.withColumn("blocks", F.when(F.col("text").rlike(r"\n[ \t]*\n"), F.split("low", r"\n[ \t]*\n", -1)))
+    d = d.withColumn("blocks", F.when(F.col("text").rlike(r"\n[ \t\r]*\n"), F.split("low", r"\n[ \t\r]*\n", -1)))
     several = F.transform(F.col("blocks"), lambda x, i: F.struct(i.alias("i"), F.regexp_replace(x, "[^a-z0-9]+", " ").alias("u")))
     several = F.filter(several, lambda x: fits(_words(x["u"]) - 1))
     blocks = F.when((F.size("blocks") > 1) & (F.size("lines") != F.size("blocks") * 2 - 1), F.transform(several, lambda x: unit("block", x["i"], _words(x["u"]) - 1, x["u"]))).otherwise(none)
@@ -131,6 +144,70 @@ def units(docs: DataFrame, sizes: list[int], needed: list[str]) -> DataFrame:
     return rows.select("doc_id", "u.kind", "u.pos", "u.n", F.trim(F.regexp_replace("u.unit", "[ \n]+", " ")).alias("norm"))
 
 
+def _pairs(words: Column) -> Column:
+    return F.zip_with(F.slice(words, F.lit(1), F.size(words) - 1), F.slice(words, F.lit(2), F.size(words) - 1), lambda x, y: F.concat(x, F.lit(" "), y))
+
+
+def template_rows(templates: dict[str, str], threshold: float) -> list[dict]:
+    """For each template its size, admissible sizes, different bigrams, and how many of these
+    a text that holds a match must have."""
+    out = []
+    for k, v in sorted(templates.items()):
+        words = re.sub("[^a-z0-9]+", " ", v.lower()).split()
+        size, b = len(words) - 1, sorted({f"{x} {y}" for x, y in zip(words, words[1:])})
+        least = math.ceil(threshold / (2 - threshold) * size - 1e-9)
+        out.append({"template": k, "license": k.split(":")[0], "size": size, "low": least, "high": math.floor((2 - threshold) / threshold * size + 1e-9), "need": max(1, len(b) - size + least), "b": b})
+    return out
+
+
+def runs(docs: DataFrame, templates: dict[str, str], threshold: float) -> DataFrame:
+    """(doc_id, template, license, size, pos, last, norm, n): runs of lines that may match."""
+    rows = template_rows(templates, threshold)
+    listed = lambda b: F.split(F.lit("|".join(b)), r"\|", -1)
+    known = listed(sorted({p for r in rows for p in r["b"]}))
+    as_struct = lambda r: F.struct(*(F.lit(r[k]).alias(k) for k in ("template", "license", "size", "low", "high", "need")), listed(r["b"]).alias("b"))
+    needed = anchors(templates, threshold)
+    d = docs.where(F.contains("text", F.lit("\n"))).select("doc_id", F.lower("text").alias("low"))
+    d = d.where(reduce(or_, (F.contains("low", F.lit(w)) for w in needed), F.lit(False)))
+    lines = F.transform(F.split("low", "\n", -1), lambda x, i: F.struct(i.alias("i"), F.trim(F.regexp_replace(x, "[^a-z0-9]+", " ")).alias("s")))
+    d = d.select("doc_id", F.filter(lines, lambda x: x["s"] != "").alias("lines"))
+    d = d.withColumn("seen", F.array_intersect(_pairs(F.split(F.array_join("lines.s", " "), " ", -1)), known))
+    d = d.where(F.size("seen") >= min((r["need"] for r in rows), default=1))
+    fits = F.filter(F.array(*map(as_struct, rows)), lambda t: F.size(F.array_intersect("seen", t["b"])) >= t["need"])
+    d = d.select("doc_id", "lines", F.explode(fits).alias("t"))
+    # k: place among the lines that aren't blank; n words; h bigrams of the template that start in it; x: its last one ends in the next
+    one = lambda x, k: F.struct(x["i"].alias("i"), x["s"].alias("s"), F.split(F.trim(F.concat(x["s"], F.lit(" "), F.coalesce(F.substring_index(F.get("lines.s", k + 1), " ", 1), F.lit("")))), " ", -1).alias("w"), _words(x["s"]).alias("n"))
+    hit = lambda x: F.transform(_pairs(x["w"]), lambda p: F.array_contains("t.b", p))
+    d = d.withColumn("lines", F.transform("lines", one))
+    d = d.withColumn("lines", F.transform("lines", lambda x: F.struct(x["i"].alias("i"), x["s"].alias("s"), x["n"].alias("n"), hit(x).alias("f"))))
+    d = d.withColumn("lines", F.transform("lines", lambda x: F.struct(x["i"].alias("i"), x["s"].alias("s"), x["n"].alias("n"), F.size(F.filter(x["f"], lambda f: f)).alias("h"), ((F.size(x["f"]) == x["n"]) & F.coalesce(F.get(x["f"], x["n"] - 1), F.lit(False))).alias("x"))))
+    # from each first line onwards: words, bigrams that start before the line, whether one ends in it, and the ends found
+    start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("h"), F.lit(False).alias("x"), F.lit(0).alias("k"), F.expr("cast(array() as array<int>)").alias("ends"))
+    least = lambda n: F.lit(threshold / 2) * (n - 1 + F.col("t.size")) - 1e-9
+    ends = lambda s, x: F.when((s["k"] > 0) & ((x["h"] > 0) | s["x"]) & (s["n"] + x["n"] - 1).between(F.col("t.low"), F.col("t.high")) & (s["h"] + x["h"] >= least(s["n"] + x["n"])), F.concat(s["ends"], F.array(s["k"]))).otherwise(s["ends"])
+    step = lambda s, x: F.struct((s["n"] + x["n"]).alias("n"), (s["h"] + x["h"]).alias("h"), x["x"].alias("x"), (s["k"] + 1).alias("k"), ends(s, x).alias("ends"))
+    stop = lambda s, x: F.when(s["n"] > F.col("t.high") + 1, s).otherwise(step(s, x))
+    found = F.transform("lines", lambda x, k: F.when(x["h"] > 0, F.aggregate(F.slice("lines", k + 1, F.col("t.high") + 1), start, stop, lambda s: F.transform(s["ends"], lambda e: F.struct(k.alias("k"), (k + e).alias("e"))))))
+    d = d.withColumn("r", F.explode(F.flatten(F.filter(found, lambda x: x.isNotNull())))).where(~((F.col("r.k") == 0) & (F.col("r.e") == F.size("lines") - 1)))
+    norm = F.array_join(F.transform(F.slice("lines", F.col("r.k") + 1, F.col("r.e") - F.col("r.k") + 1), lambda x: x["s"]), " ")
+    end = lambda at: F.get("lines.i", F.col(f"r.{at}"))
+    return d.select("doc_id", "t.template", "t.license", "t.size", end("k").alias("pos"), end("e").alias("last"), norm.alias("norm"), (_words(norm) - 1).alias("n"))
+
+
+def scan_runs(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
+    """The runs that reach the threshold, as rows of scan."""
+    table = template_table(docs.sparkSession, templates, threshold).dropDuplicates(["template"]).select("template", "b")
+    near = with_bigrams(runs(docs, templates, threshold), "a").join(F.broadcast(table), "template")
+    dice = F.lit(2.0) * F.size(F.array_intersect("a", "b")) / (F.col("n") + F.col("size"))
+    scored = near.withColumn("dice", dice).where(F.col("dice") >= threshold - 1e-12)
+    best = scored.groupBy("doc_id", "pos").agg(F.min(F.struct((-F.col("dice")).alias("d"), "n", "template", "license", "last")).alias("best"))
+    by = W.partitionBy("doc_id").orderBy("pos")
+    rank = F.struct("best.d", "best.n")
+    best = best.withColumn("before", F.lag(F.struct(rank.alias("r"), F.col("best.last").alias("last"))).over(by)).withColumn("after", F.lead(F.struct(rank.alias("r"), F.col("pos").alias("pos"))).over(by))
+    kept = best.where(~F.coalesce((F.col("before.last") >= F.col("pos")) & (F.col("before.r") <= rank), F.lit(False)) & ~F.coalesce((F.col("after.pos") <= F.col("best.last")) & (F.col("after.r") < rank), F.lit(False)))
+    return kept.select("doc_id", F.lit("run").alias("kind"), "pos", "best.license", "best.template", F.round(-F.col("best.d"), 6).alias("dice"))
+
+
 def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, kind, pos, license, template, dice for every unit that reaches the threshold."""
     table = template_table(docs.sparkSession, templates, threshold)  # its size is the templates', whatever docs has
@@ -141,7 +218,8 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: floa
     scored = pairs.select("doc_id", "kind", "pos", "license", "template", dice.alias("dice")).where(F.col("dice") >= threshold - 1e-12)
     best = F.min(F.struct((-F.col("dice")).alias("d"), "template", "license")).alias("best")
     best = scored.groupBy("doc_id", "kind", "pos").agg(best)
-    return best.select("doc_id", "kind", "pos", "best.license", "best.template", F.round(-F.col("best.d"), 6).alias("dice"))
+    best = best.select("doc_id", "kind", "pos", "best.license", "best.template", F.round(-F.col("best.d"), 6).alias("dice"))
+    return best.unionByName(scan_runs(docs, templates, threshold))
 
 
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -160,7 +238,7 @@ t1 AS (SELECT template, license, {norm.format("body")} AS norm FROM t0),
 tw AS (SELECT template, license, string_split(norm, ' ') AS w FROM t1),
 t2 AS (SELECT template, license, {pairs.format("w")} AS p FROM tw),
 t AS (SELECT template, license, {number.format("p")} AS b, len(p) AS size FROM t2),
-d AS (SELECT doc_id, text, string_split(text, chr(10)) AS lines, regexp_split_to_array(text, '\n[ \t]*\n') AS blocks FROM documents WHERE text IS NOT NULL),
+d AS (SELECT doc_id, text, string_split(text, chr(10)) AS lines, regexp_split_to_array(text, '\n[ \t\r]*\n') AS blocks FROM documents WHERE text IS NOT NULL),
 u AS (
   SELECT doc_id, 'text' AS kind, 0 AS pos, text AS unit FROM d
   UNION ALL SELECT doc_id, 'block', (i - 1)::INT, blocks[i] FROM (SELECT *, unnest(range(1, len(blocks) + 1)) AS i FROM d WHERE len(blocks) > 1 AND len(lines) <> len(blocks) * 2 - 1)
@@ -172,9 +250,28 @@ k AS (SELECT * FROM s WHERE n > 0 AND EXISTS (SELECT 1 FROM t WHERE n BETWEEN si
 w AS (SELECT doc_id, kind, pos, n, string_split(norm, ' ') AS w FROM k),
 p AS (SELECT doc_id, kind, pos, n, {pairs.format("w")} AS p FROM w),
 a AS (SELECT doc_id, kind, pos, n, {number.format("p")} AS a FROM p),
+r0 AS (SELECT doc_id, (i - 1)::INT AS pos, {norm.format("lines[i]")} AS s FROM (SELECT *, unnest(range(1, len(lines) + 1)) AS i FROM d WHERE len(lines) > 1)),
+r1 AS (SELECT doc_id, pos, string_split(s, ' ') AS w, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS k, count(*) OVER (PARTITION BY doc_id) AS of_ FROM r0 WHERE s <> ''),
+r2 AS (SELECT *, lead(w[1]) OVER (PARTITION BY doc_id ORDER BY k) AS nxt, sum(len(w)) OVER (PARTITION BY doc_id ORDER BY k) AS upto FROM r1),
+r3 AS (SELECT *, list_transform(list_zip(w, w[2:] || [nxt]), lambda z: z[1] || ' ' || z[2]) AS pw FROM r2),
+hl AS (SELECT doc_id, k, template, count(*) AS h, bool_or(j = len(pw)) AS x FROM (SELECT doc_id, k, pw, unnest(pw) AS q, unnest(range(1, len(pw) + 1)) AS j FROM r3) JOIN (SELECT template, unnest(list_distinct(p)) AS q FROM t2) USING (q) GROUP BY ALL),
+rr AS (SELECT f.doc_id, f.k, l.k AS e, f.pos, l.pos AS last, t.template, (l.upto - f.upto + len(f.w) - 1)::INT AS n, t.size, t.license, t.b
+  FROM hl JOIN r3 f ON f.doc_id = hl.doc_id AND f.k = hl.k JOIN t ON t.template = hl.template
+  JOIN r3 l ON l.doc_id = f.doc_id AND l.k > f.k AND l.upto - f.upto + len(f.w) - 1 BETWEEN size * {THRESHOLD} / (2 - {THRESHOLD}) - 1e-9 AND size * (2 - {THRESHOLD}) / {THRESHOLD} + 1e-9
+  LEFT JOIN hl a ON a.doc_id = l.doc_id AND a.k = l.k AND a.template = hl.template LEFT JOIN hl c ON c.doc_id = l.doc_id AND c.k = l.k - 1 AND c.template = hl.template
+  WHERE (a.h IS NOT NULL OR c.x) AND NOT (f.k = 1 AND l.k = l.of_)
+    AND (SELECT sum(h) FROM hl y WHERE y.doc_id = f.doc_id AND y.template = hl.template AND y.k BETWEEN f.k AND l.k) >= {THRESHOLD} / 2 * (l.upto - f.upto + len(f.w) - 1 + t.size) - 1e-9),
+rw AS (SELECT rr.doc_id, rr.k, e, template, any_value(rr.pos) AS pos, any_value(last) AS last, any_value(n) AS n, any_value(size) AS size, any_value(license) AS license, any_value(b) AS b, flatten(list(r3.w ORDER BY r3.k)) AS w FROM rr JOIN r3 ON r3.doc_id = rr.doc_id AND r3.k BETWEEN rr.k AND rr.e GROUP BY rr.doc_id, rr.k, e, template),
+rp AS (SELECT * EXCLUDE w, {pairs.format("w")} AS p FROM rw),
+ra AS (SELECT * EXCLUDE p, {number.format("p")} AS a FROM rp),
+rd AS (SELECT *, 2.0::DOUBLE * len(list_intersect(a, b)) / (n + size) AS dice FROM ra),
+rb AS (SELECT * FROM rd WHERE dice >= {THRESHOLD} - 1e-12 QUALIFY row_number() OVER (PARTITION BY doc_id, pos ORDER BY dice DESC, n, template) = 1),
+rl AS (SELECT *, lag(last) OVER v AS last0, lag(dice) OVER v AS dice0, lag(n) OVER v AS n0, lead(pos) OVER v AS pos1, lead(dice) OVER v AS dice1, lead(n) OVER v AS n1 FROM rb WINDOW v AS (PARTITION BY doc_id ORDER BY pos)),
+kept AS (SELECT * FROM rl WHERE NOT coalesce(last0 >= pos AND (dice0 > dice OR dice0 = dice AND n0 <= n), false) AND NOT coalesce(pos1 <= last AND (dice1 > dice OR dice1 = dice AND n1 < n), false)),
 x AS (SELECT doc_id, kind, pos, license, template, 2.0::DOUBLE * len(list_intersect(a, b)) / (n + size) AS dice FROM a JOIN t ON n BETWEEN size * {THRESHOLD} / (2 - {THRESHOLD}) - 1e-9 AND size * (2 - {THRESHOLD}) / {THRESHOLD} + 1e-9)
-SELECT doc_id, kind, pos, license, template, round(dice, 6) AS dice FROM x WHERE dice >= {THRESHOLD} - 1e-12
-QUALIFY row_number() OVER (PARTITION BY doc_id, kind, pos ORDER BY dice DESC, template) = 1
+SELECT * FROM (SELECT doc_id, kind, pos, license, template, round(dice, 6) AS dice FROM x WHERE dice >= {THRESHOLD} - 1e-12
+QUALIFY row_number() OVER (PARTITION BY doc_id, kind, pos ORDER BY dice DESC, template) = 1)
+UNION ALL SELECT doc_id, 'run', pos, license, template, round(dice, 6) FROM kept
 """
 
 
