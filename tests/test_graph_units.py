@@ -171,3 +171,23 @@ def test_stream_merges_batches_and_goes_on(spark, tmp_path):
     put("c", [(2, 5, "e"), (3, 0, "late")])
     assert run() == [(1, 2, "c"), (2, 5, "e"), (3, 1, "d")]
     assert run() == [(1, 2, "c"), (2, 5, "e"), (3, 1, "d")]
+
+
+def test_interning_keeps_known_ids_and_goes_on_after_them(spark):
+    from weftgraph.operators import upkeep
+
+    rows = spark.createDataFrame([("b",), ("a",), ("b",), (None,), ("z",)], "v string")
+    known = spark.createDataFrame([("z", 7)], "value string, id int")
+    assert {(r["value"], r["id"]) for r in upkeep.interned(rows, "v", known).collect()} == {("z", 7), ("a", 8), ("b", 9)}
+    assert {(r["value"], r["id"]) for r in upkeep.interned(rows, "v", known.limit(0)).collect()} == {("a", 1), ("b", 2), ("z", 3)}
+    assert upkeep.interned(rows.limit(0), "v", known.limit(0)).count() == 0
+
+
+def test_upkeep_of_empty_tables(spark):
+    from weftgraph.operators import upkeep
+
+    none = spark.createDataFrame([], "id long, hamming int")
+    assert upkeep.next_id([none, none], "id").first()[0] == 1
+    assert upkeep.union_seeds(none, none).count() == 0
+    assert upkeep.counts({"a": none}).collect()[0]["rows"] == 0
+    assert upkeep.context_ratios(none, {"x": ("hamming", "id")}).first()[0] is None
