@@ -68,12 +68,12 @@ def relabel(edges: DataFrame, relations: dict[str, str]) -> DataFrame:
 
 
 def event_flow(edges: DataFrame, source: str | None = None, limits: Limits = Limits()) -> DataFrame:
-    """Publish or emit step joined to the consumer's step on the same event node."""
+    """Publish or emit step joined to the consumer's step on the same event node; a consumer may be the source itself."""
     cols = lambda e, p: e.select(*(F.col(c).alias(f"{p}_{c}") for c in ("id", "relation", "head_id", "tail_id", "confidence", "exactness")))
     out, back = edges.where(F.col("relation").isin(*SOURCES)), edges.where(F.col("relation").isin(*SINKS))
     if source is not None:
         out = out.where(F.col("head_id") == source)
-    pairs = cols(out, "a").join(cols(back, "b"), (F.col("a_tail_id") == F.col("b_tail_id")) & (F.col("a_head_id") != F.col("b_head_id")))
+    pairs = cols(out, "a").join(cols(back, "b"), F.col("a_tail_id") == F.col("b_tail_id"))
     cost = lambda p, d: expr.step_cost(F.col(f"{p}_relation"), F.col(f"{p}_confidence"), F.col(f"{p}_exactness"), F.lit(float(d)))
     return pairs.select(F.col("a_head_id").alias("source"), F.col("b_head_id").alias("target"), F.col("a_tail_id").alias("event"), F.col("a_id").alias("publish_id"), F.col("b_id").alias("consume_id"), F.round(cost("a", 1) + cost("b", 2), 6).alias("cost")).orderBy("source", "target", "publish_id", "consume_id").limit(limits.max_paths)
 

@@ -106,7 +106,7 @@ def impact_sections(spark, sf_dir):
 @add("q_find_event_flow", _with({"READS": "PUBLISHES", "WRITES": "CONSUMES"}) + f""", a AS (SELECT * FROM edges WHERE relation = 'PUBLISHES' AND head_id = 'o:1'), b AS (SELECT * FROM edges WHERE relation = 'CONSUMES')
 SELECT a.head_id AS source, b.head_id AS target, a.tail_id AS event, a.id AS publish_id, b.id AS consume_id,
   round(0.9 + (1 - a.confidence) + CASE a.exactness WHEN 'exact' THEN 0 WHEN 'parser_verified' THEN 0.05 ELSE 0.35 END + 0.05 + 0.9 + (1 - b.confidence) + CASE b.exactness WHEN 'exact' THEN 0 WHEN 'parser_verified' THEN 0.05 ELSE 0.35 END + 0.1, 6)::DOUBLE AS cost
-FROM a JOIN b ON a.tail_id = b.tail_id AND a.head_id <> b.head_id ORDER BY 1, 2, 4, 5 LIMIT 500""")
+FROM a JOIN b ON a.tail_id = b.tail_id ORDER BY 1, 2, 4, 5 LIMIT 500""")
 def find_event_flow(spark, sf_dir):
     e = Q.relabel(P.edges(spark, sf_dir), {"READS": "PUBLISHES", "WRITES": "CONSUMES"})
     return Q.event_flow(e, "o:1", T.Limits(2, 500, 10_000))
