@@ -7,9 +7,11 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from ..functions import expr
-from .traverse import Limits, bounded_bfs, k_shortest
+from ..sources.shared import materialized
+from .traverse import Limits, best_first, both_ways, bounded_bfs, k_shortest, walk_sql
 
 
 @dataclass(frozen=True)
@@ -26,7 +28,7 @@ class PathQuery:
         rel = F.col("steps.relation")
         tests = [F.arrays_overlap(rel, F.array(*map(F.lit, g))) for g in self.must]
         if self.last:
-            tests.append(F.element_at(rel, -1).isin(*self.last))
+            tests.append(F.get(rel, F.size(rel) - 1).isin(*self.last))
         out = None
         for t in tests:
             out = t if out is None else out & t
@@ -67,23 +69,76 @@ def relabel(edges: DataFrame, relations: dict[str, str]) -> DataFrame:
     return edges.withColumn("relation", F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in relations.items() for x in kv]), F.col("relation")), F.col("relation")))
 
 
-def event_flow(edges: DataFrame, source: str | None = None, limits: Limits = Limits()) -> DataFrame:
-    """Publish or emit step joined to the consumer's step on the same event node; a consumer may be the source itself."""
-    cols = lambda e, p: e.select(*(F.col(c).alias(f"{p}_{c}") for c in ("id", "relation", "head_id", "tail_id", "confidence", "exactness")))
-    out, back = edges.where(F.col("relation").isin(*SOURCES)), edges.where(F.col("relation").isin(*SINKS))
-    if source is not None:
-        out = out.where(F.col("head_id") == source)
-    pairs = cols(out, "a").join(cols(back, "b"), F.col("a_tail_id") == F.col("b_tail_id"))
-    cost = lambda p, d: expr.step_cost(F.col(f"{p}_relation"), F.col(f"{p}_confidence"), F.col(f"{p}_exactness"), F.lit(float(d)))
-    return pairs.select(F.col("a_head_id").alias("source"), F.col("b_head_id").alias("target"), F.col("a_tail_id").alias("event"), F.col("a_id").alias("publish_id"), F.col("b_id").alias("consume_id"), F.round(cost("a", 1) + cost("b", 2), 6).alias("cost")).orderBy("source", "target", "publish_id", "consume_id").limit(limits.max_paths)
+def _ranked(relations: tuple[str, ...]) -> Column:
+    return F.array_position(F.array(*map(F.lit, relations)), F.col("relation"))
+
+
+def event_flow(edges: DataFrame, source: str, limits: Limits = Limits()) -> DataFrame:
+    """Paths from a publisher over an event to its consumers, and on along their calls.
+
+    Publish steps are taken by relation, then id, and each one's consumers likewise; every one
+    of both counts against one budget (max_edges_visited). A consumer is a path, followed by
+    the cheapest call paths from it (as ``k_shortest`` finds them, with the rest of the depth
+    and a budget of their own) until max_paths are found. A consumer may be the source itself.
+    """
+    steps = both_ways(edges, list(SOURCES), list(SINKS))
+    step = F.struct("id", "relation", "direction", "from", "to", "exactness", "confidence", "context")
+    out = steps.where((F.col("direction") == "forward") & F.col("relation").isin(*SOURCES) & (F.col("from") == source))
+    # no publish step beyond the budget is looked at, so these are few
+    out = materialized(out.withColumn("rank", _ranked(SOURCES)).orderBy("rank", "id").limit(limits.max_edges_visited).select("rank", "id", F.col("to").alias("event"), step.alias("first")), "publishers")
+    back = steps.where((F.col("direction") == "reverse") & F.col("relation").isin(*SINKS))
+    heard = back.join(F.broadcast(out.select("event").distinct()), F.col("from") == F.col("event"))
+    many = heard.groupBy("event").agg(F.count("*").alias("many"))
+    before = W.orderBy("rank", "id").rowsBetween(W.unboundedPreceding, -1)  # over max_edges_visited rows at most
+    out = out.join(many, "event", "left").withColumn("many", F.coalesce("many", F.lit(0))).withColumn("at", F.coalesce(F.sum(F.col("many") + 1).over(before), F.lit(0)) + 1)
+    # each consumer is a path, so the first max_paths are enough
+    nth = F.row_number().over(W.partitionBy("event").orderBy(_ranked(SINKS), "id"))
+    first = heard.withColumn("nth", nth).where(F.col("nth") <= limits.max_paths).select("event", "nth", F.col("to").alias("target"), step.alias("second"))
+    base = out.join(first, "event").withColumn("at", F.col("at") + F.col("nth")).where(F.col("at") <= limits.max_edges_visited).orderBy("at").limit(limits.max_paths)
+    cost = lambda s, d: expr.step_cost(F.col(f"{s}.relation"), F.col(f"{s}.confidence"), F.col(f"{s}.exactness"), F.lit(float(d)))
+    doubt = lambda s: expr.uncertainty(F.col(f"{s}.confidence"), F.col(f"{s}.exactness"))
+    key = lambda s: F.concat(F.col(f"{s}.to"), F.lit("\u0001"), F.col(f"{s}.id"))
+    base = materialized(base.select(
+        F.lit(source).alias("source"), "target", F.array("first", "second").alias("steps"), F.array(key("first"), key("second")).alias("keys"), (cost("first", 1) + cost("second", 2)).alias("cost"), (doubt("first") + doubt("second")).alias("uncertainty"), F.lit(2).alias("depth"), "at", F.lit(0).alias("place"),
+    ), "consumers")
+    found = base
+    if limits.max_depth > 2:
+        rest = Limits(limits.max_depth - 2, limits.max_paths, limits.max_edges_visited)
+        calls = best_first(edges, base.select(F.col("target").alias("source")), ["CALLS"], [], rest).where(F.col("place") <= limits.max_paths)
+        calls = calls.select(F.col("source").alias("from"), *(F.col(c).alias(f"c_{c}") for c in ("target", "steps", "keys", "cost", "uncertainty", "depth", "place")))
+        longer = base.join(calls, F.col("target") == F.col("from"))
+        found = base.unionByName(longer.select(
+            "source", F.col("c_target").alias("target"), F.concat("steps", "c_steps").alias("steps"), F.concat("keys", "c_keys").alias("keys"), (F.col("cost") + F.col("c_cost") + 0.1 * F.col("c_depth")).alias("cost"),
+            (F.col("uncertainty") + F.col("c_uncertainty")).alias("uncertainty"), (F.col("depth") + F.col("c_depth")).alias("depth"), "at", F.col("c_place").alias("place"),
+        ))
+    return found.orderBy("at", "place").limit(limits.max_paths).drop("at", "place").orderBy(F.round("cost", 6), "depth", "keys")
+
+
+def event_flow_sql(source: str, limits: Limits) -> str:
+    """DuckDB CTEs that end in `paths`; expects CTE edges."""
+    cost = "CASE relation " + " ".join(f"WHEN '{r}' THEN {v}" for r, v in expr.RELATION_COST.items()) + " ELSE 1.0 END"
+    penalty = "CASE exactness " + " ".join(f"WHEN '{r}' THEN {v}" for r, v in expr.EXACTNESS_PENALTY.items()) + " END"
+    quoted = lambda names: "[" + ", ".join(f"'{n}'" for n in names) + "]"
+    rest = Limits(max(1, limits.max_depth - 2), limits.max_paths, limits.max_edges_visited)
+    return f"""cost0 AS (SELECT *, ({cost})::DOUBLE AS rc, (least(greatest(1 - confidence, 0), 1) + {penalty})::DOUBLE AS unc FROM edges),
+con AS (SELECT *, row_number() OVER (PARTITION BY tail_id ORDER BY list_position({quoted(SINKS)}, relation), id) AS nth FROM cost0 WHERE relation IN {tuple(SINKS)}),
+pub AS (SELECT p.*, coalesce(sum(1 + many) OVER (ORDER BY list_position({quoted(SOURCES)}, relation), id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + 1 AS pos
+  FROM (SELECT c.*, (SELECT count(*) FROM con WHERE con.tail_id = c.tail_id) AS many FROM cost0 c WHERE relation IN {tuple(SOURCES)} AND head_id = '{source}') p),
+base AS (SELECT pos + nth AS pos, con.head_id AS target, [pub.id, con.id] AS ids, [pub.relation, con.relation] AS rels, [pub.tail_id || chr(1) || pub.id, con.head_id || chr(1) || con.id] AS keys,
+    pub.rc + pub.unc + con.rc + con.unc + 0.15 AS cost, pub.unc + con.unc AS uncertainty FROM pub JOIN con ON con.tail_id = pub.tail_id WHERE pos + nth <= {limits.max_edges_visited} ORDER BY 1 LIMIT {limits.max_paths}),
+{walk_sql('SELECT DISTINCT target AS source FROM base', ['CALLS'], [], rest, True)},
+calls AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY round(cost, 6), depth, keys) AS place FROM visited WHERE depth > 0 AND ok AND {limits.max_depth} > 2),
+paths AS (SELECT '{source}' AS source, * FROM (
+  SELECT target, ids, rels, cost, uncertainty, pos, 0 AS place FROM base
+  UNION ALL SELECT c.target, list_concat(b.ids, c.ids), list_concat(b.rels, c.rels), b.cost + c.cost + 0.1 * c.depth, b.uncertainty + c.uncertainty, pos, place FROM base b JOIN calls c ON c.source = b.target
+) ORDER BY pos, place LIMIT {limits.max_paths})"""
 
 
 def impact(edges: DataFrame, source: str, limits: Limits) -> DataFrame:
-    """Sections of all path queries, tagged."""
-    out = None
+    """Sections of all path queries and the event flow, tagged."""
+    out = event_flow(edges, source, limits).withColumn("section", F.lit("event_flow"))
     for name, q in QUERIES.items():
-        part = q.run(edges, source, limits).withColumn("section", F.lit(name))
-        out = part if out is None else out.unionByName(part)
+        out = out.unionByName(q.run(edges, source, limits).withColumn("section", F.lit(name)).select(*out.columns))
     return out
 
 

@@ -7,6 +7,13 @@ A level reads only the relations that are followed and the buckets that the fron
 into, is cut to what is left of the budget by a distributed top-k, and is written, so no
 level is planned or run twice; an empty frontier ends the traversal. The cut is exact:
 discovery order is (depth, step keys), and a row beyond it can only have descendants beyond.
+
+Best-first search (``best_first``) pops paths in order of cost, equal costs by length, then
+step keys, and its budget counts the edges that are looked at in that order. It runs in cost
+layers: no step costs less than the cheapest relation that is followed, so all open paths within
+that much of the cheapest one are popped together, and a running sum of their degrees says
+exactly which of them the budget still expands. Several origins are searched side by side,
+each with a budget of its own.
 """
 
 from __future__ import annotations
@@ -15,6 +22,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from ..functions import expr
 from ..sources.shared import materialized
@@ -78,6 +86,57 @@ def explore(edges: DataFrame, source: str, forward: list[str], reverse: list[str
     return levels.where("ok").drop("ok", "seen")
 
 
+STEPS = "array<struct<id:string,relation:string,direction:string,from:string,to:string,exactness:string,confidence:double,context:string>>"
+#: frontier rows that are broadcast; more are joined by a shuffle
+BROADCAST_ROWS = 50_000
+
+
+def best_first(edges: DataFrame, origins: DataFrame, forward: list[str], reverse: list[str], limits: Limits = Limits(), accept: Column | None = None) -> DataFrame:
+    """The paths that are popped before the budget is spent, with their place in that order.
+
+    origins (source) are different nodes. A path that is popped is expanded unless it has
+    max_depth steps: every edge of its end counts, also those that lead back; the path at
+    which the count passes max_edges_visited is popped but not expanded, and nothing after
+    it. An origin also ends once max_paths accepted paths are popped; accept is a condition
+    on path columns. Result: path columns, depth and place (from 1 for each source).
+    """
+    steps = both_ways(edges, forward, reverse)
+    least = min((expr.RELATION_COST.get(r, 1.0) for r in [*forward, *reverse]), default=1.0) + 0.05 - 2e-6
+    accept = F.lit(True) if accept is None else accept
+    start = origins.select("source").distinct().select("source", F.col("source").alias("target"), F.array("source").alias("seen"), F.expr(f"cast(array() as {STEPS})").alias("steps"), F.expr("cast(array() as array<string>)").alias("keys"), F.lit(0.0).alias("cost"), F.lit(0.0).alias("uncertainty"), F.lit(0).alias("depth"))
+    opened, popped, spent = materialized(start, "open"), None, None
+    order = W.partitionBy("source").orderBy(F.round("cost", 6), "depth", "keys")
+    while True:
+        n = opened.count()
+        if not n:
+            break
+        cheapest = opened.groupBy("source").agg(F.min("cost").alias("cheapest"))
+        layer = opened.join(cheapest, "source").withColumn("now", F.col("cost") < F.col("cheapest") + least).drop("cheapest")
+        near = _of_buckets(steps, opened.where(F.col("depth") < limits.max_depth), "target")
+        small = (lambda df: F.broadcast(df)) if n <= BROADCAST_ROWS else (lambda df: df)
+        ends = layer.where(F.col("now") & (F.col("depth") < limits.max_depth)).select(F.col("target").alias("from")).distinct()
+        degree = near.join(small(ends), "from").groupBy(F.col("from").alias("target")).agg(F.count("*").alias("degree"))
+        now = layer.where("now").drop("now").join(degree, "target", "left").withColumn("looked", F.when(F.col("depth") < limits.max_depth, F.coalesce("degree", F.lit(0))).otherwise(0).cast("long")).drop("degree")
+        before = F.lit(0) if spent is None else F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in spent.items() for x in kv)), F.col("source")), F.lit(0))
+        now = now.withColumn("upto", before + F.sum("looked").over(order.rowsBetween(W.unboundedPreceding, 0)))
+        now = materialized(now.where(F.col("upto") - F.col("looked") <= limits.max_edges_visited).withColumn("accepted", F.coalesce(accept, F.lit(False)) & (F.col("depth") > 0)), "popped")
+        popped = now if popped is None else popped.unionByName(now)
+        # an origin ends at its budget or its last path; there are few origins
+        state = popped.groupBy("source").agg(F.max("upto").alias("upto"), F.count_if("accepted").alias("accepted")).collect()
+        spent = {r["source"]: r["upto"] for r in state}
+        over = [r["source"] for r in state if r["upto"] > limits.max_edges_visited or r["accepted"] >= limits.max_paths]
+        going = ~F.col("source").isin(over) if over else F.lit(True)
+        step = F.struct("id", "relation", "direction", "from", "to", "exactness", "confidence", "context")
+        grown = near.join(small(now.where(going & (F.col("depth") < limits.max_depth))), F.col("target") == F.col("from")).where(~F.array_contains("seen", F.col("to"))).select(
+            "source", F.col("to").alias("target"), F.array_append("seen", F.col("to")).alias("seen"), F.array_append("steps", step).alias("steps"), F.array_append("keys", F.concat("to", F.lit("\u0001"), "id")).alias("keys"),
+            (F.col("cost") + expr.step_cost(F.col("relation"), F.col("confidence"), F.col("exactness"), F.col("depth") + 1.0)).alias("cost"),
+            (F.col("uncertainty") + expr.uncertainty(F.col("confidence"), F.col("exactness"))).alias("uncertainty"), (F.col("depth") + 1).alias("depth"),
+        )
+        opened = materialized(layer.where(~F.col("now") & going).drop("now").unionByName(grown), "open")
+    found = popped.where("depth > 0").withColumn("place", F.row_number().over(order)) if popped is not None else start.where("depth > 0").withColumn("accepted", F.lit(True)).withColumn("place", F.lit(1))
+    return found.drop("seen", "looked", "upto")
+
+
 def presented(paths: DataFrame) -> DataFrame:
     """Flat columns of paths: ids and relations joined, cost and uncertainty rounded."""
     return paths.select(
@@ -95,10 +154,9 @@ def bounded_bfs(edges: DataFrame, source: str, forward: list[str], reverse: list
 
 
 def k_shortest(edges: DataFrame, source: str, forward: list[str], reverse: list[str], limits: Limits = Limits(), accept: Column | None = None) -> DataFrame:
-    """The cheapest max_paths accepted paths; equal costs by length, then step keys."""
-    found = explore(edges, source, forward, reverse, limits)
-    if accept is not None:
-        found = found.where(accept)
+    """The first max_paths accepted paths that best-first search pops; equal costs by length, then step keys."""
+    origin = edges.sparkSession.createDataFrame([(source,)], "source string")
+    found = best_first(edges, origin, forward, reverse, limits, accept).where("accepted").drop("accepted", "place")
     return found.orderBy(F.round("cost", 6), "depth", "keys").limit(limits.max_paths)
 
 
@@ -117,21 +175,31 @@ def unique_paths(paths: DataFrame) -> DataFrame:
 
 def path_sql(source: str, forward: list[str], reverse: list[str], limits: Limits, accept: str = "true", shortest: bool = False) -> str:
     """DuckDB CTEs that end in `paths`, by recursion; expects CTE edges."""
+    found = "ORDER BY depth, keys LIMIT " + str(limits.max_paths)
+    if shortest:
+        found = f"ORDER BY round(cost, 6), depth, keys LIMIT {limits.max_paths}"
+    return f"""{walk_sql(f"SELECT '{source}' AS source", forward, reverse, limits, shortest)}, paths AS (SELECT * FROM visited WHERE depth > 0 AND ok AND ({accept}) {found})"""
+
+
+def walk_sql(starts: str, forward: list[str], reverse: list[str], limits: Limits, shortest: bool = False) -> str:
+    """DuckDB CTEs that end in `visited`: what a breadth-first or best-first search from each start (source) visits."""
     cost = "CASE relation " + " ".join(f"WHEN '{r}' THEN {v}" for r, v in expr.RELATION_COST.items()) + " ELSE 1.0 END"
     penalty = "CASE exactness " + " ".join(f"WHEN '{r}' THEN {v}" for r, v in expr.EXACTNESS_PENALTY.items()) + " END"
     among = lambda names: "(" + ", ".join(f"'{n}'" for n in names or ["-"]) + ")"
-    order = "round(cost, 6), depth, keys" if shortest else "depth, keys"
+    visited = f"SELECT * FROM walk WHERE depth > 0 ORDER BY depth, keys LIMIT {limits.max_edges_visited}"
+    if shortest:  # the degrees of all paths before it, in order of cost, are within the budget
+        order = "PARTITION BY source ORDER BY round(cost, 6), depth, keys ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+        visited = f"SELECT * FROM (SELECT walk.*, coalesce(sum(CASE WHEN depth < {limits.max_depth} THEN coalesce(d, 0) ELSE 0 END) OVER ({order}), 0) AS before FROM walk LEFT JOIN (SELECT f, count(*) AS d FROM priced GROUP BY f) g ON g.f = target WHERE ok) WHERE before <= {limits.max_edges_visited}"
     return f"""steps AS (
   SELECT *, head_id AS f, tail_id AS t FROM edges WHERE relation IN {among(forward)}
   UNION ALL SELECT *, tail_id, head_id FROM edges WHERE relation IN {among(reverse)}
 ), priced AS (SELECT id, relation, exactness, confidence, path, head_id, tail_id, f, t, ({cost})::DOUBLE AS rc, (least(greatest(1 - confidence, 0), 1) + {penalty})::DOUBLE AS unc FROM steps),
 walk AS (
-  SELECT '{source}' AS source, '{source}' AS target, ['{source}'] AS seen, []::VARCHAR[] AS ids, []::VARCHAR[] AS rels, []::VARCHAR[] AS keys, []::VARCHAR[] AS exs, []::DOUBLE[] AS confs, []::VARCHAR[] AS tos, []::VARCHAR[] AS files, 0.0::DOUBLE AS cost, 0.0::DOUBLE AS uncertainty, 0 AS depth, true AS ok
+  SELECT source, source AS target, [source] AS seen, []::VARCHAR[] AS ids, []::VARCHAR[] AS rels, []::VARCHAR[] AS keys, []::VARCHAR[] AS exs, []::DOUBLE[] AS confs, []::VARCHAR[] AS tos, []::VARCHAR[] AS files, 0.0::DOUBLE AS cost, 0.0::DOUBLE AS uncertainty, 0 AS depth, true AS ok FROM ({starts})
   UNION ALL
   SELECT source, t, list_append(seen, t), list_append(ids, id), list_append(rels, relation), list_append(keys, t || chr(1) || id), list_append(exs, exactness), list_append(confs, confidence), list_append(tos, t), list_append(files, path), cost + rc + unc + (depth + 1) * 0.05, uncertainty + unc, depth + 1, NOT list_contains(seen, t)
   FROM walk JOIN priced ON f = target WHERE ok AND depth < {limits.max_depth}
-), visited AS (SELECT * FROM walk WHERE depth > 0 ORDER BY depth, keys LIMIT {limits.max_edges_visited}),
-paths AS (SELECT * FROM visited WHERE ok AND ({accept}) ORDER BY {order} LIMIT {limits.max_paths})"""
+), visited AS ({visited})"""
 
 
 PRESENTED_SQL = "SELECT source, target, list_aggregate(ids, 'string_agg', '|') AS edge_ids, list_aggregate(rels, 'string_agg', '->') AS relations, len(ids)::INT AS length, round(cost, 6) AS cost, round(uncertainty, 6) AS uncertainty FROM paths"

@@ -97,25 +97,43 @@ def _paths(spark, sf_dir):
 _PATHS_SQL = f"{WITH}, {T.path_sql('c:1', ['CALLS', 'WRITES', 'READS'], [], _NEAR, 'true', True)}"
 
 
-@add("q_impact_sections", f"{WITH}" + "".join(f", {n}_ AS (WITH RECURSIVE {T.path_sql('o:1', list(q.forward), list(q.reverse), T.Limits(2, 24, 5000), q.accept_sql(), q.shortest)} SELECT '{n}' AS section, source, target, list_aggregate(ids, 'string_agg', '|') AS edge_ids, round(cost, 6) AS cost FROM paths)" for n, q in Q.QUERIES.items()) + " " + " UNION ALL ".join(f"SELECT * FROM {n}_" for n in Q.QUERIES))
+@add("q_impact_sections", f"{WITH}" + "".join(f", {n}_ AS (WITH RECURSIVE {T.path_sql('o:1', list(q.forward), list(q.reverse), T.Limits(2, 24, 5000), q.accept_sql(), q.shortest)} SELECT '{n}' AS section, source, target, list_aggregate(ids, 'string_agg', '|') AS edge_ids, round(cost, 6) AS cost FROM paths)" for n, q in Q.QUERIES.items()) + f", event_flow_ AS (WITH RECURSIVE {Q.event_flow_sql('o:1', T.Limits(2, 24, 5000))} SELECT 'event_flow' AS section, source, target, list_aggregate(ids, 'string_agg', '|') AS edge_ids, round(cost, 6) AS cost FROM paths) " + " UNION ALL ".join(f"SELECT * FROM {n}_" for n in [*Q.QUERIES, "event_flow"]))
 def impact_sections(spark, sf_dir):
     found = Q.impact(store.steps(spark, sf_dir), "o:1", T.Limits(2, 24, 5000))
     return found.select("section", "source", "target", F.array_join(F.col("steps.id"), "|").alias("edge_ids"), F.round("cost", 6).alias("cost"))
 
 
-@add("q_find_event_flow", _with({"READS": "PUBLISHES", "WRITES": "CONSUMES"}) + f""", a AS (SELECT * FROM edges WHERE relation = 'PUBLISHES' AND head_id = 'o:1'), b AS (SELECT * FROM edges WHERE relation = 'CONSUMES')
-SELECT a.head_id AS source, b.head_id AS target, a.tail_id AS event, a.id AS publish_id, b.id AS consume_id,
-  round(0.9 + (1 - a.confidence) + CASE a.exactness WHEN 'exact' THEN 0 WHEN 'parser_verified' THEN 0.05 ELSE 0.35 END + 0.05 + 0.9 + (1 - b.confidence) + CASE b.exactness WHEN 'exact' THEN 0 WHEN 'parser_verified' THEN 0.05 ELSE 0.35 END + 0.1, 6)::DOUBLE AS cost
-FROM a JOIN b ON a.tail_id = b.tail_id ORDER BY 1, 2, 4, 5 LIMIT 500""")
-def find_event_flow(spark, sf_dir):
-    e = Q.relabel(P.edges(spark, sf_dir), {"READS": "PUBLISHES", "WRITES": "CONSUMES"})
-    return Q.event_flow(e, "o:1", T.Limits(2, 500, 10_000))
+_EVENTS = {"READS": "PUBLISHES", "WRITES": "CONSUMES", "FLOWS_TO": "EMITS"}
 
 
-@add("q_derived_may_mutate", f"""{WITH}, c AS (SELECT * FROM edges WHERE relation = 'CALLS' AND NOT derived), w AS (SELECT * FROM edges WHERE relation IN ('WRITES', 'MUTATES') AND NOT derived)
-SELECT c.head_id AS head, 'MAY_MUTATE' AS relation, w.tail_id AS tail, c.id AS call_id, w.id AS write_id, least(c.confidence, w.confidence) AS confidence,
-  CASE WHEN c.exactness IN ('exact', 'parser_verified') AND w.exactness IN ('exact', 'parser_verified') THEN 'derived_from_verified_edges' ELSE 'inferred' END AS exactness
-FROM c JOIN w ON c.tail_id = w.head_id""")
+def _event_flow(name, source, limits):
+    add(name, f"{_with(_EVENTS)}, {Q.event_flow_sql(source, limits)} {T.PRESENTED_SQL}")(lambda s, d: T.presented(Q.event_flow(Q.relabel(store.steps(s, d), _EVENTS), source, limits)))
+
+
+_event_flow("q_find_event_flow", "o:1", T.Limits(4, 300, 10_000))
+_event_flow("q_event_flow_budget", "o:1", T.Limits(3, 1000, 12))  # the budget ends among an event's consumers
+
+
+def _shortest(name, source, forward, reverse, limits):
+    add(name, f"{WITH}, {T.path_sql(source, forward, reverse, limits, 'true', True)} {T.PRESENTED_SQL}")(lambda s, d: T.presented(T.k_shortest(store.steps(s, d), source, forward, reverse, limits)))
+
+
+@add("q_impact_events", f"{_with(_EVENTS)}" + "".join(f", {n}_ AS (WITH RECURSIVE {T.path_sql('o:1', list(q.forward), list(q.reverse), T.Limits(4, 24, 5000), q.accept_sql(), q.shortest)} SELECT '{n}' AS section, source, target, list_aggregate(ids, 'string_agg', '|') AS edge_ids, round(cost, 6) AS cost FROM paths)" for n, q in Q.QUERIES.items()) + f", event_flow_ AS (WITH RECURSIVE {Q.event_flow_sql('o:1', T.Limits(4, 24, 5000))} SELECT 'event_flow' AS section, source, target, list_aggregate(ids, 'string_agg', '|') AS edge_ids, round(cost, 6) AS cost FROM paths) " + " UNION ALL ".join(f"SELECT * FROM {n}_" for n in [*Q.QUERIES, "event_flow"]))
+def impact_events(spark, sf_dir):
+    found = Q.impact(Q.relabel(store.steps(spark, sf_dir), _EVENTS), "o:1", T.Limits(4, 24, 5000))
+    return found.select("section", "source", "target", F.array_join(F.col("steps.id"), "|").alias("edge_ids"), F.round("cost", 6).alias("cost"))
+
+
+# budgets that end among paths of one and of two steps
+_shortest("q_k_shortest_budget", "c:2", ["CALLS", "WRITES", "READS", "FLOWS_TO"], [], T.Limits(3, 1000, 40))
+_shortest("q_k_shortest_hubs", "s:1", ["CALLS"], ["CALLS"], T.Limits(3, 2000, 900))
+
+
+@add("q_derived_may_mutate", """WITH l AS (SELECT *, concat_ws(':', l_orderkey, l_linenumber, l_partkey, l_suppkey, strftime(l_shipdate, '%Y-%m-%d')) AS lk FROM lineitem WHERE l_returnflag = 'R'),
+w AS (SELECT o_orderkey AS o, o_custkey, o_orderstatus, lk, l_partkey, l_tax FROM orders JOIN l ON l_orderkey = o_orderkey)
+SELECT 'c:' || c_custkey AS head, 'MAY_MUTATE' AS relation, 'p:' || l_partkey AS tail, 'e:co:' || o AS call_id, 'e:op:' || lk AS write_id, least(1.0, round(1 - l_tax, 6))::DOUBLE AS confidence,
+  CASE WHEN o_orderstatus IN ('F', 'O') THEN 'derived_from_verified_edges' ELSE 'inferred' END AS exactness
+FROM w JOIN customer ON c_custkey = o_custkey""")
 def derived_may_mutate(spark, sf_dir):
     return Q.may_mutate(P.edges(spark, sf_dir))
 

@@ -3,11 +3,14 @@
 A step table has from, to and direction beside an edge's columns and is partitioned by
 direction, relation and a hash bucket of the from-node. A traversal reads the relations that
 it follows and, of those, the buckets that its frontier falls into. It is written once for
-an application and input folder; the number of buckets follows the number of edges.
+an application and the files of an input folder; the number of buckets follows the number of edges.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from typing import TypeVar
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,9 +18,29 @@ from ..functions import expr
 from . import projection
 from .shared import shared_path
 
+T = TypeVar("T")
 #: steps in one bucket of all relations, about
 BUCKET_STEPS = 4_000_000
-_KNOWN: dict[tuple[str, str], DataFrame] = {}
+_KNOWN: dict[tuple, object] = {}
+
+
+def snapshot(spark: SparkSession, sf_dir: str) -> tuple:
+    """Names, lengths and times of a folder's files: what is kept for it holds only while these stay."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(sf_dir)
+    found = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).listFiles(path, True)
+    files = []
+    while found.hasNext():
+        f = found.next()
+        files.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return tuple(sorted(files))
+
+
+def once(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], T]) -> T:
+    """What make writes for this application and the present files of sf_dir, made at first use."""
+    key = (spark.sparkContext.applicationId, name, sf_dir, snapshot(spark, sf_dir))
+    if key not in _KNOWN:
+        _KNOWN[key] = make()
+    return _KNOWN[key]
 
 
 def bucket(node: Column, buckets: int) -> Column:
@@ -47,7 +70,4 @@ def write_steps(edges: DataFrame) -> DataFrame:
 
 def steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The step table of the projected edges of sf_dir."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _KNOWN:
-        _KNOWN[key] = write_steps(projection.edges(spark, sf_dir))
-    return _KNOWN[key]
+    return once(spark, sf_dir, "steps", lambda: write_steps(projection.edges(spark, sf_dir)))
