@@ -42,9 +42,9 @@ def test_long_items_and_texts_under_one_id(spark):
     items += [(10 + i, f"short item number {i} of many") for i in range(300)]
     docs = [(1, "x " * 50 + " ".join(long[3000:3400])), (2, "so one two three four five six seven it is"), (3, "an alpha beta gamma delta epsilon zeta"), (4, "clean text of no item " * 20), (5, " ".join(long))]
     block = decontaminate.Items([i for i, _ in items], [t for _, t in items])
-    assert sum(s.words.nbytes + s.code.nbytes + s.row.nbytes for s in block.sizes.values()) < 3_000_000
+    assert sum(s.words.nbytes + s.code.nbytes + s.row.nbytes for s in block.sizes) < 3_000_000
     got = {(r["doc_id"], r["item_id"]): r["distance"] for r in decontaminate.find_leaks(spark.createDataFrame(docs, TEXT), spark.createDataFrame(items, "item_id long, text string")).collect()}
-    assert got == {(1, 1): 0, (2, 2): 0, (3, 2): 0, (5, 1): 0}
+    assert got == {(2, 2): 0, (3, 2): 0, (5, 1): 0}  # 400 words of 20,000 are no leak of the item
 
 
 # ---- op4
