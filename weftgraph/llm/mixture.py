@@ -17,8 +17,9 @@ one entry too.
 
 Cases: null level values count as ''; null or empty text has 0 tokens (such documents
 come with whole epochs, and with a prefix as their place in the order says); very long
-texts that don't fit the rest end the prefix; a null doc_id orders as ''; equal order keys
-are taken in doc_id, then token, then row hash order; rows of one doc_id with different
+texts that don't fit the rest end the prefix; the order key is a hash of the whole row, in
+which nulls count as '', so rows without an id, or of one id, are spread like others; equal
+keys are taken in doc_id, then token, then row hash order; rows of one doc_id with different
 texts are chosen one by one; siblings whose weights are all 0 get nothing; repeated rows
 count as so many documents; other columns are kept by ``mix``, whatever their names.
 Empty tables give no rows.
@@ -91,12 +92,12 @@ def budgets(leaves: DataFrame, m: Mixture) -> DataFrame:
 def select(docs: DataFrame, m: Mixture) -> DataFrame:
     """(doc_id, levels, tokens, row, rows, copies, more) of the entries that are chosen.
 
-    docs: doc_id, levels, tokens and row, a hash that rows share if they are equal. An entry
-    stands for so many equal rows; each is read `copies` times, and `more` of them once more.
+    docs: doc_id, levels, tokens, row, a hash that rows share if they are equal, and digest,
+    another one (a string) that the seeded order is taken from. An entry stands for so many equal rows; each is read `copies` times, and `more` of them once more.
     """
     levels = list(m.levels)
-    docs = docs.select("doc_id", *(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in levels), "tokens", "row")
-    docs = materialize(docs.groupBy("doc_id", *levels, "tokens", "row").agg(F.count("*").alias("rows")).withColumn("weight", F.col("tokens") * F.col("rows")), "mixture")
+    docs = docs.select("doc_id", *(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in levels), "tokens", "row", "digest")
+    docs = materialize(docs.groupBy("doc_id", *levels, "tokens", "row", "digest").agg(F.count("*").alias("rows")).withColumn("weight", F.col("tokens") * F.col("rows")), "mixture")
     leaves = docs.groupBy(*levels).agg(F.sum("weight").alias("tokens"), F.count("*").alias("entries"))
     plan = budgets(leaves, m)
     plan = plan.withColumn("epochs", F.when(F.col("tokens") > 0, F.floor(F.col("granted") / F.col("tokens"))).otherwise(0).cast("int"))
@@ -105,7 +106,7 @@ def select(docs: DataFrame, m: Mixture) -> DataFrame:
 
     # the key of the epoch that ends in a prefix; whole epochs need no order
     keyed = docs.join(plan, levels)
-    key = F.md5(F.concat_ws("|", F.lit(m.seed), F.col("epochs").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
+    key = F.md5(F.concat_ws("|", F.lit(m.seed), F.col("epochs").cast("string"), "digest").cast("binary"))
     keyed = keyed.withColumn("key", key).withColumn("range", F.floor(F.conv(F.substring("key", 1, 8), 16, 10).cast("long") / F.lit(float(1 << 32)) * F.col("ranges")))
     keyed = keyed.where("epochs > 0 or rest > 0")
     sums = keyed.groupBy(*levels, "range").agg(F.sum("weight").alias("t"))
@@ -139,8 +140,15 @@ def rows_hash(docs: DataFrame) -> Column:
     return F.xxhash64(*(c.cast("string") if "map<" in kind or "variant" in kind else c for c, kind in cols))
 
 
+def digest(docs: DataFrame) -> Column:
+    """md5 of id, language, source and text, and of the row's hash if there are other columns."""
+    parts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("doc_id", "lang", "source", "text")]
+    more = [rows_hash(docs).cast("string")] if set(docs.columns) - {"doc_id", "lang", "source", "text"} else []
+    return F.md5(F.concat_ws("|", *parts, *more).cast("binary"))
+
+
 def _leaves(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", domain_of(F.col("source")).alias("domain"), "lang", "source", n_tokens(F.col("text")).alias("tokens"), rows_hash(docs).alias("row"))
+    return docs.select("doc_id", domain_of(F.col("source")).alias("domain"), "lang", "source", n_tokens(F.col("text")).alias("tokens"), rows_hash(docs).alias("row"), digest(docs).alias("digest"))
 
 
 def _times(n: Column) -> Column:
@@ -205,11 +213,12 @@ def _oracle() -> str:
 WITH docs AS (
   SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
     CASE WHEN {number} < 20 THEN (['web', 'books', 'forum', 'news'])[1 + ({number} // 5)::INT] ELSE 'misc' END AS domain,
-    coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS tokens FROM documents
+    coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS tokens,
+    md5(coalesce(doc_id::VARCHAR, '') || '|' || coalesce(lang, '') || '|' || coalesce(source, '') || '|' || coalesce(text, '')) AS digest FROM documents
 ), leaves AS (SELECT {keys}, sum(tokens) AS tokens FROM docs GROUP BY ALL),
 {", ".join(steps)}, g3 AS ({parent}),
 plan AS (SELECT {keys}, tokens AS all_tokens, floor(given + 1e-6)::BIGINT AS granted, CASE WHEN tokens > 0 THEN floor(floor(given + 1e-6) / tokens) ELSE 0 END::BIGINT AS epochs FROM leaves JOIN g3 USING ({keys})),
-placed AS (SELECT *, granted - epochs * all_tokens AS rest, md5('mix|' || epochs || '|' || doc_id) AS key FROM docs JOIN plan USING ({keys})),
+placed AS (SELECT *, granted - epochs * all_tokens AS rest, md5('mix|' || epochs || '|' || digest) AS key FROM docs JOIN plan USING ({keys})),
 run AS (SELECT *, sum(tokens) OVER (PARTITION BY {keys} ORDER BY key, doc_id, tokens ROWS UNBOUNDED PRECEDING) AS upto FROM placed),
 counted AS (SELECT *, (epochs + CASE WHEN rest > 0 AND upto <= rest THEN 1 ELSE 0 END)::BIGINT AS copies FROM run)
 SELECT doc_id, {keys}, tokens::BIGINT AS n_tokens, copies FROM counted WHERE copies > 0
