@@ -46,19 +46,16 @@ def sample_ids(labelled: DataFrame, label: str, per_class: int, seed: int) -> Da
 BROADCAST_IDS = 1_000_000
 
 
-#: documented bound on what is learned from: bytes of one text; longer ones aren't learned from
-SAMPLE_TEXT_BYTES = 1 << 18
-
-
 def sample_texts(docs: DataFrame, ids: DataFrame, label: str) -> DataFrame:
     """(doc_id, label, seen, text) of the sampled documents, one row for each of ids.
 
     Of several texts under one doc_id the smallest is taken (null counts as empty); ids
-    without a document, or with texts over SAMPLE_TEXT_BYTES only, are left out.
+    without a document are left out. Texts are whole, however long: only their number is
+    bounded, so what is learned keeps features of them, taken slice by slice, not the texts.
     """
     ids = materialize(ids, "sample")
     few = ids.count() <= BROADCAST_IDS
-    docs = bounded_batches(docs).select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where(F.octet_length("text") <= SAMPLE_TEXT_BYTES)
+    docs = bounded_batches(docs).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     found = docs.join(F.broadcast(ids) if few else ids, "doc_id")
     return found.groupBy("doc_id", label, "seen").agg(F.min("text").alias("text"))
 

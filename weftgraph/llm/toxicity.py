@@ -129,7 +129,7 @@ def fit_rows(rows: list[np.ndarray], y: np.ndarray, p: Ftrl = Ftrl(), seen: dict
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = SAMPLE_PER_CLASS, params: Ftrl = Ftrl()) -> ToxicityModel:
     """Learn from a bounded sample of labelled rows, in one task; only the weights reach the driver."""
     known = labels.select("doc_id", F.col(label).cast("int").alias("y")).where("y in (0, 1)")
-    # one row for each of at most 2 per_class labels, features capped by the texts' bytes
+    # one row for each of at most 2 per_class labels, with its different features
     sample = sample_texts(docs, sample_ids(known, "y", per_class, SEED), "y").select("doc_id", "text", F.col("y").cast("double"), F.col("seen").cast("double"))
 
     def extract(batches):
