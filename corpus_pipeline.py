@@ -5,8 +5,8 @@ each stage's rows to the shared folder and reads them back as the next one's doc
 
 Cases: a stage keeps rows that its operator can't judge (null or empty text, null doc_id);
 repeated rows are copies of each other and the copy stage keeps one; rows of one doc_id with
-different texts are different documents there; the leak stage drops a doc_id if any of its
-rows leaks; extra columns are carried along; empty tables give no rows.
+different texts are different documents, of which the leak stage drops those that leak;
+extra columns are carried along; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -39,9 +39,16 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no benchmark item lies."""
-    leaks = decontaminate.find_leaks(docs, read(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(leaks, "doc_id", "left_anti").select(*docs.columns)
+    """Rows in whose text no benchmark item lies.
+
+    Rows are told apart by id and text, as in the copy stage, so a row without an id goes if
+    it leaks, and another text under a leaking row's id stays.
+    """
+    own = F.xxhash64("text")
+    leaks = decontaminate.find_leaks(docs.select(F.struct("doc_id", own.alias("hash")).alias("doc_id"), "text"), read(spark, sf_dir, "benchmark"))
+    leaks = materialize(leaks.select(F.col("doc_id.doc_id").alias("__id"), F.col("doc_id.hash").alias("__hash")).distinct(), "leaks")
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__hash"))
+    return docs.withColumn("__own", own).join(leaks, same, "left_anti").select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
