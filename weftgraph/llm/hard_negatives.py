@@ -38,6 +38,8 @@ POSITIVES, NEGATIVES = 5, 10
 LOWER, UPPER = 30, 90
 #: components of all vectors of a block or a group: fewest and most
 FEWEST, MOST = 1 << 18, 1 << 22
+#: tasks that units are dealt to, at most
+MOST_TASKS = 20_000
 #: scores handled at once within a unit
 TILE = 2_000_000
 
@@ -161,7 +163,9 @@ def mine(rows: DataFrame, is_anchor: Column, positives: int = POSITIVES, negativ
     common = ["dim", "group", "block", "row", "id", "label", "v"]
     unit = ["dim", "group", "block"]
 
-    with_rows = lambda a: others.select(*common, F.lit(False).alias("anchor"), *([F.lit(None).cast(LIMITS).alias("limits")] if "limits" in a.columns else [])).unionByName(a.withColumn("anchor", F.lit(True)))
+    # units are few bytes and much work: a task for each, which their size alone wouldn't give
+    units = max(1, min(MOST_TASKS, int(sizes.agg(F.sum(F.col("blocks") * F.col("groups"))).first()[0] or 1)))
+    with_rows = lambda a: others.select(*common, F.lit(False).alias("anchor"), *([F.lit(None).cast(LIMITS).alias("limits")] if "limits" in a.columns else [])).unionByName(a.withColumn("anchor", F.lit(True))).repartition(units, *unit)
     by_score = lambda *keys: W.partitionBy(*keys).orderBy(F.desc("score"), "id", "row")
 
     found = with_rows(anchors.select(*common)).groupBy(*unit).applyInArrow(_best_positives(positives), "anchor_row long, row long, id long, score long")
