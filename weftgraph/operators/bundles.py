@@ -29,7 +29,7 @@ def reduce_bundles(rows: DataFrame, by: str = "path", key: str = "id", seq: str
     payload = sorted(c for c in rows.columns if c not in (by, seq))
     rows = materialized(rows.withColumn("__hash", F.xxhash64(F.to_json(F.struct(*payload), {"ignoreNullFields": "false"}))), "bundles")
     counts = rows.groupBy("kind", by, key, "__hash").agg(F.count("*").alias("n"), F.min(seq).alias("least"))
-    local = counts.groupBy("kind", by, key).agg(F.min(F.struct("least", "__hash")).alias("first"), F.sum("n").alias("all"), F.max_by("n", F.struct(-F.col("least"), -F.col("__hash").cast("decimal(20,0)"))).alias("own"))
+    local = counts.groupBy("kind", by, key).agg(F.min(F.struct("least", "__hash")).alias("first"), F.sum("n").alias("all"), F.min_by("n", F.struct("least", "__hash")).alias("own"))
     local = materialized(local.select("kind", by, key, F.col("first.__hash").alias("hash"), F.col("first.least").alias("least"), (F.col("all") - F.col("own")).alias("times")), "local")
     first = materialized(local.groupBy("kind", key).agg(F.min(F.struct(by, "hash", "least")).alias("f")).select("kind", key, F.col(f"f.{by}").alias("__path"), F.col("f.hash").alias("__fact"), F.col("f.least").alias("__least")), "first")
     at_fact = (F.col(by) == F.col("__path")) & (F.col("__hash") == F.col("__fact")) & (F.col(seq) == F.col("__least"))

@@ -9,8 +9,8 @@ from pyspark.sql.window import Window as W
 from ..functions import expr
 
 
-def risks(paths: DataFrame, cap: int = 12) -> DataFrame:
-    """Sorted distinct risk sentences of paths, the first twelve."""
+def risk_sentences() -> Column:
+    """What a path says about risk. The sentences are fixed output text."""
     has = lambda *names: F.arrays_overlap(F.col("steps.relation"), F.array(*map(F.lit, names)))
     said = [
         F.when(has("WRITES", "MUTATES"), F.concat(F.lit("Changing "), "source", F.lit(" may mutate "), "target")),
@@ -19,7 +19,12 @@ def risks(paths: DataFrame, cap: int = 12) -> DataFrame:
         F.when(has("MIGRATES", "ALTERS_COLUMN", "DEPENDS_ON_SCHEMA"), F.concat("source", F.lit(" has schema migration impact"))),
         F.when(has("TESTS", "COVERS", "ASSERTS"), F.concat("source", F.lit(" has test coverage paths to review"))),
     ]
-    return paths.select(F.explode(F.array_compact(F.array(*said))).alias("risk")).distinct().orderBy("risk").limit(cap)
+    return F.array_compact(F.array(*said))
+
+
+def risks(paths: DataFrame, cap: int = 12) -> DataFrame:
+    """Sorted distinct risk sentences of paths, the first twelve."""
+    return paths.select(F.explode(risk_sentences()).alias("risk")).distinct().orderBy("risk").limit(cap)
 
 
 def recommended_tests(paths: DataFrame, cap: int = 12) -> DataFrame:

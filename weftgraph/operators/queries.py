@@ -11,7 +11,7 @@ from pyspark.sql.window import Window as W
 
 from ..functions import expr
 from ..sources.shared import materialized
-from .traverse import Limits, best_first, both_ways, bounded_bfs, k_shortest, walk_sql
+from .traverse import Limits, best_first, both_ways, bounded_bfs, explore_many, k_shortest, walk_sql
 
 
 @dataclass(frozen=True)
@@ -45,6 +45,18 @@ class PathQuery:
         f = k_shortest if self.shortest else bounded_bfs
         return f(edges, source, list(self.forward), list(self.reverse), limits, self.accept())
 
+    def run_many(self, edges: DataFrame, origins: DataFrame, limits: Limits = Limits()) -> DataFrame:
+        """The paths of each of several origins (source), each with limits of its own."""
+        if self.shortest:
+            found = best_first(edges, origins, list(self.forward), list(self.reverse), limits, self.accept()).where("accepted").drop("accepted", "place")
+            order = (F.round("cost", 6), "depth", "keys")
+        else:
+            found = explore_many(edges, origins, list(self.forward), list(self.reverse), limits)
+            found = found if self.accept() is None else found.where(self.accept())
+            order = ("depth", "keys")
+        nth = F.row_number().over(W.partitionBy("source").orderBy(*order))
+        return found.withColumn("nth", nth).where(F.col("nth") <= limits.max_paths).drop("nth")
+
 
 AUTH = ("AUTHORIZES", "CHECKS_ROLE", "CHECKS_PERMISSION")
 TESTS = ("TESTS", "COVERS", "ASSERTS", "MOCKS", "STUBS", "FIXTURES_FOR")
@@ -74,32 +86,41 @@ def _ranked(relations: tuple[str, ...]) -> Column:
 
 
 def event_flow(edges: DataFrame, source: str, limits: Limits = Limits()) -> DataFrame:
-    """Paths from a publisher over an event to its consumers, and on along their calls.
+    """``event_flows`` of one publisher, cheapest first."""
+    found = event_flows(edges, edges.sparkSession.createDataFrame([(source,)], "source string"), limits)
+    return found.orderBy(F.round("cost", 6), "depth", "keys")
+
+
+def event_flows(edges: DataFrame, origins: DataFrame, limits: Limits = Limits()) -> DataFrame:
+    """Paths from publishers (source) over an event to its consumers, and on along their calls.
 
     Publish steps are taken by relation, then id, and each one's consumers likewise; every one
-    of both counts against one budget (max_edges_visited). A consumer is a path, followed by
-    the cheapest call paths from it (as ``k_shortest`` finds them, with the rest of the depth
-    and a budget of their own) until max_paths are found. A consumer may be the source itself.
+    of both counts against one budget (max_edges_visited) of the publisher. A consumer is a
+    path, followed by the cheapest call paths from it (as ``k_shortest`` finds them, with the rest of the
+    depth and a budget of their own) until max_paths are found. A consumer may be the source itself.
     """
     steps = both_ways(edges, list(SOURCES), list(SINKS))
     step = F.struct("id", "relation", "direction", "from", "to", "exactness", "confidence", "context")
-    out = steps.where((F.col("direction") == "forward") & F.col("relation").isin(*SOURCES) & (F.col("from") == source))
+    of = lambda *order: W.partitionBy("source").orderBy(*order)
+    said = steps.where((F.col("direction") == "forward") & F.col("relation").isin(*SOURCES)).join(F.broadcast(origins.select("source").distinct()), F.col("from") == F.col("source"))
+    said = said.withColumn("rank", _ranked(SOURCES)).withColumn("n", F.row_number().over(of("rank", "id"))).where(F.col("n") <= limits.max_edges_visited)
     # no publish step beyond the budget is looked at, so these are few
-    out = materialized(out.withColumn("rank", _ranked(SOURCES)).orderBy("rank", "id").limit(limits.max_edges_visited).select("rank", "id", F.col("to").alias("event"), step.alias("first")), "publishers")
+    out = materialized(said.select("source", "n", F.col("to").alias("event"), step.alias("first")), "publishers")
     back = steps.where((F.col("direction") == "reverse") & F.col("relation").isin(*SINKS))
     heard = back.join(F.broadcast(out.select("event").distinct()), F.col("from") == F.col("event"))
     many = heard.groupBy("event").agg(F.count("*").alias("many"))
-    before = W.orderBy("rank", "id").rowsBetween(W.unboundedPreceding, -1)  # over max_edges_visited rows at most
+    before = of("n").rowsBetween(W.unboundedPreceding, -1)  # over max_edges_visited rows of a publisher
     out = out.join(many, "event", "left").withColumn("many", F.coalesce("many", F.lit(0))).withColumn("at", F.coalesce(F.sum(F.col("many") + 1).over(before), F.lit(0)) + 1)
     # each consumer is a path, so the first max_paths are enough
     nth = F.row_number().over(W.partitionBy("event").orderBy(_ranked(SINKS), "id"))
     first = heard.withColumn("nth", nth).where(F.col("nth") <= limits.max_paths).select("event", "nth", F.col("to").alias("target"), step.alias("second"))
-    base = out.join(first, "event").withColumn("at", F.col("at") + F.col("nth")).where(F.col("at") <= limits.max_edges_visited).orderBy("at").limit(limits.max_paths)
+    base = out.join(first, "event").withColumn("at", F.col("at") + F.col("nth")).where(F.col("at") <= limits.max_edges_visited)
+    base = base.withColumn("nth", F.row_number().over(of("at"))).where(F.col("nth") <= limits.max_paths)
     cost = lambda s, d: expr.step_cost(F.col(f"{s}.relation"), F.col(f"{s}.confidence"), F.col(f"{s}.exactness"), F.lit(float(d)))
     doubt = lambda s: expr.uncertainty(F.col(f"{s}.confidence"), F.col(f"{s}.exactness"))
     key = lambda s: F.concat(F.col(f"{s}.to"), F.lit("\u0001"), F.col(f"{s}.id"))
     base = materialized(base.select(
-        F.lit(source).alias("source"), "target", F.array("first", "second").alias("steps"), F.array(key("first"), key("second")).alias("keys"), (cost("first", 1) + cost("second", 2)).alias("cost"), (doubt("first") + doubt("second")).alias("uncertainty"), F.lit(2).alias("depth"), "at", F.lit(0).alias("place"),
+        "source", "target", F.array("first", "second").alias("steps"), F.array(key("first"), key("second")).alias("keys"), (cost("first", 1) + cost("second", 2)).alias("cost"), (doubt("first") + doubt("second")).alias("uncertainty"), F.lit(2).alias("depth"), "at", F.lit(0).alias("place"),
     ), "consumers")
     found = base
     if limits.max_depth > 2:
@@ -111,27 +132,28 @@ def event_flow(edges: DataFrame, source: str, limits: Limits = Limits()) -> Data
             "source", F.col("c_target").alias("target"), F.concat("steps", "c_steps").alias("steps"), F.concat("keys", "c_keys").alias("keys"), (F.col("cost") + F.col("c_cost") + 0.1 * F.col("c_depth")).alias("cost"),
             (F.col("uncertainty") + F.col("c_uncertainty")).alias("uncertainty"), (F.col("depth") + F.col("c_depth")).alias("depth"), "at", F.col("c_place").alias("place"),
         ))
-    return found.orderBy("at", "place").limit(limits.max_paths).drop("at", "place").orderBy(F.round("cost", 6), "depth", "keys")
+    return found.withColumn("nth", F.row_number().over(of("at", "place"))).where(F.col("nth") <= limits.max_paths).drop("at", "place", "nth")
 
 
-def event_flow_sql(source: str, limits: Limits) -> str:
-    """DuckDB CTEs that end in `paths`; expects CTE edges."""
+def event_flow_sql(starts: str, limits: Limits) -> str:
+    """DuckDB CTEs that end in `paths` of all starts, a select of source; expects CTE edges."""
     cost = "CASE relation " + " ".join(f"WHEN '{r}' THEN {v}" for r, v in expr.RELATION_COST.items()) + " ELSE 1.0 END"
     penalty = "CASE exactness " + " ".join(f"WHEN '{r}' THEN {v}" for r, v in expr.EXACTNESS_PENALTY.items()) + " END"
     quoted = lambda names: "[" + ", ".join(f"'{n}'" for n in names) + "]"
     rest = Limits(max(1, limits.max_depth - 2), limits.max_paths, limits.max_edges_visited)
+    first = lambda order: f"QUALIFY row_number() OVER (PARTITION BY source ORDER BY {order}) <= {limits.max_paths}"
     return f"""cost0 AS (SELECT *, ({cost})::DOUBLE AS rc, (least(greatest(1 - confidence, 0), 1) + {penalty})::DOUBLE AS unc FROM edges),
 con AS (SELECT *, row_number() OVER (PARTITION BY tail_id ORDER BY list_position({quoted(SINKS)}, relation), id) AS nth FROM cost0 WHERE relation IN {tuple(SINKS)}),
-pub AS (SELECT p.*, coalesce(sum(1 + many) OVER (ORDER BY list_position({quoted(SOURCES)}, relation), id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + 1 AS pos
-  FROM (SELECT c.*, (SELECT count(*) FROM con WHERE con.tail_id = c.tail_id) AS many FROM cost0 c WHERE relation IN {tuple(SOURCES)} AND head_id = '{source}') p),
-base AS (SELECT pos + nth AS pos, con.head_id AS target, [pub.id, con.id] AS ids, [pub.relation, con.relation] AS rels, [pub.tail_id || chr(1) || pub.id, con.head_id || chr(1) || con.id] AS keys,
-    pub.rc + pub.unc + con.rc + con.unc + 0.15 AS cost, pub.unc + con.unc AS uncertainty FROM pub JOIN con ON con.tail_id = pub.tail_id WHERE pos + nth <= {limits.max_edges_visited} ORDER BY 1 LIMIT {limits.max_paths}),
+pub AS (SELECT p.*, coalesce(sum(1 + many) OVER (PARTITION BY head_id ORDER BY list_position({quoted(SOURCES)}, relation), id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + 1 AS pos
+  FROM (SELECT c.*, (SELECT count(*) FROM con WHERE con.tail_id = c.tail_id) AS many FROM cost0 c WHERE relation IN {tuple(SOURCES)} AND head_id IN (SELECT source FROM ({starts}))) p),
+base AS (SELECT pub.head_id AS source, pos + nth AS pos, con.head_id AS target, [pub.id, con.id] AS ids, [pub.relation, con.relation] AS rels, [pub.tail_id || chr(1) || pub.id, con.head_id || chr(1) || con.id] AS keys, [pub.exactness, con.exactness] AS exs, [pub.confidence, con.confidence] AS confs,
+    pub.rc + pub.unc + con.rc + con.unc + 0.15 AS cost, pub.unc + con.unc AS uncertainty FROM pub JOIN con ON con.tail_id = pub.tail_id WHERE pos + nth <= {limits.max_edges_visited} {first('pos + nth')}),
 {walk_sql('SELECT DISTINCT target AS source FROM base', ['CALLS'], [], rest, True)},
 calls AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY round(cost, 6), depth, keys) AS place FROM visited WHERE depth > 0 AND ok AND {limits.max_depth} > 2),
-paths AS (SELECT '{source}' AS source, * FROM (
-  SELECT target, ids, rels, cost, uncertainty, pos, 0 AS place FROM base
-  UNION ALL SELECT c.target, list_concat(b.ids, c.ids), list_concat(b.rels, c.rels), b.cost + c.cost + 0.1 * c.depth, b.uncertainty + c.uncertainty, pos, place FROM base b JOIN calls c ON c.source = b.target
-) ORDER BY pos, place LIMIT {limits.max_paths})"""
+paths AS (SELECT * FROM (
+  SELECT source, target, ids, rels, keys, exs, confs, cost, uncertainty, 2 AS depth, pos, 0 AS place FROM base
+  UNION ALL SELECT b.source, c.target, list_concat(b.ids, c.ids), list_concat(b.rels, c.rels), list_concat(b.keys, c.keys), list_concat(b.exs, c.exs), list_concat(b.confs, c.confs), b.cost + c.cost + 0.1 * c.depth, b.uncertainty + c.uncertainty, 2 + c.depth, pos, place FROM base b JOIN calls c ON c.source = b.target
+) {first('pos, place')})"""
 
 
 def impact(edges: DataFrame, source: str, limits: Limits) -> DataFrame:
@@ -142,6 +164,15 @@ def impact(edges: DataFrame, source: str, limits: Limits) -> DataFrame:
     return out
 
 
+def context_paths(edges: DataFrame, origins: DataFrame, limits: Limits) -> DataFrame:
+    """The paths of all ten path queries from each origin (source), each list of edges once."""
+    out = event_flows(edges, origins, limits)
+    for q in QUERIES.values():
+        out = out.unionByName(q.run_many(edges, origins, limits).select(*out.columns))
+    best = F.min_by(F.struct(*out.columns), F.struct(F.round("cost", 6), "target"))
+    return out.groupBy("source", F.col("steps.id").alias("edge_list")).agg(best.alias("p")).select("p.*")
+
+
 def derived_relation(relations: Column) -> Column:
     """The relation a path collapses to; rules in order."""
     has = lambda *names: F.arrays_overlap(relations, F.array(*map(F.lit, names)))

@@ -137,6 +137,33 @@ def best_first(edges: DataFrame, origins: DataFrame, forward: list[str], reverse
     return found.drop("seen", "looked", "upto")
 
 
+def explore_many(edges: DataFrame, origins: DataFrame, forward: list[str], reverse: list[str], limits: Limits) -> DataFrame:
+    """``explore`` from several different origins (source) side by side, each with a budget of its own; simple paths with their depth."""
+    steps = both_ways(edges, forward, reverse)
+    frontier = materialized(origins.select("source").distinct().select("source", F.col("source").alias("target"), F.array("source").alias("seen"), F.expr(f"cast(array() as {STEPS})").alias("steps"), F.expr("cast(array() as array<string>)").alias("keys"), F.lit(0.0).alias("cost"), F.lit(0.0).alias("uncertainty"), F.lit(0).alias("depth"), F.lit(True).alias("ok"), F.lit(0).cast("long").alias("spent")), "level")
+    levels = None
+    step = F.struct("id", "relation", "direction", "from", "to", "exactness", "confidence", "context")
+    for depth in range(1, limits.max_depth + 1):
+        n = frontier.count()
+        if not n:
+            break
+        near = _of_buckets(steps, frontier, "target")
+        # a source has max_edges_visited rows of a frontier at most
+        grown = near.join(F.broadcast(frontier) if n <= BROADCAST_ROWS else frontier, F.col("target") == F.col("from")).select(
+            "source", F.col("to").alias("target"), "seen", F.array_append("steps", step).alias("steps"), F.array_append("keys", F.concat("to", F.lit("\u0001"), "id")).alias("keys"),
+            (F.col("cost") + expr.step_cost(F.col("relation"), F.col("confidence"), F.col("exactness"), F.lit(float(depth)))).alias("cost"),
+            (F.col("uncertainty") + expr.uncertainty(F.col("confidence"), F.col("exactness"))).alias("uncertainty"), F.lit(depth).alias("depth"), "spent",
+        )
+        nth = F.row_number().over(W.partitionBy("source").orderBy("keys"))
+        grown = grown.withColumn("spent", F.col("spent") + nth).where(F.col("spent") <= limits.max_edges_visited).withColumn("ok", ~F.array_contains("seen", F.col("target")))
+        level = materialized(grown, "level")
+        levels = level if levels is None else levels.unionByName(level)
+        # what a source has spent is the same on all of its rows
+        spent = F.max("spent").over(W.partitionBy("source"))
+        frontier = materialized(level.withColumn("spent", spent).where("ok").withColumn("seen", F.array_append("seen", F.col("target"))), "level")
+    return (frontier if levels is None else levels).where("ok and depth > 0").drop("ok", "seen", "spent")
+
+
 def presented(paths: DataFrame) -> DataFrame:
     """Flat columns of paths: ids and relations joined, cost and uncertainty rounded."""
     return paths.select(
@@ -175,10 +202,13 @@ def unique_paths(paths: DataFrame) -> DataFrame:
 
 def path_sql(source: str, forward: list[str], reverse: list[str], limits: Limits, accept: str = "true", shortest: bool = False) -> str:
     """DuckDB CTEs that end in `paths`, by recursion; expects CTE edges."""
-    found = "ORDER BY depth, keys LIMIT " + str(limits.max_paths)
-    if shortest:
-        found = f"ORDER BY round(cost, 6), depth, keys LIMIT {limits.max_paths}"
-    return f"""{walk_sql(f"SELECT '{source}' AS source", forward, reverse, limits, shortest)}, paths AS (SELECT * FROM visited WHERE depth > 0 AND ok AND ({accept}) {found})"""
+    return paths_sql(f"SELECT '{source}' AS source", forward, reverse, limits, accept, shortest)
+
+
+def paths_sql(starts: str, forward: list[str], reverse: list[str], limits: Limits, accept: str = "true", shortest: bool = False) -> str:
+    """``path_sql`` from each start (source) of a select, each with limits of its own."""
+    order = "round(cost, 6), depth, keys" if shortest else "depth, keys"
+    return f"""{walk_sql(starts, forward, reverse, limits, shortest)}, paths AS (SELECT * FROM visited WHERE depth > 0 AND ok AND ({accept}) QUALIFY row_number() OVER (PARTITION BY source ORDER BY {order}) <= {limits.max_paths})"""
 
 
 def walk_sql(starts: str, forward: list[str], reverse: list[str], limits: Limits, shortest: bool = False) -> str:
@@ -186,7 +216,7 @@ def walk_sql(starts: str, forward: list[str], reverse: list[str], limits: Limits
     cost = "CASE relation " + " ".join(f"WHEN '{r}' THEN {v}" for r, v in expr.RELATION_COST.items()) + " ELSE 1.0 END"
     penalty = "CASE exactness " + " ".join(f"WHEN '{r}' THEN {v}" for r, v in expr.EXACTNESS_PENALTY.items()) + " END"
     among = lambda names: "(" + ", ".join(f"'{n}'" for n in names or ["-"]) + ")"
-    visited = f"SELECT * FROM walk WHERE depth > 0 ORDER BY depth, keys LIMIT {limits.max_edges_visited}"
+    visited = f"SELECT * FROM walk WHERE depth > 0 QUALIFY row_number() OVER (PARTITION BY source ORDER BY depth, keys) <= {limits.max_edges_visited}"
     if shortest:  # the degrees of all paths before it, in order of cost, are within the budget
         order = "PARTITION BY source ORDER BY round(cost, 6), depth, keys ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
         visited = f"SELECT * FROM (SELECT walk.*, coalesce(sum(CASE WHEN depth < {limits.max_depth} THEN coalesce(d, 0) ELSE 0 END) OVER ({order}), 0) AS before FROM walk LEFT JOIN (SELECT f, count(*) AS d FROM priced GROUP BY f) g ON g.f = target WHERE ok) WHERE before <= {limits.max_edges_visited}"

@@ -43,13 +43,17 @@ def prefix_cosine(a: Column, b: Column, dims: int) -> Column:
     return F.when(norm == 0, 0.0).otherwise((dot(a, b) / norm + 1) / 2)
 
 
+def rerank_score() -> Column:
+    """Weighted sum of text_score, vector_score, stage1 and metadata_score; 10 more for an exact seed."""
+    unit = lambda c: F.least(F.greatest(F.coalesce(F.nanvl(c, F.lit(0.0)), F.lit(0.0)), F.lit(0.0)), F.lit(1.0))
+    stage1 = unit(F.col("stage1") / 512 + 0.5)
+    return 0.35 * unit(F.col("text_score")) + 0.35 * unit(F.col("vector_score")) + 0.20 * stage1 + 0.10 * unit(F.col("metadata_score")) + F.when(F.col("exact_seed"), 10.0).otherwise(0.0)
+
+
 def rerank(rows: DataFrame, k: int) -> DataFrame:
     """rows (id, text_score, vector_score, stage1, metadata_score, exact_seed): weighted sum,
     exact seeds first; seeds cut by the limit come back with score 10."""
-    unit = lambda c: F.least(F.greatest(F.coalesce(F.nanvl(c, F.lit(0.0)), F.lit(0.0)), F.lit(0.0)), F.lit(1.0))
-    stage1 = unit(F.col("stage1") / 512 + 0.5)
-    score = 0.35 * unit(F.col("text_score")) + 0.35 * unit(F.col("vector_score")) + 0.20 * stage1 + 0.10 * unit(F.col("metadata_score")) + F.when(F.col("exact_seed"), 10.0).otherwise(0.0)
-    ranked = rows.select("id", "exact_seed", F.round(score, 6).alias("score"))
+    ranked = rows.select("id", "exact_seed", F.round(rerank_score(), 6).alias("score"))
     kept = ranked.orderBy(F.desc("score"), F.desc("exact_seed"), "id").limit(k)
     cut = ranked.where("exact_seed").join(kept.select("id"), "id", "left_anti").withColumn("score", F.lit(10.0))
     return kept.unionByName(cut)

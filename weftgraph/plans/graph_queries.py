@@ -55,6 +55,7 @@ def add(name, sql):
     return keep
 
 
+_O1 = "SELECT 'o:1' AS source"
 _NEAR = T.Limits(2, 200, 10_000)
 _TARGET = T.Limits(4, 20, 50_000)
 _ALL = ["CONTAINS"]
@@ -97,7 +98,7 @@ def _paths(spark, sf_dir):
 _PATHS_SQL = f"{WITH}, {T.path_sql('c:1', ['CALLS', 'WRITES', 'READS'], [], _NEAR, 'true', True)}"
 
 
-@add("q_impact_sections", f"{WITH}" + "".join(f", {n}_ AS (WITH RECURSIVE {T.path_sql('o:1', list(q.forward), list(q.reverse), T.Limits(2, 24, 5000), q.accept_sql(), q.shortest)} SELECT '{n}' AS section, source, target, list_aggregate(ids, 'string_agg', '|') AS edge_ids, round(cost, 6) AS cost FROM paths)" for n, q in Q.QUERIES.items()) + f", event_flow_ AS (WITH RECURSIVE {Q.event_flow_sql('o:1', T.Limits(2, 24, 5000))} SELECT 'event_flow' AS section, source, target, list_aggregate(ids, 'string_agg', '|') AS edge_ids, round(cost, 6) AS cost FROM paths) " + " UNION ALL ".join(f"SELECT * FROM {n}_" for n in [*Q.QUERIES, "event_flow"]))
+@add("q_impact_sections", f"{WITH}" + "".join(f", {n}_ AS (WITH RECURSIVE {T.path_sql('o:1', list(q.forward), list(q.reverse), T.Limits(2, 24, 5000), q.accept_sql(), q.shortest)} SELECT '{n}' AS section, source, target, list_aggregate(ids, 'string_agg', '|') AS edge_ids, round(cost, 6) AS cost FROM paths)" for n, q in Q.QUERIES.items()) + f", event_flow_ AS (WITH RECURSIVE {Q.event_flow_sql(_O1, T.Limits(2, 24, 5000))} SELECT 'event_flow' AS section, source, target, list_aggregate(ids, 'string_agg', '|') AS edge_ids, round(cost, 6) AS cost FROM paths) " + " UNION ALL ".join(f"SELECT * FROM {n}_" for n in [*Q.QUERIES, "event_flow"]))
 def impact_sections(spark, sf_dir):
     found = Q.impact(store.steps(spark, sf_dir), "o:1", T.Limits(2, 24, 5000))
     return found.select("section", "source", "target", F.array_join(F.col("steps.id"), "|").alias("edge_ids"), F.round("cost", 6).alias("cost"))
@@ -107,7 +108,8 @@ _EVENTS = {"READS": "PUBLISHES", "WRITES": "CONSUMES", "FLOWS_TO": "EMITS"}
 
 
 def _event_flow(name, source, limits):
-    add(name, f"{_with(_EVENTS)}, {Q.event_flow_sql(source, limits)} {T.PRESENTED_SQL}")(lambda s, d: T.presented(Q.event_flow(Q.relabel(store.steps(s, d), _EVENTS), source, limits)))
+    starts = f"SELECT '{source}' AS source"
+    add(name, f"{_with(_EVENTS)}, {Q.event_flow_sql(starts, limits)} {T.PRESENTED_SQL}")(lambda s, d: T.presented(Q.event_flow(Q.relabel(store.steps(s, d), _EVENTS), source, limits)))
 
 
 _event_flow("q_find_event_flow", "o:1", T.Limits(4, 300, 10_000))
@@ -118,7 +120,7 @@ def _shortest(name, source, forward, reverse, limits):
     add(name, f"{WITH}, {T.path_sql(source, forward, reverse, limits, 'true', True)} {T.PRESENTED_SQL}")(lambda s, d: T.presented(T.k_shortest(store.steps(s, d), source, forward, reverse, limits)))
 
 
-@add("q_impact_events", f"{_with(_EVENTS)}" + "".join(f", {n}_ AS (WITH RECURSIVE {T.path_sql('o:1', list(q.forward), list(q.reverse), T.Limits(4, 24, 5000), q.accept_sql(), q.shortest)} SELECT '{n}' AS section, source, target, list_aggregate(ids, 'string_agg', '|') AS edge_ids, round(cost, 6) AS cost FROM paths)" for n, q in Q.QUERIES.items()) + f", event_flow_ AS (WITH RECURSIVE {Q.event_flow_sql('o:1', T.Limits(4, 24, 5000))} SELECT 'event_flow' AS section, source, target, list_aggregate(ids, 'string_agg', '|') AS edge_ids, round(cost, 6) AS cost FROM paths) " + " UNION ALL ".join(f"SELECT * FROM {n}_" for n in [*Q.QUERIES, "event_flow"]))
+@add("q_impact_events", f"{_with(_EVENTS)}" + "".join(f", {n}_ AS (WITH RECURSIVE {T.path_sql('o:1', list(q.forward), list(q.reverse), T.Limits(4, 24, 5000), q.accept_sql(), q.shortest)} SELECT '{n}' AS section, source, target, list_aggregate(ids, 'string_agg', '|') AS edge_ids, round(cost, 6) AS cost FROM paths)" for n, q in Q.QUERIES.items()) + f", event_flow_ AS (WITH RECURSIVE {Q.event_flow_sql(_O1, T.Limits(4, 24, 5000))} SELECT 'event_flow' AS section, source, target, list_aggregate(ids, 'string_agg', '|') AS edge_ids, round(cost, 6) AS cost FROM paths) " + " UNION ALL ".join(f"SELECT * FROM {n}_" for n in [*Q.QUERIES, "event_flow"]))
 def impact_events(spark, sf_dir):
     found = Q.impact(Q.relabel(store.steps(spark, sf_dir), _EVENTS), "o:1", T.Limits(4, 24, 5000))
     return found.select("section", "source", "target", F.array_join(F.col("steps.id"), "|").alias("edge_ids"), F.round("cost", 6).alias("cost"))

@@ -114,8 +114,26 @@ def scope_lookup(s, d):
 
 _FNV = "format('{{:016x}}', list_reduce(list_prepend({seed}::UHUGEINT, list_transform(range(1, length({x}) + 1), lambda i: ascii(substr({x}, i, 1))::UHUGEINT)), lambda h, b: (xor(h, b) * 1099511628211::UHUGEINT) % 18446744073709551616::UHUGEINT)::UBIGINT)"
 add("q_fnv64", "SELECT n_nationkey, " + _FNV.format(seed="14695981039346656037", x="n_name") + " AS h FROM nation")(lambda s, d: t(s, d, "nation").select("n_nationkey", hashing.fnv64_hex("n_name").alias("h")))
-add("q_stable_id")(lambda s, d: P.entities(s, d).select("id", hashing.stable_id(F.lit("repo://e/"), F.concat_ws("\x1f", "path", F.concat_ws(":", F.lower("kind"), "name"))).alias("stable_id")))
-add("q_text_signature")(lambda s, d: t(s, d, "documents").select("doc_id", hashing.signature256("text").alias("signature")))
+_BYTES = "list_transform(range(1, length({x}) + 1), lambda i: ascii(substr({x}, i, 1))::UHUGEINT)"
+_FOLD = "list_reduce(list_prepend({seed}::UHUGEINT, {bytes}), lambda h, b: (xor(h, b) * 1099511628211::UHUGEINT) % 18446744073709551616::UHUGEINT)"
+_PARTS = f"list_concat(list_append({_BYTES.format(x='path')}, 0::UHUGEINT), list_append({_BYTES.format(x='part')}, 0::UHUGEINT))"
+_hex = lambda seed: "format('{:016x}', " + _FOLD.format(seed=seed, bytes="b") + "::UBIGINT)"
+add("q_stable_id", f"{WITH}, x AS (SELECT id, {_PARTS} AS b FROM (SELECT id, path, lower(kind) || ':' || name AS part FROM entities)) SELECT id, 'repo://e/' || {_hex(hashing.OFFSET)} || {_hex(hashing.LOW_SEED)} AS stable_id FROM x")(lambda s, d: P.entities(s, d).select("id", hashing.stable_id(F.lit("repo://e/"), F.concat_ws("\x1f", "path", F.concat_ws(":", F.lower("kind"), "name"))).alias("stable_id")))
+
+
+def signature_sql(rows: str) -> str:
+    """DuckDB CTEs that end in `signed` (id, text, signature) of rows, a select of id and text: four words
+    of sign bits. Each distinct token is hashed once for each word, then votes are counted bit by bit."""
+    word = lambda w: _FOLD.format(seed=(hashing.OFFSET ^ (w * hashing.GOLDEN)) & (2**64 - 1), bytes=_BYTES.format(x="w")) + f"::UBIGINT AS h{w}"
+    votes = ", ".join(f"sum((h{w} >> {b}) & 1)::BIGINT AS v{w}_{b}" for w in range(4) for b in range(64))
+    bits = lambda w: " + ".join(f"CASE WHEN 2 * coalesce(v{w}_{b}, 0) >= coalesce(n, 0) THEN {1 << b if b < 63 else -(1 << 63)}::HUGEINT ELSE 0 END" for b in range(64))
+    low = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return f"""src AS ({rows}), tok AS (SELECT id, unnest(list_filter(regexp_split_to_array({low}, '[^a-z0-9_.]+'), lambda x: x <> '')) AS w FROM src), raw AS (SELECT w, {", ".join(map(word, range(4)))} FROM (SELECT DISTINCT w FROM tok)),
+mix AS (SELECT w, {", ".join(f"xor(h{w}, h{w} >> 32) AS h{w}" for w in range(4))} FROM raw), sum_ AS (SELECT id, count(*) AS n, {votes} FROM tok JOIN mix USING (w) GROUP BY id),
+signed AS (SELECT d.id, d.text, [{", ".join(f"({bits(w)})::BIGINT" for w in range(4))}] AS signature FROM src d LEFT JOIN sum_ ON sum_.id = d.id)"""
+
+
+add("q_text_signature", f"WITH {signature_sql('SELECT doc_id AS id, text FROM documents')} SELECT id AS doc_id, signature FROM signed")(lambda s, d: t(s, d, "documents").select("doc_id", hashing.signature256("text").alias("signature")))
 add("q_file_digest_xor", "SELECT lang, bit_xor(('0x' || substr(md5(text), 1, 15))::BIGINT) AS digest, count(*) AS files FROM documents GROUP BY 1")(
     lambda s, d: t(s, d, "documents").groupBy("lang").agg(F.bit_xor(F.conv(F.substring(F.md5(F.encode("text", "UTF-8")), 1, 15), 16, 10).cast("long")).alias("digest"), F.count("*").alias("files"))
 )
