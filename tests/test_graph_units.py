@@ -191,3 +191,29 @@ def test_upkeep_of_empty_tables(spark):
     assert upkeep.union_seeds(none, none).count() == 0
     assert upkeep.counts({"a": none}).collect()[0]["rows"] == 0
     assert upkeep.context_ratios(none, {"x": ("hamming", "id")}).first()[0] is None
+
+
+def test_hamming_neighbours_equal_brute_force(spark, monkeypatch):
+    import numpy as np
+
+    from weftgraph.operators import vector
+
+    rnd = np.random.default_rng(4)
+    rows = [(int(i), rnd.integers(-(2**63), 2**63 - 1, 2).tolist()) for i in range(0, 900, 3)] + [(300, [1, 1]), (300, [1, 1]), (None, [1, 1]), (7, None), (1000, [5]), (1001, [4])]
+    want = []
+    for a, (i, w) in enumerate(rows):
+        if i is not None and w and i % 100 == 0:
+            near = sorted((sum(bin((x ^ y) & (2**64 - 1)).count("1") for x, y in zip(w, v)), j) for b, (j, v) in enumerate(rows) if b != a and j is not None and v and len(v) == len(w))
+            want += [(i, j, h) for h, j in near[:6]]
+    for block in (1 << 20, 64):
+        monkeypatch.setattr(vector, "BLOCK_WORDS", block)
+        got = vector.hamming_neighbours(spark.createDataFrame(rows, "id long, words array<bigint>"), F.expr("id % 100 = 0"), 6)
+        assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
+def test_repo_paths_lose_empty_and_dot_parts(spark):
+    from weftgraph.operators import upkeep
+
+    said = {"src/": "src", "a/./b": "a/b", " ./x\\y//z/. ": "x/y/z", "": "", "..": "..", "/": ""}
+    df = spark.createDataFrame([(k,) for k in said], "p string")
+    assert {r["p"]: r["q"] for r in df.withColumn("q", upkeep.repo_path(F.col("p"))).collect()} == said

@@ -11,6 +11,7 @@ from pyspark.sql.window import Window as W
 
 from ..functions import expr
 from ..sources.shared import materialized
+from .intervals import innermost
 
 # fixed values
 HARD_DIRS = ("node_modules", ".git", "target", "dist", "__pycache__")
@@ -92,9 +93,7 @@ def dependents(imports: DataFrame, changed: DataFrame) -> DataFrame:
 
 def enclosing(inner: DataFrame, outer: DataFrame) -> DataFrame:
     """The smallest outer (file, id, start, end) that covers each inner (file, id, start, end)."""
-    i, o = inner.select("file", F.col("id").alias("inner_id"), F.col("start").alias("s"), F.col("end").alias("e")), outer.select("file", F.col("id").alias("outer_id"), "start", "end")
-    hit = i.join(o, "file").where("start <= s and end >= e and inner_id <> outer_id")
-    return hit.groupBy("file", "inner_id").agg(F.min_by("outer_id", F.struct(F.col("end") - F.col("start"), "outer_id")).alias("outer_id"))
+    return innermost(inner, outer)
 
 
 def sql_relation(sql: Column) -> tuple[Column, Column]:

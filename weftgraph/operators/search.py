@@ -66,21 +66,20 @@ def overlap_join(items: DataFrame, docs: DataFrame, least: float) -> DataFrame:
 
     Of an item's n tokens m = ceil(least n) must be shared, so a match has one of any n - m + 1
     of them: its rarest are joined by equality with the documents' tokens. No match is lost.
-    Only the items' tokens of a document are kept, as no other counts. A pair is compared at the first of these tokens that the document has, in full, so pairs
-    aren't gathered and a row of documents is never shuffled. The items are the broadcast side.
+    Pairs that meet are told apart by row and compared in full. Items and documents may both
+    be many: nothing is collected, and what is broadcast is for the planner to decide by size.
     """
-    q = items.select("item_id", F.array_distinct(expr.signature_tokens(F.col("text"))).alias("q"))
-    vocabulary = [r["token"] for r in q.select(F.explode("q").alias("token")).distinct().collect()]  # the items' tokens
-    k = docs.select("doc_id", F.array_distinct(F.filter(expr.signature_tokens(F.col("text")), lambda x: x.isin(vocabulary))).alias("k")).where(F.size("k") > 0)
-    used = k.select(F.explode("k").alias("token")).groupBy("token").agg(F.count("*").alias("df"))
-    ranked = q.withColumn("item", F.monotonically_increasing_id()).select("item", "item_id", "q", F.explode("q").alias("token")).join(used, "token", "left")
-    n = F.size("q")
-    rare = F.slice(F.col("rare.token"), F.lit(1), (n - F.ceil(n * F.lit(least) - 1e-9) + 1).cast("int"))
-    prefix = ranked.groupBy("item", "item_id", "q").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "token"))).alias("rare")).select("item_id", "q", rare.alias("rare"))
-    prefix = prefix.select("*", F.explode("rare").alias("token"))
-    pairs = k.select("doc_id", "k", F.explode("k").alias("token")).join(F.broadcast(prefix), "token").where(F.get(F.array_intersect("rare", "k"), 0) == F.col("token"))
-    share = F.size(F.array_intersect("q", "k")) / n
-    return pairs.where(share >= least).select("item_id", "doc_id", F.round(share, 6).alias("overlap"))
+    tokens = lambda df, key, row: materialized(df.select(key, F.array_distinct(expr.signature_tokens(F.col("text"))).alias(row[0])).withColumn(row, F.monotonically_increasing_id()), row)
+    q, k = tokens(items, "item_id", "q_row").where(F.size("q") > 0), tokens(docs, "doc_id", "k_row")
+    asked = q.select("q_row", F.size("q").alias("n"), F.explode("q").alias("token"))
+    held = materialized(k.select("k_row", F.explode("k").alias("token")).join(asked.select("token").distinct(), "token", "left_semi"), "held")
+    ranked = asked.join(held.groupBy("token").agg(F.count("*").alias("df")), "token", "left")
+    rare = F.slice(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "token"))), F.lit(1), F.first(F.col("n") - F.ceil(F.col("n") * F.lit(least) - 1e-9) + 1).cast("int"))
+    prefix = ranked.groupBy("q_row").agg(rare.alias("rare")).select("q_row", F.explode("rare.token").alias("token"))
+    pairs = prefix.join(held, "token").select("q_row", "k_row").distinct()
+    share = F.size(F.array_intersect("q", "k")) / F.size("q")
+    met = pairs.join(q, "q_row").join(k, "k_row").withColumn("share", share).where(F.col("share") >= least)
+    return met.select("item_id", "doc_id", F.round("share", 6).alias("overlap"))
 
 
 def source_scan(docs: DataFrame, needle: str, limit: int) -> DataFrame:

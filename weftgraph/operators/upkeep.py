@@ -109,9 +109,9 @@ def batch_starts(rows: DataFrame, count: str, size: str, new_size: str, max_coun
 
 
 def repo_path(path: Column) -> Column:
-    """Forward slashes, no './' or '/' in front, no empty parts."""
-    p = F.regexp_replace(F.replace(F.trim(path), F.lit("\\"), F.lit("/")), "/+", "/")
-    return F.regexp_replace(p, r"^(\./|/)+", "")
+    """Forward slashes only, without empty and '.' parts."""
+    parts = F.split(F.replace(F.trim(path), F.lit("\\"), F.lit("/")), "/")
+    return F.array_join(F.filter(parts, lambda x: (x != "") & (x != ".")), "/")
 
 
 def relation_scores(expected: DataFrame, observed: DataFrame) -> DataFrame:

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
+
+from ..sources.shared import materialized
 
 
 def sign_words(v: Column, dims: int) -> Column:
@@ -29,6 +34,51 @@ def hamming_topk(vectors: DataFrame, query: list[int], dims: int, k: int) -> Dat
     return vectors.select("id", h.alias("hamming"), (dims - 2 * h).alias("similarity")).orderBy("hamming", "id").limit(k)
 
 
+#: words of all signatures of a block, at most (8 MB)
+BLOCK_WORDS = 1 << 20
+
+
+def hamming_neighbours(vectors: DataFrame, is_query: Column, k: int) -> DataFrame:
+    """(query_id, id, hamming): the k other rows nearest to each query row of vectors (id, words), by (hamming, id).
+
+    Queries and rows may both be many: queries are dealt into groups and rows into blocks of
+    bounded size, a unit is one group against one block and gives its k best for each query,
+    and the best of all blocks are kept. Rows with a null id or words take no part; words of
+    one length are compared with each other; repeated rows are rows of their own.
+    """
+    rows = vectors.where("id is not null and words is not null").select("id", F.col("words").cast("array<bigint>").alias("words"), F.size("words").alias("width"), F.monotonically_increasing_id().alias("row"))
+    rows = materialized(rows.where("width > 0"), "signatures")
+    sizes = rows.groupBy("width").agg(F.count("*").alias("n"), F.count(F.when(is_query, 1)).alias("q")).where("q > 0").withColumnRenamed("width", "of_width")
+    most = F.greatest(F.lit(1), F.floor(F.lit(BLOCK_WORDS) / F.col("of_width")))
+    sizes = sizes.select("of_width", F.ceil(F.col("n") / most).cast("int").alias("blocks"), F.ceil(F.col("q") / most).cast("int").alias("groups"))
+    dealt = rows.join(sizes, F.col("width") == F.col("of_width"))
+    mixed, unit = F.xxhash64("row"), ["width", "group", "block"]
+    asks = dealt.where(is_query).withColumn("group", F.pmod(F.shiftrightunsigned(mixed, 32), F.col("groups")).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("query", F.lit(True))
+    held = dealt.withColumn("block", F.pmod(mixed, F.col("blocks")).cast("int")).withColumn("group", F.explode(F.sequence(F.lit(0), F.col("groups") - 1))).withColumn("query", F.lit(False))
+    both = asks.unionByName(held).select(*unit, "row", "id", "words", "query")
+
+    def nearest(table: pa.Table) -> pa.Table:
+        query, width = table["query"].to_numpy(), table["width"][0].as_py()
+        words = table["words"].combine_chunks().flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, width)
+        row, name = table["row"].to_numpy(), table["id"].to_numpy()
+        own = np.flatnonzero(~query)
+        own = own[np.lexsort((row[own], name[own]))]
+        out = [np.zeros((5, 0), np.int64)]
+        for a in np.flatnonzero(query).tolist():
+            h = np.bitwise_count(words[own] ^ words[a]).sum(axis=1, dtype=np.int64)
+            h[row[own] == row[a]] = 64 * width + 1  # itself comes last
+            best = np.argsort(h, kind="stable")[:k]
+            best = best[h[best] <= 64 * width]
+            out.append(np.stack([np.full(len(best), row[a]), np.full(len(best), name[a]), row[own[best]], name[own[best]], h[best]]))
+        cols = np.concatenate(out, axis=1)
+        return pa.table(dict(zip(("query_row", "query_id", "row", "id", "hamming"), map(pa.array, cols))))
+
+    kind = vectors.schema["id"].dataType.simpleString()
+    found = both.withColumn("id", F.col("id").cast("long")).groupBy(*unit).applyInArrow(nearest, "query_row long, query_id long, row long, id long, hamming long")
+    nth = F.row_number().over(W.partitionBy("query_row").orderBy("hamming", "id", "row"))
+    return found.withColumn("nth", nth).where(F.col("nth") <= k).select(F.col("query_id").cast(kind).alias("query_id"), F.col("id").cast(kind).alias("id"), F.col("hamming").cast("int").alias("hamming"))
+
+
 def int8(v: Column) -> tuple[Column, Column]:
     """(int8 components, scale): scaled so that the largest magnitude is 127."""
     top = F.array_max(F.transform(v, lambda x: F.abs(x.cast("double"))))

@@ -181,6 +181,14 @@ def hamming_topk(s, d):
     return V.hamming_topk(v, query["words"], 64, 32)
 
 
+@add("q_hamming_neighbours", f"""WITH s AS (SELECT vec_id AS id, {_V} AS b FROM embeddings), h AS (SELECT q.id AS query_id, s.id, list_sum(list_transform(range(1, 65), lambda i: CASE WHEN q.b[i] <> s.b[i] THEN 1 ELSE 0 END))::INT AS hamming FROM s q, s WHERE q.id % 100 = 0 AND q.id <> s.id)
+SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY hamming, id) <= 10""")
+def hamming_neighbours(s, d):
+    """Every row whose id is divisible by 100 against all rows."""
+    v = t(s, d, "embeddings").select(F.col("vec_id").alias("id"), V.sign_words(F.col("embedding"), 64).alias("words"))
+    return V.hamming_neighbours(v, F.expr("id % 100 = 0"), 10)
+
+
 @add("q_int8_quantise", "SELECT vec_id AS id, list_transform(embedding, lambda x: CASE WHEN m = 0 THEN 0 ELSE round(x::DOUBLE / m * 127) END::INT) AS q, round(m / 127, 9) AS scale FROM (SELECT vec_id, embedding, list_max(list_transform(embedding, lambda x: abs(x::DOUBLE))) AS m FROM embeddings)")
 def int8_quantise(s, d):
     q, scale = V.int8(F.col("embedding"))

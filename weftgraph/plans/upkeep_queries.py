@@ -87,8 +87,9 @@ add("q_dropped_ids", "SELECT c_custkey AS id FROM customer WHERE c_custkey NOT I
 add("q_batch_starts", "SELECT doc_id, doc_id % 130 > 0 AND (doc_id % 130 >= 128 OR n_chars * 20000 + n_chars > 33554432) AS starts FROM documents")(
     lambda s, d: U.batch_starts(t(s, d, "documents").select("doc_id", (c("doc_id") % 130).alias("n"), (c("n_chars") * 20000).alias("size"), "n_chars"), "n", "size", "n_chars").select("doc_id", "starts")
 )
-add("q_repo_paths", r"SELECT p_partkey AS id, regexp_replace(regexp_replace(replace(trim(p), '\', '/'), '/+', '/', 'g'), '^(\./|/)+', '') AS path FROM (SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN ' ./src//' WHEN 1 THEN '/lib\' ELSE '././a/' END || p_name AS p FROM part)")(
-    lambda s, d: t(s, d, "part").select(c("p_partkey").alias("id"), U.repo_path(F.concat(F.when(c("p_partkey") % 3 == 0, " ./src//").when(c("p_partkey") % 3 == 1, "/lib\\").otherwise("././a/"), "p_name")).alias("path"))
+_PATHS = ("' ./src//'", "'/lib\\'", "'././a/'", "'a/./b/'", "'x//./y\\./'", "''")  # what stands before the names
+add("q_repo_paths", "SELECT p_partkey AS id, array_to_string(list_filter(string_split(replace(trim(p), '\\', '/'), '/'), lambda x: x NOT IN ('', '.')), '/') AS path FROM (SELECT p_partkey, CASE p_partkey % 6 " + " ".join(f"WHEN {k} THEN {x}" for k, x in enumerate(_PATHS)) + " END || p_name || CASE p_partkey % 4 WHEN 0 THEN '/' WHEN 1 THEN '/./' ELSE '' END AS p FROM part)")(
+    lambda s, d: t(s, d, "part").select(c("p_partkey").alias("id"), U.repo_path(F.concat(F.element_at(F.array(*(F.lit(x[1:-1]) for x in _PATHS)), (c("p_partkey") % 6 + 1).cast("int")), "p_name", F.when(c("p_partkey") % 4 == 0, "/").when(c("p_partkey") % 4 == 1, "/./").otherwise(""))).alias("path"))
 )
 
 
