@@ -179,3 +179,27 @@ def test_the_funnel_keeps_seeds_and_drops_what_has_no_path(spark):
     assert ("risk", "Changing 1 may mutate 4") in text and ("test", "run tests covering 9") in text and sum(s == "path" for s, _ in text) >= 3
     none = funnel.run(tasks.limit(0), documents, store.write_steps(edges), entities)
     assert all(df.collect() == [] for df in none)
+
+
+# ---- templates
+
+
+def test_expanded_templates_equal_direct_extraction(spark):
+    from weftgraph.operators import templates
+
+    def direct(path):
+        module = path.rsplit(".", 1)[0].replace("/", "::")
+        return [(path, k, n, q) for k, n, q in (("Module", module, module), ("Function", "f", f"{module}.f"), ("Method", "g", f"{module}::f::g"), ("Import", "x", "lib.x"), ("Function", "odd", f"{module}s.f"))]
+
+    paths = ["b/two.ts", "a/one.test.ts", "c", "d/e.js"]
+    entities = spark.createDataFrame([r for p in paths for r in direct(p)], "path string, kind string, name string, qualified_name string").withColumn("line", F.lit(1)).withColumn("id", templates.entity_id(F.col("path"), F.col("kind"), F.col("qualified_name")))
+    of = {(r["path"], r["name"]): r["id"] for r in entities.collect()}
+    edges = spark.createDataFrame([(p, of[p, "f"], "CALLS", of[p, "g"], 3) for p in paths] + [(p, of[p, "f"], "CALLS", "gone", 4) for p in paths], "path string, head_id string, relation string, tail_id string, line int")
+    files = spark.createDataFrame([("b/two.ts", "h"), ("a/one.test.ts", "h"), ("c", "h"), ("d/e.js", "other"), (None, "h"), ("z", None)], "path string, hash string")
+    instances, t_entities, t_edges = templates.split(files, entities, edges)
+    assert t_entities.count() == 10 and t_edges.count() == 4 and {r["canonical"] for r in instances.collect()} == {"a/one.test.ts", "d/e.js"}
+    made = templates.expand_entities(instances, t_entities)
+    # a name that only starts like the module's stays the canonical file's
+    plain = lambda df: sorted(tuple(r) for r in df.where("name <> 'odd' and kind <> 'Module'").select("path", "id", "kind", "qualified_name").collect())
+    assert plain(made) == plain(entities)
+    assert {(r["path"], r["head_id"], r["tail_id"]) for r in templates.expand_edges(instances, t_entities, t_edges).collect()} == {(p, of[p, "f"], of[p, "g"]) for p in paths}

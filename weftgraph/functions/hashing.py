@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import ArrayType, LongType, StringType
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType
 
 # fixed values
 OFFSET, PRIME, LOW_SEED, GOLDEN = 0xCBF29CE484222325, 0x100000001B3, 0x9E3779B185EBCA87, 0x9E3779B97F4A7C15
@@ -73,6 +73,33 @@ def signature256(text: pd.Series) -> pd.Series:
     return pd.Series(out.tolist())
 
 
+def int8_of_text(dims: int):
+    """A function of a text: dims components, each the sum of its tokens' low hash bytes less 128, within -127..127.
+
+    Tokens are as in ``signature256``, hashed with the component's number as seed; a text
+    without tokens is hashed whole, trimmed, and an empty one has zeros.
+    """
+
+    @pandas_udf(ArrayType(IntegerType()))
+    def vectors(text: pd.Series) -> pd.Series:
+        words = [[x for x in _TOKEN.split(t or "") if x] or ([t.strip()] if t and t.strip() else []) for t in text]
+        bounds = np.append(0, np.cumsum([len(w) for w in words]))
+        distinct, place = np.unique(np.array([x.translate(_LOWER) for w in words for x in w], object), return_inverse=True)
+        raw = [x.encode() for x in distinct.tolist()]
+        out = np.zeros((len(words), dims), np.int64)
+        for d in range(dims):
+            h = fnv_many(raw, OFFSET ^ ((d * GOLDEN) & (2**64 - 1)))
+            total = np.zeros(len(place) + 1, np.int64)
+            np.cumsum((((h ^ (h >> np.uint64(32))) & np.uint64(0xFF)).astype(np.int64) - 128)[place], out=total[1:])
+            out[:, d] = total[bounds[1:]] - total[bounds[:-1]]
+        return pd.Series(np.clip(out, -127, 127).astype(np.int32).tolist())
+
+    return vectors
+
+
+_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
 def fact_digests(entities: DataFrame, edges: DataFrame) -> DataFrame:
     """(fact, label, facts, digest): a digest of all entities of each kind, of all edges of
     each relation, and of the whole graph.

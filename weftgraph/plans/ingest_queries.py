@@ -134,6 +134,12 @@ signed AS (SELECT d.id, d.text, [{", ".join(f"({bits(w)})::BIGINT" for w in rang
 
 
 add("q_text_signature", f"WITH {signature_sql('SELECT doc_id AS id, text FROM documents')} SELECT id AS doc_id, signature FROM signed")(lambda s, d: t(s, d, "documents").select("doc_id", hashing.signature256("text").alias("signature")))
+_INT8_DIMS = 32
+add("q_int8_of_text", "WITH d AS (SELECT c_custkey AS id, c_name || ' ' || c_mktsegment || ' Repo_' || c_custkey % 3 || '-' || c_name AS text FROM customer), k AS (SELECT id, unnest(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9_.]+'), lambda x: x <> '')) AS w FROM d), "
+    "u AS (SELECT w, " + ", ".join(_FOLD.format(seed=(hashing.OFFSET ^ ((i * hashing.GOLDEN) & (2**64 - 1))), bytes=_BYTES.format(x="w")) + f"::UBIGINT AS h{i}" for i in range(_INT8_DIMS)) + " FROM (SELECT DISTINCT w FROM k)) "
+    "SELECT id, [" + ", ".join(f"least(greatest(sum((xor(h{i}, h{i} >> 32) & 255)::BIGINT - 128), -127), 127)::INT" for i in range(_INT8_DIMS)) + "] AS v FROM k JOIN u USING (w) GROUP BY id")(
+    lambda s, d: t(s, d, "customer").select(F.col("c_custkey").alias("id"), hashing.int8_of_text(_INT8_DIMS)(F.concat("c_name", F.lit(" "), "c_mktsegment", F.lit(" Repo_"), F.col("c_custkey") % 3, F.lit("-"), "c_name")).alias("v"))
+)
 add("q_file_digest_xor", "SELECT lang, bit_xor(('0x' || substr(md5(text), 1, 15))::BIGINT) AS digest, count(*) AS files FROM documents GROUP BY 1")(
     lambda s, d: t(s, d, "documents").groupBy("lang").agg(F.bit_xor(F.conv(F.substring(F.md5(F.encode("text", "UTF-8")), 1, 15), 16, 10).cast("long")).alias("digest"), F.count("*").alias("files"))
 )

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import functions as F
 
 from ..operators import bundles as B
-from ..operators import truth
+from ..operators import templates, truth
 from ..sources.modules import line_key
 from ..sources.projection import table as t
 from ..sources.shared import shared_path
@@ -117,6 +117,34 @@ def _large(s, d):
     return payloads.select("sha256", "bytes").join(refers, "sha256")
 
 
+# ---- templates: a third of all files have one content
+
+
+def _contents(s, d):
+    """(files, entities, edges): what direct extraction finds in every file; it depends on path and contents only."""
+    k = c("c_custkey")
+    rows = t(s, d, "customer").select(F.concat(F.lit("src/c"), k, F.lit(".v.ts")).alias("path"), F.when(k % 3 == 0, 0).otherwise(k % 250).cast("long").alias("h"))
+    module, n = templates.module_of(c("path")), (c("h") % 4 + 2).cast("int")
+    made = F.transform(F.sequence(F.lit(0), n - 1), lambda j: F.struct(F.lit("Function").alias("kind"), F.concat(F.lit("fn"), j).alias("name"), F.concat(module, F.lit("."), F.lit("fn"), j).alias("qualified_name"), (j * 3 + 1).alias("line")))
+    more = F.array(F.struct(F.lit("Module").alias("kind"), module.alias("name"), module.alias("qualified_name"), F.lit(1).alias("line")), F.struct(F.lit("Import").alias("kind"), F.lit("x").alias("name"), F.concat(F.lit("static_reference:x"), "h").alias("qualified_name"), F.lit(1).alias("line")))
+    entities = rows.select("path", F.explode(F.concat(made, more)).alias("e")).select("path", templates.entity_id(c("path"), c("e.kind"), c("e.qualified_name")).alias("id"), "e.*")
+    own = lambda j: templates.entity_id(c("path"), F.lit("Function"), F.concat(module, F.lit(".fn"), j))
+    j = c("j")
+    links = rows.withColumn("j", F.explode(F.sequence(F.lit(0), n - 1)))
+    tail = F.when(j + 1 < n, own(j + 1)).when(c("h") % 5 == 0, F.lit("gone")).otherwise(templates.entity_id(c("path"), F.lit("Import"), F.concat(F.lit("static_reference:x"), "h")))
+    return rows.select("path", F.concat(F.lit("h"), "h").alias("hash")), entities, links.select("path", own(j).alias("head_id"), F.lit("CALLS").alias("relation"), tail.alias("tail_id"), (j * 3 + 2).alias("line"))
+
+
+_MD5 = lambda *x: "md5(concat_ws(chr(31), " + ", ".join(x) + "))"
+_CONTENTS = f"""WITH r AS (SELECT 'src/c' || c_custkey || '.v.ts' AS path, 'src::c' || c_custkey || '.v' AS m, CASE WHEN c_custkey % 3 = 0 THEN 0 ELSE c_custkey % 250 END AS h FROM customer), j AS (SELECT *, h % 4 + 2 AS n, unnest(range(0, h % 4 + 2)) AS j FROM r),
+ent AS (SELECT path, 'Function' AS kind, 'fn' || j AS name, m || '.fn' || j AS qualified_name, (j * 3 + 1)::INT AS line FROM j UNION ALL SELECT path, 'Module', m, m, 1 FROM r UNION ALL SELECT path, 'Import', 'x', 'static_reference:x' || h, 1 FROM r),
+lnk AS (SELECT path, 'e:' || {_MD5("path", "'Function'", "m || '.fn' || j")} AS head_id, 'e:' || CASE WHEN j + 1 < n THEN {_MD5("path", "'Function'", "m || '.fn' || (j + 1)")} ELSE {_MD5("path", "'Import'", "'static_reference:x' || h")} END AS tail_id, (j * 3 + 2)::INT AS line FROM j WHERE j + 1 < n OR h % 5 <> 0)"""
+add("q_template_entities", f"{_CONTENTS} SELECT path, 'e:' || {_MD5('path', 'kind', 'qualified_name')} AS id, kind, qualified_name, line FROM ent")(
+    lambda s, d: (lambda i, e, x: templates.expand_entities(i, e))(*templates.split(*_contents(s, d))).select("path", "id", "kind", "qualified_name", "line")
+)
+add("q_template_edges", f"{_CONTENTS} SELECT path, 'x:' || {_MD5('head_id', chr(39) + 'CALLS' + chr(39), 'tail_id', 'path', 'line::VARCHAR')} AS id, head_id, 'CALLS' AS relation, tail_id, line FROM lnk")(lambda s, d: templates.expand_edges(*templates.split(*_contents(s, d))))
+
+
 # ---- graph truth: nations are cases, their customers' orders the observed calls
 
 
