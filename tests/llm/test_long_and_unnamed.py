@@ -86,3 +86,56 @@ def test_long_texts_are_learned_from(spark):
     model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
     new = spark.createDataFrame([(1, text("de", 50)), (2, text("en", 50))], "doc_id long, text string")
     assert {r["doc_id"]: r["lang_pred"] for r in langid.predict(new, model).collect()} == {1: "de", 2: "en"}
+
+
+def test_every_prediction_equals_a_slow_reference(spark, sf_dir):
+    """Trigrams, duels, family routing, votes, ties and scores, text by text, without arrays of all texts."""
+    from itertools import combinations
+    from math import exp, tanh
+
+    import numpy as np
+
+    def features(text):
+        raw = [b if b >= 128 or chr(b).isalpha() else 32 for b in (text or "").lower().encode()]
+        counts = {}
+        for a, b, c in zip(raw, raw[1:], raw[2:]):
+            k = (((a | b << 8 | c << 16) * 0x9E3779B1) & 0xFFFFFFFF) >> (32 - langid.BITS)
+            counts[k] = counts.get(k, 0) + 1
+        return {k: v / sum(counts.values()) for k, v in counts.items()}
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
+    got = {r["doc_id"]: r for r in langid.op2_langid(spark, sf_dir).collect()}
+    rows = {r["doc_id"]: (features(r["text"]), r["lang"], got[r["doc_id"]]["held_out"], r["text"]) for r in docs.collect()}
+    known = sorted((i, r) for i, r in rows.items() if not r[2] and r[1] and r[3] is not None and r[0])
+    as_sample = {i: (np.array(sorted(r[0]), np.int32), np.array([np.float32(r[0][k]) for k in sorted(r[0])], np.float64)) for i, r in known}
+    norm = float(np.quantile([np.sqrt((x**2).sum()) for _, x in as_sample.values()], 0.5))
+    families, pairs = langid.duels([r[1] for _, r in known])
+    trained = {}
+    for level, a, b in pairs:
+        side = lambda lang: langid.family_of(lang) if level == "family" else lang  # noqa: E731,B023
+        own = [(i, side(r[1])) for i, r in known if side(r[1]) in (a, b)]
+        trained[a, b] = langid.fit_duel([as_sample[i] for i, _ in own], np.array([1.0 if x == a else -1.0 for _, x in own]), norm)
+
+    def duel(names, f):
+        if len(names) == 1:
+            return names[0], 1.0
+        margin = {}
+        for a, b in combinations(names, 2):
+            w, c = trained[a, b]
+            margin[a, b] = sum(float(w[k]) * v for k, v in f.items()) + c
+            margin[b, a] = -margin[a, b]
+        wins = lambda a, b: margin[a, b] >= 0 if (a, b) in trained else margin[a, b] > 0
+        total = {a: sum(wins(a, b) for b in names if b != a) + 1e-3 * tanh(sum(margin[a, b] for b in names if b != a)) for a in names}
+        best = max(names, key=lambda a: (total[a], -names.index(a)))
+        return best, 1 / (1 + exp(-2 * min(margin[best, b] for b in names if b != best)))
+
+    odd = 0
+    for i, (f, _, _, text) in rows.items():
+        if not any(c.isalpha() for c in text or ""):
+            want = ("und", 0.0)
+        else:
+            family, sure = duel(sorted(families), f)
+            lang, more = duel(families[family], f)
+            want = (lang, sure * more)
+        odd += got[i]["lang_pred"] != want[0] or abs(got[i]["score"] - want[1]) > 2e-3
+    assert len(rows) == len(got) and odd == 0

@@ -5,9 +5,12 @@ ASCII non-letters taken as blanks; a text's margin is the mean weight of its tri
 whole texts are scored in one linear pass. Both levels are one-versus-one linear SVMs: between
 families, then between the languages of the winning family.
 
-Every duel is trained in a task of its own, on the sample's rows of its two sides. A duel's
-weights are 2**BITS floats (1 MB) in the model that is broadcast: their number is
-that of pairs of families, and of pairs of languages within a family.
+Every duel is trained in a task of its own, on the sample's rows of its two sides, and gives
+the weights that it has (of trigrams that its sample holds) as one row. The model keeps a row
+of weights for each trigram that any duel uses; it is broadcast, and refused above
+MAX_MODEL_BYTES. Codes outside FAMILIES are put into families by their first letter, so that
+the number of duels stays far below that of all pairs. A text is judged by the duels between
+families and then by those of its family only.
 
 Cases: null texts and texts without a letter give ``und`` with score 0; very long texts are
 read whole, a slice at a time; a family with one learned language needs no second level;
@@ -32,37 +35,60 @@ from . import arrowtext as at
 from .tables import bounded_batches, extended, held_out, materialize, read, sample_ids, sample_texts
 
 BITS = 18
+#: documented bound on what is broadcast: bytes of all weights
+MAX_MODEL_BYTES = 512 << 20
 #: documented bound on what is learned from: documents of each language
 SAMPLE_PER_LANG = 1500
 SEED = 2
-#: fixed values: ISO 639-1 codes by family; any other code is of the family "other"
+#: fixed values: ISO 639-1 codes by family; any other code is of the family "other-" and its first letter
 FAMILIES = {
-    "germanic": "af da de en fo fy is lb nb nl nn no sv yi",
-    "romance": "ca es fr gl it la oc pt ro",
-    "slavic": "be bg bs cs hr mk pl ru sk sl sr uk",
-    "uralic": "et fi hu",
-    "turkic": "az kk ky tk tr tt uz",
-    "semitic": "ar he mt am",
-    "indo-iranian": "bn fa gu hi ku mr ne pa ps sd ur",
-    "sinitic": "zh yue wuu",
+    "germanic": ["af", "da", "de", "en", "fo", "fy", "is", "lb", "nb", "nl", "nn", "no", "sv", "yi"],
+    "romance": ["ca", "es", "fr", "gl", "it", "la", "oc", "pt", "ro"],
+    "slavic": ["be", "bg", "bs", "cs", "hr", "mk", "pl", "ru", "sk", "sl", "sr", "uk"],
+    "uralic": ["et", "fi", "hu"],
+    "turkic": ["az", "kk", "ky", "tk", "tr", "tt", "uz"],
+    "semitic": ["ar", "he", "mt", "am"],
+    "indo-iranian": ["bn", "fa", "gu", "hi", "ku", "mr", "ne", "pa", "ps", "sd", "ur"],
+    "sinitic": ["zh", "yue", "wuu"],
 }
-_FAMILY = {code: name for name, codes in FAMILIES.items() for code in codes.split()}
+_FAMILY = {code: name for name, codes in FAMILIES.items() for code in codes}
 _FOLD = np.array([b if b >= 128 or chr(b).isalpha() else 0x20 for b in range(256)], np.uint8)
 
 
 def family_of(lang: str) -> str:
-    return _FAMILY.get(lang.lower().replace("_", "-").split("-")[0], "other")
+    code = lang.lower().replace("_", "-").split("-")[0]
+    return _FAMILY.get(code, f"other-{code[:1]}")
 
 
 @dataclass(frozen=True)
 class LangModel:
-    """Pairwise classifiers: names[k] = (positive, negative), column k of weights, bias[k]."""
+    """Pairwise classifiers: names[k] = (positive, negative), column k of weights, bias[k]; row r of
+    weights is that of the trigram index[r], the last row (zeros) that of all others."""
 
     families: dict[str, list[str]] = field(default_factory=dict)
     names: list[tuple[str, str]] = field(default_factory=list)
-    weights: np.ndarray = field(default_factory=lambda: np.zeros((1 << BITS, 0), np.float32))
+    index: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    weights: np.ndarray = field(default_factory=lambda: np.zeros((1, 0), np.float32))
     bias: np.ndarray = field(default_factory=lambda: np.zeros(0))
 
+    def rows(self) -> np.ndarray:
+        """Row of weights of every possible trigram."""
+        out = np.full(1 << BITS, len(self.index), np.int32)
+        out[self.index] = np.arange(len(self.index))
+        return out
+
+
+def assembled(families: dict[str, list[str]], pairs: list[tuple[str, str, str]], found: list[tuple[int, float, np.ndarray, np.ndarray]]) -> LangModel:
+    """The model of trained duels: (number, bias, trigrams, weights) of each."""
+    found = sorted(found, key=lambda f: f[0])
+    index = np.unique(np.concatenate([f[2] for f in found])).astype(np.int64)
+    if 4 * (len(index) + 1) * len(found) > MAX_MODEL_BYTES:
+        raise ValueError("the model is too large to broadcast: learn fewer languages at once")
+    weights = np.zeros((len(index) + 1, len(found)), np.float32)
+    for k, (_, _, i, w) in enumerate(found):
+        weights[np.searchsorted(index, i), k] = w
+    return LangModel(families, [pairs[f[0]][1:] for f in found], index, weights, np.array([f[1] for f in found]))
+
 
 def trigrams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(index of each trigram, bounds by text); texts are kept apart and padded by nothing."""
@@ -150,10 +176,12 @@ def fit(docs: DataFrame, per_lang: int = SAMPLE_PER_LANG) -> LangModel:
         table = table.sort_by([("doc_id", "ascending"), ("lang", "ascending")]).combine_chunks()
         held = [(i.values.to_numpy(), x.values.to_numpy().astype(np.float64)) for i, x in zip(table["i"], table["x"])]
         w, c = fit_duel(held, table["side"].to_numpy(), norm)
-        return pa.table({"duel": pa.array([key[0].as_py()], pa.int32()), "bias": pa.array([float(c)]), "w": pa.array([w.tobytes()], pa.binary())})
+        i = np.flatnonzero(w).astype(np.int32)
+        return pa.table({"duel": pa.array([key[0].as_py()], pa.int32()), "bias": pa.array([float(c)]), "i": pa.array([i.tobytes()], pa.binary()), "w": pa.array([w[i].tobytes()], pa.binary())})
 
-    found = sorted(sent.groupBy("duel").applyInArrow(train, "duel int, bias double, w binary").collect(), key=lambda r: r["duel"])
-    return LangModel(families, [pairs[r["duel"]][1:] for r in found], np.stack([np.frombuffer(r["w"], np.float32) for r in found], axis=1), np.array([r["bias"] for r in found]))
+    # a row of at most 2 MB for each duel; a small part of that, as a duel's sample has few of all trigrams
+    found = sent.groupBy("duel").applyInArrow(train, "duel int, bias double, i binary, w binary").collect()
+    return assembled(families, pairs, [(r["duel"], r["bias"], np.frombuffer(r["i"], np.int32), np.frombuffer(r["w"], np.float32)) for r in found])
 
 
 def _duel(names: list[str], pairs: dict[tuple[str, str], np.ndarray], n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -175,20 +203,28 @@ def _duel(names: list[str], pairs: dict[tuple[str, str], np.ndarray], n: int) ->
     return best, np.where(np.isinf(least), 1.0, 1 / (1 + np.exp(-np.clip(2 * least, -35, 35))))
 
 
-def classify(model: LangModel, data: np.ndarray, offsets: np.ndarray) -> tuple[list[str], np.ndarray]:
+def classify(model: LangModel, row_of: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> tuple[list[str], np.ndarray]:
+    """(language, score) of each text; row_of is model.rows()."""
     n = len(offsets) - 1
-    index, bounds = trigrams(data, offsets)
-    count = np.maximum(np.diff(bounds), 1)
-    pairs = {name: at.sums(model.weights[index, k], bounds) / count + model.bias[k] for k, name in enumerate(model.names)}
     families = sorted(model.families)
     out, score = np.full(n, "und", object), np.zeros(n)
     if not families:
         return out.tolist(), score
-    best, sure = _duel(families, pairs, n)
+    index, bounds = trigrams(data, offsets)
+    rows, count = row_of[index], np.maximum(np.diff(bounds), 1)
+    number = {name: k for k, name in enumerate(model.names)}
+    margins = lambda rows, bounds, count, names: {p: at.sums(model.weights[rows, number[p]], bounds) / count + model.bias[number[p]] for p in combinations(names, 2)}
+    best, sure = _duel(families, margins(rows, bounds, count, families), n)
     for k, f in enumerate(families):
-        langs = model.families[f]
-        at_ = np.flatnonzero(best == k)
-        inner, more = _duel(langs, {p: m[at_] for p, m in pairs.items()}, len(at_)) if len(langs) > 1 else (np.zeros(len(at_), int), np.ones(len(at_)))
+        langs, at_ = model.families[f], np.flatnonzero(best == k)
+        if not len(at_):
+            continue
+        inner, more = np.zeros(len(at_), int), np.ones(len(at_))
+        if len(langs) > 1:  # the trigrams of this family's texts only
+            size = np.diff(bounds)[at_]
+            own = np.append(0, np.cumsum(size))
+            taken = rows[np.repeat(bounds[at_] - own[:-1], size) + np.arange(own[-1])]
+            inner, more = _duel(langs, margins(taken, own, count[at_], langs), len(at_))
         out[at_] = np.array(langs, object)[inner]
         score[at_] = sure[at_] * more
     return out.tolist(), score
@@ -196,15 +232,16 @@ def classify(model: LangModel, data: np.ndarray, offsets: np.ndarray) -> tuple[l
 
 def predict(docs: DataFrame, model: LangModel) -> DataFrame:
     """docs with lang_pred and score added; texts without a letter are ``und``."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # weights: 2**BITS floats a pair
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # at most MAX_MODEL_BYTES
     docs = bounded_batches(docs).drop("lang_pred", "score")
     names = docs.columns
 
     def run(batches):
+        row_of = sent.value.rows()
         for batch in batches:
             for part in at.slices(batch):
                 text, letter = pc.utf8_lower(part.column(names.index("text"))), part.column(len(names))
-                langs, score = classify(sent.value, *at.text_bytes(text))
+                langs, score = classify(sent.value, row_of, *at.text_bytes(text))
                 ok = np.asarray(letter.fill_null(False).to_numpy(zero_copy_only=False), bool)
                 langs = [v if k else "und" for v, k in zip(langs, ok)]
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(names)], pa.array(langs, pa.string()), pa.array(np.where(ok, score, 0.0))], names=[*names, "lang_pred", "score"])
