@@ -217,3 +217,12 @@ def test_repo_paths_lose_empty_and_dot_parts(spark):
     said = {"src/": "src", "a/./b": "a/b", " ./x\\y//z/. ": "x/y/z", "": "", "..": "..", "/": ""}
     df = spark.createDataFrame([(k,) for k in said], "p string")
     assert {r["p"]: r["q"] for r in df.withColumn("q", upkeep.repo_path(F.col("p"))).collect()} == said
+
+
+def test_of_rows_with_one_key_the_least_is_kept(spark):
+    from weftgraph.operators import upkeep
+
+    rows = spark.createDataFrame([("k", 2, None), ("k", 1, "b"), ("k", 1, "a"), ("j", 5, "c"), (None, 1, "x")], "key string, n int, s string")
+    assert sorted(map(tuple, upkeep.least_of(rows, ["key"]).collect()), key=str) == [("j", 5, "c"), ("k", 1, "a"), (None, 1, "x")]
+    assert [r["key"] for r in upkeep.listed(rows.where("key is not null"), "key", 1).collect()] == ["j"]
+    assert upkeep.listed(rows.select("key").where("key is not null"), "key", 5).count() == 2

@@ -19,8 +19,16 @@ def counts(tables: dict[str, DataFrame]) -> DataFrame:
 
 
 def listed(rows: DataFrame, key: str, limit: int) -> DataFrame:
-    """The first rows in key order, one for each key (a top-k per partition, then one merge)."""
-    return rows.dropDuplicates([key]).orderBy(key).limit(limit)
+    """The first rows in key order, one for each key, the least (a top-k per partition, then one merge)."""
+    return least_of(rows, [key]).orderBy(key).limit(limit)
+
+
+def least_of(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """One row for each key: the least by its other columns, in their order."""
+    others = [c for c in rows.columns if c not in keys]
+    if not others:
+        return rows.distinct()
+    return rows.groupBy(*keys).agg(F.min(F.struct(*others)).alias("__row")).select(*(F.col(c) if c in keys else F.col(f"__row.{c}") for c in rows.columns))
 
 
 def broken_references(rows: DataFrame, keys: Sequence[str], parents: DataFrame, parent_key: str) -> DataFrame:
@@ -71,9 +79,9 @@ def fts_rows(entities: DataFrame) -> DataFrame:
 
 
 def fts_upsert(index: DataFrame, new: DataFrame, stale_paths: DataFrame) -> DataFrame:
-    """Index rows after all of the stale paths went and new ones replaced those of their (kind, id)."""
+    """Index rows after all of the stale paths went and new ones (the least of those that share it) replaced those of their (kind, id)."""
     left = index.join(stale_paths.select("path"), "path", "left_anti").join(new.select("kind", "id"), ["kind", "id"], "left_anti")
-    return left.unionByName(new.dropDuplicates(["kind", "id"]))
+    return left.unionByName(least_of(new, ["kind", "id"]))
 
 
 def baseline_query(prompt: Column) -> Column:
