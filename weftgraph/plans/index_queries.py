@@ -70,6 +70,10 @@ _CHANGED = "changed AS (SELECT doc_id, CASE WHEN doc_id % 10 = 3 THEN 'of the '
 
 
 def _upkept(s, d) -> TextIndex:
+    return once(s, d, "text-index-upkept", lambda: _upkeep(s, d))
+
+
+def _upkeep(s, d) -> TextIndex:
     docs = _documents(s, d)
     ends = lambda n: F.col("id").endswith(str(n))
     index = TextIndex.create(s).apply(docs.where(~ends(5)))
