@@ -171,3 +171,17 @@ def test_what_is_kept_for_a_folder_follows_its_files(spark, tmp_path):
     assert store.once(spark, str(tmp_path), "x", make) == store.once(spark, str(tmp_path), "x", make) == 1
     spark.range(4).write.mode("overwrite").parquet(str(tmp_path / "t.parquet"))
     assert store.once(spark, str(tmp_path), "x", make) == 2
+
+
+def test_symbol_index_keeps_no_copies_of_neighbours(spark):
+    entities = spark.range(400).select(F.col("id").cast("string").alias("id"), F.lit("Function").alias("kind"), F.concat(F.lit("name"), "id").alias("name"), F.concat(F.lit("m.name"), "id").alias("qualified_name"), F.lit("src/a.ts").alias("path"))
+    edges = spark.range(400).select(F.col("id").cast("string").alias("head_id"), F.lit("CALLS").alias("relation"), F.explode(F.transform(F.sequence(F.lit(0), F.lit(20)), lambda x: x.cast("string"))).alias("tail_id"))
+    index = SymbolIndex.create(entities, edges)
+    folders = spark._jvm.org.apache.hadoop.fs.Path(index.root)
+    found = folders.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).listStatus(folders)
+    rows = sum(spark.read.parquet(s.getPath().toString()).count() for s in found)
+    assert rows == 400 + edges.count()  # each entity and each edge once
+    many = index.search_many(["name7", "  ", "calls"], 30)
+    for query in ("name7", "calls"):
+        plain = lambda df: sorted((r["id"], r["score"], sorted(r["features"].items()), r["matched_terms"]) for r in df.collect())
+        assert plain(many.where(F.col("query") == query).drop("query")) == plain(index.search(query, 30)) and len(plain(index.search(query, 30))) == 30

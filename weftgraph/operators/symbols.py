@@ -1,13 +1,14 @@
 """A stored symbol index: fields, tokens and neighbours of entities, written once and searched often.
 
 On the shared folder an index has
-  entities             a row an entity: lowered fields, degree, whether its file is indexed, its role
-  tokens/bucket=b      (token, id): a token of the entity's own fields or of a neighbour's text
-  adjacent/bucket=b    (from, to, relation): to has from as a neighbour, by the hash of from
+  entities             a row an entity: lowered fields, their tokens, degree, whether its file is indexed, its role
+  edges                (head_id, relation, tail_id): each edge once, as it came
 
-A search reads the token buckets of its query, one pass of the entities' few columns, and the
-adjacency of the entities whose text holds the query; the edges and the tables behind them
-aren't joined again. What matches is gathered as points by id, and only that is ranked.
+A neighbour's text isn't copied to the entities around it: what that takes is the text of
+every entity times its degree. A search passes over the entities' columns, takes those whose
+text holds the query or one of its tokens, and hands what they hold on over the edges, once
+for all queries that are searched together; the tables behind the index aren't joined again.
+What matches is gathered as points by id, and only that is ranked.
 
 Ranks add up: exact name 140, qualified name 130 (or its last part 82), name prefix 52,
 qualified prefix 38, path 36, metadata 28, namespace 22, neighbour text 18, share of the
@@ -28,15 +29,14 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from ..functions import expr
 from ..sources.shared import shared_path
-from .textindex import bucket_of
 
-BUCKETS = 32
 # fixed values: kinds that play a test role
 TEST_KINDS = ("TestFile", "TestSuite", "TestCase", "Fixture", "Mock", "Stub", "Assertion")
-ENTITY = "id string, kind string, name string, qualified_name string, path string, n string, q string, p string, namespace string, metadata string, text string, degree long, indexed boolean, test_role boolean"
+ENTITY = "id string, kind string, name string, qualified_name string, path string, n string, q string, p string, namespace string, metadata string, text string, tokens array<string>, degree long, indexed boolean, test_role boolean"
 
 
 def query_tokens(query: str) -> list[str]:
@@ -75,86 +75,111 @@ class SymbolIndex:
             "id", "kind", "name", "qualified_name", "path", low("name").alias("n"), low("qualified_name").alias("q"), low("path").alias("p"),
             expr.ascii_lower(meta).alias("metadata"), expr.ascii_lower(F.concat_ws(" ", F.coalesce("name", F.lit("")), F.coalesce("qualified_name", F.lit("")), F.coalesce("path", F.lit("")), meta)).alias("text"),
             (F.coalesce(F.col("kind").isin(*TEST_KINDS), F.lit(False)) | F.coalesce(F.col("path").contains("test"), F.lit(False))).alias("test_role"),
-        ).withColumn("namespace", namespace(F.col("q")))
-        ends = edges.select(F.explode(F.array("head_id", "tail_id")).alias("id"))
-        degree = ends.groupBy("id").agg(F.count("*").alias("degree"))
-        known = (files if files is not None else entities).select("path").where("path is not null").distinct().withColumn("indexed", F.lit(True))
-        e = e.join(degree, "id", "left").join(known, "path", "left").withColumn("degree", F.coalesce("degree", F.lit(0))).withColumn("indexed", F.coalesce("indexed", F.lit(False)))
-        e.select(*(f.split()[0] for f in ENTITY.split(", "))).write.parquet(f"{root}/entities")
+        ).withColumn("namespace", namespace(F.col("q"))).withColumn("tokens", _tokens(F.col("text")))
         self = SymbolIndex(spark, root)
-
-        ways = edges.select(F.col("relation"), F.explode(F.array(F.struct(F.col("head_id").alias("from"), F.col("tail_id").alias("to")), F.struct(F.col("tail_id").alias("from"), F.col("head_id").alias("to")))).alias("w")).select("relation", "w.from", "w.to").distinct()
-        near = ways.join(self.entities().select(F.col("id").alias("from")), "from", "left_semi").withColumn("bucket", bucket_of(F.col("from"), BUCKETS))
-        near.repartition("bucket", F.pmod(F.xxhash64("to"), F.lit(4))).sortWithinPartitions("bucket", "from").write.partitionBy("bucket").parquet(f"{root}/adjacent")
-
-        own = self.entities().select("id", F.explode(_tokens(F.col("text"))).alias("token"))
-        theirs = self.adjacent().select("from", F.col("to").alias("id")).distinct().join(own.withColumnRenamed("id", "from"), "from").select("id", "token")
-        ties = self.adjacent().select(F.col("to").alias("id"), F.explode(_tokens(expr.ascii_lower(F.col("relation")))).alias("token"))
-        rows = own.unionByName(theirs).unionByName(ties).distinct().withColumn("bucket", bucket_of(F.col("token"), BUCKETS))
-        rows.repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(4))).sortWithinPartitions("bucket", "token").write.partitionBy("bucket").parquet(f"{root}/tokens")
+        edges.select("head_id", "relation", "tail_id").write.parquet(f"{root}/edges")
+        degree = self.edges().select(F.explode(F.array("head_id", "tail_id")).alias("id")).groupBy("id").agg(F.count("*").alias("degree"))
+        e = e.join(degree, "id", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
+        if files is None:  # the entities' own files
+            e = e.withColumn("indexed", F.col("path").isNotNull())
+        else:
+            known = files.select("path").where("path is not null").distinct().withColumn("indexed", F.lit(True))
+            e = e.join(known, "path", "left").withColumn("indexed", F.coalesce("indexed", F.lit(False)))
+        e.select(*(f.split()[0] for f in ENTITY.split(", "))).write.parquet(f"{root}/entities")
         return self
 
     def entities(self) -> DataFrame:
         return self.spark.read.schema(ENTITY).parquet(f"{self.root}/entities")
 
-    def adjacent(self) -> DataFrame:
-        return self.spark.read.schema("`from` string, `to` string, relation string, bucket int").parquet(f"{self.root}/adjacent").drop("bucket")
+    def edges(self) -> DataFrame:
+        return self.spark.read.schema("head_id string, relation string, tail_id string").parquet(f"{self.root}/edges")
 
-    def tokens(self, wanted: list[str]) -> DataFrame:
-        own = [r[0] for r in self.spark.createDataFrame([(w,) for w in wanted], "w string").select(bucket_of(F.col("w"), BUCKETS)).distinct().collect()]  # the query's tokens
-        return self.spark.read.schema("token string, id string, bucket int").parquet(f"{self.root}/tokens").where(F.col("bucket").isin(own) & F.col("token").isin(wanted)).select("token", "id")
+    def adjacent(self) -> DataFrame:
+        """(from, to, relation): to has from as a neighbour; from may be unknown, and rows may repeat."""
+        way = lambda a, b: F.struct(F.col(a).alias("from"), F.col(b).alias("to"))
+        return self.edges().select("relation", F.explode(F.array(way("head_id", "tail_id"), way("tail_id", "head_id"))).alias("w")).select("w.from", "w.to", "relation")
 
-    def near_hits(self, q: str) -> DataFrame:
-        """(id): entities with a neighbour whose relation and text hold q."""
+    def _near(self, queries: list[str]) -> DataFrame:
+        """(id, nth, fact): what neighbours' texts and the relations to them give, by place of the query."""
         text, relation = F.col("text"), expr.ascii_lower(F.col("relation"))
-        halves = [(q[:i], q[i + 1 :]) for i, ch in enumerate(q) if ch == " "]  # the relation may end in q's first words
-        holds = text.contains(q)
-        asked = holds
-        for _, b in halves:
-            asked = asked | text.startswith(b)
-        told = self.entities().where(asked).select(F.col("id").alias("from"), holds.alias("whole"), F.array(*(text.startswith(b) for _, b in halves)).cast("array<boolean>").alias("starts"))
-        met = F.col("whole")
-        for k, (a, _) in enumerate(halves):
-            met = met | (F.col("starts")[k] & relation.endswith(a))
-        by_text = self.adjacent().join(told, "from").where(met).select(F.col("to").alias("id"))
-        by_relation = self.adjacent().where(relation.contains(q)).select(F.col("to").alias("id"))
-        return by_text.unionByName(by_relation).distinct()
+        facts, whole, halves, by_relation, tied = [], [], [], [], F.lit(False)
+        for nth, query in enumerate(queries):
+            q, wanted = query.translate(_LOWER), query_tokens(query)
+            near = len(facts)
+            facts += [F.struct(F.lit(nth).alias("nth"), fact.alias("fact")) for fact in (_fact("relation_neighbor_text", 1.0, 18, None), *(_fact("token_match", 1.0 / len(wanted), 42.0 / len(wanted), F.lit(w)) for w in wanted))]
+            code = lambda cond, at: F.when(cond, F.lit(at))
+            whole += [code(text.contains(q), near), *(code(F.array_contains("tokens", w), near + k) for k, w in enumerate(wanted, 1))]
+            halves += [(near, q[:i], q[i + 1 :]) for i, ch in enumerate(q) if ch == " "]  # the relation may end in q's first words
+            by_relation += [code(relation.contains(q), near), *(code(F.array_contains(_tokens(relation), w), near + k) for k, w in enumerate(wanted, 1))]
+            tied = tied | relation.contains(q) | F.arrays_overlap(_tokens(relation), _strings(wanted))
+        codes = lambda found: F.array_compact(F.array(*found)).cast("array<int>")
+        told = self.entities().select(F.col("id").alias("from"), codes(whole).alias("found"), F.array(*(text.startswith(b) for _, _, b in halves)).cast("array<boolean>").alias("starts"))
+        told = told.where((F.size("found") > 0) | F.exists("starts", lambda x: x))
+        # what an edge gives is dealt by the entity that it goes to, and told apart there
+        each = lambda df, found: df.select(F.col("to").alias("id"), found.alias("found")).where(F.size("found") > 0)
+        met = codes([F.when(F.col("starts")[k] & relation.endswith(a), F.lit(near)) for k, (near, a, _) in enumerate(halves)])
+        out = each(self.adjacent().join(told, "from"), F.concat("found", met) if halves else F.col("found"))
+        by_name = self.adjacent().where(tied)
+        if not by_name.isEmpty():  # few queries name a relation
+            out = out.unionByName(each(by_name.join(self.entities().select(F.col("id").alias("from")), "from", "left_semi"), codes(by_relation)))
+        out = out.repartition("id").select("id", F.explode("found").alias("code")).distinct()
+        return out.select("id", F.array(*facts)[F.col("code")].alias("f")).select("id", "f.nth", "f.fact")
 
     def search(self, query: str, k: int) -> DataFrame:
         """id, qualified_name, score, features (name to value), matched_terms of the k best."""
-        query = query.strip()
-        if not query or k < 1:
-            return self.spark.createDataFrame([], "id string, qualified_name string, score double, features map<string, double>, matched_terms array<string>")
-        q, wanted = query.translate(_LOWER), query_tokens(query)
-        n, full, path = F.col("n"), F.col("q"), F.col("p")
-        tail = (full != q) & (full.endswith("." + q) | full.endswith("::" + q))
-        # (feature, its value, points, the term that matched) of what an entity's own fields give
-        rules = [
-            ("exact_symbol_match", 1.0, 140, n == q, F.col("name")),
-            ("qualified_name_match", 1.0, 130, full == q, F.col("qualified_name")), ("qualified_name_match", 0.75, 82, tail, F.col("qualified_name")),
-            ("prefix_match", 0.8, 52, n.startswith(q) & (n != q), F.col("name")), ("prefix_match", 0.55, 38, full.startswith(q) & (full != q), F.col("qualified_name")),
-            ("file_path_proximity", 1.0, 36, path.contains(q), F.col("path")), ("same_package_or_module", 1.0, 22, F.col("namespace").contains(q), None), ("metadata_match", 1.0, 28, F.col("metadata").contains(q), None),
-        ]
-        if len(q) >= 3:
-            rules.append(("fuzzy_match", 0.65, 14, n.rlike("(?s)" + ".*".join(re.escape(ch) for ch in q)) & (n != q), None))
-        fact = lambda name, value, points, term: F.struct(F.lit(name).alias("feature"), F.lit(value).cast("double").alias("value"), F.lit(points).cast("double").alias("points"), (F.lit(None) if term is None else term).cast("string").alias("term"))
-        own = self.entities().select("id", F.explode(F.array_compact(F.array(*(F.when(cond, fact(name, value, points, term)) for name, value, points, cond, term in rules)))).alias("f")).select("id", "f.*").distinct()
-        rows = own.unionByName(self.near_hits(q).select("id", fact("relation_neighbor_text", 1.0, 18, None).alias("f")).select("id", "f.*"))
-        if wanted:
-            share = 1.0 / len(wanted)
-            rows = rows.unionByName(self.tokens(wanted).select("id", fact("token_match", share, 42 * share, F.col("token")).alias("f")).select("id", "f.*"))
-        by_feature = rows.groupBy("id", "feature").agg(F.when(F.col("feature") == "token_match", F.sum("value")).otherwise(F.max("value")).alias("value"), F.sum("points").alias("points"), F.collect_set("term").alias("terms"))
-        found = by_feature.groupBy("id").agg(F.sum("points").alias("points"), F.map_from_entries(F.collect_list(F.struct("feature", "value"))).alias("features"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("terms")))).alias("matched_terms"))
+        return self.search_many([query], k).drop("query")
+
+    def search_many(self, queries: list[str], k: int) -> DataFrame:
+        """``search`` for several different queries side by side: query as well, the k best of each."""
+        asked = [(query, query.strip()) for query in queries if query.strip()]
+        if not asked or k < 1:
+            return self.spark.createDataFrame([], "query string, id string, qualified_name string, score double, features map<string, double>, matched_terms array<string>")
+        rows = self._own([q for _, q in asked]).unionByName(self._near([q for _, q in asked])).select("id", "nth", "fact.*").distinct()
+        by_feature = rows.groupBy("id", "nth", "feature").agg(F.when(F.col("feature") == "token_match", F.sum("value")).otherwise(F.max("value")).alias("value"), F.sum("points").alias("points"), F.collect_set("term").alias("terms"))
+        found = by_feature.groupBy("id", "nth").agg(F.sum("points").alias("points"), F.map_from_entries(F.collect_list(F.struct("feature", "value"))).alias("features"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("terms")))).alias("matched_terms"))
         centrality = F.least(F.col("degree") / 12.0, F.lit(1.0))
         e = self.entities().select("id", "qualified_name", centrality.alias("centrality"), "indexed", "test_role")
-        asks_tests = 12.0 if "test" in q or "spec" in q else 0.0
+        of_query = lambda values: F.array(*map(F.lit, values))[F.col("nth")]
+        asks_tests = of_query([12.0 if "test" in q.translate(_LOWER) or "spec" in q.translate(_LOWER) else 0.0 for _, q in asked])
         score = F.col("points") + 8 * F.col("centrality") + F.when(F.col("indexed"), 1.0).otherwise(0.0) + F.when(F.col("test_role"), asks_tests).otherwise(0.0)
         extra = lambda cond, name, value: F.when(cond, F.struct(F.lit(name).alias("key"), value.alias("value")))
         bonus = F.array_compact(F.array(
             extra(F.col("centrality") > 0, "graph_centrality", F.col("centrality")), extra(F.col("indexed"), "recent_edit_signal", F.lit(0.2)), extra(F.col("test_role"), "source_test_role", F.lit(1.0)),
         ))
-        out = found.join(e, "id").select("id", "qualified_name", F.round(score, 6).alias("score"), F.map_concat("features", F.map_from_entries(bonus)).alias("features"), "matched_terms")
-        return out.orderBy(F.desc("score"), "qualified_name", "id").limit(k)
+        out = found.join(e, "id").select("nth", "id", "qualified_name", F.round(score, 6).alias("score"), F.map_concat("features", F.map_from_entries(bonus)).alias("features"), "matched_terms")
+        order = (F.desc("score"), "qualified_name", "id")
+        if len(asked) > 1:
+            out = out.withColumn("place", F.row_number().over(W.partitionBy("nth").orderBy(*order))).where(F.col("place") <= k).drop("place")
+        best = out.orderBy("nth", *order).limit(k * len(asked))
+        return best.select(of_query([query for query, _ in asked]).alias("query"), "id", "qualified_name", "score", "features", "matched_terms")
+
+    def _own(self, queries: list[str]) -> DataFrame:
+        """(id, nth, fact): what an entity's own fields and tokens give, by place of the query."""
+        n, full, path = F.col("n"), F.col("q"), F.col("p")
+        found = []
+        for nth, query in enumerate(queries):
+            q, wanted = query.translate(_LOWER), query_tokens(query)
+            tail = (full != q) & (full.endswith("." + q) | full.endswith("::" + q))
+            # (feature, its value, points, the term that matched)
+            rules = [
+                ("exact_symbol_match", 1.0, 140, n == q, F.col("name")),
+                ("qualified_name_match", 1.0, 130, full == q, F.col("qualified_name")), ("qualified_name_match", 0.75, 82, tail, F.col("qualified_name")),
+                ("prefix_match", 0.8, 52, n.startswith(q) & (n != q), F.col("name")), ("prefix_match", 0.55, 38, full.startswith(q) & (full != q), F.col("qualified_name")),
+                ("file_path_proximity", 1.0, 36, path.contains(q), F.col("path")), ("same_package_or_module", 1.0, 22, F.col("namespace").contains(q), None), ("metadata_match", 1.0, 28, F.col("metadata").contains(q), None),
+            ]
+            if len(q) >= 3:
+                rules.append(("fuzzy_match", 0.65, 14, n.rlike("(?s)" + ".*".join(re.escape(ch) for ch in q)) & (n != q), None))
+            rules += [("token_match", 1.0 / len(wanted), 42.0 / len(wanted), F.array_contains("tokens", w), F.lit(w)) for w in wanted]
+            found += [F.when(cond, F.struct(F.lit(nth).alias("nth"), _fact(name, value, points, term).alias("fact"))) for name, value, points, cond, term in rules]
+        return self.entities().select("id", F.explode(F.array_compact(F.array(*found))).alias("f")).select("id", "f.nth", "f.fact")
+
+
+def _strings(values: list[str]) -> Column:
+    return F.array(*map(F.lit, values)).cast("array<string>")
+
+
+def _fact(name: str, value: float, points: float, term: Column | None) -> Column:
+    return F.struct(F.lit(name).alias("feature"), F.lit(value).cast("double").alias("value"), F.lit(points).cast("double").alias("points"), (F.lit(None) if term is None else term).cast("string").alias("term"))
 
 
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
