@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import functions as F
 
 from ..operators.symbols import SymbolIndex
@@ -109,15 +107,15 @@ s AS (SELECT f.id, qualified_name, {points} + 42.0 * coalesce(hits, 0) / {len(to
 SELECT id, qualified_name, round(token_match, 6)::DOUBLE AS token_match, round(central, 6)::DOUBLE AS centrality, round(base + 8 * central + 1, 6)::DOUBLE AS score FROM s WHERE base > 0 ORDER BY score DESC, qualified_name, id LIMIT {k}"""
 
 
-def _hits(s, d, query, k):
+def _hits(found):
     none = F.lit(0.0)
-    return symbol_index(s, d).search(query, k).select("id", "qualified_name", F.round(F.coalesce(F.col("features")["token_match"], none), 6).alias("token_match"), F.round(F.coalesce(F.col("features")["graph_centrality"], none), 6).alias("centrality"), "score")
+    return found.withColumn("token_match", F.round(F.coalesce(F.col("features")["token_match"], none), 6)).withColumn("centrality", F.round(F.coalesce(F.col("features")["graph_centrality"], none), 6)).drop("features", "matched_terms")
 
 
-add("q_symbol_index", _symbols("nation_1", ["nation"], 300))(lambda s, d: _hits(s, d, "nation_1", 300))
+add("q_symbol_index", _symbols("nation_1", ["nation"], 300))(lambda s, d: _hits(symbol_index(s, d).search("nation_1", 300)))
 
 
 @add("q_search_symbols", " UNION ALL ".join(f"SELECT '{q}' AS query, * FROM ({_symbols(q, w, 50)})" for q, w in (("order1", ["order1"]), ("building", ["building"]), ("supplier", ["supplier"]))))
 def search_symbols(s, d):
-    """Several queries against one index."""
-    return reduce(lambda a, b: a.unionByName(b), (_hits(s, d, q, 50).select(F.lit(q).alias("query"), "*") for q in ("order1", "building", "supplier")))
+    """Several queries against one index, side by side."""
+    return _hits(symbol_index(s, d).search_many(["order1", "building", "supplier"], 50))
