@@ -203,3 +203,12 @@ def test_expanded_templates_equal_direct_extraction(spark):
     plain = lambda df: sorted(tuple(r) for r in df.where("name <> 'odd' and kind <> 'Module'").select("path", "id", "kind", "qualified_name").collect())
     assert plain(made) == plain(entities)
     assert {(r["path"], r["head_id"], r["tail_id"]) for r in templates.expand_edges(instances, t_entities, t_edges).collect()} == {(p, of[p, "f"], of[p, "g"]) for p in paths}
+
+
+def test_template_joins_are_not_broadcast_by_estimates(spark, sf_dir):
+    from weftgraph.operators import templates
+    from weftgraph.plans import store_queries
+
+    instances, t_entities, t_edges = templates.split(*store_queries._contents(spark, sf_dir))
+    for made in (templates.expand_edges(instances, t_entities, t_edges), templates.expand_entities(instances, t_entities)):
+        assert "Broadcast" not in made._jdf.queryExecution().sparkPlan().toString()  # facts come from generators, so estimates miss their number

@@ -4,6 +4,9 @@ Files of one content hash share a template: the facts of one of them (the least
 file's facts take from its path (ids, module names, spans' files) is put back for every
 instance by joins on the hash, so contents that very many files share are neither gathered
 nor repeated in store.
+
+Facts are made by generators, whose rows Spark's estimates don't count, so a table of facts
+looks small enough for the driver however many files there are: the joins here are merged.
 """
 
 from __future__ import annotations
@@ -32,6 +35,11 @@ def edge_id(head: Column, relation: Column, tail: Column, path: Column, line: Co
     return F.concat(F.lit("x:"), F.md5(F.concat_ws("\u001f", head, relation, tail, path, line.cast("string")).cast("binary")))
 
 
+def _merged(df: DataFrame) -> DataFrame:
+    """df as a side of a join that is never broadcast by an estimate."""
+    return df.hint("merge")
+
+
 def split(files: DataFrame, entities: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(instances, template entities, template edges) of files (path, hash), entities (path, id,
     kind, name, qualified_name, line) and edges (path, head_id, relation, tail_id, line).
@@ -42,14 +50,14 @@ def split(files: DataFrame, entities: DataFrame, edges: DataFrame) -> tuple[Data
     """
     known = files.where("path is not null and hash is not null").select("path", "hash").distinct()
     least = known.groupBy("hash").agg(F.min("path").alias("canonical"))
-    instances = known.join(least, "hash").select("path", "hash", "canonical")
+    instances = known.join(_merged(least), "hash").select("path", "hash", "canonical")
     own = least.select("hash", F.col("canonical").alias("path"))
-    return instances, entities.join(own, "path").drop("path"), edges.join(own, "path").drop("path")
+    return instances, entities.join(_merged(own), "path").drop("path"), edges.join(_merged(own), "path").drop("path")
 
 
 def expand_entities(instances: DataFrame, template_entities: DataFrame) -> DataFrame:
     """(path, id, kind, name, qualified_name, line, local_id): the entities of every instance."""
-    made = instances.join(template_entities.withColumnRenamed("id", "local_id"), "hash")
+    made = instances.join(_merged(template_entities.withColumnRenamed("id", "local_id")), "hash")
     made = made.withColumn("qualified_name", moved_name(F.col("qualified_name"), F.col("canonical"), F.col("path")))
     return made.select("path", entity_id(F.col("path"), F.col("kind"), F.col("qualified_name")).alias("id"), "kind", "name", "qualified_name", "line", "local_id")
 
@@ -57,8 +65,11 @@ def expand_entities(instances: DataFrame, template_entities: DataFrame) -> DataF
 def expand_edges(instances: DataFrame, template_entities: DataFrame, template_edges: DataFrame) -> DataFrame:
     """(path, id, head_id, relation, tail_id, line): the edges of every instance, between its own
     entities; an edge with an end that the template doesn't have is left out."""
-    ids = expand_entities(instances, template_entities).select("path", "id", "local_id").distinct()
-    ends = lambda name: ids.select("path", F.col("local_id").alias(f"local_{name}"), F.col("id").alias(f"{name}_id"))
-    made = instances.select("path", "hash").join(template_edges.withColumnRenamed("head_id", "local_head").withColumnRenamed("tail_id", "local_tail"), "hash")
-    made = made.join(ends("head"), ["path", "local_head"]).join(ends("tail"), ["path", "local_tail"])
+    known = template_entities.select("hash", F.col("id").alias("local_id"), "kind", "qualified_name").distinct()
+    ends = lambda name: _merged(known.select("hash", F.col("local_id").alias(f"{name}_id"), F.struct("kind", "qualified_name").alias(name)))
+    # ends are found once for a template, and only what they are called is moved to each instance
+    linked = template_edges.join(ends("head"), ["hash", "head_id"]).join(ends("tail"), ["hash", "tail_id"]).drop("head_id", "tail_id")
+    made = instances.join(_merged(linked), "hash")
+    own = lambda end: entity_id(F.col("path"), F.col(f"{end}.kind"), moved_name(F.col(f"{end}.qualified_name"), F.col("canonical"), F.col("path")))
+    made = made.select("path", "relation", "line", own("head").alias("head_id"), own("tail").alias("tail_id"))
     return made.select("path", edge_id(F.col("head_id"), F.col("relation"), F.col("tail_id"), F.col("path"), F.col("line")).alias("id"), "head_id", "relation", "tail_id", "line")
