@@ -226,3 +226,14 @@ def test_of_rows_with_one_key_the_least_is_kept(spark):
     assert sorted(map(tuple, upkeep.least_of(rows, ["key"]).collect()), key=str) == [("j", 5, "c"), ("k", 1, "a"), (None, 1, "x")]
     assert [r["key"] for r in upkeep.listed(rows.where("key is not null"), "key", 1).collect()] == ["j"]
     assert upkeep.listed(rows.select("key").where("key is not null"), "key", 5).count() == 2
+
+
+def test_steps_are_stored_once_and_not_dealt(spark, chain, sf_dir):
+    from weftgraph.sources import projection, store
+
+    steps = store.write_steps(chain)
+    files = steps.inputFiles()
+    assert spark.read.parquet(*files).count() == chain.count() and steps.count() == 2 * chain.count()
+    assert len(steps.where("direction = 'forward' and relation = 'CALLS'").inputFiles()) <= len(files)
+    plain = lambda df: sorted(map(tuple, df.select("id", "head_id", "relation", "tail_id", "path", "line", "exactness", "confidence", "derived").collect()))
+    assert plain(projection.edges(spark, sf_dir)) == plain(projection.edges(spark, sf_dir, whole=True))
