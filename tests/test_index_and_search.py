@@ -185,3 +185,16 @@ def test_symbol_index_keeps_no_copies_of_neighbours(spark):
     for query in ("name7", "calls"):
         plain = lambda df: sorted((r["id"], r["score"], sorted(r["features"].items()), r["matched_terms"]) for r in df.collect())
         assert plain(many.where(F.col("query") == query).drop("query")) == plain(index.search(query, 30)) and len(plain(index.search(query, 30))) == 30
+
+
+def test_postings_are_made_where_a_document_is_read(spark, texts, monkeypatch):
+    import pyarrow as pa
+
+    from weftgraph.operators import textindex
+
+    monkeypatch.setattr(textindex, "TERMS_AT_ONCE", 7)  # many pieces of a batch
+    rows = [(f"d{i}", ws.split()) for i, ws in enumerate(["b a b", "", "a " * 20, "c a", "", "z b z"])]
+    batch = pa.RecordBatch.from_pylist([{"id": i, "dl": len(w), "terms": w} for i, w in rows], schema=pa.schema([("id", pa.string()), ("dl", pa.int64()), ("terms", pa.list_(pa.string()))]))
+    for piece in (batch, batch.slice(2, 3), batch.slice(1, 1)):
+        got = {(r["term"], r["id"], r["dl"], tuple(r["at"])) for out in textindex._postings_of(iter([piece])) for r in out.to_pylist()}
+        assert got == {(t, i, len(w), tuple(k for k, x in enumerate(w) if x == t)) for i, w in ((r["id"], r["terms"]) for r in piece.to_pylist()) for t in w}

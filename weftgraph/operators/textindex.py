@@ -26,8 +26,12 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,6 +52,36 @@ def bucket_of(term: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
 
+#: terms that are sorted at a time, about; a document is never cut
+TERMS_AT_ONCE = 2_000_000
+
+
+def _postings_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(term, id, dl, at) of rows (id, dl, terms). A document's places are all in its row, so they are
+    put together where it is read; a row a place is never made."""
+    for batch in batches:
+        sizes = np.cumsum(pc.list_value_length(batch.column("terms")).to_numpy(zero_copy_only=False))
+        start = 0
+        while start < batch.num_rows:
+            done = sizes[start - 1] if start else 0
+            end = max(start + 1, int(np.searchsorted(sizes, done + TERMS_AT_ONCE, side="right")))
+            part = batch.slice(start, end - start)
+            start = end
+            terms = part.column("terms")
+            flat, owner = terms.flatten().dictionary_encode(), pc.list_parent_indices(terms).to_numpy(zero_copy_only=False)
+            if not len(flat):
+                continue
+            code = flat.indices.to_numpy(zero_copy_only=False)
+            first = np.searchsorted(owner, np.arange(part.num_rows))
+            order = np.lexsort((code, owner))  # stable: a term's places stay in order
+            code, owner, at = code[order], owner[order], (order - first[owner[order]]).astype(np.int32)
+            heads = np.flatnonzero(np.r_[True, (code[1:] != code[:-1]) | (owner[1:] != owner[:-1])])
+            row = pa.array(owner[heads])
+            yield pa.RecordBatch.from_arrays([
+                flat.dictionary.take(pa.array(code[heads])), part.column("id").take(row), part.column("dl").take(row), pa.ListArray.from_arrays(pa.array(np.r_[heads, len(at)].astype(np.int32)), pa.array(at)),
+            ], names=["term", "id", "dl", "at"])
+
+
 def _moved(places: Column, k: int) -> Column:
     return F.transform(places, lambda x: x - F.lit(k))
 
@@ -161,8 +195,7 @@ class TextIndex:
         if deleted is not None:
             out = out.unionByName(deleted.select(F.col("id").cast("string").alias("id")))
         gone = materialized(self.documents().join(out.distinct(), "id", "left_semi"), "gone")
-        places = rows.select("id", "dl", F.posexplode("terms").alias("p", "term"))
-        postings = places.groupBy("id", "dl", "term").agg(F.sort_array(F.collect_list("p")).alias("at")).select("term", "id", "dl", "at")
+        postings = rows.select("id", "dl", "terms").mapInArrow(_postings_of, "term string, id string, dl long, at array<int>")
         added, lost = (df.agg(F.count("*"), F.coalesce(F.sum("dl"), F.lit(0))).first() for df in (rows, gone))
         self._write(s, postings, rows, added[0])
         gone.select("id").write.parquet(f"{self.root}/deleted/segment={s}")
