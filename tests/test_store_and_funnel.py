@@ -149,9 +149,57 @@ def test_verdicts_of_the_gate(spark):
     assert truth.match_edges(expected.limit(0), observed, entities).collect() == []
 
 
+def test_many_entities_and_edges_of_one_name(spark):
+    n = 2000  # expectations by entities of their name by edges are 12 million rows
+    ids = spark.range(n).select(F.lit("k").alias("case_id"), F.col("id"))
+    node = lambda tag, name: ids.select("case_id", F.concat(F.lit(tag), "id").alias("id"), F.lit(name).alias("name"), F.lit(None).cast("string").alias("qualified_name"))
+    entities = node("a", "save").unionByName(node("b", "load"))
+    observed = ids.crossJoin(spark.range(3).select(F.col("id").alias("j"))).select("case_id", F.concat(F.lit("e"), "id", F.lit("-"), "j").alias("id"), F.col("id").alias("seq"), F.concat(F.lit("a"), "id").alias("head_id"), F.lit("CALLS").alias("relation"), F.concat(F.lit("b"), (F.col("id") + F.col("j")) % n).alias("tail_id"), F.lit("f.ts").alias("file"), (F.col("id") % 5).alias("line"), F.when(F.col("id") % 2 == 0, "exact").otherwise("inferred").alias("exactness"), F.lit(1.0).alias("confidence"), F.lit(False).alias("derived"))
+    expected = ids.select("case_id", F.col("id").alias("expected_id"), F.lit("CALLS").alias("relation"), F.when(F.col("id") % 4 == 3, "load").otherwise("save").alias("head"), F.when(F.col("id") % 4 == 3, "save").otherwise("load").alias("tail"), F.lit("f.ts").alias("file"), (F.col("id") % 7).alias("line"), (F.col("id") % 4 == 2).alias("forbidden"), F.lit(False).alias("want_derived"), F.when(F.col("id") % 3 == 0, F.array(F.lit("exact"))).alias("allowed"), F.lit(None).cast("double").alias("floor"))
+    got = {r["expected_id"]: (r["verdict"], r["edge_id"], r["by_span"]) for r in truth.match_edges(expected, observed, entities).collect()}
+    for i in range(n):
+        line, only = i % 7, i % 3 == 0
+        if i % 4 == 3:
+            want = ("wrong_direction", None, None)
+        elif i % 4 == 2:
+            at = next((s for s in range(n) if s % 5 == line and (not only or s % 2 == 0)), None)
+            want = ("clear", None, None) if at is None else ("forbidden_found", f"e{at}-0", True)
+        else:
+            at = line if line < 5 else 0
+            want = ("semantics" if only and at % 2 else "matched", f"e{at}-0", line < 5)
+        assert got[i] == want, i
+
+
 # ---- several origins at once, and the funnel
 
 
+def test_searches_find_within_reach_what_they_find_in_all(spark, sf_dir):
+    steps, limits = Q.relabel(store.steps(spark, sf_dir), {"FLOWS_TO": "PUBLISHES", "READS": "CONSUMES"}), T.Limits(3, 9, 120)
+    origins = spark.createDataFrame([("c:1",), ("o:1",), ("nowhere",)], "source string")
+    rows = lambda df: sorted((r["source"], tuple(s["id"] for s in r["steps"]), round(r["cost"], 6)) for r in df.collect())
+    follows = [(list(q.forward), list(q.reverse)) for q in (Q.QUERIES["callees"], Q.QUERIES["mutations"])]
+    near = T.within_reach(steps, origins, follows, limits.max_depth)
+    assert 0 < near.count() < steps.count() / 10
+    for name in ("callees", "mutations"):
+        assert rows(Q.QUERIES[name].run_many(near, origins, limits)) == rows(Q.QUERIES[name].run_many(steps, origins, limits))
+
+
+def test_a_level_over_its_limit_leaves_the_table_whole(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(T, "BROADCAST_ROWS", 2)
+    steps = store.steps(spark, sf_dir)
+    assert T.within_reach(steps, spark.createDataFrame([("c:1",)], "source string"), [(["CALLS"], ["CALLS"])], 3) is steps
+
+
+def test_a_sieve_ranks_the_documents_up_to_the_kth_distance(spark):
+    documents = funnel.signatures(spark.range(300).select(F.col("id").cast("string"), F.concat(F.lit("word"), F.col("id") % 40, F.lit(" order")).alias("text")))
+    tasks = spark.createDataFrame([("t", "word3 order"), ("u", "nothing")], "task string, prompt string")
+    got = funnel.sieve(tasks, documents, spark.createDataFrame([("u", "299")], "task string, id string"), 9)
+    near = sorted(r["id"] for r in got.where("task = 't'").collect())
+    assert set(near) >= {str(3 + 40 * k) for k in range(8)}
+    assert len(near) == 9 and got.where("task = 'u' and not exact_seed").count() in (8, 9) and got.where("task = 'u' and exact_seed").count() == 1
+    assert "<= bound" in got._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_many_origins_are_searched_as_each_alone(spark, sf_dir):
     steps, limits = Q.relabel(store.steps(spark, sf_dir), {"FLOWS_TO": "PUBLISHES", "READS": "CONSUMES"}), T.Limits(3, 9, 120)
     origins = ["c:1", "o:1", "s:1", "p:1", "nowhere"]

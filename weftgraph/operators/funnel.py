@@ -64,8 +64,12 @@ def sieve(tasks: DataFrame, documents: DataFrame, seeds: DataFrame, k: int) -> D
     asked = materialized(asked.withColumn("asked", hashing.signature256("prompt")).withColumn("words", F.array_distinct(expr.signature_tokens(F.col("prompt")))).drop("prompt"), "prompts")
     # the stated query set against all documents
     met = documents.join(F.broadcast(asked)).withColumn("hamming", vector.hamming(F.col("signature"), F.col("asked")).cast("int")).drop("signature", "asked")
+    # at most DIMS + 1 distances of a task; only documents up to the k-th's distance are ranked
+    upto = F.sum("n").over(W.partitionBy("task").orderBy("hamming"))
+    bound = met.groupBy("task", "hamming").agg(F.count("*").alias("n")).withColumn("before", upto - F.col("n")).where(F.col("before") < k).groupBy("task").agg(F.max("hamming").alias("bound"))
+    bound = materialized(bound, "bound")
     nth = F.row_number().over(W.partitionBy("task").orderBy("hamming", "id"))
-    near = met.withColumn("nth", nth).where(F.col("nth") <= k).drop("nth")
+    near = met.join(F.broadcast(bound), "task").where("hamming <= bound").drop("bound").withColumn("nth", nth).where(F.col("nth") <= k).drop("nth")
     kept = near.unionByName(met.join(F.broadcast(seeds), ["task", "id"], "left_semi")).distinct()
     return kept.join(seeds.withColumn("exact_seed", F.lit(True)), ["task", "id"], "left").withColumn("exact_seed", F.coalesce("exact_seed", F.lit(False)))
 
