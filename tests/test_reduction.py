@@ -138,3 +138,12 @@ def test_long_assignment_chains_end(spark):
     rows = [("f", f"v{k}", k, f"v{k + 1}") for k in range(300)] + [("g", f"v{k}", k, f"v{(k + 1) % 50}") for k in range(50)]
     got = R.assignment_roots(spark.createDataFrame(rows, ASSIGNED)).collect()
     assert {(r["file"], r["root"]) for r in got} == {("f", "v299")} and len(got) == 300
+
+
+def test_calls_meet_their_scopes_in_one_join(code):
+    plan = R.scoped_calls(code["calls"], code["entities"])._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 2, plan  # of calls with scopes, and of spans with the few long files
+    targets = R.import_targets(code["imports"], R.exported_names(code["entities"]), code["exports"])
+    kept = R.unshadowed(R.scoped_calls(code["calls"], code["entities"]), targets, code["entities"])
+    assert "LeftAnti" not in kept._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r["call_id"], r["scope_id"]) for r in kept.where("name = 'pay'").collect()} == {("c4", None), ("c5", "late")}

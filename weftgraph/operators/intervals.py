@@ -20,11 +20,13 @@ from ..sources.shared import materialized
 SECTION = 200_000
 #: lines of a cell
 CELL = 128
+#: what a scan says of an inner span
+FOUND = {"file": "string", "start": "long", "end": "long", "first": "string", "first_start": "long", "first_end": "long", "second": "string", "second_start": "long", "second_end": "long"}
 
 
 def _scan(batches):
     """Rows (file, section, start, end, outer, id) in order: each inner span with the two
-    smallest spans around it that have different ids."""
+    smallest spans around it that have different ids, with their starts and ends."""
     at, stack, crossing = None, [], False
     for batch in batches:
         out = []
@@ -39,19 +41,19 @@ def _scan(batches):
                 crossing = crossing or bool(stack) and stack[-1][1] < end
                 stack.append((start, end, name))
                 continue
-            around: list[tuple[int, str]] = []
+            around: list[tuple[int, str, int, int]] = []
             for a, b, other in reversed(stack):
                 if b >= end:
-                    around.append((b - a, other))
+                    around.append((b - a, other, a, b))
                     if not crossing and other != around[0][1]:
                         break  # what is further down is larger
             around.sort()
-            second = next((o for _, o in around if o != around[0][1]), None)
-            out.append((file, start, end, around[0][1] if around else None, second))
+            second = next((x[1:] for x in around if x[1] != around[0][1]), (None, None, None))
+            out.append((file, start, end, *(around[0][1:] if around else (None, None, None)), *second))
             if crossing and len(stack) > 64:
                 stack = [s for s in stack if s[1] >= start]
-        cols = list(zip(*out)) or [[]] * 5
-        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.string()), pa.array(cols[4], pa.string())], names=["file", "start", "end", "first", "second"])
+        cols = list(zip(*out)) or [[]] * len(FOUND)
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.string() if t == "string" else pa.int64()) for c, t in zip(cols, FOUND.values())], names=list(FOUND))
 
 
 def innermost(inner: DataFrame, outer: DataFrame) -> DataFrame:
@@ -62,21 +64,35 @@ def innermost(inner: DataFrame, outer: DataFrame) -> DataFrame:
     starts covers nothing and nothing covers it; repeated spans are scanned once; files without
     one of the sides give nothing; extra columns are dropped.
     """
+    rows = inner.select("file", F.col("id").cast("string").alias("inner_id"), F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"))
+    found = rows.join(around(inner, outer), ["file", "start", "end"])
+    return found.select("file", "inner_id", outermost("inner_id")["id"].alias("outer_id")).where("outer_id is not null").distinct()
+
+
+def outermost(own: str):
+    """Of a row of ``around`` the smallest span (id, start, end) that isn't the row's own id."""
+    span = lambda nth: F.struct(F.col(nth).alias("id"), F.col(f"{nth}_start").alias("start"), F.col(f"{nth}_end").alias("end"))
+    return F.when(F.col("first") == F.col(own), span("second")).otherwise(span("first"))
+
+
+def around(inner: DataFrame, outer: DataFrame) -> DataFrame:
+    """(file, start, end, first, second, with the starts and ends of both): of each different
+    span of inner that is covered, the two smallest outer ones of different ids."""
     real = F.expr("file is not null and start is not null and end is not null and start <= end")
     inner, outer = (df.where(real).select("file", F.col("id").cast("string").alias("id"), F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end")) for df in (inner, outer))
     # of equal spans the two smallest ids can be innermost, as one may be the inner span itself
-    alike = F.row_number().over(W.partitionBy("file", "start", "end").orderBy("id"))
-    outer = outer.distinct().withColumn("nth", alike).where("nth <= 2").drop("nth")
+    alike = F.dense_rank().over(W.partitionBy("file", "start", "end").orderBy("id"))
+    outer = outer.withColumn("nth", alike).where("nth <= 2").drop("nth").distinct()
     spans = inner.select("file", "start", "end").distinct().withColumn("id", F.lit(None).cast("string"))
     spans = materialized(spans.withColumn("outer", F.lit(False)).unionByName(outer.withColumn("outer", F.lit(True))), "spans")
     files = spans.groupBy("file").agg(F.count("*").alias("n"), F.min(F.when(~F.col("outer"), F.col("start"))).alias("low"), F.max(F.when(~F.col("outer"), F.col("start"))).alias("high"))
-    files = files.where("low is not null and n > 1").select("file", "low", F.ceil(F.col("n") / SECTION).alias("sections"), (F.col("high") - F.col("low") + 1).alias("width"))
+    # a file of more than one section has over SECTION spans, so these files are few
+    files = materialized(files.where(f"low is not null and n > {SECTION}").select("file", "low", F.ceil(F.col("n") / SECTION).alias("sections"), (F.col("high") - F.col("low") + 1).alias("width")), "long")
     cut = lambda c: F.least(F.greatest(F.floor((F.col(c) - F.col("low")) * F.col("sections") / F.col("width")), F.lit(0)), F.col("sections") - 1).cast("int")
-    dealt = spans.join(files, "file").withColumn("section", F.explode(F.when(F.col("outer"), F.sequence(cut("start"), cut("end"))).otherwise(F.array(cut("start")))))
+    of = F.when(F.col("sections").isNull(), F.array(F.lit(0))).when(F.col("outer"), F.sequence(cut("start"), cut("end"))).otherwise(F.array(cut("start")))
+    dealt = spans.join(F.broadcast(files), "file", "left").withColumn("section", F.explode(of))
     ordered = dealt.select("file", "section", "start", "end", "outer", "id").repartition("file", "section").sortWithinPartitions("file", "section", "start", F.desc("outer"), F.desc("end"), F.desc("id"))
-    found = ordered.mapInArrow(_scan, "file string, start long, `end` long, first string, second string").where("first is not null")
-    out = inner.join(found, ["file", "start", "end"])
-    return out.select("file", F.col("id").alias("inner_id"), F.when(F.col("first") == F.col("id"), F.col("second")).otherwise(F.col("first")).alias("outer_id")).where("outer_id is not null").distinct()
+    return ordered.mapInArrow(_scan, ", ".join(f"`{c}` {t}" for c, t in FOUND.items())).where("first is not null")
 
 
 def covering(inner: DataFrame, outer: DataFrame) -> DataFrame:

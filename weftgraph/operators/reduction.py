@@ -14,10 +14,12 @@ from pyspark.sql.window import Window as W
 
 from ..functions import expr
 from ..sources.shared import materialized
-from .intervals import covering, innermost
+from .intervals import around, covering, innermost, outermost
 
 #: re-exports that are followed from an import
 DEPTH = 8
+#: modules that are broadcast; more are joined by a shuffle
+BROADCAST_MODULES = 50_000
 # fixed values
 IMPORTABLE = ("Function", "Method", "Class", "LocalVariable", "GlobalVariable", "Table")
 EXECUTABLE = ("Function", "Method", "Constructor")
@@ -39,6 +41,18 @@ def exported_names(entities: DataFrame) -> DataFrame:
     return named.unionByName(said.select("module", F.lit("default").alias("name"), "id"))
 
 
+def _reachable(wanted: DataFrame, reexports: DataFrame, depth: int) -> DataFrame:
+    """(module): the wanted modules and what their re-exports lead to within depth steps."""
+    seen = front = materialized(wanted.select("module").where("module is not null").distinct(), "modules")
+    for _ in range(depth):
+        further = reexports.join(front, "module").select(F.col("target").alias("module")).where("module is not null").distinct()
+        front = materialized(further.join(seen, "module", "left_anti"), "modules")
+        if front.isEmpty():
+            break
+        seen = seen.unionByName(front)
+    return seen
+
+
 def resolve_exports(wanted: DataFrame, declared: DataFrame, reexports: DataFrame, depth: int = DEPTH) -> DataFrame:
     """(module, name, id) of the wanted (module, name) pairs that lead to a declaration.
 
@@ -48,9 +62,14 @@ def resolve_exports(wanted: DataFrame, declared: DataFrame, reexports: DataFrame
     re-exports (named ones by seq, then those of all names) that leads somewhere within depth
     steps leads to. Cycles lead nowhere.
 
+    Only what is said in modules that the wanted ones lead to is kept, written once for all rounds.
     The pairs that matter are found downward from the wanted ones, then answered upward, each
     round from the answers of the round before; both end early when nothing changes.
     """
+    modules = _reachable(wanted, reexports, depth)
+    small = F.broadcast if modules.count() <= BROADCAST_MODULES else (lambda df: df)
+    declared = materialized(declared.select("module", "name", "id").join(small(modules), "module", "left_semi"), "declared")
+    reexports = materialized(reexports.join(small(modules), "module", "left_semi"), "reexports")
     named = reexports.where("exported is not null").select("module", F.col("exported").alias("name"), "target", "imported", F.struct(F.lit(0).alias("star"), "seq").alias("seq"))
     stars = reexports.where("exported is null").select("module", "target", F.struct(F.lit(1).alias("star"), "seq").alias("seq"))
     seen = front = materialized(wanted.select("module", "name").where("module is not null and name is not null").distinct(), "wanted")
@@ -78,29 +97,6 @@ def resolve_exports(wanted: DataFrame, declared: DataFrame, reexports: DataFrame
     return known.join(wanted.select("module", "name").distinct(), ["module", "name"], "left_semi")
 
 
-def shadowed(calls: DataFrame, declarations: DataFrame) -> DataFrame:
-    """(call_id, import_id) of the calls whose name a later local declaration takes over.
-
-    calls (file, name, call_id, start, end, scope_start, scope_end, import_id, import_end);
-    declarations (file, name, start, end). A declaration that starts after the import takes
-    over if it covers the call, or if it lies in the call's scope (if there is one).
-
-    Both are questions about one running extreme in order of start: the largest end so far,
-    and, from behind, the smallest end.
-    """
-    rows = calls.select("import_id", "file", "name", "import_end").distinct().join(declarations.select("file", "name", F.col("start").alias("s"), F.col("end").alias("e")), ["file", "name"]).where("s > import_end")
-    rows = rows.select("import_id", F.lit(None).cast("string").alias("call_id"), "s", "e", F.lit(None).cast("long").alias("scope_start"), F.lit(None).cast("long").alias("scope_end")).distinct()
-    asked = calls.select("import_id", F.col("call_id").cast("string").alias("call_id"), F.col("start").alias("s"), F.col("end").alias("e"), "scope_start", "scope_end")
-    both = rows.unionByName(asked)
-    is_call = F.col("call_id").isNotNull()
-    up = W.partitionBy("import_id").orderBy("s", is_call).rowsBetween(W.unboundedPreceding, 0)
-    covered = both.withColumn("reach", F.max(F.when(~is_call, F.col("e"))).over(up)).where(is_call & (F.col("reach") >= F.col("e")))
-    from_scope = both.withColumn("s", F.when(is_call, F.col("scope_start")).otherwise(F.col("s"))).where("s is not null")
-    down = W.partitionBy("import_id").orderBy(F.desc("s"), is_call).rowsBetween(W.unboundedPreceding, 0)
-    inside = from_scope.withColumn("reach", F.min(F.when(~is_call, F.col("e"))).over(down)).where(is_call & (F.col("reach") <= F.col("scope_end")))
-    return covered.select("call_id", "import_id").unionByName(inside.select("call_id", "import_id")).distinct()
-
-
 def import_targets(imports: DataFrame, declared: DataFrame, reexports: DataFrame) -> DataFrame:
     """imports (import_id, file, local, module, name, start, end) that resolve, with the target's id."""
     found = resolve_exports(imports.select("module", "name"), declared, reexports)
@@ -111,17 +107,32 @@ def scoped_calls(calls: DataFrame, entities: DataFrame) -> DataFrame:
     """calls (call_id, file, name, start, end, ...) with the innermost function around each, if
     there is one: scope_id, scope_start, scope_end. entities (id, kind, path, start, end)."""
     functions = entities.where(F.col("kind").isin(*EXECUTABLE)).select(F.col("path").alias("file"), "id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"))
-    within = innermost(calls.select("file", F.col("call_id").alias("id"), "start", "end"), functions).select(F.col("inner_id").alias("call_id"), F.col("outer_id").alias("scope_id"))
-    spans = functions.select(F.col("id").alias("scope_id"), F.col("start").alias("scope_start"), F.col("end").alias("scope_end"))
-    return calls.join(within.join(spans, "scope_id"), "call_id", "left")
+    found = around(calls.select("file", F.col("call_id").alias("id"), "start", "end"), functions)
+    calls = calls.withColumn("start", F.col("start").cast("long")).withColumn("end", F.col("end").cast("long"))
+    scoped = calls.join(found, ["file", "start", "end"], "left").withColumn("scope", outermost("call_id"))
+    return scoped.select(*calls.columns, F.col("scope.id").alias("scope_id"), F.col("scope.start").alias("scope_start"), F.col("scope.end").alias("scope_end"))
 
 
 def unshadowed(calls: DataFrame, targets: DataFrame, entities: DataFrame) -> DataFrame:
-    """Scoped calls of imported names that the import still means, with import_id and target_id."""
+    """Scoped calls of imported names that the import still means, with import_id and target_id.
+
+    A declaration of the name in the file that starts after the import takes over if it covers
+    the call, or if it lies in the call's scope (if there is one). Both are questions about one running
+    extreme in order of start: the largest end so far, and, from behind, the smallest end. Calls
+    and declarations are dealt by file, name and import for both.
+    """
     of = targets.select("import_id", "file", F.col("local").alias("name"), F.col("end").alias("import_end"), "target_id")
-    used = materialized(calls.join(of, ["file", "name"]), "used")
-    declarations = entities.where(F.col("kind").isin(*SHADOWING)).select(F.col("path").alias("file"), "name", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"))
-    return used.join(shadowed(used, declarations), ["call_id", "import_id"], "left_anti")
+    used = calls.join(of, ["file", "name"]).withColumn("called", F.lit(True)).withColumn("s", F.col("start"))
+    declarations = entities.where(F.col("kind").isin(*SHADOWING)).select(F.col("path").alias("file"), "name", F.col("start").cast("long").alias("s"), F.col("end").cast("long").alias("end"))
+    rows = of.select("import_id", "file", "name", "import_end").distinct().join(declarations, ["file", "name"]).where("s > import_end").drop("import_end").withColumn("called", F.lit(False))
+    both, called = used.unionByName(rows, allowMissingColumns=True), F.col("called")
+    group = W.partitionBy("file", "name", "import_id")
+    end = F.when(~called, F.col("end"))
+    both = both.withColumn("covers", F.max(end).over(group.orderBy("s", called).rowsBetween(W.unboundedPreceding, 0)))
+    both = both.withColumn("s", F.when(called, F.col("scope_start")).otherwise(F.col("s")))
+    both = both.withColumn("inside", F.min(end).over(group.orderBy(F.desc_nulls_last("s"), called).rowsBetween(W.unboundedPreceding, 0)))
+    over = (F.col("covers") >= F.col("end")) | F.col("scope_start").isNotNull() & (F.col("inside") <= F.col("scope_end"))
+    return both.where(called & ~F.coalesce(over, F.lit(False))).drop("called", "s", "covers", "inside")
 
 
 def import_edges(imports: DataFrame, calls: DataFrame, entities: DataFrame, reexports: DataFrame) -> DataFrame:
