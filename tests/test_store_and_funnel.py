@@ -10,6 +10,7 @@ from weftgraph.operators import bundles, funnel, truth
 from weftgraph.operators import queries as Q
 from weftgraph.operators import traverse as T
 from weftgraph.sources import store
+from weftgraph.streaming import factstore
 from weftgraph.streaming.factstore import EVIDENCE, FactStore, stream_changes
 
 FACTS = {"entities": "path string, id string", "edges": "path string, id string, head string"}
@@ -100,6 +101,14 @@ def test_a_stream_of_changes_goes_on_after_a_restart(spark, tmp_path):
     assert "d" in {r["path"] for r in s.read("files").collect()}
 
 
+def test_facts_are_written_once(spark, monkeypatch):
+    kept = []
+    plain = factstore.materialized
+    monkeypatch.setattr(factstore, "materialized", lambda df, name: kept.append((name, df.columns)) or plain(df, name))
+    s, _ = FactStore.create(spark, FACTS, parts=4).apply(0, *_frames(spark, {"f.ts": ("h", ["a", "b"], ["e"])})[:2])
+    assert s.read("edges").count() == 1 and not any("head" in columns for _, columns in kept)
+
+
 # ---- bundles
 
 

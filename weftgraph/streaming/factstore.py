@@ -105,17 +105,18 @@ class FactStore:
 
     # ---- writing
 
-    def _replace(self, table: str, gone: DataFrame, rows: DataFrame, key: str = "path", gone_key: list[str] | None = None) -> dict:
-        """Rewrite the partitions of a table that gone (path, ...) and rows fall into."""
-        rows = materialized(rows.withColumn("part", part_of(F.col(key), self.parts)), "rows")
-        touched = gone.select(part_of(F.col("path"), self.parts).alias("part")).union(rows.select("part")).distinct()
-        parts = sorted(r[0] for r in touched.collect())  # numbers of at most PARTS partitions
-        names = [f.split()[0] for f in self.tables[table].split(", ")]
-        old = self.read(table, parts).withColumn("part", part_of(F.col("path"), self.parts))
-        now = materialized(old.join(gone, gone_key or ["path"], "left_anti").select(*names, "part").unionByName(rows.select(*names, "part")), "now")
-        version = self.version + 1
-        now.repartition("part", F.pmod(F.xxhash64(*names), F.lit(FILES_A_PART))).sortWithinPartitions("part", "path").write.mode("overwrite").partitionBy("part").parquet(f"{self.root}/{table}/v={version}")
-        leaves = {r["part"]: _md5(f"{r['n']}|{r['s1']}|{r['s2']}") for r in leaf_digests(now).collect()}
+    def _parts(self, *frames: DataFrame) -> list[int]:
+        """Numbers of the at most PARTS partitions that the paths of frames fall into."""
+        return sorted({r[0] for df in frames for r in df.select(part_of(F.col("path"), self.parts)).distinct().collect()})
+
+    def _replace(self, table: str, parts: list[int], gone: DataFrame, rows: DataFrame, gone_key: list[str] | None = None) -> dict:
+        """Rewrite partitions of a table, all that gone (path, ...) and rows fall into: rows are made once, as they are written."""
+        names, path = [f.split()[0] for f in self.tables[table].split(", ")], f"{self.root}/{table}/v={self.version + 1}"
+        old = self.read(table, parts)
+        now = old.join(gone, gone_key or ["path"], "left_anti").select(*names).unionByName(rows.select(*names)).withColumn("part", part_of(F.col("path"), self.parts))
+        now.repartition("part", F.pmod(F.xxhash64(*names), F.lit(FILES_A_PART))).sortWithinPartitions("part", "path").write.mode("overwrite").partitionBy("part").parquet(path)
+        written = self.spark.read.schema(f"{self.tables[table]}, part int").parquet(path)
+        leaves = {r["part"]: _md5(f"{r['n']}|{r['s1']}|{r['s2']}") for r in leaf_digests(written).collect()}
         return {p: leaves.get(p) for p in parts}
 
     def _with(self, changes: dict[str, dict]) -> FactStore:
@@ -164,14 +165,14 @@ class FactStore:
         nth = F.row_number().over(W.partitionBy("hash").orderBy("path"))
         renamed = dead.withColumn("nth", nth).join(changed.where("new").withColumn("nth", nth), ["hash", "nth"]).count()
 
-        changes, removed = {}, 0
+        changes, removed, parts = {}, 0, self._parts(gone)  # new facts are of files that changed, so they fall into these
         for table in self.tables:
             if table in ("files", "evidence", "by_file"):
                 continue
             rows = facts[table].join(changed.select("path"), "path", "left_semi") if table in facts else self.spark.createDataFrame([], self.tables[table])
             removed += self.read(table, near).join(gone, "path", "left_semi").count()
-            changes[table] = self._replace(table, gone, rows)
-        changes["files"] = self._replace("files", gone, changed.select("path", "hash"))
+            changes[table] = self._replace(table, parts, gone, rows)
+        changes["files"] = self._replace("files", parts, gone, changed.select("path", "hash"))
         # evidence of other files that a changed file is part of, found under that file
         listed = self.read("by_file", near).join(gone, "path", "left_semi")
         stale = materialized(listed.select(F.col("home").alias("path"), "id").union(self.read("evidence", near).join(gone, "path", "left_semi").select("path", "id")).distinct(), "stale")
@@ -181,8 +182,8 @@ class FactStore:
         entries = lambda e: e.select(F.explode(F.array_distinct(F.array_append("files", F.col("path")))).alias("path"), "id", F.col("path").alias("home"))
         old_entries = materialized(entries(self.read("evidence", homes).join(stale, ["path", "id"], "left_semi")), "entries")
         dropped = stale.count()
-        changes["evidence"] = self._replace("evidence", stale, own, gone_key=["path", "id"])
-        changes["by_file"] = self._replace("by_file", old_entries, entries(own), gone_key=["path", "id", "home"])
+        changes["evidence"] = self._replace("evidence", self._parts(stale, own), stale, own, gone_key=["path", "id"])
+        changes["by_file"] = self._replace("by_file", self._parts(old_entries, entries(own)), old_entries, entries(own), gone_key=["path", "id", "home"])
         after = self._with(changes)
         after = FactStore(after.spark, after.root, after.tables, after.parts, after.version, batch, after.written, after.leaves, after.nodes)._commit()
         n = changed.agg(F.count("*"), F.count_if("new")).first()
