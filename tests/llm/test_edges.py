@@ -124,6 +124,20 @@ def test_fingerprint_strings_are_enough(spark):
     assert np.abs(np.array(got) - want).max() < 0.02 and sum(abs(a - b) < 1e-9 for a, b in zip(got, want)) >= 8
 
 
+def test_empty_groups_have_no_cells_and_add_nothing(spark):
+    """Groups without digests, most of those of a set dealt again and again, are neither kept nor peeled cell by cell."""
+    rng = np.random.default_rng(3)
+    sets = [sorted(rng.integers(-(2**63), 2**63 - 1, n).tolist()) for n in (0, 1, 25, 400)]
+    d = spark.createDataFrame(list(enumerate(sets)), "k int, s array<bigint>").withColumn("g", F.expr(fingerprint._sketch("s")))
+    assert any(len(g) == 0 for g in d.where("k = 3").first()["g"])
+    d = d.withColumn("p", F.expr(fingerprint._peeled("g"))).withColumn("w", fingerprint.written(F.size("s").cast("long"), F.col("g"))).withColumn("again", F.expr(fingerprint.parsed("w")[1]))
+    for r in d.orderBy("k").collect():
+        assert {len(g) for g in r["g"]} <= {0, fingerprint.CELLS} and r["again"] == r["g"] and len(r["w"]) == 8 + 22 * fingerprint.CELLS * len(r["g"])
+        assert sum(c["n"] for g in r["g"] for c in g) == 3 * len(r["s"]) and set(r["p"]["ds"]) <= set(r["s"]) and len(r["p"]["ds"]) + r["p"]["rest"] <= len(r["s"])
+        assert r["k"] == 3 or sorted(r["p"]["ds"]) == r["s"]
+    assert len(r["p"]["ds"]) > 390
+
+
 def test_wide_null_and_repeated_ids(spark, monkeypatch):
     monkeypatch.setattr(fingerprint, "RANGE_ROWS", 4)
     ids = [2**63 - 1, -(2**63), 0, 5, 6, 7, 8, 9, 10, 11, *([3] * 12), *([None] * 10)]

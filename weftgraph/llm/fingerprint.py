@@ -12,7 +12,9 @@ with half as many groups, so one fingerprint is a ladder of sketches of all smal
 
 Likeness needs the two fingerprints and nothing else. Both are brought to one size;
 subtracting them cell by cell leaves the digests in which the sets differ, and peeling cells
-that hold a single one recovers them. On failure (foreseen if one is over FAR times as large
+that hold a single one, all of them at once, recovers them. Groups that hold nothing, or the
+same in both, have no cells until the fingerprint is written: values of lambda functions are
+copied, so what these carry is kept small. On failure (foreseen if one is over FAR times as large
 as the other, or if over CROWDED of the cells are taken), each is peeled alone at its own
 size, which gives the sets themselves. Digests that even this can't part (three or more that
 hold each other's cells; about 1 text in 100 has such) are counted by the cells they leave:
@@ -51,12 +53,19 @@ RANGE_ROWS, RANGES = 4000, 1 << 16
 _THIRD = CELLS // 3
 _CHECK = "shiftrightunsigned(xxhash64({0}, 'check'), 48)"
 _EMPTY = "named_struct('n', 0L, 'x', 0L, 'h', 0L)"
+_BLANK = f"array_repeat({_EMPTY}, {CELLS})"
+_NONE = "cast(array() as array<struct<n:bigint,x:bigint,h:bigint>>)"
 
 
 def _place(x: str, j: int) -> str:
     return f"cast({j * _THIRD} + pmod(xxhash64({x}, {j}), {_THIRD}) as int)"
 
 
+def _mask(x: str) -> str:
+    """SQL: a bit for each of the three cells of a digest."""
+    return " | ".join(f"shiftleft(1L, {_place(x, j)})" for j in range(3))
+
+
 def _let(value: str, name: str, body: str) -> str:
     """SQL: body with name bound to value, which is computed once."""
     return f"transform(array({value}), {name} -> {body})[0]"
@@ -65,88 +74,92 @@ def _let(value: str, name: str, body: str) -> str:
 def digests(text: Column) -> Column:
     units = r"[ \t]*([^\n]{80,159}?[.!?](?=[ \t])|[^\n]{160}\S*|[^\n]+)"
     lines = F.filter(F.regexp_extract_all(text, F.lit(units), 1), lambda x: F.trim(x) != "")
-    return F.array_sort(F.array_distinct(F.transform(lines, lambda x: F.xxhash64(x))))
+    return F.sort_array(F.array_distinct(F.transform(lines, lambda x: F.xxhash64(x))))
 
 
 def _sketch(digest_array: str) -> str:
-    """SQL: the groups of cells of an array of digests."""
-    groups = f"cast(shiftleft(1, r + cast(greatest(0, ceil(log2(greatest(size(s), 1) / {GROUP}.0D))) as int)) as int)"
-    of = "xxhash64(d, 'group')"
+    """SQL: the groups of cells of an array of digests; a group without digests has no cells."""
+    entries = f"transform(s, d -> named_struct('d', d, 'k', {_CHECK.format('d')}, 'g', xxhash64(d, 'group'), 'm', {_mask('d')}))"
+    least = f"cast(greatest(0, ceil(log2(greatest(size(s), 1) / {GROUP}.0D))) as int)"
+    # an entry's group and its cells in one number
+    codes = f"transform(y.en, p -> shiftleft(p.g & (shiftleft(1L, y.least + r) - 1L), {CELLS}) | p.m)"
+    full = _let(f"sort_array(transform(codes, c -> shiftright(c, {CELLS})))", "own", f"exists(sequence(0, size(own) - {FULL + 1}), i -> own[i] = own[i + {FULL}])")
+    stuck = _let(codes, "codes", f"size(array_distinct(codes)) < size(codes) or (size(codes) > {FULL} and {full})")
+    tries = f"aggregate(sequence(0, {RETRIES - 1}), 0, (t, r) -> if(t = r and {stuck}, r + 1, t))"
     # dealt in two steps, by the low half of the group's bits first, so that long arrays aren't read once a group
-    step = "cast(shiftleft(1, cast(floor(log2(y.g) / 2) as int)) as int)"
-    first = f"transform(sequence(0, z.m - 1), i -> filter(z.s, d -> pmod({of}, z.m) = i))"
-    dealt = _let(f"named_struct('s', s, 'g', {groups})", "y", _let(f"named_struct('s', y.s, 'g', y.g, 'm', {step})", "z", _let(f"named_struct('p', {first}, 'g', z.g, 'm', z.m)", "w", f"transform(sequence(0, w.g - 1), i -> filter(w.p[i % w.m], d -> pmod({of}, w.g) = i))")))
-    entries = f"transform(e, d -> named_struct('d', d, 'k', {_CHECK.format('d')}, 'a', {_place('d', 0)}, 'b', {_place('d', 1)}, 'c', {_place('d', 2)}))"
-    cell = f"aggregate(filter(en, p -> p.a = i or p.b = i or p.c = i), {_EMPTY}, (t, p) -> named_struct('n', t.n + 1L, 'x', t.x ^ p.d, 'h', t.h ^ p.k))"
-    none = "cast(null as array<array<struct<d:bigint,k:bigint,a:int,b:int,c:int>>>)"
-    stuck = f"exists(made, en -> size(en) > {FULL} or size(array_distinct(transform(en, p -> p.a + {CELLS} * (p.b + {CELLS} * p.c)))) < size(en))"
-    kept = _let(f"transform({dealt}, e -> {entries})", "made", f"if(r < {RETRIES} and {stuck}, {none}, made)")
-    settled = f"aggregate(sequence(0, {RETRIES}), {none}, (f, r) -> if(f is not null, f, {kept}))"
-    return _let(digest_array, "s", f"transform({settled}, en -> transform(sequence(0, {CELLS - 1}), i -> {cell}))")
+    step = "shiftleft(1, cast(floor(z.k / 2) as int))"
+    first = "transform(sequence(0, v.m - 1), i -> filter(v.en, p -> p.g & (v.m - 1L) = i))"
+    second = "transform(sequence(0, w.n - 1), i -> filter(w.p[i % w.m], p -> p.g & (w.n - 1L) = i))"
+    dealt = _let(f"named_struct('en', z.en, 'm', {step}, 'n', shiftleft(1, z.k))", "v", _let(f"named_struct('p', {first}, 'm', v.m, 'n', v.n)", "w", second))
+    groups = _let(f"named_struct('en', y.en, 'k', y.least + {tries})", "z", f"if(z.k = 0, array(z.en), {dealt})")
+    groups = _let(digest_array, "s", _let(f"named_struct('en', {entries}, 'least', {least})", "y", groups))
+    groups = f"transform({groups}, en -> named_struct('en', en, 'm', aggregate(en.m, 0L, (t, m) -> t | m)))"
+    cell = _let("filter(g.en, p -> getbit(p.m, i) = 1Y)", "of", "named_struct('n', cast(size(of) as bigint), 'x', aggregate(of.d, 0L, (t, d) -> t ^ d), 'h', aggregate(of.k, 0L, (t, k) -> t ^ k))")
+    return f"transform({groups}, g -> if(g.m = 0L, {_NONE}, transform(sequence(0, {CELLS - 1}), i -> if(getbit(g.m, i) = 0Y, {_EMPTY}, {cell}))))"
 
 
 def _combined(a: str, b: str, sign: str) -> str:
-    return f"zip_with({a}, {b}, (u, v) -> zip_with(u, v, (m, o) -> named_struct('n', m.n {sign} o.n, 'x', m.x ^ o.x, 'h', m.h ^ o.h)))"
+    cells = f"zip_with(u, v, (m, o) -> named_struct('n', m.n {sign} o.n, 'x', m.x ^ o.x, 'h', m.h ^ o.h))"
+    if sign == "+":
+        return f"zip_with({a}, {b}, (u, v) -> if(size(v) = 0, u, if(size(u) = 0, v, {cells})))"
+    return f"zip_with({a}, {b}, (u, v) -> if(size(v) = 0, u, if(size(u) = 0, transform(v, o -> named_struct('n', -o.n, 'x', o.x, 'h', o.h)), if(u = v, {_NONE}, {cells}))))"
 
 
 def _folded(groups: str, size: str) -> str:
     """SQL: a sketch brought to so many groups by adding halves."""
     half = "cast(size(f) / 2 as int)"
     by_two = _combined(f"slice(f, 1, {half})", f"slice(f, {half} + 1, {half})", "+")
-    return _let(f"named_struct('g', {groups}, 'k', cast(round(log2(size({groups}) / {size})) as int))", "fold", f"if(fold.k < 1, fold.g, aggregate(sequence(1, fold.k), fold.g, (f, turn) -> {by_two}))")
-
+    return f"if(size({groups}) <= {size}, {groups}, aggregate(sequence(1, cast(round(log2(size({groups}) / {size})) as int)), {groups}, (f, turn) -> {by_two}))"
 
-def _peeled(cells: str) -> str:
-    """SQL: (ds: digests recovered from one group, rest: number of those that stay)."""
-    pure = f"get(filter(s.cells, c -> abs(c.n) = 1 and {_CHECK.format('c.x')} = c.h), 0)"
-    out = "transform(s.cells, (c, i) -> if(i = w.a or i = w.b or i = w.c, named_struct('n', c.n - w.n, 'x', c.x ^ w.x, 'h', c.h ^ w.h), c))"
-    taken = _let(f"named_struct('n', q.n, 'x', q.x, 'h', q.h, 'a', {_place('q.x', 0)}, 'b', {_place('q.x', 1)}, 'c', {_place('q.x', 2)})", "w", f"named_struct('cells', {out}, 'ds', array_append(s.ds, w.x), 'go', true)")
-    step = _let(pure, "q", f"if(q is null, named_struct('cells', s.cells, 'ds', s.ds, 'go', false), {taken})")
-    run = f"aggregate(sequence(0, {CELLS}), named_struct('cells', {cells}, 'ds', cast(array() as array<bigint>), 'go', true), (s, turn) -> if(s.go, {step}, s))"
-    left = [f"aggregate(slice(z.cells, {j * _THIRD + 1}, {_THIRD}), 0L, (t, c) -> t + if(c.n <> 0L, abs(c.n), if(c.x <> 0L or c.h <> 0L, 2L, 0L)))" for j in range(3)]
-    return _let(run, "z", f"named_struct('ds', z.ds, 'rest', greatest({', '.join(left)}))")
 
+def _peeled(groups: str) -> str:
+    """SQL: (ds: digests recovered from all groups, rest: number of those that stay).
 
-def _summed(groups: str) -> str:
-    """SQL: (d: digests recovered from all groups, rest)."""
-    return f"aggregate(transform({groups}, g -> {_peeled('g')}), named_struct('d', 0L, 'rest', 0L), (t, p) -> named_struct('d', t.d + size(p.ds), 'rest', t.rest + p.rest))"
+    All cells that hold a single digest are emptied at once, and again while there are such.
+    """
+    single = lambda cells: f"transform(array_distinct(filter({cells}, c -> abs(c.n) = 1L and {_CHECK.format('c.x')} = c.h)), c -> named_struct('n', c.n, 'x', c.x, 'h', c.h, 'm', {_mask('c.x')}))"
+    out = "transform(s.cells, (c, i) -> aggregate(filter(s.q, q -> getbit(q.m, i) = 1Y), c, (t, q) -> named_struct('n', t.n - q.n, 'x', t.x ^ q.x, 'h', t.h ^ q.h)))"
+    step = _let(out, "out", f"named_struct('cells', out, 'ds', concat(s.ds, s.q.x), 'q', {single('out')}, 'rest', 1L)")
+    left = [f"aggregate(slice(s.cells, {j * _THIRD + 1}, {_THIRD}), 0L, (t, c) -> t + if(c.n <> 0L, abs(c.n), if(c.x <> 0L or c.h <> 0L, 2L, 0L)))" for j in range(3)]
+    # at the end the cells are given up, so that later turns have little to carry
+    end = f"named_struct('cells', {_NONE}, 'ds', s.ds, 'q', s.q, 'rest', if(s.cells = {_BLANK}, 0L, greatest({', '.join(left)})))"
+    run = f"aggregate(sequence(0, {CELLS + 1}), named_struct('cells', g, 'ds', cast(array() as array<bigint>), 'q', {single('g')}, 'rest', 1L), (s, turn) -> if(size(s.cells) = 0, s, if(size(s.q) = 0, {end}, {step})))"
+    return _let(f"transform(filter({groups}, g -> size(g) > 0), g -> {run})", "parts", "named_struct('ds', flatten(parts.ds), 'rest', aggregate(parts.rest, 0L, (t, rest) -> t + rest))")
 
 
-def _differing(a: str, b: str) -> str:
-    """SQL: number of digests in which sketches a and b differ."""
-    alone = lambda x: f"aggregate(transform({x}, g -> {_peeled('g')}), named_struct('ds', cast(array() as array<bigint>), 'rest', 0L), (t, p) -> named_struct('ds', concat(t.ds, p.ds), 'rest', t.rest + p.rest))"
+def _differing(a: str, b: str, own_a: str | None = None) -> str:
+    """SQL: number of digests in which sketches a and b differ; own_a: a peeled alone, if known."""
     gap = _combined(_folded("two.a", "least(size(two.a), size(two.b))"), _folded("two.b", "least(size(two.a), size(two.b))"), "-")
-    found = "cast(size(array_except(own.a.ds, own.b.ds)) + size(array_except(own.b.ds, own.a.ds)) as bigint)"
+    found = "(size(array_except(own.a.ds, own.b.ds)) + size(array_except(own.b.ds, own.a.ds)))"
     # of sets that share nothing else, what stays differs too; else one that stays in one sketch
     # may be one that the other gave up and add two, but the subtraction gives a lower bound
-    least = _let(gap, "gap", _let(_summed("gap"), "part", f"greatest(part.d + part.rest, {found} - own.a.rest - own.b.rest)"))
-    sets = _let(f"named_struct('a', {alone('two.a')}, 'b', {alone('two.b')})", "own", f"if(own.a.rest + own.b.rest = 0L or not arrays_overlap(own.a.ds, own.b.ds), {found} + own.a.rest + own.b.rest, {least})")
-    taken = f"aggregate(gap, 0, (t, g) -> t + size(filter(g, c -> c.n <> 0L or c.x <> 0L)))"
-    tried = f"if({taken} > {CROWDED} * {CELLS} * size(gap), named_struct('d', 0L, 'rest', 1L), {_summed('gap')})"
-    # a digest that stays in one sketch may be one that the other gave up: each can add two
-    found = "cast(size(array_except(own.a.ds, own.b.ds)) + size(array_except(own.b.ds, own.a.ds)) as bigint)"
-    least = _let(gap, "gap", _let(_summed("gap"), "part", f"greatest(part.d + part.rest, {found} - own.a.rest - own.b.rest)"))
-    sets = sets.replace("EITHER", f"if(own.a.rest + own.b.rest = 0L, {found}, {least})")
-    near = f"if(greatest(size(two.a), size(two.b)) > {FAR} * least(size(two.a), size(two.b)), named_struct('d', 0L, 'rest', 1L), {_let(gap, 'gap', tried)})"
-    return _let(f"named_struct('a', {a}, 'b', {b})", "two", _let(near, "whole", f"if(whole.rest = 0L, whole.d, {sets})"))
+    least = _let(_peeled(gap), "part", f"greatest(size(part.ds) + part.rest, {found} - own.a.rest - own.b.rest)")
+    sets = _let(f"named_struct('a', {own_a or _peeled('two.a')}, 'b', {_peeled('two.b')})", "own", f"if(own.a.rest + own.b.rest = 0L or not arrays_overlap(own.a.ds, own.b.ds), {found} + own.a.rest + own.b.rest, {least})")
+    fails = "named_struct('ds', cast(array() as array<bigint>), 'rest', 1L)"
+    taken = "aggregate(gap, 0, (t, g) -> t + size(filter(g, c -> c.n <> 0L or c.x <> 0L)))"
+    tried = f"if({taken} > {CROWDED} * {CELLS} * size(gap), {fails}, {_peeled('gap')})"
+    near = f"if(greatest(size(two.a), size(two.b)) > {FAR} * least(size(two.a), size(two.b)), {fails}, {_let(gap, 'gap', tried)})"
+    return _let(f"named_struct('a', {a}, 'b', {b})", "two", _let(near, "whole", f"if(whole.rest = 0L, cast(size(whole.ds) as bigint), {sets})"))
 
 
 def written(size: Column, groups: Column) -> Column:
-    cell = lambda c: F.concat(F.lpad(F.hex(F.pmod(c["n"], F.lit(256))), 2, "0"), F.lpad(F.hex(c["x"]), 16, "0"), F.lpad(F.hex(c["h"]), 4, "0"))
-    return F.lower(F.concat(F.lpad(F.hex(size), 8, "0"), F.array_join(F.transform(F.flatten(groups), cell), "")))
+    cell = lambda c: F.when((c["n"] == 0) & (c["x"] == 0) & (c["h"] == 0), F.lit("0" * 22)).otherwise(F.concat(F.lpad(F.hex(F.pmod(c["n"], F.lit(256))), 2, "0"), F.lpad(F.hex(c["x"]), 16, "0"), F.lpad(F.hex(c["h"]), 4, "0")))
+    group = lambda g: F.when(F.size(g) == 0, F.lit("0" * 22 * CELLS)).otherwise(F.array_join(F.transform(g, cell), ""))
+    return F.lower(F.concat(F.lpad(F.hex(size), 8, "0"), F.array_join(F.transform(groups, group), "")))
 
 
 def parsed(fingerprint: str) -> tuple[str, str]:
     """SQL: (set size, groups of cells) of a written fingerprint."""
     cell = "named_struct('n', cast(conv(substr(c, 1, 2), 16, 10) as bigint), 'x', cast(conv(substr(c, 3, 16), 16, -10) as bigint), 'h', cast(conv(substr(c, 19, 4), 16, 10) as bigint))"
-    cells = f"split(regexp_replace(substr({fingerprint}, 9), '(.{{22}})', '$1,'), ',')"
-    return f"cast(conv(substr({fingerprint}, 1, 8), 16, 10) as bigint)", _let(cells, "text", f"transform(sequence(0, cast(size(text) / {CELLS} as int) - 1), g -> transform(slice(text, g * {CELLS} + 1, {CELLS}), c -> {cell}))")
+    parts = lambda of, width: f"regexp_extract_all({of}, '.{{{width}}}', 0)"
+    group = f"if(g = repeat('0', {22 * CELLS}), {_NONE}, transform({parts('g', 22)}, c -> {cell}))"
+    return f"cast(conv(substr({fingerprint}, 1, 8), 16, 10) as bigint)", f"transform({parts(f'substr({fingerprint}, 9)', 22 * CELLS)}, g -> {group})"
 
 
-def likeness(a: str, b: str, size_a: str, size_b: str) -> Column:
-    """Jaccard similarity of the sets behind sketches a and b (SQL), by subtraction."""
+def likeness(a: str, b: str, size_a: str, size_b: str, own_a: str | None = None) -> Column:
+    """Jaccard similarity of the sets behind sketches a and b (SQL), by subtraction; own_a: a peeled alone, if known."""
     both = f"({size_a} + {size_b})"
-    return F.expr(_let(_differing(a, b), "d", f"if({both} + d = 0, 1.0D, greatest(0.0D, ({both} - d) / cast({both} + d as double)))"))
+    return F.expr(_let(_differing(a, b, own_a), "d", f"if({both} + d = 0, 1.0D, greatest(0.0D, ({both} - d) / cast({both} + d as double)))"))
 
 
 def likeness_of(a: str, b: str) -> Column:
@@ -196,9 +209,10 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     d = d.withColumn("edited", edited).select("doc_id", "n_chars", F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"), digests(F.col("text")).alias("a"), digests(F.col("edited")).alias("e"), digests(F.col("next_text")).alias("x"))
     for c in ("a", "e", "x"):
         d = d.withColumn(f"n{c}", F.size(c).cast("long")).withColumn(f"s{c}", F.expr(_sketch(c)))
+    d = d.withColumn("alone", F.expr(_peeled("sa")))
     return d.select(
         "doc_id", "n_chars", "edited_sha256", written(F.col("na"), F.col("sa")).alias("fingerprint"), written(F.col("ne"), F.col("se")).alias("edited_fingerprint"),
-        likeness("sa", "se", "na", "ne").alias("near_edited"), likeness("sa", "sx", "na", "nx").alias("near_next"),
+        likeness("sa", "se", "na", "ne", "alone").alias("near_edited"), likeness("sa", "sx", "na", "nx", "alone").alias("near_next"),
     )
 
 
