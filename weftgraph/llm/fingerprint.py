@@ -124,7 +124,9 @@ def _peeled(groups: str) -> str:
     # at the end the cells are given up, so that later turns have little to carry
     end = f"named_struct('cells', {_NONE}, 'ds', s.ds, 'q', s.q, 'rest', if(s.cells = {_BLANK}, 0L, greatest({', '.join(left)})))"
     run = f"aggregate(sequence(0, {CELLS + 1}), named_struct('cells', g, 'ds', cast(array() as array<bigint>), 'q', {single('g')}, 'rest', 1L), (s, turn) -> if(size(s.cells) = 0, s, if(size(s.q) = 0, {end}, {step})))"
-    return _let(f"transform(filter({groups}, g -> size(g) > 0), g -> {run})", "parts", "named_struct('ds', flatten(parts.ds), 'rest', aggregate(parts.rest, 0L, (t, rest) -> t + rest))")
+    # several digests whose check is that of a single one by chance are taken for it, and it is found again with the other sign
+    found = "if(size(array_distinct(flatten(parts.ds))) = size(flatten(parts.ds)), flatten(parts.ds), filter(array_distinct(flatten(parts.ds)), x -> size(filter(flatten(parts.ds), y -> y = x)) % 2 = 1))"
+    return _let(f"transform(filter({groups}, g -> size(g) > 0), g -> {run})", "parts", f"named_struct('ds', {found}, 'rest', aggregate(parts.rest, 0L, (t, rest) -> t + rest))")
 
 
 def _differing(a: str, b: str, own_a: str | None = None) -> str:
